@@ -12,18 +12,14 @@ TOKENS = ("prompt_tokens", "cached_tokens", "completion_tokens", "audio_ms")
 
 
 def price_table(spark: SparkSession, prices=C.PRICES) -> DataFrame:
-    return spark.createDataFrame(
-        list(prices), "model string, tier string, hit double, miss double, out double"
-    )
+    rows = ", ".join(f"('{m}', '{t}', {h}D, {i}D, {o}D)" for m, t, h, i, o in prices)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS p(model, tier, hit, miss, out)")
 
 
 def price_calls(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """Adds ``peak`` and ``cost`` at the price in force when the call was made.
-
-    The price table is a constant of a few rows, which is why it alone is broadcast by hint.
-    """
+    """Adds ``peak`` and ``cost`` at the price in force when the call was made."""
     if prices is None:
-        prices = F.broadcast(price_table(calls.sparkSession))
+        prices = price_table(calls.sparkSession)
     tiered = calls.withColumn("peak", tariff.is_peak(F.col("at"))).withColumn(
         "tier", F.when(F.col("peak"), "peak").otherwise("off_peak")
     )

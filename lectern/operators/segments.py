@@ -132,3 +132,32 @@ def stitch(utterances: DataFrame, key: str = "video_id") -> DataFrame:
     return seen.filter(F.col("_latest").isNull() | (F.col("end_ms") > F.col("_latest"))).drop(
         "_latest", ordered.BLOCK
     )
+
+
+def refresh_slide_text(chunks: DataFrame, slides: DataFrame, slide_order: str = "slide_id") -> DataFrame:
+    """Rebuild slide text of chunks from their slide numbers, in list order; only changed chunks."""
+    linked = chunks.select("video_id", "chunk_id", F.posexplode("slide_idxs").alias("pos", slide_order))
+    texts = slides.select("video_id", slide_order, "ocr_text").filter(F.coalesce("ocr_text", F.lit("")) != "")
+    rebuilt = (
+        linked.join(texts, ["video_id", slide_order])
+        .groupBy("video_id", "chunk_id")
+        .agg(
+            F.trim(
+                F.array_join(
+                    F.transform(F.array_sort(F.collect_list(F.struct("pos", "ocr_text"))), lambda x: x["ocr_text"]), "\n"
+                )
+            ).alias("_new")
+        )
+    )
+    return (
+        chunks.select("video_id", "chunk_id", F.col("ocr_text").alias("_old"))
+        .join(rebuilt, ["video_id", "chunk_id"], "left")
+        .withColumn("ocr_text", F.coalesce("_new", F.lit("")))
+        .filter(~F.col("ocr_text").eqNullSafe(F.coalesce("_old", F.lit(""))))
+        .drop("_new", "_old")
+    )
+
+
+def time_anchors(chapters: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Distinct start times of chapters and chunks."""
+    return chapters.select("video_id", "start_ms").unionByName(chunks.select("video_id", "start_ms")).distinct()

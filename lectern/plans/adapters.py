@@ -196,3 +196,32 @@ def courses(t) -> DataFrame:
             "n_docs",
         )
     )
+
+
+def user_courses(t) -> DataFrame:
+    """courses of the usage log: two of three users still have theirs, some without a title"""
+    user = F.col("user_id")
+    name = user.cast("string")
+    return (
+        t.events.filter(user % 3 != 0)
+        .groupBy("user_id")
+        .agg(
+            F.sum(F.floor(F.col("value") * 1000).cast("long")).alias("duration_ms"),
+            F.min(F.concat(F.lit("lib/"), "event_type", F.lit("/"), name, F.lit(".mp4"))).alias("path"),
+        )
+        .select(
+            F.concat(F.lit("u"), name).alias("video_id"),
+            F.when(user % 5 == 0, "").otherwise(F.concat(F.lit("Course "), name)).alias("title"),
+            "duration_ms",
+            "path",
+        )
+    )
+
+
+def user_labels(t) -> DataFrame:
+    name = F.col("user_id").cast("string")
+    return (
+        t.events.filter(F.col("user_id") % 2 == 0)
+        .select(F.concat(F.lit("u"), name).alias("video_id"), F.concat(F.lit("Old "), name).alias("title"))
+        .distinct()
+    )

@@ -39,6 +39,11 @@ def _columns(spec: str) -> list[tuple[str, str]]:
     return [tuple(part.split()) for part in spec.split(",")]
 
 
+def _digits(kind: str) -> int:
+    """'double' is rounded to DIGITS, 'double:9' to 9 digits."""
+    return int(kind.partition(":")[2] or DIGITS)
+
+
 def _needed_views(body: str) -> list[str]:
     """Views named in ``body``, with the views those stand on, in order of definition."""
     needed: set[str] = set()
@@ -55,7 +60,8 @@ def _needed_views(body: str) -> list[str]:
 
 def _sql(body: str, columns: list[tuple[str, str]]) -> str:
     picks = ", ".join(
-        f"round(CAST({n} AS DOUBLE), {DIGITS}) AS {n}" if t == "double" else f"CAST({n} AS {_SQL_TYPES[t]}) AS {n}"
+        f"round(CAST({n} AS DOUBLE), {_digits(t)}) AS {n}"
+        if t.startswith("double") else f"CAST({n} AS {_SQL_TYPES[t]}) AS {n}"
         for n, t in columns
     )
     ctes = [f"{name} AS ({VIEWS[name]})" for name in _needed_views(body)]
@@ -72,7 +78,8 @@ def _sql(body: str, columns: list[tuple[str, str]]) -> str:
 def _project(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     return df.select(
         *[
-            F.round(F.col(n).cast("double"), DIGITS).alias(n) if t == "double" else F.col(n).cast(t).alias(n)
+            F.round(F.col(n).cast("double"), _digits(t)).alias(n)
+            if t.startswith("double") else F.col(n).cast(t).alias(n)
             for n, t in columns
         ]
     )

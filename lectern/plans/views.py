@@ -15,7 +15,7 @@ _LOCAL = "(ts + INTERVAL 8 HOUR)"
 VIEWS: dict[str, str] = {}
 
 VIEWS["v_calls"] = f"""
-SELECT event_id, ts AS at, 'u' || user_id AS video_id, event_type AS kind,
+SELECT event_id, ts AS called_at, 'u' || user_id AS video_id, event_type AS kind,
        CASE event_id % 3 WHEN 0 THEN 'deepseek-flash' WHEN 1 THEN 'deepseek-v4-pro' ELSE 'local-model' END AS model,
        CAST(floor(value * 100) AS BIGINT) AS prompt_tokens,
        CAST(floor((event_id % 120) * floor(value * 100) / 100) AS BIGINT) AS cached_tokens,
@@ -62,7 +62,7 @@ SELECT s.idx, s.video_id, s.start_ms, s.end_ms,
 FROM v_runs r JOIN v_seg_idx s ON s.video_id = r.video_id AND s.idx = r.rn + 1"""
 
 VIEWS["v_chunks"] = f"""
-SELECT s.video_id, r.run AS idx, s.video_id || '-c' || lpad(CAST(r.run AS VARCHAR), greatest(4, length(CAST(r.run AS VARCHAR))), '0') AS chunk_id,
+SELECT s.video_id, r.run AS idx, s.video_id || '-c' || printf('%04d', r.run) AS chunk_id,
        min(s.start_ms) AS start_ms, arg_max(s.end_ms, s.idx) AS end_ms, count(*) AS n_segments,
        string_agg(CASE WHEN speaker NOT IN ('', '0', '1') THEN '[' || speaker || '] ' || text ELSE text END, chr(10) ORDER BY s.idx) AS text
 FROM v_seg_idx s JOIN v_runs r ON r.video_id = s.video_id AND r.rn = s.idx
@@ -79,14 +79,14 @@ SELECT s.idx, s.video_id, s.start_ms, s.end_ms,
 FROM v_chapter_runs r JOIN v_chunks s ON s.video_id = r.video_id AND s.idx = r.rn + 1"""
 
 VIEWS["v_chapters"] = """
-SELECT c.video_id, r.run AS idx, c.video_id || '-ch' || lpad(CAST(r.run AS VARCHAR), greatest(3, length(CAST(r.run AS VARCHAR))), '0') AS chapter_id,
+SELECT c.video_id, r.run AS idx, c.video_id || '-ch' || printf('%03d', r.run) AS chapter_id,
        min(c.start_ms) AS start_ms, arg_max(c.end_ms, c.idx) AS end_ms, count(*) AS n_chunks
 FROM v_chunks c JOIN v_chapter_runs r ON r.video_id = c.video_id AND r.rn = c.idx
 GROUP BY c.video_id, r.run"""
 
 # documents as chunks of a course (course = source)
 VIEWS["v_docs"] = """
-SELECT source AS video_id, doc_id AS idx, source || '-c' || lpad(CAST(doc_id AS VARCHAR), greatest(4, length(CAST(doc_id AS VARCHAR))), '0') AS chunk_id,
+SELECT source AS video_id, doc_id AS idx, source || '-c' || printf('%04d', doc_id) AS chunk_id,
        doc_id * 120000 AS start_ms, doc_id * 120000 + greatest(1000, least(120000, 50 * length(text))) AS end_ms,
        text, lang, string_split(text, chr(10))[1] AS title,
        coalesce(string_split(text, chr(10))[2], '') AS summary,
@@ -172,3 +172,12 @@ VIEWS["v_courses"] = """
 SELECT source AS video_id, 'library/' || min(lang) || '/' || source || '.mp4' AS path,
        'Course ' || source AS title, sum(n_chars) * 50 AS duration_ms, count(*) AS n_docs
 FROM documents GROUP BY source"""
+
+# courses and remembered titles of the usage log
+VIEWS["v_user_courses"] = """
+SELECT 'u' || user_id AS video_id, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'Course ' || user_id END AS title,
+       sum(CAST(floor(value * 1000) AS BIGINT)) AS duration_ms, min('lib/' || event_type || '/' || user_id || '.mp4') AS path
+FROM events WHERE user_id % 3 <> 0 GROUP BY user_id"""
+
+VIEWS["v_user_labels"] = """
+SELECT DISTINCT 'u' || user_id AS video_id, 'Old ' || user_id AS title FROM events WHERE user_id % 2 = 0"""

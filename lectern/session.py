@@ -32,6 +32,7 @@ def local_session(cpus: int | str = 8, name: str = "lectern") -> SparkSession:
         .config("spark.default.parallelism", str(cpus))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
