@@ -101,7 +101,7 @@ def peak_flag(t):
 
 _BACKFILL = """
 SELECT c.video_id, 'asr' AS kind, 'volc.bigasr.auc_turbo' AS model, c.duration_ms AS audio_ms,
-       c.duration_ms / 31500000.0 * 0.8 AS cost
+       c.duration_ms / 3600000.0 * 0.8 AS cost
 FROM v_user_courses c
 WHERE c.duration_ms > 0 AND c.video_id IN (SELECT video_id FROM v_segments)
   AND c.video_id NOT IN (SELECT video_id FROM v_calls WHERE kind = 'signup' AND audio_ms > 150000)"""
