@@ -41,29 +41,32 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
 
 
-def _han_pairs(run: Column) -> Column:
-    """Overlapping character pairs of a run of Han characters (a single one stays itself)."""
-    return F.when(F.length(run) < 2, F.array(run)).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))
-        )
-    )
+_WORD = r"[\p{L}\p{N}]+"
+# every Han character with its successor; the last of a longer run adds nothing; a lone one stays
+_HAN_PAIRS = rf"({_HAN})(?=({_HAN}))|(?<={_HAN}){_HAN}|({_HAN})"
+_MIXED_TOKEN = rf"{_HAN}(?={_HAN})|(?<!{_HAN}){_HAN}(?!{_HAN})|(?:(?!{_HAN})[\p{{L}}\p{{N}}])+"
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text; Han runs become overlapping character pairs.
+    """Words of a text; runs of Han characters become overlapping character pairs.
 
-    The Han branch is only evaluated for texts that contain such characters.
+    Plain ASCII texts skip the accent and Han steps.
     """
-    folded = fold(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pieces = F.regexp_extract_all(
-        folded, F.lit(rf"({_HAN}+|(?:(?!{_HAN})[\p{{L}}\p{{N}}])+)"), F.lit(1)
-    )
-    mixed = F.flatten(
-        F.transform(pieces, lambda p: F.when(p.rlike(_HAN), _han_pairs(p)).otherwise(F.array(p)))
-    )
-    return F.when(folded.rlike(_HAN), mixed).otherwise(words)
+    paired = F.when(text.rlike(_HAN), F.regexp_replace(text, _HAN_PAIRS, " $1$2$3 ")).otherwise(text)
+    ready = F.when(_is_ascii(text), F.lower(text)).otherwise(fold(paired))
+    words = F.array_remove(F.split(ready, r"[^\p{L}\p{N}]+"), "")
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
+def token_count(text: Column) -> Column:
+    """size(tokens(text)) without building the words."""
+    plain, mixed = F.regexp_count(text, F.lit(_WORD)), F.regexp_count(text, F.lit(_MIXED_TOKEN))
+    count = F.when(_is_ascii(text), plain).when(text.rlike(_HAN), mixed).otherwise(plain)
+    return F.coalesce(count, F.lit(0))
 
 
 def query_terms(text: Column) -> Column:

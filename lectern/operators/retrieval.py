@@ -26,45 +26,49 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank:
 # ------------------------------------------------------------------ keyword index
 
 
-def tokenised(docs: DataFrame, body: Column, keys: Sequence[str] = ("video_id", "chunk_id")) -> DataFrame:
-    return docs.select(*keys, text.tokens(body).alias("toks"))
+def index_stats(docs: DataFrame, body: str = "text") -> DataFrame:
+    """One row: number of documents and their mean length in words."""
+    n, words = F.count("*"), F.sum(text.token_count(F.col(body)))
+    return docs.agg(F.struct(n.alias("n_docs"), (words / n).alias("avg_len")).alias("stats"))
 
 
-def index_stats(toks: DataFrame) -> DataFrame:
-    """One row: number of documents and their mean length."""
-    return toks.agg(
-        F.count("*").alias("n_docs"), (F.sum(F.size("toks")) / F.count("*")).alias("avg_len")
-    )
-
+def postings(docs: DataFrame, body: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(document keys, len, term, tf). With ``wanted`` (a table of terms) only those terms, dropped
+    before anything is shuffled as long as Spark finds that table small enough to ship.
 
-def postings(toks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(document, length, term, tf). With ``wanted`` (a table of terms) only those terms, dropped
-    before anything is shuffled as long as Spark finds that table small enough to ship."""
-    keys = [c for c in toks.columns if c != "toks"]
-    words = toks.select(*keys, F.size("toks").alias("len"), F.explode("toks").alias("term"))
+    ``explode_outer`` rather than ``explode``: the latter makes Spark test the array for emptiness
+    below the projection, which would split every text a second time.
+    """
+    keys = [c for c in docs.columns if c != body]
+    words = docs.select(*keys, text.tokens(F.col(body)).alias("_words"))
+    words = words.select(*keys, F.size("_words").alias("len"), F.explode_outer("_words").alias("term"))
     if wanted is not None:
         words = words.join(wanted.select("term").distinct(), "term", "left_semi")
-    return words.groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    return words.groupBy(*keys, "len", "term").agg(F.count("term").alias("tf")).filter("tf > 0")
 
 
 def bm25(
-    toks: DataFrame,
+    docs: DataFrame,
     questions: DataFrame,
     *,
+    body: str = "text",
     scoped: bool = True,
     k1: float = C.BM25_K1,
     b: float = C.BM25_B,
 ) -> DataFrame:
     """Scores of all documents that hold a term of a question: qid, video_id, chunk_id, score.
 
-    ``questions``: qid, video_id, term (one row per distinct term). ``scoped`` keeps documents of
-    the question's own course. Document frequencies are counted from the same postings.
+    ``docs``: video_id, chunk_id, ``body``; ``questions``: qid, video_id, term (one row per
+    distinct term). ``scoped`` keeps documents of the question's own course. Document frequencies
+    are counted from the same postings.
     """
-    keys = [c for c in toks.columns if c != "toks"]
-    stats = index_stats(toks)
-    found = postings(toks, questions)
+    keys = [c for c in docs.columns if c != body]
+    # said once for both uses of the postings, so that they stay one shuffle and one pass
+    docs = docs.dropna(subset=keys)
+    found = postings(docs, body, questions.filter("video_id IS NOT NULL AND term IS NOT NULL"))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    n_docs, avg_len = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
+    stats = index_stats(docs, body).scalar()
+    n_docs, avg_len = stats["n_docs"], stats["avg_len"]
     idf = F.greatest(F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(C.BM25_MIN_IDF))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + b * F.col("len") / avg_len))
     asked = questions.join(frequency.withColumn("idf", idf), "term").select("qid", "video_id", "term", "idf")
@@ -75,8 +79,10 @@ def bm25(
     return matched.groupBy("qid", *keys).agg(F.sum(F.col("idf") * weight).alias("score"))
 
 
-def keyword_hits(toks: DataFrame, questions: DataFrame, k: int, rank: str | None = None) -> DataFrame:
-    scores = bm25(toks, questions)
+def keyword_hits(
+    docs: DataFrame, questions: DataFrame, k: int, rank: str | None = None, *, body: str = "text"
+) -> DataFrame:
+    scores = bm25(docs, questions, body=body)
     return top(scores, ["qid"], [F.col("score").desc(), F.col("chunk_id")], k, rank)
 
 
@@ -114,39 +120,36 @@ def fuse(ranked: Sequence[tuple[str, DataFrame]], rrf_k: int = C.RRF_K) -> DataF
     )
 
 
+def candidates(
+    docs: DataFrame, questions: DataFrame, store: DataFrame, asked: DataFrame, *, k: int = C.TOP_K
+) -> DataFrame:
+    """Keyword and vector hits of every question, max(4k, 20) of each, fused."""
+    pool = max(k * 4, 20)
+    return fuse(
+        [
+            ("keyword", keyword_hits(docs, questions, pool, "rank")),
+            ("vector", vector_hits(store, asked, pool, "rank")),
+        ]
+    )
+
+
 def hybrid(
-    toks: DataFrame,
+    docs: DataFrame,
     questions: DataFrame,
     store: DataFrame,
     asked: DataFrame,
     *,
     k: int = C.TOP_K,
     within: DataFrame | None = None,
-    biased: DataFrame | None = None,
 ) -> DataFrame:
-    """Keyword and vector hits fused, best ``k`` per question with a 0-based ``rank``.
-
-    ``within`` (qid, chunk_id) restricts hits to one chapter; ``biased`` (qid, chunk_id-free
-    positions: qid, at_ms plus chunk starts joined by the caller) is applied by ``time_bias``.
-    """
-    fused = candidates(toks, questions, store, asked, k=k)
+    """Best ``k`` fused hits per question with a 0-based ``rank``; ``within`` (qid, chunk_id)
+    restricts hits to one chapter."""
+    fused = candidates(docs, questions, store, asked, k=k)
     if within is not None:
         fused = fused.join(within, ["qid", "chunk_id"], "left_semi")
-    if biased is not None:
-        fused = time_bias(fused, biased)
     return top(fused, ["qid"], [F.col("score").desc(), F.col("chunk_id")], k, "rank")
 
 
-def candidates(toks, questions, store, asked, *, k: int = C.TOP_K) -> DataFrame:
-    pool = max(k * 4, 20)
-    return fuse(
-        [
-            ("keyword", keyword_hits(toks, questions, pool, "rank")),
-            ("vector", vector_hits(store, asked, pool, "rank")),
-        ]
-    )
-
-
 def time_bias(fused: DataFrame, positions: DataFrame) -> DataFrame:
     """Raise hits near the playing position a little. ``positions``: qid, chunk_id, distance_ms."""
     near = 1 + F.lit(C.TIME_BIAS_WEIGHT) / (1 + F.col("distance_ms") / C.TIME_BIAS_SCALE_MS)

@@ -35,9 +35,7 @@ def course_search(
     terms: DataFrame,
     *,
     segments: DataFrame,
-    segment_toks: DataFrame,
     chunks: DataFrame,
-    chunk_toks: DataFrame,
     slides: DataFrame,
     chapters: DataFrame,
     k: int = C.SEARCH_TOP_K,
@@ -51,12 +49,13 @@ def course_search(
     asked = asked.filter(text.strip(F.col("q")) != "")
     q = F.col("q")
 
-    def indexed(toks, rows, key):
-        hits = retrieval.keyword_hits(toks, terms, k, "pos").withColumnRenamed("score", "bm")
-        return hits.join(rows, ["video_id", key]).join(asked.select("qid", "q"), "qid")
+    def indexed(rows, body):
+        keyed = rows.select("video_id", "chunk_id", body.alias("text"))
+        hits = retrieval.keyword_hits(keyed, terms, k, "pos").withColumnRenamed("score", "bm")
+        return hits.join(rows, ["video_id", "chunk_id"]).join(asked.select("qid", "q"), "qid")
 
-    seg_hits = indexed(segment_toks.withColumnRenamed("seg_key", "chunk_id"), segments.withColumnRenamed("seg_key", "chunk_id"), "chunk_id")
-    chunk_hits = indexed(chunk_toks, chunks, "chunk_id")
+    seg_hits = indexed(segments.withColumnRenamed("seg_key", "chunk_id"), F.col("text"))
+    chunk_hits = indexed(chunks, text.fused_text(F.col("text"), F.col("ocr_text")))
     chunk_snip = text.snippet(q, F.col("title"), F.col("ocr_text"), F.col("text"))
     like_snip = text.snippet(q, F.col("title"), F.col("summary"), F.col("ocr_text"), F.col("text"))
     slide_snip = F.concat(
@@ -95,7 +94,6 @@ def search_top(hits: DataFrame, k: int = C.SEARCH_TOP_K) -> DataFrame:
 
 
 def cross_course(
-    toks: DataFrame,
     terms: DataFrame,
     chunks: DataFrame,
     titles: DataFrame,
@@ -106,7 +104,7 @@ def cross_course(
 
     Only the survivors (a few per question) are joined with their texts.
     """
-    scores = retrieval.bm25(toks, terms, scoped=False)
+    scores = retrieval.bm25(chunks.select("video_id", "chunk_id", "text"), terms, scoped=False)
     each = retrieval.top(scores, ["qid", "video_id"], [F.col("score").desc(), F.col("chunk_id")], per_course)
     best = retrieval.top(each, ["qid"], [F.col("score").desc(), F.col("chunk_id")], max(8, per_course * 2), "rank")
     return (

@@ -6,6 +6,7 @@ is wrapped in the same projection, so both sides agree on names, types and round
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans.views import VIEWS
+from lectern.schemas import TABLES
 from lectern.session import prepare
 
 DIGITS = 6
+TEXT_TABLES = ("documents", "pages")
+SPREAD_BELOW = 256 << 20
 _SQL_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
 
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,9 +34,20 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
+        if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self._open(name)
+        setattr(self, name, table)
+        return table
+
+    def _open(self, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}.parquet"
+        table = self.spark.read.schema(TABLES[name]).parquet(path)
+        if name in TEXT_TABLES and os.path.isfile(path) and os.path.getsize(path) < SPREAD_BELOW:
+            # one small local file is one row group, hence one task; text work wants all cores.
+            # Tables of many files are already spread and are never shuffled here.
+            return table.repartition(self.spark.sparkContext.defaultParallelism)
+        return table
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:

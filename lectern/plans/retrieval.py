@@ -11,12 +11,8 @@ from lectern.plans import adapters as A
 from lectern.plans.registry import query
 
 
-def toks(t):
-    return R.tokenised(A.docs(t), F.col("text"), ["video_id", "idx", "chunk_id"])
-
-
-def chunk_toks(t):
-    return R.tokenised(A.docs(t), F.col("text"), ["video_id", "chunk_id"])
+def bodies(t):
+    return A.docs(t).select("video_id", "chunk_id", "text")
 
 
 @query("query_terms", "item_id long, terms string", r"""
@@ -31,20 +27,20 @@ def query_terms(t):
 @query("bm25_postings", "idx long, term string, tf long, len long", """
 SELECT idx, term, count(*) AS tf, len FROM (SELECT idx, len(toks) AS len, unnest(toks) AS term FROM v_tokens) GROUP BY ALL""")
 def bm25_postings(t):
-    return R.postings(toks(t))
+    return R.postings(A.docs(t).select("idx", "text"))
 
 
 @query("bm25_search", "qid long, video_id string, chunk_id string, score double",
        "SELECT qid, video_id, chunk_id, score FROM v_bm25 WHERE doc_video = video_id")
 def bm25_search(t):
-    return R.bm25(chunk_toks(t), A.questions(t))
+    return R.bm25(bodies(t), A.questions(t))
 
 
 @query("keyword_topk", "qid long, chunk_id string, score double, rank long", """
 SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank
   FROM v_bm25 WHERE doc_video = video_id) WHERE rank < 8""")
 def keyword_topk(t):
-    return R.keyword_hits(chunk_toks(t), A.questions(t), C.TOP_K, "rank")
+    return R.keyword_hits(bodies(t), A.questions(t), C.TOP_K, "rank")
 
 
 @query("l2_normalise", "vec_id long, pos long, x double", """
@@ -62,7 +58,7 @@ def vector_topk(t):
 
 
 def _candidates(t):
-    return R.candidates(chunk_toks(t), A.questions(t), A.vectors(t), A.question_vectors(t))
+    return R.candidates(bodies(t), A.questions(t), A.vectors(t), A.question_vectors(t))
 
 
 @query("rrf_ranks", "qid long, chunk_id string, score double, sources string", "SELECT qid, chunk_id, score, sources FROM v_fused")
@@ -77,7 +73,7 @@ FROM ({inner})) WHERE rank < 8"""
 
 @query("hybrid_rrf", "qid long, chunk_id string, score double, sources string, rank long", _top8("SELECT * FROM v_fused"))
 def hybrid_rrf(t):
-    hits = R.hybrid(chunk_toks(t), A.questions(t), A.vectors(t), A.question_vectors(t))
+    hits = R.hybrid(bodies(t), A.questions(t), A.vectors(t), A.question_vectors(t))
     return hits.withColumn("sources", F.array_join("sources", "+"))
 
 
@@ -99,7 +95,7 @@ def hybrid_in_chapter(t):
     parity = A.docs(t).select("chunk_id", "video_id", (F.col("chapter_idx") % 2).alias("p"))
     asked = A.question_vectors(t).select("qid", "video_id", (F.col("qid") % 2).alias("p"))
     within = asked.join(parity, ["video_id", "p"]).select("qid", "chunk_id")
-    hits = R.hybrid(chunk_toks(t), A.questions(t), A.vectors(t), A.question_vectors(t), within=within)
+    hits = R.hybrid(bodies(t), A.questions(t), A.vectors(t), A.question_vectors(t), within=within)
     return hits.withColumn("sources", F.array_join("sources", "+"))
 
 
@@ -125,7 +121,7 @@ WHERE a.qid NOT IN (SELECT qid FROM found)""")
 def search_fallback(t):
     asked = A.messages(t).filter("role = 'user'").select(F.col("id").alias("qid"), "video_id", "content")
     terms = asked.select("qid", "video_id", F.explode(F.filter(text.query_terms(F.col("content")), lambda w: F.length(w) >= 12)).alias("term"))
-    found = R.keyword_hits(chunk_toks(t), terms, 32)
+    found = R.keyword_hits(bodies(t), terms, 32)
     return R.fallback(asked, found, A.docs(t))
 
 
@@ -143,7 +139,7 @@ SELECT b.qid, b.doc_video AS video_id, b.chunk_id, 'Course ' || b.doc_video AS t
   CASE WHEN d.start_ms // 3600000 > 0 THEN printf('%02d:%02d:%02d', d.start_ms // 3600000, d.start_ms // 60000 % 60, d.start_ms // 1000 % 60) ELSE printf('%02d:%02d', d.start_ms // 60000, d.start_ms // 1000 % 60) END AS label,
   d.text[1:240] AS text, b.score, b.rank FROM best b JOIN v_docs d ON d.chunk_id = b.chunk_id WHERE rank < 10""")
 def cross_course_search(t):
-    return S.cross_course(chunk_toks(t), A.questions(t), A.docs(t), A.courses(t))
+    return S.cross_course(A.questions(t), A.docs(t), A.courses(t))
 
 
 @query("cross_topk", "qid long, chunk_id string, score double, rank long", """
@@ -151,7 +147,7 @@ WITH per AS (SELECT qid, doc_video, chunk_id, score, row_number() OVER (PARTITIO
 ---
 SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM per WHERE rn <= 2) WHERE rank < 8""")
 def cross_topk(t):
-    scores = R.bm25(chunk_toks(t), A.questions(t), scoped=False)
+    scores = R.bm25(bodies(t), A.questions(t), scoped=False)
     each = R.top(scores, ["qid", "video_id"], [F.col("score").desc(), F.col("chunk_id")], 2)
     return R.top(each, ["qid"], [F.col("score").desc(), F.col("chunk_id")], 8, "rank")
 
