@@ -1,4 +1,4 @@
 """Imports every query module, which registers its queries."""
 
-from lectern.plans import documents, retrieval, transcripts, usage  # noqa: F401
+from lectern.plans import documents, glossary, retrieval, transcripts, usage  # noqa: F401
 from lectern.plans.registry import all_queries, all_sql  # noqa: F401
