@@ -39,12 +39,13 @@ def course_search(
     slides: DataFrame,
     chapters: DataFrame,
     k: int = C.SEARCH_TOP_K,
+    cut: bool = True,
 ) -> DataFrame:
     """``asked``: qid, video_id, q (blank questions find nothing); ``terms``: qid, video_id, term.
 
     Recognised speech often gets names wrong that slides and titles get right, so all are searched.
     Near-equal places (same ``start_ms`` bucket) show once; the earliest stage wins, then the rest
-    is ordered by score.
+    is ordered by score (``cut=False`` stops before that).
     """
     asked = asked.filter(text.strip(F.col("q")) != "")
     q = F.col("q")
@@ -74,7 +75,8 @@ def course_search(
     union = stages[0]
     for s in stages[1:]:
         union = union.unionByName(s)
-    return search_top(bucket_dedupe(union), k)
+    once = bucket_dedupe(union)
+    return search_top(once, k) if cut else once
 
 
 def bucket_dedupe(hits: DataFrame, width: int = C.SEARCH_BUCKET_MS) -> DataFrame:
