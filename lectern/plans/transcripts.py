@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import clock, text, vectors
-from lectern.operators import intervals, media, ordered, segments as seg
+from lectern.operators import intervals, media, ordered, pipeline, segments as seg
 from lectern.plans import adapters as A
 from lectern.plans.registry import query
-from lectern.sources import subtitles
+from lectern.sources import speech, subtitles
 
 # ------------------------------------------------------------------ chunks and chapters
 
@@ -70,7 +70,7 @@ def utterances(t):
         return s.select(
             "video_id", F.col("seg_id").alias("pos"), number.alias("span_no"),
             (F.col("start_ms") - begin).alias("start_ms"), (F.col("end_ms") - begin).alias("end_ms"),
-            begin.alias("span_start"), "text", inside.alias("_in"),
+            begin.alias("span_start"), "text", "speaker", inside.alias("_in"),
         )
 
     first = span(day, day * 86400)
@@ -420,3 +420,70 @@ SELECT doc_id, CASE WHEN length(c) <= 400 THEN c ELSE c[1:400] || '…' END AS c
   SELECT doc_id, coalesce(list_aggregate(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', ' / '), '') AS c FROM documents)""")
 def compact_lines(t):
     return t.documents.select("doc_id", text.compact_lines(F.col("text")).alias("compact"))
+
+
+# ------------------------------------------------------------------ recognition results and the whole pipeline
+
+
+@query("asr_utterances", "user_id long, pos long, start_ms long, end_ms long, text string, speaker string, n_words long", """
+SELECT user_id, pos, event_id * 10 AS start_ms, event_id * 10 + 5 AS end_ms, trim(event_type) AS text,
+       CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 3 AS VARCHAR) END AS speaker, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 2 END AS n_words
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id // 50 ORDER BY event_id) - 1 AS pos FROM events) WHERE event_type <> 'error'""")
+def asr_utterances(t):
+    n = F.col("event_id")
+    words = F.array(
+        F.struct(F.lit("a").alias("text"), F.when(n % 4 == 0, -1).otherwise(n * 10).alias("start_time"), (n * 10 + 2).alias("end_time"), F.lit(0.9).alias("confidence")),
+        F.struct(F.lit("b").alias("text"), (n * 10 + 2).alias("start_time"), (n * 10 + 5).alias("end_time"), F.lit(0.8).alias("confidence")),
+    )
+    u = F.struct(
+        F.when(F.col("event_type") == "error", "  ").otherwise(F.concat(F.lit(" "), "event_type")).alias("text"),
+        (n * 10).alias("start_time"), (n * 10 + 5).alias("end_time"),
+        F.struct(F.when(n % 2 == 0, (n % 3).cast("string")).alias("speaker")).alias("additions"), words.alias("words"),
+    )
+    # a reply holds the sentences of one stretch of fifty events
+    per = t.events.groupBy("user_id", F.floor(n / 50).alias("d")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), u.alias("u")))).alias("us"))
+    replies = per.select("user_id", "d", F.to_json(F.struct(F.struct(F.transform("us", lambda x: x["u"]).alias("utterances")).alias("result"))).alias("json"))
+    return speech.utterances(replies, ["user_id", "d"]).withColumn("n_words", F.size("words"))
+
+
+_STRUCTURED = f"""
+WITH latest AS (SELECT *, max(e) OVER (PARTITION BY video_id ORDER BY span_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lt FROM (SELECT *, span_start + start_ms AS s, span_start + end_ms AS e FROM ({_UTTERANCES}))),
+sg AS (SELECT video_id, pos, s AS start_ms, e AS end_ms, CASE WHEN text LIKE 'error%' THEN text ELSE upper(string_split(text, ' ')[1]) || text[position(' ' IN text):] END AS text, CAST(pos % 4 AS VARCHAR) AS speaker,
+  row_number() OVER (PARTITION BY video_id ORDER BY s, pos) - 1 AS idx FROM latest WHERE lt IS NULL OR e > lt),
+rn AS (SELECT video_id, idx, start_ms, end_ms, start_ms AS rs, CAST(0 AS BIGINT) AS run FROM sg WHERE idx = 0 UNION ALL
+  SELECT g.video_id, g.idx, g.start_ms, g.end_ms, CASE WHEN cut THEN g.start_ms ELSE g.rs END, CASE WHEN cut THEN g.run + 1 ELSE g.run END
+  FROM (SELECT g.*, r.rs, r.run, (g.end_ms - r.rs >= 30000 AND g.start_ms - r.end_ms >= 1500) OR g.end_ms - r.rs >= 90000 AS cut FROM rn r JOIN sg g ON g.video_id = r.video_id AND g.idx = r.idx + 1) g),
+ck AS (SELECT s.video_id, r.run AS idx, min(s.start_ms) AS start_ms, arg_max(s.end_ms, s.idx) AS end_ms, string_agg(CASE WHEN speaker IN ('0', '1') THEN text ELSE '[' || speaker || '] ' || text END, chr(10) ORDER BY s.idx) AS text
+  FROM sg s JOIN rn r ON r.video_id = s.video_id AND r.idx = s.idx GROUP BY s.video_id, r.run),
+cr AS (SELECT video_id, idx, start_ms, end_ms, start_ms AS rs, CAST(0 AS BIGINT) AS run FROM ck WHERE idx = 0 UNION ALL
+  SELECT g.video_id, g.idx, g.start_ms, g.end_ms, CASE WHEN cut THEN g.start_ms ELSE g.rs END, CASE WHEN cut THEN g.run + 1 ELSE g.run END
+  FROM (SELECT g.*, r.rs, r.run, g.start_ms - r.end_ms >= 60000 OR g.end_ms - r.rs >= 600000 AS cut FROM cr r JOIN ck g ON g.video_id = r.video_id AND g.idx = r.idx + 1) g),
+sl AS (SELECT c.video_id, c.idx, count(s.slide_id) AS n FROM ck c LEFT JOIN v_slides s ON s.video_id = c.video_id AND s.start_ms < c.end_ms AND s.end_ms > c.start_ms GROUP BY c.video_id, c.idx)
+---
+"""
+
+
+def type_rules(t):
+    """every kind of event but errors is written in capitals"""
+    kinds = t.events.filter("event_type <> 'error'").select("event_type").distinct()
+    return kinds.select(
+        F.lit("").alias("video_id"), F.array("event_type").alias("wrong"), F.upper("event_type").alias("right"),
+        F.lit("").alias("reason"), F.ascii("event_type").cast("long").alias("ord"),
+    )
+
+
+@query("structure_transcripts", "chunk_id string, parent_id string, start_ms long, end_ms long, n_slides long, text string", _STRUCTURED + """
+SELECT c.video_id || '-c' || printf('%04d', c.idx) AS chunk_id, c.video_id || '-ch' || printf('%03d', cr.run) AS parent_id, c.start_ms, c.end_ms, sl.n AS n_slides, c.text
+FROM ck c JOIN cr ON cr.video_id = c.video_id AND cr.idx = c.idx JOIN sl ON sl.video_id = c.video_id AND sl.idx = c.idx""")
+def structure_transcripts(t):
+    s = pipeline.structure(utterances(t), type_rules(t), A.slides(t), chapter_gap_ms=60_000, chapter_max_ms=600_000)
+    return s.chunks.withColumn("n_slides", F.size("slide_idxs"))
+
+
+@query("refresh_ocr", "chunk_id string, ocr_text string", """
+WITH linked AS (SELECT c.chunk_id, s.slide_id, s.ocr_text FROM v_chunks c JOIN v_slides s ON s.video_id = c.video_id AND s.start_ms < c.end_ms AND s.end_ms > c.start_ms)
+---
+SELECT chunk_id, string_agg(replace(ocr_text, 'view', 'VIEW'), chr(10) ORDER BY slide_id) AS ocr_text FROM linked GROUP BY chunk_id""")
+def refresh_ocr(t):
+    slides = A.slides(t)
+    return pipeline.refresh_ocr(seg.attach_slides(A.transcript_chunks(t), slides), slides, type_rules(t))
