@@ -156,8 +156,10 @@ RE_GUIDE_TIME = r"(\d{1,3}:[0-5]\d)"
 RE_BACKTICK = r"`([^`]+)`"
 RE_TERM_WORD = r"[A-Za-z][A-Za-z0-9_.$\[\]]{2,}"
 RE_HEADING_LINE = r"^#{1,3}\s+\S"
-RE_ANSWER_PUNCT = r"[\s，。、；：？！,.;:?!\"'“”‘’()（）\[\]【】《》<>·—\-_/\\|]+"
-RE_ANSWER_KEEP = r"[^0-9a-zA-Z\x{4e00}-\x{9fff}^+\-=<>()]+"
+# Answers are compared without punctuation, [\s，。、；：？！,.;:?!"'“”‘’()（）[]【】《》<>·—-_/\|], and without
+# anything outside [0-9a-zA-Z\u4e00-\u9fff^+-=<>()]. Both removals together leave digits, ASCII
+# letters, Han and ^ + =, so one pass removes the complement (written as ranges, which is fast).
+RE_ANSWER_REMOVED = r"[\x00-*,-/:-<>-@\[-\]_`{-\x{4dff}\x{a000}-\x{10ffff}]+"
 RE_EXTENSION_BLOCK = r"(?m)^[ \t]*>[^\n]{0,17}拓展[^\n]*\n?(?:[ \t]*>[^\n]*(?:\n|$))*"
 RE_OUTLINE_MARK = r"^\s*(?:#{1,6}\s*)?(?:\*\*)?\s*大纲\s*(?:\*\*)?\s*[:：]\s*$"
 RE_OUTLINE_ITEM = r"^\s*(?:[-*•]|\d+[.、)）])\s*\S"

@@ -9,9 +9,8 @@ from lectern import constants as C
 
 
 def normalise(text: Column) -> Column:
-    """Lower case without punctuation or blanks; keeps digits, ASCII letters, Han and ^+-=<>()."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), C.RE_ANSWER_PUNCT, "")
-    return F.regexp_replace(bare, C.RE_ANSWER_KEEP, "")
+    """Lower case; only digits, ASCII letters, Han and ^ + = stay."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), C.RE_ANSWER_REMOVED, "")
 
 
 def without_extension(text: Column) -> Column:
@@ -21,19 +20,20 @@ def without_extension(text: Column) -> Column:
     )
 
 
-def usable_keypoints(keypoints: Column) -> Column:
-    """Key points are lists of spellings; blank spellings and then empty points do not count."""
+def ready_keypoints(keypoints: Column) -> Column:
+    """ARRAY<STRUCT<name, forms>>: key points are lists of spellings; blank spellings and then
+    empty points do not count. Worked out per question, before questions meet their answers."""
     kept = F.transform(keypoints, lambda alts: F.filter(alts, lambda a: F.trim(a) != ""))
-    return F.filter(kept, lambda alts: F.size(alts) > 0)
+    return F.transform(
+        F.filter(kept, lambda alts: F.size(alts) > 0),
+        lambda alts: F.struct(F.element_at(alts, 1).alias("name"), F.transform(alts, normalise).alias("forms")),
+    )
 
 
-def missing_keypoints(norm_answer: Column, keypoints: Column) -> Column:
-    """First spelling of every key point none of whose spellings occurs."""
-    missed = F.filter(
-        keypoints,
-        lambda alts: ~F.exists(alts, lambda a: F.contains(norm_answer, normalise(a))),
-    )
-    return F.transform(missed, lambda alts: F.element_at(alts, 1))
+def missing_keypoints(norm_answer: Column, ready: Column) -> Column:
+    """Names of the key points none of whose forms occurs in the normalised answer."""
+    missed = F.filter(ready, lambda k: ~F.exists(k["forms"], lambda f: F.contains(norm_answer, f)))
+    return F.transform(missed, lambda k: k["name"])
 
 
 def citation_status(expect_ms: Column, starts: Column, tolerance_ms: Column) -> Column:

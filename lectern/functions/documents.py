@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import constants as C
+from lectern.functions.lists import let
 from lectern.functions.text import strip
 
 _HEADING_START = r"(?m)^(?=#{1,3}\s+\S)"
@@ -37,8 +38,12 @@ def sections(text: Column, fallback_title: Column) -> Column:
 
     found = F.filter(F.transform(parts, section), lambda s: s["headed"] | (s["body"] != ""))
     whole = F.array(F.struct(fallback_title.alias("title"), strip(text).alias("body")))
-    listed = F.transform(found, lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body")))
-    return F.when(F.exists(found, lambda s: s["headed"]), listed).otherwise(whole)
+
+    def chosen(all_: Column) -> Column:
+        listed = F.transform(all_, lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body")))
+        return F.when(F.exists(all_, lambda s: s["headed"]), listed).otherwise(whole)
+
+    return let(found, chosen)
 
 
 def paragraphs(body: Column) -> Column:

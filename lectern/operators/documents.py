@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import documents as D
+from lectern.functions.lists import unfold
 from lectern.functions.text import strip
 from lectern.operators.segments import padded
 from lectern import constants as C
@@ -37,7 +38,7 @@ def parse(docs: DataFrame) -> DataFrame:
 
 
 def chunks(parsed: DataFrame) -> DataFrame:
-    c = parsed.select("video_id", F.explode("chunks").alias("c")).select("video_id", "c.*")
+    c = unfold(parsed, ["video_id"], F.col("chunks"), "c").select("video_id", "c.*")
     return c.select(
         "video_id", "idx", "start_ms", "end_ms", "text",
         F.concat_ws("-c", "video_id", padded(F.col("idx"), 4)).alias("chunk_id"),
@@ -46,7 +47,7 @@ def chunks(parsed: DataFrame) -> DataFrame:
 
 
 def chapters(parsed: DataFrame) -> DataFrame:
-    s = parsed.select("video_id", "chunks", F.posexplode("sections").alias("idx", "s"))
+    s = unfold(parsed, ["video_id", "chunks"], F.col("sections"), "s", "idx")
     mine = F.filter("chunks", lambda c: c["sec"] == F.col("idx"))
     return s.withColumn("_mine", mine).filter(F.size("_mine") > 0).select(
         "video_id", "idx",

@@ -34,55 +34,61 @@ def questions(raw: DataFrame, only: str | None = None) -> DataFrame:
 
 
 def score(answered: DataFrame) -> DataFrame:
-    """``answered``: one row per (question, answer) with keypoints, answer, starts ARRAY<BIGINT>,
-    expect_ms, tolerance_ms, failed. Adds hit / total / rate / missing / status / score."""
+    """``answered``: one row per (question, answer) with keypoints (see ``ready_keypoints``),
+    answer, starts ARRAY<BIGINT>, expect_ms, tolerance_ms, failed. Adds hit / total / rate /
+    missing / status / score."""
     norm = fa.normalise(fa.without_extension(F.col("answer")))
-    d = answered.withColumn("_norm", norm).withColumn("_kps", fa.usable_keypoints(F.col("keypoints")))
-    d = d.withColumn("missing", fa.missing_keypoints(F.col("_norm"), F.col("_kps")))
-    total, missed = F.size("_kps"), F.size("missing")
+    d = answered.withColumn("_norm", norm)
+    d = d.withColumn("missing", fa.missing_keypoints(F.col("_norm"), F.col("keypoints")))
+    total, missed = F.size("keypoints"), F.size("missing")
     ok = ~F.coalesce("failed", F.lit(False))
     d = d.withColumn("total", F.when(ok, total).otherwise(0)).withColumn("hit", F.when(ok, total - missed).otherwise(0))
     d = d.withColumn("rate", F.coalesce(F.try_divide("hit", "total"), F.lit(0.0)))
     status = F.when(ok, fa.citation_status(F.col("expect_ms"), F.col("starts"), F.col("tolerance_ms"))).otherwise("n/a")
     d = d.withColumn("status", status)
     points = F.when(ok, fa.question_score(F.col("rate"), F.col("status"))).otherwise(0.0)
-    return d.withColumn("score", points).drop("_norm", "_kps")
+    return d.withColumn("score", points).drop("_norm")
 
 
-def summary(outcomes: DataFrame, *by: str) -> DataFrame:
-    """Means and citation rates, overall or per group; sums only, so any group size combines early."""
+def summary(outcomes: DataFrame, *by: str, overall: bool = False) -> DataFrame:
+    """Means and citation rates, overall or per group; sums only, so any group size combines early.
+    ``overall`` adds the row of all groups together (named 'overall') in the same pass."""
     timed = F.count_if(F.col("status") != "n/a")
 
     def rate(status: str) -> Column:
         return F.coalesce(F.try_divide(F.count_if(F.col("status") == status), timed), F.lit(0.0))
 
-    return outcomes.groupBy(*by).agg(
+    grouped = outcomes.rollup(*by) if overall else outcomes.groupBy(*by)
+    out = grouped.agg(
         F.count("*").alias("n"),
         F.round(F.avg("score"), 4).alias("mean"),
         F.round(rate("missing"), 4).alias("no_citation_rate"),
         F.round(rate("wrong"), 4).alias("wrong_citation_rate"),
         F.count_if(F.coalesce("failed", F.lit(False))).alias("failures"),
     )
+    return out.fillna("overall", subset=list(by)) if overall else out
 
 
 def gate_table(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{k}', {v}D)" for k, v in C.GATES)
+    gates = (*C.GATES, ("wrong_citation_rate", C.WRONG_CITATION_GATE))
+    rows = ", ".join(f"('{k}', {v}D)" for k, v in gates)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS g(gate, threshold)")
 
 
 def gates(outcomes: DataFrame) -> DataFrame:
     """Thresholds against the means of the types that occur, the overall mean and the share of
     wrong citations."""
-    means = summary(outcomes, "type").select(F.col("type").alias("gate"), F.col("mean").alias("value"))
-    whole = summary(outcomes)
-    means = means.unionByName(whole.select(F.lit("overall").alias("gate"), F.col("mean").alias("value")))
-    wrong = whole.select(
-        F.lit("wrong_citation_rate").alias("gate"), F.col("wrong_citation_rate").alias("value"),
-        F.lit(C.WRONG_CITATION_GATE).alias("threshold"),
-        (F.col("wrong_citation_rate") <= C.WRONG_CITATION_GATE).alias("passed"),
+    means = summary(outcomes, "type", overall=True)
+    wrong = F.struct(F.lit("wrong_citation_rate").alias("gate"), F.col("wrong_citation_rate").alias("value"))
+    own = F.struct(F.col("type").alias("gate"), F.col("mean").alias("value"))
+    values = means.select(
+        F.explode(F.when(F.col("type") == "overall", F.array(own, wrong)).otherwise(F.array(own))).alias("g")
+    ).select("g.*")
+    limits = gate_table(outcomes.sparkSession)
+    passed = F.when(F.col("gate") == "wrong_citation_rate", F.col("value") <= F.col("threshold")).otherwise(
+        F.col("value") >= F.col("threshold")
     )
-    judged = means.join(gate_table(outcomes.sparkSession), "gate").withColumn("passed", F.col("value") >= F.col("threshold"))
-    return judged.unionByName(wrong)
+    return values.join(limits, "gate").withColumn("passed", passed)
 
 
 def validity(outcomes: DataFrame) -> DataFrame:

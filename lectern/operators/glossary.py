@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import clock, text as X
+from lectern.functions.lists import let, unfold
 from lectern.operators import retrieval
 
 RULE = "struct<wrong:array<string>,right:string,reason:string>"
@@ -61,12 +62,16 @@ def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def correct(text: Column, rules: Column) -> Column:
     """STRUCT<text, fixes ARRAY<STRUCT<wrong, right, n>>>: rules in order, variants in order."""
 
+    def occurs(text: Column, r: Column) -> Column:
+        return F.exists(r["wrong"], lambda w: F.contains(text, w))
+
     def variant(s: Column, wrong: Column, right: Column) -> Column:
         gone = F.length(s["text"]) - F.length(F.replace(s["text"], wrong, F.lit("")))
-        return F.struct(
+        replaced = F.struct(
             F.replace(s["text"], wrong, right).alias("text"),
             (s["n"] + F.floor(gone / F.length(wrong)).cast("int")).alias("n"),
         )
+        return F.when(F.contains(s["text"], wrong), replaced).otherwise(s)
 
     def rule(s: Column, r: Column) -> Column:
         done = F.aggregate(
@@ -74,18 +79,19 @@ def correct(text: Column, rules: Column) -> Column:
             F.struct(s["text"].alias("text"), F.lit(0).alias("n")),
             lambda acc, w: variant(acc, w, r["right"]),
         )
-        fix = F.struct(F.element_at(r["wrong"], 1).alias("wrong"), r["right"].alias("right"), done["n"].alias("n"))
-        return F.struct(
-            done["text"].alias("text"),
-            F.when(done["n"] > 0, F.concat(s["fixes"], F.array(fix))).otherwise(s["fixes"]).alias("fixes"),
-        )
+
+        def booked(d: Column) -> Column:
+            fix = F.struct(F.element_at(r["wrong"], 1).alias("wrong"), r["right"].alias("right"), d["n"].alias("n"))
+            return F.struct(d["text"].alias("text"), F.concat(s["fixes"], F.array(fix)).alias("fixes"))
+
+        return F.when(occurs(s["text"], r), let(done, booked)).otherwise(s)
 
     start = F.struct(
         F.coalesce(text, F.lit("")).alias("text"),
         F.array().cast("array<struct<wrong:string,right:string,n:int>>").alias("fixes"),
     )
     # texts that hold none of the wrong forms skip the fold
-    touched = F.exists(rules, lambda r: F.exists(r["wrong"], lambda w: F.contains(text, w)))
+    touched = F.exists(rules, lambda r: occurs(text, r))
     return F.when(touched, F.aggregate(rules, start, rule)).otherwise(start)
 
 
@@ -137,7 +143,7 @@ def identifiers(docs: DataFrame, key: str, body: str) -> DataFrame:
     """Identifiers with a separator, how often and how early they occur in a text."""
     found = F.regexp_extract_all(F.col(body), F.lit(C.RE_IDENTIFIER), F.lit(0))
     return (
-        docs.select(key, F.posexplode(found).alias("pos", "token"))
+        unfold(docs, [key], found, "token", "pos")
         .groupBy(key, "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     )
 
@@ -197,15 +203,12 @@ def flag(docs: DataFrame, key: str, body: str, suspects: Column) -> DataFrame:
     """
     docs = docs.withColumn("_suspects", suspects)
     text = F.col(body)
-    listed = F.filter(
-        F.transform(
-            "_suspects",
-            lambda s: F.struct(
-                s.alias("term"),
-                F.floor((F.length(text) - F.length(F.replace(text, s, F.lit("")))) / F.length(s)).alias("n"),
-            ),
+    listed = F.transform(
+        F.filter("_suspects", lambda s: F.contains(text, s)),
+        lambda s: F.struct(
+            s.alias("term"),
+            F.floor((F.length(text) - F.length(F.replace(text, s, F.lit("")))) / F.length(s)).alias("n"),
         ),
-        lambda x: x["n"] > 0,
     )
 
     def tagged(terms: Column, kind: str) -> Column:
@@ -216,7 +219,7 @@ def flag(docs: DataFrame, key: str, body: str, suspects: Column) -> DataFrame:
         tagged(quoted_phrases(text), "quoted_phrase"),
         F.transform(listed, lambda x: F.struct(x["term"].alias("term"), F.lit("listed").alias("kind"), x["n"].alias("n"))),
     )
-    found = docs.select(key, F.explode(local).alias("f")).select(key, "f.*")
+    found = unfold(docs, [key], local, "f").select(key, "f.*")
     variants = spelling_variants(identifiers(docs, key, body), key).withColumn("kind", F.lit("inconsistent"))
     return merge_findings(found.unionByName(variants.select(key, "term", "kind", "n")), key)
 
@@ -244,8 +247,9 @@ def occurrences(text: Column, term: Column) -> Column:
         at = s["at"] + F.length(part)
         return F.struct((at + F.length(term)).alias("at"), F.concat(s["out"], F.array(at)).alias("out"))
 
-    return F.aggregate(
-        F.slice(F.split(text, quoted), F.lit(1), F.size(F.split(text, quoted)) - 1), start, step, lambda s: s["out"]
+    return let(
+        F.split(text, quoted),
+        lambda parts: F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda s: s["out"]),
     )
 
 
@@ -256,7 +260,7 @@ def contexts(sources: DataFrame, terms: DataFrame, window: int = C.TERM_WINDOW_C
     ``terms``: video_id, term.
     """
     pairs = sources.join(terms, "video_id").filter(F.contains("text", F.col("term")))
-    hit = pairs.select("*", F.posexplode(occurrences(F.col("text"), F.col("term"))).alias("occ", "at"))
+    hit = unfold(pairs, ["*"], occurrences(F.col("text"), F.col("term")), "at", "occ")
     first = F.greatest(F.lit(0), F.col("at") - window)
     last = F.least(F.length("text"), F.col("at") + F.length("term") + window)
     snippet = X.one_line(F.substring(F.col("text"), first + 1, last - first))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import clock, text as X
+from lectern.functions.lists import unfold
 from lectern.operators import context, intervals, retrieval
 
 
@@ -68,19 +69,29 @@ def guide_terms(text: Column) -> Column:
 def unverified_terms(guides: DataFrame, chunks: DataFrame) -> DataFrame:
     """Terms of a guide that occur nowhere in its course, case ignored: gid, video_id, term.
 
-    Whole words of the course settle most terms with a hash join; only the rest is looked for
-    inside the texts. ``guides``: gid, video_id, text; ``chunks``: video_id, text.
+    A term made of word characters can only occur inside a word, so it is looked for in the
+    distinct words of the course, and only in those that share its first four characters
+    somewhere. Terms with other characters are looked for in the texts.
+    ``guides``: gid, video_id, text; ``chunks``: video_id, text.
     """
-    terms = guides.select("gid", "video_id", F.explode(guide_terms(F.col("text"))).alias("term"))
-    terms = terms.withColumn("_low", F.lower("term"))
+    terms = unfold(guides, ["gid", "video_id"], guide_terms(F.col("text")), "term").withColumn("_low", F.lower("term"))
     open_terms = terms.select("video_id", "_low").distinct()
-    words = chunks.select("video_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9_.$\[\]]+"))).alias("_low"))
-    left = open_terms.join(words, ["video_id", "_low"], "left_anti")
-    inside = (
-        left.join(chunks.select("video_id", F.lower("text").alias("_body")), "video_id")
-        .filter(F.contains("_body", F.col("_low"))).select("video_id", "_low").distinct()
+    plain = F.col("_low").rlike(r"^[a-z0-9_.$\[\]]{4,}$")
+    split = F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9_.$\[\]]+"))
+    words = unfold(chunks, ["video_id"], split, "word").filter(F.length("word") >= 4).distinct()
+    quads = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring(F.col("word"), i, F.lit(4)))
     )
-    absent = left.join(inside, ["video_id", "_low"], "left_anti")
+    in_words = (
+        open_terms.filter(plain).withColumn("quad", F.substring("_low", 1, 4))
+        .join(unfold(words, ["video_id", "word"], quads, "quad"), ["video_id", "quad"])
+        .filter(F.contains("word", F.col("_low"))).select("video_id", "_low")
+    )
+    in_texts = (
+        open_terms.filter(~plain).join(chunks.select("video_id", F.lower("text").alias("_body")), "video_id")
+        .filter(F.contains("_body", F.col("_low"))).select("video_id", "_low")
+    )
+    absent = open_terms.join(in_words.unionByName(in_texts).distinct(), ["video_id", "_low"], "left_anti")
     return terms.join(absent, ["video_id", "_low"], "left_semi").drop("_low")
 
 

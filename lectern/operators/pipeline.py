@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.operators import glossary, segments as seg
+from lectern.session import settle
 
 
 class Structured(NamedTuple):
@@ -29,10 +30,12 @@ def structure(
     chapters. ``utterances``: see ``segments.stitch``, plus text and speaker."""
     stitched = seg.stitch(utterances)
     corrected = glossary.repair(stitched, rules, ["text"]).drop("fixes_text")
-    chunks = seg.build_chunks(corrected, order=["start_ms", "pos"])
+    # chunks are read four times below; they are written once, as the chunk table would be
+    chunks = settle(seg.build_chunks(corrected, order=["start_ms", "pos"]))
     runs = seg.chapter_runs(chunks, gap_ms=chapter_gap_ms, max_span=chapter_max_ms)
-    chapters = seg.build_chapters(chunks, gap_ms=chapter_gap_ms, max_span=chapter_max_ms)
-    return Structured(corrected, seg.with_parents(seg.attach_slides(chunks, slides), runs), chapters)
+    return Structured(
+        corrected, seg.with_parents(seg.attach_slides(chunks, slides), runs), seg.chapters_of_runs(runs)
+    )
 
 
 def refresh_ocr(chunks: DataFrame, slides: DataFrame, rules: DataFrame) -> DataFrame:

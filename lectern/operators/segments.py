@@ -58,9 +58,12 @@ def build_chunks(
 def build_chapters(
     chunks: DataFrame, *, gap_ms: int = C.CHAPTER_GAP_MS, max_span: int = C.CHAPTER_MAX_MS
 ) -> DataFrame:
+    return chapters_of_runs(chapter_runs(chunks, gap_ms=gap_ms, max_span=max_span))
+
+
+def chapters_of_runs(runs: DataFrame) -> DataFrame:
     return (
-        chapter_runs(chunks, gap_ms=gap_ms, max_span=max_span)
-        .groupBy("video_id", F.col("run").alias("idx"))
+        runs.groupBy("video_id", F.col("run").alias("idx"))
         .agg(
             F.min("start_ms").alias("start_ms"),
             F.max_by("end_ms", "idx").alias("end_ms"),

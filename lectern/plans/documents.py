@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import answers, documents as D, paths, text as X
+from lectern.functions.lists import unfold
 from lectern.operators import documents as docs
 from lectern.plans import adapters as A
 from lectern.plans.registry import query
@@ -56,8 +57,7 @@ chunks AS (SELECT doc_id, chunk, string_agg(p, chr(10) || chr(10) ORDER BY pos)
 
 @query("doc_chunks", "doc_id long, chunk long, text string", _DOC_PACK + "SELECT * FROM chunks")
 def doc_chunks(t):
-    packed = paragraph_docs(t).select("doc_id", F.posexplode(D.pack(D.paragraphs(F.col("text")))).alias("chunk", "text"))
-    return packed
+    return unfold(paragraph_docs(t), ["doc_id"], D.pack(D.paragraphs(F.col("text"))), "text", "chunk")
 
 
 @query("doc_timeline", "doc_id long, idx long, start_ms long, end_ms long", _DOC_PACK + """
@@ -66,7 +66,7 @@ SELECT doc_id, chunk AS idx, end_ms - span AS start_ms, end_ms FROM (
          sum(greatest(1000, 50 * length(text))) OVER (PARTITION BY doc_id ORDER BY chunk) AS end_ms FROM chunks)""")
 def doc_timeline(t):
     pieces = F.transform(D.pack(D.paragraphs(F.col("text"))), lambda c: F.struct(F.lit(0).alias("sec"), c.alias("text")))
-    return paragraph_docs(t).select("doc_id", F.explode(D.timeline(pieces)).alias("c")).select("doc_id", "c.idx", "c.start_ms", "c.end_ms")
+    return unfold(paragraph_docs(t), ["doc_id"], D.timeline(pieces), "c").select("doc_id", "c.idx", "c.start_ms", "c.end_ms")
 
 
 _LINES = """

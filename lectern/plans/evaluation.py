@@ -50,7 +50,7 @@ def question_set(t):
     n = F.col("item_id")
     kind = F.element_at(F.array(*[F.lit(k) for k, _p, _t in C.QUESTION_TYPES]), (n % 4 + 1).cast("int"))
     return t.benchmark.withColumn("ws", words).select(
-        "item_id", kind.alias("type"), F.filter(pairs, lambda p: F.size(p) == 2).alias("keypoints"),
+        "item_id", kind.alias("type"), fa.ready_keypoints(F.filter(pairs, lambda p: F.size(p) == 2)).alias("keypoints"),
         F.when(n % 3 != 0, n * 7000).alias("expect_ms"), F.lit(C.CITATION_TOLERANCE_MS).alias("tolerance_ms"),
     )
 
@@ -135,8 +135,7 @@ g(gate, threshold) AS (VALUES ('factual', 0.80), ('cross', 0.65), ('global', 0.6
 ---
 SELECT m.*, m.mean >= threshold AS passed FROM m JOIN g ON g.gate = m.grp""")
 def evaluation_run(t):
-    o = outcomes(t)
-    both = EV.summary(o, "type").withColumnRenamed("type", "grp").unionByName(EV.summary(o).withColumn("grp", F.lit("overall")))
+    both = EV.summary(outcomes(t), "type", overall=True).withColumnRenamed("type", "grp")
     return both.join(EV.gate_table(t.spark).withColumnRenamed("gate", "grp"), "grp").withColumn("passed", F.col("mean") >= F.col("threshold"))
 
 
@@ -148,7 +147,7 @@ SELECT source, sum(hit) AS hit, sum(total) AS total, sum(hit) / sum(total) AS ra
   FROM src s JOIN v_item_words w ON w.item_id = s.doc_id % (SELECT count(*) FROM benchmark)) GROUP BY source""")
 def notes_score(t):
     items = t.benchmark.agg(F.count("*").alias("c")).scalar()
-    points = t.benchmark.select("item_id", F.transform(X.query_terms(F.col("text")), lambda w: F.array(w)).alias("kps"))
+    points = t.benchmark.select("item_id", fa.ready_keypoints(F.transform(X.query_terms(F.col("text")), lambda w: F.array(w))).alias("kps"))
     d = t.documents.select("source", (F.col("doc_id") % items).alias("item_id"), fa.normalise(F.col("text")).alias("norm"))
     s = d.join(points, "item_id").withColumn("total", F.size("kps")).withColumn("hit", F.col("total") - F.size(fa.missing_keypoints(F.col("norm"), F.col("kps"))))
     return s.groupBy("source").agg(F.sum("hit").alias("hit"), F.sum("total").alias("total")).withColumn("rate", F.col("hit") / F.col("total"))

@@ -7,11 +7,11 @@ import numpy as np
 from lectern.functions.models import embedder, reranker  # noqa: F401  (re-exported)
 
 
-def length_and_e():
-    """A 'model': text length and number of e's."""
+def parity():
+    """A 'model': (3, 4) for texts of even length, (0, 5) for the others."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        return np.array([[len(x), x.count("e")] for x in texts], dtype="float32")
+        return np.array([[3, 4] if len(x) % 2 == 0 else [0, 5] for x in texts], dtype="float32")
 
     return encode
 

@@ -341,13 +341,13 @@ def quiz_store(t):
 # ------------------------------------------------------------------ hooks
 
 
-@query("embed_hook", "chunk_id string, dim long, length_sq double, first double", r"""
-SELECT chunk_id, 2 AS dim, CASE WHEN n = 0 AND m = 0 THEN 0 ELSE 1 END AS length_sq, round(CASE WHEN n = 0 AND m = 0 THEN 0 ELSE n / sqrt(n * n + m * m) END, 4) AS first FROM (SELECT chunk_id, CAST(length(text) AS DOUBLE) AS n, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS m FROM v_docs)""")
+@query("embed_hook", "chunk_id string, dim long, length_sq double, first double", """
+SELECT chunk_id, 2 AS dim, 1 AS length_sq, CASE WHEN length(text) % 2 = 0 THEN 0.6 ELSE 0 END AS first FROM v_docs""")
 def embed_hook(t):
     from lectern.functions import vectors
 
-    v = A.docs(t).select("chunk_id", hooks.embedder(hooks.length_and_e)(F.col("text")).alias("vec"))
-    return v.select("chunk_id", F.size("vec").alias("dim"), F.round(vectors.dot(F.col("vec"), F.col("vec")), 3).alias("length_sq"), F.round(F.get("vec", F.lit(0)).cast("double"), 4).alias("first"))
+    v = A.docs(t).select("chunk_id", hooks.embedder(hooks.parity)(F.col("text")).alias("vec"))
+    return v.select("chunk_id", F.size("vec").alias("dim"), vectors.dot(F.col("vec"), F.col("vec")).alias("length_sq"), F.get("vec", F.lit(0)).alias("first"))
 
 
 @query("rerank_hook", "qid long, chunk_id string, rank long", """
