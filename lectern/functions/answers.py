@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import constants as C
+from lectern.functions.lists import let
 
 
 def normalise(text: Column) -> Column:
@@ -32,7 +33,11 @@ def ready_keypoints(keypoints: Column) -> Column:
 
 def missing_keypoints(norm_answer: Column, ready: Column) -> Column:
     """Names of the key points none of whose forms occurs in the normalised answer."""
-    missed = F.filter(ready, lambda k: ~F.exists(k["forms"], lambda f: F.contains(norm_answer, f)))
+    # bound outside the inner lambdas, or the answer would be normalised once per form
+    missed = let(
+        norm_answer,
+        lambda norm: F.filter(ready, lambda k: ~F.exists(k["forms"], lambda f: F.contains(norm, f))),
+    )
     return F.transform(missed, lambda k: k["name"])
 
 
