@@ -85,16 +85,16 @@ def pack(
 
 
 def timeline(chunks: Column) -> Column:
-    """Chunk structs (field ``text``) -> the same with start_ms / end_ms on a reading-speed axis."""
+    """Chunk structs (sec, title, text) -> the same with start_ms / end_ms on a reading-speed axis."""
     start = F.struct(
         F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<idx:int,sec:int,text:string,start_ms:bigint,end_ms:bigint>>").alias("done"),
+        F.array().cast("array<struct<idx:int,sec:int,title:string,text:string,start_ms:bigint,end_ms:bigint>>").alias("done"),
     )
 
     def step(s: Column, c: Column) -> Column:
         until = s["at"] + F.greatest(F.lit(C.MIN_SPAN_MS), F.length(c["text"]) * C.MS_PER_CHAR)
         timed = F.struct(
-            F.size(s["done"]).alias("idx"), c["sec"].alias("sec"), c["text"].alias("text"),
+            F.size(s["done"]).alias("idx"), c["sec"].alias("sec"), c["title"].alias("title"), c["text"].alias("text"),
             s["at"].alias("start_ms"), until.cast("long").alias("end_ms"),
         )
         return F.struct(until.cast("long").alias("at"), F.concat(s["done"], F.array(timed)).alias("done"))

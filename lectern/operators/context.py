@@ -74,17 +74,21 @@ def prefix_take(blocks: DataFrame, key: str, order: str, size: Column, budget: i
 # ------------------------------------------------------------------ whole-course prefix
 
 
-def course_head(courses: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Title, length, summary and chapter list of a course. Chapters last minutes, so a course has
-    few of them even when it has very many chunks."""
+def course_head(courses: DataFrame, chapters: DataFrame, max_chars: int) -> DataFrame:
+    """Title, length, summary and chapter list of a course, with the length of the whole head
+    (``head_len``). Only chapters that can show within ``max_chars`` are gathered."""
     line = F.concat(
         F.lit("- ["), clock.clock_label(F.col("start_ms")), F.lit("] "), X.chapter_title(F.col("title"), F.col("idx")),
         F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("："), X.strip(F.col("summary")))).otherwise(""),
     )
-    listed = joined(chapters.withColumn("_line", line), ["video_id"], ["idx"], "_line", "\n", "_chapters")
+    lined = chapters.select("video_id", "idx", line.alias("_line"))
+    near = retrieval.top(lined, ["video_id"], [F.col("idx")], max_chars // len("- [00:00] ") + 2)
+    listed = joined(near, ["video_id"], ["idx"], "_line", "\n", "_chapters")
+    lengths = lined.groupBy("video_id").agg((F.sum(F.length("_line") + 1) - 1).alias("_all"))
     summary = X.strip(X.without_outline(F.col("video_summary")))
-    return courses.join(listed, "video_id", "left").select(
+    head = courses.join(listed, "video_id", "left").join(lengths, "video_id", "left").select(
         "video_id",
+        (F.coalesce("_all", F.lit(0)) - F.coalesce(F.length("_chapters"), F.lit(0))).alias("_hidden"),
         F.concat_ws(
             "\n",
             F.concat(F.lit("# 课程材料："), F.coalesce(F.nullif("title", F.lit("")), F.lit("未命名课程"))),
@@ -93,6 +97,7 @@ def course_head(courses: DataFrame, chapters: DataFrame) -> DataFrame:
             F.when(F.col("_chapters").isNotNull(), F.concat(F.lit("\n## 章节结构\n"), "_chapters")),
         ).alias("head"),
     )
+    return head.withColumn("head_len", F.length("head") + F.col("_hidden")).drop("_hidden")
 
 
 def full_prefix(
@@ -103,7 +108,7 @@ def full_prefix(
     Speech is never cut; the room that is left is shared among the slide texts by water-filling,
     measured after they are compacted. Byte-stable for the same data.
     """
-    head = course_head(courses, chapters)
+    head = course_head(courses, chapters, max_chars)
     body = chunks.select(
         "video_id", "idx",
         F.concat(F.lit("\n【"), clock.clock_label(F.col("start_ms")), F.lit("】")).alias("mark"),
@@ -116,7 +121,7 @@ def full_prefix(
         (F.sum(F.length("mark") + F.length("text") + 2 + has_ocr * (len(C.OCR_LABEL) + 1))).alias("fixed")
     )
     # the head counts its own line breaks; one more joins it to the transcript heading
-    room = F.lit(max_chars) - F.length("head") - len("\n## 逐字稿") - 2 - F.coalesce("fixed", F.lit(0))
+    room = F.lit(max_chars) - F.col("head_len") - len("\n## 逐字稿") - 2 - F.coalesce("fixed", F.lit(0))
     budgets = head.join(fixed, "video_id", "left").select("video_id", F.greatest(F.lit(0), room).alias("budget"))
     limited = waterfill(body, budgets, "video_id")
     shown = F.when(F.col("size") <= F.col("limit"), F.col("ocr")).otherwise(

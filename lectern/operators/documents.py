@@ -14,8 +14,8 @@ from lectern import constants as C
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """``docs``: video_id, text, title (may be blank). Adds the document's display title, its
-    sections and its timed chunks as arrays; blank documents are dropped."""
+    """``docs``: video_id, text, title (may be blank). Adds the document's display title and its
+    timed chunks as an array; blank documents are dropped."""
     cleaned = docs.withColumn("text", D.clean(F.col("text"))).filter(F.col("text") != "")
     title = F.coalesce(
         F.nullif(strip(F.coalesce("title", F.lit(""))), F.lit("")),
@@ -30,15 +30,15 @@ def parse(docs: DataFrame) -> DataFrame:
             "sections",
             lambda s, i: F.transform(
                 D.pack(D.paragraphs(F.when(s["body"] == "", s["title"]).otherwise(s["body"]))),
-                lambda text: F.struct(i.alias("sec"), text.alias("text")),
+                lambda text: F.struct(i.alias("sec"), s["title"].alias("title"), text.alias("text")),
             ),
         )
     )
-    return sectioned.withColumn("chunks", D.timeline(pieces)).drop("text")
+    return sectioned.withColumn("chunks", D.timeline(pieces)).drop("text", "sections")
 
 
 def chunks(parsed: DataFrame) -> DataFrame:
-    c = unfold(parsed, ["video_id"], F.col("chunks"), "c").select("video_id", "c.*")
+    c = _rows(parsed)
     return c.select(
         "video_id", "idx", "start_ms", "end_ms", "text",
         F.concat_ws("-c", "video_id", padded(F.col("idx"), 4)).alias("chunk_id"),
@@ -46,14 +46,13 @@ def chunks(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _rows(parsed: DataFrame) -> DataFrame:
+    return unfold(parsed, ["video_id"], F.col("chunks"), "c").select("video_id", "c.*")
+
+
 def chapters(parsed: DataFrame) -> DataFrame:
-    s = unfold(parsed, ["video_id", "chunks"], F.col("sections"), "s", "idx")
-    mine = F.filter("chunks", lambda c: c["sec"] == F.col("idx"))
-    return s.withColumn("_mine", mine).filter(F.size("_mine") > 0).select(
-        "video_id", "idx",
-        F.concat_ws("-ch", "video_id", padded(F.col("idx"), 3)).alias("chapter_id"),
-        F.substring("s.title", 1, 80).alias("title"),
-        F.element_at("_mine", 1)["start_ms"].alias("start_ms"),
-        F.element_at("_mine", -1)["end_ms"].alias("end_ms"),
-        F.size("_mine").alias("n_chunks"),
+    """Sections with the span of their chunks."""
+    spans = _rows(parsed).groupBy("video_id", F.col("sec").alias("idx"), F.substring("title", 1, 80).alias("title")).agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_chunks")
     )
+    return spans.withColumn("chapter_id", F.concat_ws("-ch", "video_id", padded(F.col("idx"), 3)))

@@ -260,16 +260,20 @@ def contexts(sources: DataFrame, terms: DataFrame, window: int = C.TERM_WINDOW_C
     ``terms``: video_id, term.
     """
     pairs = sources.join(terms, "video_id").filter(F.contains("text", F.col("term")))
-    hit = unfold(pairs, ["*"], occurrences(F.col("text"), F.col("term")), "at", "occ")
-    first = F.greatest(F.lit(0), F.col("at") - window)
-    last = F.least(F.length("text"), F.col("at") + F.length("term") + window)
-    snippet = X.one_line(F.substring(F.col("text"), first + 1, last - first))
+
+    def around(at: Column) -> Column:
+        first = F.greatest(F.lit(0), at - window)
+        last = F.least(F.length("text"), at + F.length("term") + window)
+        return X.one_line(F.substring(F.col("text"), first + 1, last - first))
+
+    # cut out the surroundings first: exploded rows then carry those, not the whole text
+    keep = [c for c in pairs.columns if c != "text"]
+    snippets = F.transform(occurrences(F.col("text"), F.col("term")), around)
+    hit = unfold(pairs, keep, snippets, "snippet", "occ")
     stamp = F.when(F.col("ms").isNull(), "").otherwise(
         F.concat(F.lit("["), clock.clock_label(F.col("ms")), F.lit("] "))
     )
-    return hit.withColumn("snippet", snippet).withColumn(
-        "line", F.concat("label", F.lit(" "), stamp, F.lit("…"), "snippet", F.lit("…"))
-    ).drop("text", "at")
+    return hit.withColumn("line", F.concat("label", F.lit(" "), stamp, F.lit("…"), "snippet", F.lit("…")))
 
 
 def best_contexts(found: DataFrame, limit: int = C.TERM_CONTEXT_LIMIT) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import clock, paths, text as X
+from lectern.functions.lists import unfold
 from lectern.operators import retrieval
 
 # ------------------------------------------------------------------ merges
@@ -142,8 +143,8 @@ def in_series(courses: DataFrame) -> DataFrame:
 def find_course(courses: DataFrame, wanted: DataFrame) -> DataFrame:
     """Tokens -> courses by id, by path, or by part of the title; ``matches`` > 1 = ambiguous.
 
-    An exact hit beats title hits. ``wanted``: token. Exact forms are equi-joins; only the tokens
-    left over look into titles.
+    An exact hit beats title hits. ``wanted``: token. Exact forms are equi-joins; the tokens left
+    over meet only titles that hold their first (up to three) characters somewhere.
     """
     exact = (
         courses.select(F.col("video_id").alias("token"), "video_id")
@@ -151,8 +152,20 @@ def find_course(courses: DataFrame, wanted: DataFrame) -> DataFrame:
         .join(wanted, "token").groupBy("token").agg(F.min("video_id").alias("video_id"), F.lit(1).cast("long").alias("matches"))
     )
     rest = wanted.join(exact, "token", "left_anti")
+    low = F.lower("title")
+    grams = F.flatten(
+        F.transform(
+            F.array(F.lit(1), F.lit(2), F.lit(3)),
+            lambda n: F.when(
+                F.length(low) >= n,
+                F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n)),
+            ).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    titles = unfold(courses.filter(F.length("title") > 0), ["video_id", "title"], F.array_distinct(grams), "gram")
     part = (
-        rest.join(courses.select("video_id", "title"), F.contains(F.lower("title"), F.lower("token")))
+        rest.filter(F.length("token") > 0).withColumn("gram", F.substring(F.lower("token"), 1, 3))
+        .join(titles, "gram").filter(F.contains(low, F.lower("token")))
         .groupBy("token").agg(F.min("video_id").alias("video_id"), F.count("*").alias("matches"))
     )
     return exact.unionByName(part)

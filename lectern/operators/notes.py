@@ -152,16 +152,16 @@ def chapter_bodies(chunks: DataFrame) -> DataFrame:
 
 
 def course_bodies(courses: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Chapter summaries of a course, the input of its own summary."""
+    """Chapter summaries of a course, the input of its own summary, as ordered rows (video_id,
+    idx, line); idx -1 is the heading. Rows, because a course may have any number of chapters."""
     head = F.concat(
         F.lit("\n## "), X.chapter_title(F.col("title"), F.col("idx")), F.lit(" ["), clock.clock_label(F.col("start_ms")),
         F.lit("-"), clock.clock_label(F.col("end_ms")), F.lit("]\n"),
         F.coalesce(F.nullif("summary", F.lit("")), F.lit("（无摘要）")),
     )
-    per = context.joined(chapters.withColumn("_line", head), ["video_id"], ["idx"], "_line", "\n", "_body")
-    return courses.join(per, "video_id").select(
-        "video_id",
-        F.concat(F.lit("课程原名："), "title", F.lit("\n总时长："), clock.clock_label(F.col("duration_ms")), F.lit("\n"), "_body").alias("body"),
+    first = F.concat(F.lit("课程原名："), "title", F.lit("\n总时长："), clock.clock_label(F.col("duration_ms")))
+    return courses.select("video_id", F.lit(-1).cast("long").alias("idx"), first.alias("line")).unionByName(
+        chapters.select("video_id", F.col("idx").cast("long").alias("idx"), head.alias("line"))
     )
 
 

@@ -41,7 +41,9 @@ def postings(docs: DataFrame, body: str = "text", wanted: DataFrame | None = Non
     """
     keys = [c for c in docs.columns if c != body]
     words = docs.select(*keys, text.tokens(F.col(body)).alias("_words"))
-    words = words.select(*keys, F.size("_words").alias("len"), F.explode_outer("_words").alias("term"))
+    # the length is taken before the explode, so that no row carries the whole array
+    words = words.select(*keys, F.size("_words").alias("len"), "_words")
+    words = words.select(*keys, "len", F.explode_outer("_words").alias("term"))
     if wanted is not None:
         words = words.join(wanted.select("term").distinct(), "term", "left_semi")
     return words.groupBy(*keys, "len", "term").agg(F.count("term").alias("tf")).filter("tf > 0")

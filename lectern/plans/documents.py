@@ -65,7 +65,7 @@ SELECT doc_id, chunk AS idx, end_ms - span AS start_ms, end_ms FROM (
   SELECT doc_id, chunk, greatest(1000, 50 * length(text)) AS span,
          sum(greatest(1000, 50 * length(text))) OVER (PARTITION BY doc_id ORDER BY chunk) AS end_ms FROM chunks)""")
 def doc_timeline(t):
-    pieces = F.transform(D.pack(D.paragraphs(F.col("text"))), lambda c: F.struct(F.lit(0).alias("sec"), c.alias("text")))
+    pieces = F.transform(D.pack(D.paragraphs(F.col("text"))), lambda c: F.struct(F.lit(0).alias("sec"), F.lit("").alias("title"), c.alias("text")))
     return unfold(paragraph_docs(t), ["doc_id"], D.timeline(pieces), "c").select("doc_id", "c.idx", "c.start_ms", "c.end_ms")
 
 

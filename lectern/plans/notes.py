@@ -223,11 +223,11 @@ def rollup_text(t):
     return N.chapter_bodies(A.docs(t))
 
 
-@query("course_rollup", "video_id string, body string", f"""
-SELECT c.video_id, '课程原名：' || c.title || chr(10) || '总时长：' || {label_sql('CAST(c.duration_ms AS BIGINT)')} || chr(10) || b AS body FROM v_courses c JOIN (
-  SELECT video_id, string_agg(chr(10) || '## ' || CASE WHEN title = '' THEN '第 ' || (idx + 1) || ' 章' ELSE title END || ' [' || {label_sql('start_ms')} || '-' || {label_sql('end_ms')} || ']' || chr(10) || CASE WHEN summary = '' THEN '（无摘要）' ELSE summary END, chr(10) ORDER BY idx) AS b FROM v_doc_chapters GROUP BY video_id) x ON x.video_id = c.video_id""")
+@query("course_rollup", "video_id string, idx long, line string", f"""
+SELECT video_id, -1 AS idx, '课程原名：' || title || chr(10) || '总时长：' || {label_sql('CAST(duration_ms AS BIGINT)')} AS line FROM v_courses
+UNION ALL SELECT video_id, idx, chr(10) || '## ' || CASE WHEN title = '' THEN '第 ' || (idx + 1) || ' 章' ELSE title END || ' [' || {label_sql('start_ms')} || '-' || {label_sql('end_ms')} || ']' || chr(10) || CASE WHEN summary = '' THEN '（无摘要）' ELSE summary END FROM v_doc_chapters""")
 def course_rollup(t):
-    return N.course_bodies(A.courses(t), A.doc_chapters(t))
+    return N.course_bodies(A.courses(t), A.doc_chapters(t)).orderBy("video_id", "idx")
 
 
 @query("notes_document", "video_id string, part long, idx long, text string", f"""
