@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import text, vectors
+from lectern.session import settle
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -65,9 +66,9 @@ def bm25(
     are counted from the same postings.
     """
     keys = [c for c in docs.columns if c != body]
-    # said once for both uses of the postings, so that they stay one shuffle and one pass
-    docs = docs.dropna(subset=keys)
-    found = postings(docs, body, questions.filter("video_id IS NOT NULL AND term IS NOT NULL"))
+    # Written once: the postings of the asked terms are small next to the texts, and both uses
+    # below (frequencies, scores) would otherwise split every text again.
+    found = settle(postings(docs, body, questions))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = index_stats(docs, body).scalar()
     n_docs, avg_len = stats["n_docs"], stats["avg_len"]
