@@ -63,4 +63,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def block_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Blocks for ordered work: the session's shuffle partitions. A single machine gains nothing
+    from more than a few per core, so there the default of 200 is cut down."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    return min(n, 3 * context.defaultParallelism) if context.master.startswith("local") else n
