@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import lectern
 from pyspark import cloudpickle
@@ -41,30 +42,61 @@ def local_session(cpus: int | str = 8, name: str = "lectern") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    One under /tmp is set only for a session that runs in this one process and names none; a
+    cluster without the setting gets an error, as a local folder would lose data there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not folder:
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_folder(spark)}/lectern-{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)  # only what exists can be marked
+    files.deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from the files: lineage ends here,
+    any executor can read them again, and later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
 
     Needed where a value depends on how rows were placed (block numbers): a recomputed task must
-    see the same placement. The folder is the cluster's own ``spark.checkpoint.dir``; one under
-    /tmp is set only where the session names none, as in tests.
+    see the same placement, and the partitions must stay as they are.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def block_count(spark: SparkSession) -> int:
-    """Blocks for ordered work: the session's shuffle partitions. A single machine gains nothing
-    from more than a few per core, so there the default of 200 is cut down."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    context = spark.sparkContext
-    return min(n, 3 * context.defaultParallelism) if context.master.startswith("local") else n
+    """Blocks for ordered work: the session's shuffle partitions, on every kind of master."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,9 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from lectern.plans import catalogue
+
+    assert set(catalogue.all_queries()) == set(catalogue.all_sql())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
