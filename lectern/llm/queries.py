@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import simhash
+from lectern.llm import mixing, packing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_mixing": mixing.query,
+    "op9_packing": packing.query,
 }
 
 #: Only where SQL can express the operator.
