@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, packing, simhash
+from lectern.llm import lines, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_mixing": mixing.query,
+    "op6_hilbert_shards": sharding.query,
+    "op8_line_dedup": lines.query,
     "op9_packing": packing.query,
 }
 
 #: Only where SQL can express the operator.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_line_dedup": lines.SQL,
+}
