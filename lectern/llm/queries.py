@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import lines, mixing, packing, sharding, simhash
+from lectern.llm import lines, mixing, packing, rules, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_hilbert_shards": sharding.query,
     "op8_line_dedup": lines.query,
     "op9_packing": packing.query,
+    "op10_quality_rules": rules.query,
 }
 
 #: Only where SQL can express the operator.
