@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import lines, mixing, packing, rules, sharding, simhash
+from lectern.llm import lines, mixing, packing, quality, rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_mixing": mixing.query,
+    "op5_toxicity": toxicity.query,
     "op6_hilbert_shards": sharding.query,
+    "op7_quality": quality.query,
     "op8_line_dedup": lines.query,
     "op9_packing": packing.query,
     "op10_quality_rules": rules.query,
