@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import lines, mixing, packing, quality, rules, sharding, simhash, toxicity, vectors
+from lectern.llm import lines, mixing, packing, pii, quality, rules, sharding, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_mixing": mixing.query,
     "op3_embedding_dedup": vectors.query,
+    "op4_pii": pii.query,
     "op5_toxicity": toxicity.query,
     "op6_hilbert_shards": sharding.query,
     "op7_quality": quality.query,
