@@ -254,6 +254,12 @@ def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns as they are."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
+    return scored(whole, lexicon, threshold).filter("predicted = 0").select("doc.*")
+
+
 def query(spark, folder: str) -> DataFrame:
     from lectern.llm.common import fold_of, table
 
