@@ -139,7 +139,7 @@ def _two(stock: dict, there: int, upto: list[int], room: int, beat: int) -> tupl
 
 
 def _pack(capacity: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = best_two_fit(rows["length"].to_numpy(), capacity)
         rows = rows.drop(columns=["group", "row"])
         rows["sequence_id"] = (int(key[0]) << 32) + bins

@@ -131,7 +131,8 @@ def _ip(text: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, permute([int(o) for o in octets], [256] * 4, key, b"ip", back)))
 
 
-def _move_day(day: datetime.date, key: bytes, back: bool) -> datetime.date | None:
+def _move_day(day: datetime.date, key: bytes, back: bool, short: bool = False) -> datetime.date | None:
+    """``short``: among the days with a one-digit day or month."""
     at = day.toordinal() - _FIRST_DAY
     if not 0 <= at < _DAYS:
         return None
@@ -140,7 +141,9 @@ def _move_day(day: datetime.date, key: bytes, back: bool) -> datetime.date | Non
         high, low = permute(list(divmod(at, side)), [side, side], key, b"date", back)
         at = high * side + low
         if at < _DAYS:
-            return datetime.date.fromordinal(_FIRST_DAY + at)
+            moved = datetime.date.fromordinal(_FIRST_DAY + at)
+            if not short or moved.day < 10 or moved.month < 10:
+                return moved
 
 
 def _iso(text: str, key: bytes, back: bool) -> str | None:
@@ -157,7 +160,7 @@ def _day(text: str, key: bytes, back: bool) -> str | None:
     a, b, year = text.split(sep)
     for day, month, order in ((a, b, 1), (b, a, -1)):
         try:
-            moved = _move_day(datetime.date(int(year), int(month), int(day)), key, back)
+            moved = _move_day(datetime.date(int(year), int(month), int(day)), key, back, short=len(a) + len(b) < 4)
         except ValueError:
             continue
         width = 2 if len(a) == len(b) == 2 else 1

@@ -121,10 +121,12 @@ class Lexicon:
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = fold_table()
     for batch in batches:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[label].update(_terms(fold(text, table)))
-        yield _tally(counts)
+        for at in range(0, len(batch), 100):  # a text has thousands of terms: count few texts at a time
+            part = batch.slice(at, 100)
+            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                counts[label].update(_terms(fold(text, table)))
+            yield _tally(counts)
 
 
 def _count_phrases(terms: dict[str, float]):
