@@ -29,9 +29,10 @@ def salvage_json(text: Column) -> Column:
 
 
 def as_object(json: Column) -> Column:
-    """An object wrapped in a list is taken out of it; anything else is NULL."""
-    first = F.get_json_object(json, "$[0]")
-    return F.when(F.ltrim(json).startswith("{"), json).when(F.ltrim(first).startswith("{"), first)
+    """An object stays; of a list the first object is taken; anything else is NULL."""
+    items = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
+    first = F.get(F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(0))
+    return F.when(F.ltrim(json).startswith("{"), json).otherwise(F.to_json(first))
 
 
 def _filled(items: Column) -> Column:

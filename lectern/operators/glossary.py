@@ -256,8 +256,8 @@ def occurrences(text: Column, term: Column) -> Column:
 def contexts(sources: DataFrame, terms: DataFrame, window: int = C.TERM_WINDOW_CHARS) -> DataFrame:
     """Every occurrence of a course's open terms with its surroundings.
 
-    ``sources``: video_id, priority, source_no, idx, label, ms (NULL = none), text, trusted;
-    ``terms``: video_id, term.
+    ``sources``: video_id, priority, grp, source_no, idx, label, ms (NULL = none), text, trusted. Sources of one
+    ``grp`` are read side by side, index by index (a chunk's summary, then its text); ``terms``: video_id, term.
     """
     pairs = sources.join(terms, "video_id").filter(F.contains("text", F.col("term")))
 
@@ -278,7 +278,7 @@ def contexts(sources: DataFrame, terms: DataFrame, window: int = C.TERM_WINDOW_C
 
 def best_contexts(found: DataFrame, limit: int = C.TERM_CONTEXT_LIMIT) -> DataFrame:
     """First ``limit`` different surroundings per term, the most reliable sources first."""
-    order = F.struct("priority", "source_no", "idx", "occ")
+    order = F.struct("priority", "grp", "idx", "source_no", "occ")
     once = (
         found.withColumn("_key", X.dedup_key(F.col("snippet")))
         .groupBy("video_id", "term", "_key")

@@ -55,7 +55,11 @@ def by(usage: DataFrame, *keys: str) -> DataFrame:
 
 def by_course(usage: DataFrame, courses: DataFrame, labels: DataFrame) -> DataFrame:
     """Roll up first, then look the titles up: the joins see one row per course, not per call."""
-    per = by(usage, "video_id")
+    return with_titles(by(usage, "video_id"), courses, labels)
+
+
+def with_titles(per: DataFrame, courses: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds title and deleted to one row per course."""
     known = courses.select("video_id", F.col("title").alias("_now"), F.lit(True).alias("_known"))
     kept = labels.select("video_id", F.col("title").alias("_kept"))
     raw = F.trim(
@@ -104,6 +108,28 @@ def report(usage: DataFrame) -> DataFrame:
     return grouped.withColumn("level", level).drop("_gid")
 
 
+def summary(usage: DataFrame, courses: DataFrame, labels: DataFrame, newest: int = 30) -> DataFrame:
+    """The whole usage report: level, name, title and deleted (of courses), calls, cost, unpriced.
+
+    Every course that was ever called is listed, also without a priced call; deleted ones keep their last title.
+    Only the ``newest`` days are shown.
+    """
+    rows = report(usage)
+    level = F.col("level")
+    name = (
+        F.when(level == "model", F.concat_ws("/", "model", "kind")).when(level == "kind", F.col("kind"))
+        .when(level == "course", F.col("video_id")).when(level == "day", F.col("day")).otherwise("")
+    )
+    figures = ["calls", F.coalesce("cost", F.lit(0.0)).alias("cost"), "unpriced"]
+    none = [F.lit(None).cast("string").alias("title"), F.lit(None).cast("boolean").alias("deleted")]
+    titled = with_titles(rows.filter(level == "course"), courses, labels)
+    days = rows.filter(level == "day").orderBy(F.col("day").desc()).limit(newest)
+    rest = rows.filter(~level.isin("course", "day")).unionByName(days)
+    return titled.select("level", F.coalesce("video_id", F.lit("")).alias("name"), "title", "deleted", *figures).unionByName(
+        rest.select("level", F.coalesce(name, F.lit("")).alias("name"), *none, *figures)
+    )
+
+
 def missing_speech_rows(courses: DataFrame, segments: DataFrame, usage: DataFrame) -> DataFrame:
     """Speech-to-text rows for courses that were transcribed but never booked."""
     return (

@@ -70,11 +70,13 @@ def replace_courses(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("video_id").distinct(), "video_id", "left_anti").unionByName(new)
 
 
-def write_courses(rows: DataFrame, folder: str) -> None:
-    """Replace the written courses on disk and leave the others; a large course gets many files."""
+def write_courses(rows: DataFrame, folder: str, order: Sequence[str] = ("idx",), rows_per_file: int = 1_000_000) -> None:
+    """Replace the written courses on disk and leave the others. Rows are range-partitioned by course and ``order``:
+    a large course is written by many tasks, small ones share a task and get one file each."""
+    by = ["video_id", *[c for c in order if c in rows.columns]]
     (
-        rows.repartition("video_id", F.pmod(F.hash(*[c for c in rows.columns if c != "video_id"]), F.lit(32)))
-        .write.partitionBy("video_id").mode("overwrite")
+        rows.repartitionByRange(*by).sortWithinPartitions(*by)
+        .write.partitionBy("video_id").mode("overwrite").option("maxRecordsPerFile", rows_per_file)
         .option("partitionOverwriteMode", "dynamic").parquet(folder)
     )
 
@@ -143,8 +145,9 @@ def in_series(courses: DataFrame) -> DataFrame:
 def find_course(courses: DataFrame, wanted: DataFrame) -> DataFrame:
     """Tokens -> courses by id, by path, or by part of the title; ``matches`` > 1 = ambiguous.
 
-    An exact hit beats title hits. ``wanted``: token. Exact forms are equi-joins; the tokens left
-    over meet only titles that hold their first (up to three) characters somewhere.
+    An exact hit beats title hits. ``wanted``: token. Exact forms are equi-joins; a token left over meets only
+    titles that hold its rarest piece of three characters (the token itself, if shorter), so a
+    prefix that all titles share brings nobody together.
     """
     exact = (
         courses.select(F.col("video_id").alias("token"), "video_id")
@@ -163,8 +166,17 @@ def find_course(courses: DataFrame, wanted: DataFrame) -> DataFrame:
         )
     )
     titles = unfold(courses.filter(F.length("title") > 0), ["video_id", "title"], F.array_distinct(grams), "gram")
+    token = F.lower("token")
+    pieces = F.when(F.length(token) < 3, F.array(token)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(token) - 2), lambda i: F.substring(token, i, F.lit(3)))
+    )
+    asked = unfold(rest.filter(F.length("token") > 0), ["token"], F.array_distinct(pieces), "gram")
+    common = titles.groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(common, "gram", "left").groupBy("token").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("gram"))).alias("_r")
+    )
     part = (
-        rest.filter(F.length("token") > 0).withColumn("gram", F.substring(F.lower("token"), 1, 3))
+        rarest.filter("_r.n > 0").select("token", F.col("_r.gram").alias("gram"))
         .join(titles, "gram").filter(F.contains(low, F.lower("token")))
         .groupBy("token").agg(F.min("video_id").alias("video_id"), F.count("*").alias("matches"))
     )

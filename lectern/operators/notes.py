@@ -25,8 +25,8 @@ def verify_guides(guides: DataFrame, anchors: DataFrame, tolerance: int = C.GUID
     """Keep only paragraphs that close with a time near a real anchor of the course.
 
     ``guides``: gid, video_id, text; ``anchors``: video_id, start_ms. Wrong times are dropped from a
-    line that also has right ones; text after the last time line has no anchor and goes. The lines
-    of one guide are one reply, which bounds the groups.
+    line that also has right ones; text after the last time line has no anchor and goes, so a guide without any
+    time line becomes empty. The lines of one guide are one reply, which bounds the groups.
     """
     rows = guides.select("gid", "video_id", F.posexplode(X.lines(F.col("text"))).alias("pos", "line"))
     rows = rows.withColumn("line", F.regexp_replace("line", r"\s+$", "")).filter(
@@ -49,11 +49,15 @@ def verify_guides(guides: DataFrame, anchors: DataFrame, tolerance: int = C.GUID
         "text", F.when(F.col("valid").isNotNull(), X.strip(F.concat_ws("\n", "body", F.concat(F.lit("> 时间 "), "valid"))))
     )
     item = F.when(F.col("text").isNotNull(), F.struct("block", "text"))
-    return blocks.groupBy("gid").agg(
+    checked = blocks.groupBy("gid").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "\n\n").alias("text"),
         F.count("valid").alias("kept"),
         F.count_if(F.col("valid").isNull()).alias("dropped"),
     )
+    none = F.lit(0).cast("long")
+    return guides.select("gid").distinct().join(checked, "gid", "left").select(
+        "gid", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("kept", none).alias("kept"), F.coalesce("dropped", none).alias("dropped")
+    )
 
 
 def guide_terms(text: Column) -> Column:

@@ -18,17 +18,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import block_count, settle
+from lectern.session import settle
 
 BLOCK = "_blk"
 
 
 def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None) -> DataFrame:
-    """Spread ``df`` over ``n`` blocks by (keys, order), sorted inside. ``order`` must end in
-    something unique within the key, so that no tie is too large to be cut."""
-    n = n or block_count(df.sparkSession)
+    """Spread ``df`` over blocks by (keys, order), sorted inside. ``order`` must end in
+    something unique within the key, so that no tie is too large to be cut. Without ``n`` Spark sizes the
+    blocks by the data (neighbouring ranges are merged up to the advisory partition size)."""
+    by = [*keys, *order]
     placed = (
-        df.repartitionByRange(n, *keys, *order)
+        (df.repartitionByRange(n, *by) if n else df.repartitionByRange(*by))
         .sortWithinPartitions(*keys, *order)
         .withColumn(BLOCK, F.spark_partition_id())
     )

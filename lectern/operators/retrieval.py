@@ -85,8 +85,10 @@ def bm25(
 def keyword_hits(
     docs: DataFrame, questions: DataFrame, k: int, rank: str | None = None, *, body: str = "text"
 ) -> DataFrame:
+    """Best ``k`` per question. Scores are ranked to nine digits: sums of many words differ in the last
+    ones from run to run, and ties are to go by id."""
     scores = bm25(docs, questions, body=body)
-    return top(scores, ["qid"], [F.col("score").desc(), F.col("chunk_id")], k, rank)
+    return top(scores, ["qid"], [F.round("score", 9).desc(), F.col("chunk_id")], k, rank)
 
 
 # ------------------------------------------------------------------ vectors

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import constants as C
@@ -92,7 +92,7 @@ def docs(t) -> DataFrame:
     n = F.col("doc_id")
     rows = F.split("text", "\n")
     start = n * 120_000
-    span = F.greatest(F.lit(1000), F.least(F.lit(120_000), 50 * F.length("text")))
+    span = F.greatest(F.lit(1000), 5 * F.length("text"))
     return t.documents.select(
         F.col("source").alias("video_id"),
         n.alias("idx"),
@@ -130,15 +130,10 @@ def docs_idx() -> Column:
 
 
 def questions(t) -> DataFrame:
-    """one search question per benchmark item: its three longest words, asked in one course"""
-    words = t.benchmark.select(
-        F.col("item_id").alias("qid"), F.explode(text.query_terms(F.col("text"))).alias("term")
-    )
-    w = Window.partitionBy("qid").orderBy(F.length("term").desc(), "term")
-    return (
-        words.withColumn("_rn", F.row_number().over(w))
-        .filter("_rn <= 3")
-        .select("qid", course_of(F.col("qid")).alias("video_id"), "term")
+    """one search question per benchmark item: all its words, asked in one course"""
+    qid = F.col("item_id")
+    return t.benchmark.select(
+        qid.alias("qid"), course_of(qid).alias("video_id"), F.explode(text.query_terms(F.col("text"))).alias("term")
     )
 
 

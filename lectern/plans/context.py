@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.operators import context as CX, library, retrieval as R
 from lectern.plans import adapters as A
@@ -141,9 +142,9 @@ def prefix_choice(t):
 @query("question_text", "qid long, prompt string", f"""
 WITH q AS (SELECT session_id, max(id) AS qid, arg_max(content, id) AS question FROM v_messages GROUP BY session_id),
 hist AS (SELECT q.qid, string_agg(CASE WHEN m.role = 'user' THEN '用户' ELSE '助手' END || '：' || CASE WHEN length(trim(m.content)) <= 800 THEN trim(m.content) ELSE trim(m.content)[1:799] || '…' END, chr(10) ORDER BY m.id) AS talk
-  FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS rn FROM v_messages) m ON m.session_id = q.session_id AND m.rn BETWEEN 2 AND 4 GROUP BY q.qid),
+  FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS rn FROM v_messages) m ON m.session_id = q.session_id AND m.rn BETWEEN 2 AND {C.HISTORY_MESSAGES + 1} GROUP BY q.qid),
 sp AS (SELECT qid, string_agg({label_sql('start_ms')} || '-' || {label_sql('end_ms')}, '、' ORDER BY k) AS s FROM (
-  SELECT q.qid, k, d.start_ms, d.end_ms FROM (SELECT *, unnest(range(0, 5)) AS k FROM q) q JOIN v_docs d ON d.idx = session_id % 20 + 20 * k) GROUP BY qid)
+  SELECT q.qid, k, d.start_ms, d.end_ms FROM (SELECT *, unnest(range(0, 5)) AS k FROM q) q JOIN v_docs d ON d.idx = session_id % 20 + 20 * ((session_id * 7 + k) % (SELECT max(doc_id) // 20 + 1 FROM documents))) GROUP BY qid)
 ---
 SELECT q.qid, coalesce('【此前对话】（仅供理解指代与追问，课程事实仍以材料为准）' || chr(10) || talk || chr(10) || chr(10), '') || '用户问题：' || question
   || CASE WHEN session_id % 2 = 0 THEN chr(10) || '（用户当前播放到 ' || {label_sql('(session_id * 61000)')} || '，仅作参考，不代表问题范围）' ELSE '' END
@@ -155,8 +156,9 @@ def question_text(t):
     asked = m.groupBy("session_id").agg(F.max("id").alias("qid"), F.max_by("content", "id").alias("question"))
     sid = F.col("session_id")
     asked = asked.withColumn("current_ms", F.when(sid % 2 == 0, sid * 61_000)).withColumn("chapter", F.when(sid % 3 == 0, F.lit("第 1 章")))
-    recent = library.last_messages(m, 4).join(asked.select("session_id", "qid"), "session_id").filter("id < qid")
+    recent = library.last_messages(m, C.HISTORY_MESSAGES + 1).join(asked.select("session_id", "qid"), "session_id").filter("id < qid")
     history = recent.select("qid", F.col("id").alias("pos"), "role", "content")
-    spots = asked.select("qid", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rank"), "session_id").withColumn("idx", sid % 20 + 20 * F.col("rank"))
+    many = t.documents.agg((F.floor(F.max("doc_id") / 20) + 1).alias("n")).scalar()
+    spots = asked.select("qid", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("rank"), "session_id").withColumn("idx", sid % 20 + 20 * ((sid * 7 + F.col("rank")) % many))
     spans = spots.join(A.docs(t).select("idx", "start_ms", "end_ms"), "idx")
     return CX.question_text(asked, history, spans)

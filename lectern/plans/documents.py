@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lectern.functions.lists import unfold
 from lectern.operators import documents as docs
 from lectern.plans import adapters as A
 from lectern.plans.registry import query
+from lectern.session import work_path
 from lectern.sources import files
 
 NL = "\n"
@@ -128,7 +128,7 @@ def doc_title(t):
 SELECT source, sum(len(ls)) AS n_lines, sum(length(text)) - sum(len(ls)) + count(*) AS n_chars FROM (
   SELECT source, text, string_split(text, chr(10)) AS ls FROM documents) GROUP BY source""")
 def corpus_scan(t):
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = work_path(t.spark, "corpus")
     lines = t.documents.select("source", F.explode(F.split("text", "\n")).alias("value"))
     lines.write.mode("overwrite").partitionBy("source").text(f"{folder}/corpus")
     found = files.decode(files.scan(t.spark, [f"{folder}/corpus"]))

@@ -195,7 +195,7 @@ FROM v_messages WHERE role = 'assistant'"""
 
 VIEWS["v_hits"] = """
 SELECT r.qid, r.video_id, k AS rank, d.idx FROM (SELECT *, unnest(range(0, 14)) AS k FROM v_replies) r
-JOIN v_docs d ON d.video_id = r.video_id AND d.idx = CAST(r.video_id[4:] AS BIGINT) + 20 * ((r.turn * 14 + k * 3) % 50)"""
+JOIN v_docs d ON d.video_id = r.video_id AND d.idx = CAST(r.video_id[4:] AS BIGINT) + 20 * ((r.qid * 11 + k * 3) % (SELECT max(doc_id) // 20 + 1 FROM documents))"""
 
 
 def replies(t):
@@ -209,7 +209,8 @@ def replies(t):
 
 def hits(t):
     r = replies(t).select("qid", "video_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("rank"))
-    idx = F.substring("video_id", 4, 10).cast("long") + 20 * ((F.col("turn") * 14 + F.col("rank") * 3) % 50)
+    many = t.documents.agg((F.floor(F.max("doc_id") / 20) + 1).alias("n")).scalar()
+    idx = F.substring("video_id", 4, 10).cast("long") + 20 * ((F.col("qid") * 11 + F.col("rank") * 3) % many)
     return r.withColumn("idx", idx).join(A.docs(t).select("video_id", "idx"), ["video_id", "idx"], "left_semi")
 
 

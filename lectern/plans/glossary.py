@@ -198,17 +198,20 @@ def finding_merge(t):
 # ------------------------------------------------------------------ evidence
 
 VIEWS["v_sources"] = """
-SELECT video_id, 0 AS priority, 1 AS source_no, idx, '片段内课件' AS label, start_ms AS ms, ocr_text AS text, true AS trusted FROM v_docs
-UNION ALL SELECT video_id, 1, 2, idx, '片段摘要', start_ms, summary, false FROM v_docs
-UNION ALL SELECT video_id, 1, 3, idx, '片段正文', start_ms, text, true FROM v_docs
-UNION ALL SELECT video_id, 1, 4, 0, '全课摘要', NULL, title, false FROM v_docs WHERE idx < 20"""
+SELECT video_id, 0 AS priority, 0 AS grp, 0 AS source_no, idx, '课件OCR' AS label, start_ms AS ms, string_split(text, chr(10))[4] AS text, true AS trusted FROM v_docs WHERE len(string_split(text, chr(10))) >= 4
+UNION ALL SELECT video_id, 0, 1, 1, idx, '片段内课件', start_ms, ocr_text, true FROM v_docs
+UNION ALL SELECT video_id, 1, 2, 2, idx, '章节摘要', start_ms, summary, false FROM v_doc_chapters
+UNION ALL SELECT video_id, 1, 3, 3, idx, '片段摘要', start_ms, summary, false FROM v_docs
+UNION ALL SELECT video_id, 1, 3, 4, idx, '片段正文', start_ms, text, true FROM v_docs
+UNION ALL SELECT video_id, 1, 4, 5, 0, '全课摘要', NULL, arg_min(title, idx), false FROM v_docs GROUP BY video_id
+UNION ALL SELECT video_id, 2, 5, 6, idx * 100000 + i, '转写', start_ms, line, true FROM (SELECT video_id, idx, start_ms, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT video_id, idx, start_ms, string_split(text, chr(10)) AS ls FROM v_docs))"""
 
 VIEWS["v_terms"] = """
-SELECT DISTINCT 'src' || CAST(ord % 20 AS VARCHAR) AS video_id, substring(w1, 1, 5) AS term FROM v_rules"""
+SELECT DISTINCT 'src' || CAST(c AS VARCHAR) AS video_id, unnest([w1, w2]) AS term FROM (SELECT *, unnest([ord % 20, (ord + 7) % 20]) AS c FROM v_rules)"""
 
 # positions of the non-overlapping occurrences: pieces between them, summed up
 VIEWS["v_contexts"] = """
-SELECT video_id, term, priority, source_no, idx, label, ms, trusted, occ,
+SELECT video_id, term, priority, grp, source_no, idx, label, ms, trusted, occ,
        replace(text[greatest(0, at0 - 110) + 1:least(length(text), at0 + length(term) + 110)], chr(10), ' ') AS snippet
 FROM (SELECT *, sum(length(piece)) OVER w + (occ - 1) * length(term) AS at0
       FROM (SELECT s.*, t.term, unnest(string_split(s.text, t.term)) AS piece, generate_subscripts(string_split(s.text, t.term), 1) AS occ, len(string_split(s.text, t.term)) AS pieces
@@ -221,28 +224,38 @@ _LABEL = """CASE WHEN ms IS NULL THEN '' WHEN ms // 3600000 > 0 THEN '[' || prin
 
 def sources(t):
     d = A.docs(t)
+    rows_of = F.split("text", "\n")
+    slides = d.filter(F.size(rows_of) >= 4).withColumn("shown", F.get(rows_of, F.lit(3)))
+    sentences = d.select("video_id", "idx", "start_ms", F.posexplode(rows_of).alias("i", "line"))
+    courses = d.groupBy("video_id").agg(F.min_by("title", "idx").alias("title"))
 
-    def one(priority, number, label, body, trusted, rows=d, idx=F.col("idx"), ms=F.col("start_ms")):
+    def one(priority, grp, number, label, body, trusted, rows=d, idx=F.col("idx"), ms=F.col("start_ms")):
         return rows.select(
-            "video_id", F.lit(priority).alias("priority"), F.lit(number).alias("source_no"), idx.cast("long").alias("idx"),
+            "video_id", F.lit(priority).alias("priority"), F.lit(grp).alias("grp"), F.lit(number).alias("source_no"), idx.cast("long").alias("idx"),
             F.lit(label).alias("label"), ms.cast("long").alias("ms"), F.col(body).alias("text"), F.lit(trusted).alias("trusted"),
         )
 
     return (
-        one(0, 1, "片段内课件", "ocr_text", True)
-        .unionByName(one(1, 2, "片段摘要", "summary", False))
-        .unionByName(one(1, 3, "片段正文", "text", True))
-        .unionByName(one(1, 4, "全课摘要", "title", False, d.filter("idx < 20"), F.lit(0), F.lit(None)))
+        one(0, 0, 0, "课件OCR", "shown", True, slides)
+        .unionByName(one(0, 1, 1, "片段内课件", "ocr_text", True))
+        .unionByName(one(1, 2, 2, "章节摘要", "summary", False, A.doc_chapters(t)))
+        .unionByName(one(1, 3, 3, "片段摘要", "summary", False))
+        .unionByName(one(1, 3, 4, "片段正文", "text", True))
+        .unionByName(one(1, 4, 5, "全课摘要", "title", False, courses, F.lit(0), F.lit(None)))
+        .unionByName(one(2, 5, 6, "转写", "line", True, sentences, F.col("idx") * 100_000 + F.col("i") + 1))
     )
 
 
 def open_terms(t):
-    return rules(t).select(A.course_of(F.col("ord")).alias("video_id"), F.substring(F.get("wrong", F.lit(0)), 1, 5).alias("term")).distinct()
+    """both wrong forms of every rule, whole, open in two courses"""
+    n = F.col("ord")
+    course = F.explode(F.array(A.course_of(n), A.course_of(n + 7)))
+    return rules(t).select(course.alias("video_id"), "wrong").select("video_id", F.explode("wrong").alias("term")).distinct()
 
 
 @query("term_contexts", "video_id string, term string, rank long, line string", f"""
-WITH once AS (SELECT video_id, term, lower(regexp_replace(snippet, '[\\s\\x{{3000}}]+', '', 'g')) AS k, arg_min(label || ' ' || {_LABEL} || '…' || snippet || '…', (priority, source_no, idx, occ)) AS line,
-  min((priority, source_no, idx, occ)) AS o FROM v_contexts GROUP BY ALL)
+WITH once AS (SELECT video_id, term, lower(regexp_replace(snippet, '[\\s\\x{{3000}}]+', '', 'g')) AS k, arg_min(label || ' ' || {_LABEL} || '…' || snippet || '…', (priority, grp, idx, source_no, occ)) AS line,
+  min((priority, grp, idx, source_no, occ)) AS o FROM v_contexts GROUP BY ALL)
 ---
 SELECT * FROM (SELECT video_id, term, line, row_number() OVER (PARTITION BY video_id, term ORDER BY o) - 1 AS rank FROM once) WHERE rank < 8""")
 def term_contexts(t):

@@ -10,6 +10,7 @@ from lectern.operators import library as L, retrieval as R, search as S
 from lectern.plans import adapters as A
 from lectern.plans.context import label_sql
 from lectern.plans.registry import query
+from lectern.session import work_path
 
 # ------------------------------------------------------------------ reads and listings
 
@@ -219,10 +220,8 @@ def embedding_upsert(t):
 @query("append_usage", "kind string, calls long", """
 SELECT kind, count(*) AS calls FROM (SELECT kind FROM v_calls UNION ALL SELECT 'notes' FROM v_calls WHERE event_id % 10 = 0) GROUP BY kind""")
 def append_usage(t):
-    import tempfile
-
     log = A.usage(t).select("event_id", "kind", "model", "cost")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/usage"
+    folder = work_path(t.spark, "usage")
     log.write.mode("append").parquet(folder)
     log.filter(F.col("event_id") % 10 == 0).withColumn("kind", F.lit("notes")).write.mode("append").parquet(folder)
     return t.spark.read.schema("event_id bigint, kind string, model string, cost double").parquet(folder).groupBy("kind").agg(F.count("*").alias("calls"))

@@ -46,7 +46,11 @@ def json_salvage(t):
 @query("summary_replies", "id long, title string, summary string, n_concepts long, chapter string, course string", """
 SELECT id, w1 AS title, w2 AS summary, 1 AS n_concepts, w2 || chr(10) || chr(10) || '要点：' || chr(10) || '- ' || w1 AS chapter, w2 || chr(10) || chr(10) || '大纲：' || chr(10) || '- ' || w1 || '：' || w2 || '；z' AS course FROM r_json""")
 def summary_replies(t):
-    wrapped = F.when(F.col("id") % 2 == 0, F.concat(F.lit("["), "j", F.lit("]"))).otherwise(F.col("j"))
+    n = F.col("id") % 4
+    wrapped = (
+        F.when(n == 0, F.concat(F.lit("["), "j", F.lit("]")))
+        .when(n == 1, F.concat(F.lit('[1, "{no}", [2], '), "j", F.lit(', {"title": "second"}]'))).otherwise(F.col("j"))
+    )
     obj = built(t).select("id", RP.as_object(RP.salvage_json(wrapped)).alias("o"))
     s = RP.summary_fields(F.col("o"))
     return obj.select("id", s["title"].alias("title"), s["summary"].alias("summary"), F.size(s["concepts"]).alias("n_concepts"), RP.chapter_summary(F.col("o")).alias("chapter"), RP.course_summary(F.col("o")).alias("course"))
@@ -153,7 +157,7 @@ tm AS (SELECT gid, video_id, block, 0 AS k, t1 AS m, 30 AS s FROM b WHERE t1 IS
 ok AS (SELECT gid, block, string_agg(printf('%02d:%02d', m, s), '、' ORDER BY k) AS valid FROM tm WHERE EXISTS (SELECT 1 FROM v_docs d WHERE d.video_id = tm.video_id AND abs(d.start_ms - (m * 60 + s) * 1000) <= 15000) GROUP BY gid, block),
 bl AS (SELECT b.gid, b.block, max(ok.valid) AS valid, string_agg(b.line, chr(10) ORDER BY pos) AS body FROM b LEFT JOIN ok ON ok.gid = b.gid AND ok.block = b.block GROUP BY b.gid, b.block HAVING count(b.t1) > 0)
 ---
-SELECT gid, coalesce(string_agg(trim(CASE WHEN body IS NULL THEN '' ELSE body || chr(10) END || '> 时间 ' || valid, chr(10) || ' '), chr(10) || chr(10) ORDER BY block) FILTER (valid IS NOT NULL), '') AS text, count(valid) AS kept, count(*) FILTER (valid IS NULL) AS dropped FROM bl GROUP BY gid""")
+SELECT gid, coalesce(string_agg(trim(CASE WHEN body IS NULL THEN '' ELSE body || chr(10) END || '> 时间 ' || valid, chr(10) || ' '), chr(10) || chr(10) ORDER BY block) FILTER (valid IS NOT NULL), '') AS text, count(valid) AS kept, count(block) FILTER (valid IS NULL) AS dropped FROM (SELECT DISTINCT gid FROM g_lines) g LEFT JOIN bl USING (gid) GROUP BY gid""")
 def guide_verify(t):
     return N.verify_guides(guides(t), _anchors(t))
 

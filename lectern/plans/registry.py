@@ -6,7 +6,6 @@ is wrapped in the same projection, so both sides agree on names, types and round
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable
 
@@ -19,7 +18,6 @@ from lectern.session import prepare
 
 DIGITS = 6
 TEXT_TABLES = ("documents", "pages")
-SPREAD_BELOW = 256 << 20
 _SQL_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
 
 _RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,13 +39,11 @@ class Tables:
         return table
 
     def _open(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.parquet"
-        table = self.spark.read.schema(TABLES[name]).parquet(path)
-        if name in TEXT_TABLES and os.path.isfile(path) and os.path.getsize(path) < SPREAD_BELOW:
-            # one small local file is one row group, hence one task; text work wants all cores.
-            # Tables of many files are already spread and are never shuffled here.
-            return table.repartition(self.spark.sparkContext.defaultParallelism)
-        return table
+        table = self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
+        # how input is split is up to the caller and spark.sql.files.maxPartitionBytes; a session may ask
+        # for the text tables to be dealt out anew, whatever their size and place
+        parts = self.spark.conf.get("spark.lectern.inputPartitions", None)
+        return table.repartition(int(parts)) if parts and name in TEXT_TABLES else table
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:

@@ -111,16 +111,21 @@ def rerank_head(t):
 
 
 @query("search_fallback", "qid long, chunk_id string, source string", """
-WITH asked AS (SELECT conv_id * 100 + turn AS qid, 'src' || CAST(conv_id % 20 AS VARCHAR) AS video_id, text FROM conversations WHERE role = 'user'),
-terms AS (SELECT DISTINCT qid, video_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 12)) AS term FROM asked),
+WITH asked AS (SELECT conv_id * 100 + turn AS qid, 'src' || CAST(conv_id % 20 AS VARCHAR) AS video_id, CASE WHEN conv_id % 3 = 0 THEN 'qqzz' || conv_id || ' zzxq' ELSE text END AS text FROM conversations WHERE role = 'user'),
+terms AS (SELECT DISTINCT qid, video_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)) AS term FROM asked),
 found AS (SELECT DISTINCT q.qid FROM terms q JOIN (SELECT DISTINCT video_id, unnest(toks) AS term FROM v_tokens) d ON d.video_id = q.video_id AND d.term = q.term),
 opening AS (SELECT video_id, chunk_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS rn FROM v_docs)
 ---
 SELECT a.qid, o.chunk_id, 'fallback' AS source FROM asked a JOIN opening o ON o.video_id = a.video_id AND o.rn <= 5
 WHERE a.qid NOT IN (SELECT qid FROM found)""")
 def search_fallback(t):
-    asked = A.messages(t).filter("role = 'user'").select(F.col("id").alias("qid"), "video_id", "content")
-    terms = asked.select("qid", "video_id", F.explode(F.filter(text.query_terms(F.col("content")), lambda w: F.length(w) >= 12)).alias("term"))
+    # every third conversation asks for words that no document has
+    sid = F.col("session_id")
+    nothing = F.concat(F.lit("qqzz"), sid.cast("string"), F.lit(" zzxq"))
+    asked = A.messages(t).filter("role = 'user'").select(
+        F.col("id").alias("qid"), "video_id", F.when(sid % 3 == 0, nothing).otherwise(F.col("content")).alias("content")
+    )
+    terms = asked.select("qid", "video_id", F.explode(text.query_terms(F.col("content"))).alias("term"))
     found = R.keyword_hits(bodies(t), terms, 32)
     return R.fallback(asked, found, A.docs(t))
 

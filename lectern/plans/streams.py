@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from lectern.operators import ledger
 from lectern.plans import adapters as A
 from lectern.plans.registry import Tables, query
 from lectern.schemas import TABLES
+from lectern.session import work_path
 from lectern.streaming import jobs
 
 
@@ -26,7 +25,7 @@ class Streams(Tables):
 
 def run_to_end(stream: DataFrame) -> DataFrame:
     """Write all that is there now to files and return them."""
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = work_path(stream.sparkSession, "stream")
     job = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/state").start(f"{folder}/out")
@@ -56,7 +55,7 @@ def stream_sessions(t):
 
 @query("stream_chunks", "video_id string, idx long, start_ms long, end_ms long, n_segments long", """
 WITH u AS (SELECT 'u' || user_id AS video_id, max(ts) AS last_ts FROM events GROUP BY user_id),
-o AS (SELECT video_id FROM u WHERE last_ts + INTERVAL 10 MINUTE > (SELECT max(ts) FROM events))
+o AS (SELECT video_id FROM u WHERE last_ts + INTERVAL 20 MINUTE > (SELECT max(ts) FROM events))
 ---
 SELECT video_id, idx, start_ms, end_ms, n_segments FROM v_chunks c WHERE NOT (video_id IN (SELECT video_id FROM o) AND idx = (SELECT max(idx) FROM v_chunks x WHERE x.video_id = c.video_id))""")
 def stream_chunks(t):

@@ -33,13 +33,17 @@ def usage_by_model(t):
     return ledger.by(A.usage(t), "model", "kind")
 
 
+# a deleted course (v) keeps the title it was remembered by (l)
+_TITLE = """CASE WHEN v.video_id IS NULL AND coalesce(nullif(l.title, ''), '') <> '' THEN '已删除 · ' || l.title
+            WHEN v.video_id IS NULL THEN '已删除课程（' || substring(u.video_id, 1, 8) || '…）'
+            ELSE coalesce(nullif(v.title, ''), nullif(l.title, ''), u.video_id) END"""
+
+
 @query("usage_by_course", f"video_id string, title string, deleted boolean, {_COLS}", f"""
-SELECT u.*, k.video_id IS NULL AS deleted,
-       CASE WHEN k.video_id IS NULL AND coalesce(nullif(l.title, ''), '') <> '' THEN '已删除 · ' || l.title
-            WHEN k.video_id IS NULL THEN '已删除课程（' || substring(u.video_id, 1, 8) || '…）'
-            ELSE coalesce(nullif(k.title, ''), nullif(l.title, ''), u.video_id) END AS title
+SELECT u.*, v.video_id IS NULL AS deleted,
+       {_TITLE} AS title
 FROM (SELECT video_id, {_SUMS} FROM v_usage GROUP BY video_id) u
-LEFT JOIN v_user_courses k ON k.video_id = u.video_id
+LEFT JOIN v_user_courses v ON v.video_id = u.video_id
 LEFT JOIN v_user_labels l ON l.video_id = u.video_id""")
 def usage_by_course(t):
     return ledger.by_course(A.usage(t), A.user_courses(t), A.user_labels(t))
@@ -71,19 +75,15 @@ def usage_grouping_sets(t):
     return ledger.report(A.usage(t))
 
 
-@query("usage_summary", "level string, name string, calls long, cost double:9, unpriced long", f"""
-SELECT level, coalesce(CASE level WHEN 'model' THEN model || '/' || kind WHEN 'kind' THEN kind WHEN 'course' THEN video_id WHEN 'day' THEN day END, '') AS name,
-       calls, cost, unpriced
-FROM ({_SETS}) WHERE level <> 'course' OR cost > 0""")
+@query("usage_summary", "level string, name string, title string, deleted boolean, calls long, cost double:9, unpriced long", f"""
+SELECT level, name, title, deleted, calls, cost, unpriced FROM (
+  SELECT level, coalesce(CASE level WHEN 'model' THEN model || '/' || kind WHEN 'kind' THEN kind WHEN 'course' THEN u.video_id WHEN 'day' THEN day END, '') AS name,
+         CASE WHEN level = 'course' THEN {_TITLE} END AS title, CASE WHEN level = 'course' THEN v.video_id IS NULL END AS deleted,
+         calls, coalesce(cost, 0) AS cost, unpriced, row_number() OVER (PARTITION BY level ORDER BY day DESC) AS nth
+  FROM ({_SETS}) u LEFT JOIN v_user_courses v ON v.video_id = u.video_id LEFT JOIN v_user_labels l ON l.video_id = u.video_id)
+WHERE level <> 'day' OR nth <= 30""")
 def usage_summary(t):
-    rows = ledger.report(A.usage(t))
-    level = F.col("level")
-    name = (
-        F.when(level == "model", F.concat_ws("/", "model", "kind"))
-        .when(level == "kind", F.col("kind")).when(level == "course", F.col("video_id"))
-        .when(level == "day", F.col("day")).otherwise("")
-    )
-    return rows.filter((level != "course") | (F.col("cost") > 0)).withColumn("name", name)
+    return ledger.summary(A.usage(t), A.user_courses(t), A.user_labels(t))
 
 
 @query("price_calls", "event_id long, model string, peak boolean, cost double:9",

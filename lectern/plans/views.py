@@ -87,7 +87,7 @@ GROUP BY c.video_id, r.run"""
 # documents as chunks of a course (course = source)
 VIEWS["v_docs"] = """
 SELECT source AS video_id, doc_id AS idx, source || '-c' || printf('%04d', doc_id) AS chunk_id,
-       doc_id * 120000 AS start_ms, doc_id * 120000 + greatest(1000, least(120000, 50 * length(text))) AS end_ms,
+       doc_id * 120000 AS start_ms, doc_id * 120000 + greatest(1000, 5 * length(text)) AS end_ms,
        text, lang, string_split(text, chr(10))[1] AS title,
        coalesce(string_split(text, chr(10))[2], '') AS summary,
        CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(string_split(text, chr(10))[3], '') END AS ocr_text,
@@ -107,13 +107,11 @@ SELECT video_id, idx, chunk_id,
        list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS toks
 FROM v_docs"""
 
-# one search question per benchmark item: its three longest words, asked in one course
+# one search question per benchmark item: all its words, asked in one course
 VIEWS["v_questions"] = """
 SELECT item_id AS qid, 'src' || CAST(item_id % 20 AS VARCHAR) AS video_id, term
-FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY length(term) DESC, term) AS rn
-      FROM (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)) AS term
-            FROM benchmark))
-WHERE rn <= 3"""
+FROM (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)) AS term
+      FROM benchmark)"""
 
 VIEWS["v_bm25"] = f"""
 SELECT q.qid, q.video_id, h.video_id AS doc_video, h.idx, h.chunk_id, sum(
@@ -146,7 +144,7 @@ SELECT qid, video_id, idx, chunk_id, sum(1.0 / ({C.RRF_K} + rank)) AS score,
        string_agg(src, '+' ORDER BY src) AS sources
 FROM (
   SELECT qid, video_id, idx, chunk_id, 'keyword' AS src,
-         row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank
+         row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank
   FROM v_bm25 WHERE doc_video = video_id
   UNION ALL
   SELECT qid, video_id, idx, chunk_id, 'vector',

@@ -42,6 +42,8 @@ def local_session(cpus: int | str = 8, name: str = "lectern") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        # the shared tables are single files of one row group here: text work is dealt out to all cores on request
+        .config("spark.lectern.inputPartitions", str(cpus))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
@@ -95,8 +97,3 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-def block_count(spark: SparkSession) -> int:
-    """Blocks for ordered work: the session's shuffle partitions, on every kind of master."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,8 +22,11 @@ def scan(spark: SparkSession, locations: Sequence[str]) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(locations))
         .filter(paths.is_document(F.col("path"), C.DOCUMENT_SUFFIXES))
     )
-    first = files.select("path").groupBy(F.lower("path").alias("_key")).agg(F.min("path").alias("path"))
-    return files.join(first.select("path"), "path", "left_semi")
+    # only paths are compared; what meets the contents is the short list of spellings that lose
+    names = files.select("path")
+    first = names.groupBy(F.lower("path").alias("_key")).agg(F.min("path").alias("_first"), F.count("*").alias("_n"))
+    lost = names.withColumn("_key", F.lower("path")).join(first.filter("_n > 1"), "_key").filter("path <> _first")
+    return files.join(lost.select("path"), "path", "left_anti")
 
 
 @F.pandas_udf(T.StringType())

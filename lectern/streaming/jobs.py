@@ -40,12 +40,13 @@ def live_chunks(
     max_ms: int = C.CHUNK_MAX_MS,
     gap_ms: int = C.CHUNK_GAP_MS,
     idle_ms: int = 600_000,
-    late: str = "0 seconds",
+    late: str = "10 minutes",
 ) -> DataFrame:
     """Emit a chunk as soon as the next sentence closes it; an idle course closes its last one.
 
-    ``segments``: video_id, at TIMESTAMP (event time), start_ms, end_ms, seg_id, in time order per
-    course. State is one open chunk per course, however long the course runs.
+    ``segments``: video_id, at TIMESTAMP (event time), start_ms, end_ms, seg_id; sentences may be ``late`` by
+    as much. State is one open chunk per course, however long the course runs; after an idle close only
+    the next number is kept (``n`` = 0), so numbers go on when the course does.
     """
     out = "video_id string, idx long, start_ms long, end_ms long, n_segments long"
     state = "idx long, start_ms long, end_ms long, n long"
@@ -53,17 +54,17 @@ def live_chunks(
     def step(key, batches, st):
         if st.hasTimedOut:
             idx, start, end, n = st.get
-            st.remove()
+            st.update((idx + 1, 0, 0, 0))
             yield pd.DataFrame([(key[0], idx, start, end, n)], columns=["video_id", "idx", "start_ms", "end_ms", "n_segments"])
             return
-        opened = st.get if st.exists else None
+        opened = st.get if st.exists else (0, 0, 0, 0)
         rows = pd.concat(list(batches)).sort_values(["start_ms", "seg_id"])
         closed = []
         for s, e in zip(rows["start_ms"].tolist(), rows["end_ms"].tolist()):
-            if opened is None:
-                opened = (0, s, e, 1)
-                continue
             idx, start, end, n = opened
+            if not n:
+                opened = (idx, s, e, 1)
+                continue
             span, pause = e - start, s - end
             if (span >= min_ms and pause >= gap_ms) or span >= max_ms:
                 closed.append((key[0], idx, start, end, n))

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from lectern.operators import intervals, ordered, segments
 
 
+@pytest.fixture(autouse=True)
+def many_blocks(spark):
+    """Small tables would be merged into one block; here every range keeps its own."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def loop_runs(rows, gap_ms, min_span, max_span):
     out, run, first, prev = [], 0, None, None
     for start, end in rows:
