@@ -64,6 +64,8 @@ PREFIX_MAX_CHARS = 200_000
 PREFIX_TOKEN_BUDGET = 400_000
 CHAPTER_CHAR_BUDGET = 60_000
 QUIZ_MATERIAL_CHARS = 14_000
+QUIZ_SUMMARY_CHARS = 3000
+QUIZ_MIN_CHARS = 80
 QUIZ_DEFAULT_COUNT = 8
 QUIZ_MIN_COUNT = 3
 QUIZ_MAX_COUNT = 20

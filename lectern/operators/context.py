@@ -1,7 +1,7 @@
 """Prompt material under a character budget.
 
-Course-wide texts are only ever gathered up to their budget: rows beyond it cannot matter, because
-every row adds at least its time label. Sums and size histograms cover the rest of the course.
+Course-wide texts are only ever gathered up to their budget: running lengths over spread blocks tell which rows
+begin within it. Sums and size histograms cover the rest of the course.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import clock, text as X
-from lectern.operators import retrieval
-
-MIN_LABEL = len("\n【00:00】")
+from lectern.operators import ordered
 
 
 def joined(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sep: str, name: str) -> DataFrame:
@@ -32,10 +30,11 @@ def waterfill_levels(sizes: DataFrame, budgets: DataFrame, key: str) -> DataFram
 
     ``sizes``: key, size; ``budgets``: key, budget. Works on the histogram of sizes (sizes beyond
     the budget count as budget + 1), so a key of any number of items shrinks to at most budget + 2
-    rows before it is ordered.
+    rows before it is ordered. Items are counted by size before they meet their budget.
     """
-    capped = sizes.join(budgets, key).withColumn("size", F.least(F.col("size"), F.col("budget") + 1))
-    hist = capped.groupBy(key, "budget", "size").agg(F.count("*").alias("n"))
+    counts = sizes.groupBy(key, "size").agg(F.count("*").alias("n"))
+    capped = counts.join(budgets, key).withColumn("size", F.least(F.col("size"), F.col("budget") + 1))
+    hist = capped.groupBy(key, "budget", "size").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(key).orderBy("size")
     below = w.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(key)
@@ -60,15 +59,21 @@ def waterfill(items: DataFrame, budgets: DataFrame, key: str) -> DataFrame:
     ).drop("level")
 
 
-def prefix_take(blocks: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
-    """Blocks in order until the next one would exceed the budget (it is not skipped).
+def starts_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, budget: int) -> DataFrame:
+    """Rows that begin within the first ``budget`` characters of their key, with ``_at``, the characters before.
 
-    Every block has at least one character, so no more than ``budget`` rows can be taken; those
-    are cut off before the running sum is taken.
+    Only keys, order and sizes are ordered, spread over blocks, so a key may hold any part of the table; the rows
+    that are left of a key have at most ``budget`` characters and one row more. (keys, order) must be unique.
     """
-    first = retrieval.top(blocks.withColumn("_size", size), [key], [F.col(order)], budget)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn("_sum", F.sum("_size").over(w)).filter(F.col("_sum") <= budget).drop("_size", "_sum")
+    narrow = rows.select(*keys, *order, size.cast("long").alias("_size"))
+    at = ordered.prefix(ordered.blocks(narrow, keys, order), keys, order, {"_at": ("sum", F.col("_size"))})
+    return rows.join(at.filter(F.col("_at") <= budget).select(*keys, *order, "_at"), [*keys, *order])
+
+
+def prefix_take(blocks: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
+    """Blocks in order until the next one would exceed the budget (it is not skipped)."""
+    first = starts_within(blocks.withColumn("_size", size), [key], [order], F.col("_size"), budget)
+    return first.filter(F.col("_at") + F.col("_size") <= budget).drop("_size", "_at")
 
 
 # ------------------------------------------------------------------ whole-course prefix
@@ -82,7 +87,7 @@ def course_head(courses: DataFrame, chapters: DataFrame, max_chars: int) -> Data
         F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("："), X.strip(F.col("summary")))).otherwise(""),
     )
     lined = chapters.select("video_id", "idx", line.alias("_line"))
-    near = retrieval.top(lined, ["video_id"], [F.col("idx")], max_chars // len("- [00:00] ") + 2)
+    near = starts_within(lined, ["video_id"], ["idx"], F.length("_line") + 1, max_chars)
     listed = joined(near, ["video_id"], ["idx"], "_line", "\n", "_chapters")
     lengths = lined.groupBy("video_id").agg((F.sum(F.length("_line") + 1) - 1).alias("_all"))
     summary = X.strip(X.without_outline(F.col("video_summary")))
@@ -132,9 +137,11 @@ def full_prefix(
         F.when((F.col("size") > 0) & (F.col("limit") > 0), F.concat(F.lit(C.OCR_LABEL), shown)),
         "text",
     )
-    # a chunk past this rank starts beyond the cut in any case
-    most = max_chars // (MIN_LABEL + 1) + 2
-    near = retrieval.top(limited, ["video_id"], [F.col("idx")], most).withColumn("_part", part)
+    # what starts beyond the cut is left out, and the part that crosses it is cut one character later
+    parts = limited.select("video_id", "idx", part.alias("_part"))
+    near = starts_within(parts, ["video_id"], ["idx"], F.length("_part") + 1, max_chars).withColumn(
+        "_part", F.substring("_part", F.lit(1), (F.lit(max_chars + 1) - F.col("_at")).cast("int"))
+    )
     transcript = joined(near, ["video_id"], ["idx"], "_part", "\n", "_transcript")
     whole = head.join(transcript, "video_id", "left").select(
         "video_id", F.concat_ws("\n", "head", F.lit("\n## 逐字稿"), "_transcript").alias("prefix")
@@ -226,14 +233,15 @@ def chapter_transcripts(
     """Transcript of a chapter under a budget: speech first, slide text in what is left, stop at
     the first cut speech. Columns start_ms, text, ocr_text.
 
-    Every chunk takes at least its label, so only the first budget / label rows of a chapter can
-    show; they are cut off before anything is gathered.
+    Labels and speech come in full until the budget is used up, so only chunks whose labels and speech begin
+    within it can show; the others are left out before anything is gathered.
     """
-    most = budget // MIN_LABEL + 2
-    near = retrieval.top(chunks, keys, [F.col(order)], most)
+    mark = F.concat(F.lit("\n【"), clock.clock_label(F.col("start_ms")), F.lit("】"))
+    taken = F.length(mark) + 1 + F.length(F.coalesce("text", F.lit("")))
+    near = starts_within(chunks, keys, [order], taken, budget)
     row = F.struct(
         F.col(order).alias("n"),
-        F.concat(F.lit("\n【"), clock.clock_label(F.col("start_ms")), F.lit("】")).alias("head"),
+        mark.alias("head"),
         F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))).alias("tail"),
         F.coalesce("ocr_text", F.lit("")).alias("ocr"),
     )

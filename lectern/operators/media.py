@@ -8,7 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import constants as C
-from lectern.operators import intervals
+from lectern.operators import intervals, ordered
+
+
+def _cuts(ms: np.ndarray, stack: np.ndarray, ratio: float, hold: int):
+    """first_cut(time, frame, start): the first row from ``start`` on that opens a new slide if the running
+    one began at ``time`` with ``frame``; the number of rows if none does."""
+
+    def first_cut(time: int, frame: np.ndarray, start: int) -> int:
+        end = int(np.searchsorted(ms, time + hold, side="right"))  # held too long from here on
+        for at in range(start, end, 64):
+            part = stack[at:min(at + 64, end)]
+            changed = np.abs(part - frame).mean(axis=1) / 255.0 > ratio
+            if changed.any():
+                return at + int(np.argmax(changed))
+        return max(start, end)
+
+    return first_cut
 
 
 def frame_groups(
@@ -16,34 +32,97 @@ def frame_groups(
     *,
     change_ratio: float = C.FRAME_CHANGE_RATIO,
     max_hold_ms: int = C.FRAME_MAX_HOLD_MS,
-    max_groups: int = C.FRAME_MAX_GROUPS,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Number the slide each sampled frame belongs to (column ``grp``).
 
-    Columns: video_id, ms, gray ARRAY. A frame opens a new slide when it differs from the slide's
-    first frame by more than ``change_ratio`` or the slide has been held too long; frames past the
-    last allowed slide are dropped. Sampling takes at most ``max_groups`` x 6 frames of a course,
-    so a course is a group of bounded size.
+    Columns: video_id, ms (unique in a course), gray ARRAY. A frame opens a new slide when it differs from the slide's
+    first frame by more than ``change_ratio`` or the slide has been held too long. With ``max_groups`` frames past the
+    last allowed slide are dropped.
+
+    A course is spread over blocks. The slide that runs when a block begins started at most ``max_hold_ms`` before, so
+    each block also gets the frames of that stretch and says for every one of them how a slide begun there leaves the
+    block; these summaries are chained per course, and a second pass numbers the block's own frames.
     """
+    key, halo = "video_id", "_halo"
+    blocked = ordered.blocks(frames.select(key, "ms", "gray"), [key], ["ms"])
+    # one row per block and course; a block has at most two courses that go on in a neighbour
+    starts = blocked.groupBy(ordered.BLOCK, key).agg(F.min("ms").alias("_from"))
+    before = blocked.select(key, "ms", "gray").join(F.broadcast(starts), key).filter(
+        (F.col("ms") < F.col("_from")) & (F.col("ms") >= F.col("_from") - max_hold_ms)
+    )
+    rows = blocked.select(ordered.BLOCK, key, "ms", "gray", F.lit(False).alias(halo)).unionByName(
+        before.select(ordered.BLOCK, key, "ms", "gray", F.lit(True).alias(halo))
+    )
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+    def parts(pdf: pd.DataFrame):
         pdf = pdf.sort_values("ms")
         stack = np.stack([np.asarray(g, dtype="float64") for g in pdf["gray"]])
-        times = pdf["ms"].to_numpy()
-        group = np.zeros(len(pdf), dtype="int64")
-        first = 0
-        for i in range(1, len(pdf)):
-            changed = np.abs(stack[i] - stack[first]).mean() / 255.0 > change_ratio
-            group[i] = group[i - 1]
-            if changed or times[i] - times[first] > max_hold_ms:
-                group[i] += 1
-                first = i
-        out = pdf[["video_id", "ms"]].assign(grp=group)
-        return out[out["grp"] < max_groups]
-
-    return frames.select("video_id", "ms", "gray").groupBy("video_id").applyInPandas(
+        own = ~pdf[halo].to_numpy(dtype=bool)
+        ms = pdf["ms"].to_numpy()
+        return ms[own], stack[own], ms[~own], stack[~own]
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        ms, stack, old, frames_before = parts(pdf)
+        first_cut = _cuts(ms, stack, change_ratio, max_hold_ms)
+        n = len(ms)
+        # from the last row backwards: where a slide begun at a row of this block leaves it
+        leaves: list[tuple[int, int]] = [(0, 0)] * n
+        for i in range(n - 1, -1, -1):
+            cut = first_cut(ms[i], stack[i], i + 1)
+            leaves[i] = (int(ms[i]), 0) if cut >= n else (leaves[cut][0], leaves[cut][1] + 1)
+        out = [(None, *leaves[0])]
+        for time, frame in zip(old, frames_before):
+            cut = first_cut(time, frame, 0)
+            out.append((int(time), int(time), 0) if cut >= n else (int(time), leaves[cut][0], leaves[cut][1] + 1))
+        # a slide that has been held too long by the first row: any older beginning
+        table = pd.DataFrame(out, columns=["entry", "leave", "cuts"]).astype({"entry": "Int64"})
+        return table.assign(blk=int(pdf[ordered.BLOCK].iat[0]), key=pdf[key].iat[0])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, state = [], None
+        for blk, part in pdf.sort_values("blk").groupby("blk", sort=True):
+            fresh = part[part["entry"].isna()].iloc[0]
+            if state is None:
+                state = (int(fresh.leave), int(fresh.cuts))
+                continue
+            ref, grp = state
+            out.append((int(blk), fresh.key, ref, grp))
+            known = part[part["entry"] == ref]
+            # no row of this block can belong to a slide that began before its stretch
+            step = known.iloc[0] if len(known) else None
+            state = (int(step.leave), grp + int(step.cuts)) if step is not None else (int(fresh.leave), grp + 1 + int(fresh.cuts))
+        return pd.DataFrame(out, columns=["blk", "key", "ref", "grp"])
+
+    summary = rows.groupBy(ordered.BLOCK, key).applyInPandas(summarise, "entry long, leave long, cuts long, blk int, key string")
+    entries = summary.groupBy("key").applyInPandas(chain, "blk int, key string, ref long, grp long")
+    entries = entries.select(F.col("blk").alias(ordered.BLOCK), F.col("key").alias(key), "ref", "grp")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        ms, stack, old, frames_before = parts(pdf)
+        first_cut = _cuts(ms, stack, change_ratio, max_hold_ms)
+        group = np.zeros(len(ms), dtype="int64")
+        ref, grp, at = pdf["ref"].iat[0], pdf["grp"].iat[0], 0
+        if pd.isna(ref):
+            grp = 0  # the course begins here
+            cut = first_cut(ms[0], stack[0], 1)
+        else:
+            where = np.flatnonzero(old == int(ref))
+            cut = first_cut(int(ref), frames_before[where[0]], 0) if len(where) else 0
+        grp = int(grp)
+        while True:
+            group[at:cut] = grp
+            if cut >= len(ms):
+                break
+            at, grp = cut, grp + 1
+            cut = first_cut(ms[at], stack[at], at + 1)
+        return pd.DataFrame({key: pdf[key].iat[0], "ms": ms, "grp": group})
+
+    # at most one entry per block
+    numbered = rows.join(F.broadcast(entries), [ordered.BLOCK, key], "left").groupBy(ordered.BLOCK, key).applyInPandas(
         number, "video_id string, ms long, grp long"
     )
+    return numbered if max_groups is None else numbered.filter(F.col("grp") < max_groups)
 
 
 def slides_of_groups(grouped: DataFrame, durations: DataFrame) -> DataFrame:

@@ -289,9 +289,10 @@ def cut_runs(
 
     The state resets, so this is no plain window. Each block is summarised as a step function of
     the run that enters it, the summaries (a few rows per block) are chained per key, and a second
-    pass numbers the runs while streaming through the sorted blocks.
+    pass numbers the runs while streaming through the sorted blocks. Only keys, order and times go through the
+    blocks and Python; the run numbers are joined back to the rows.
     """
-    blocked = blocks(df, [key], order)
+    blocked = blocks(df.select(*dict.fromkeys([key, *order, start, end])), [key], order)
     summary = blocked.select(BLOCK, F.col(key).cast("string").alias(key), start, end).mapInPandas(
         _block_summary(key, start, end, gap_ms, min_span, max_span), _META
     )
@@ -337,4 +338,5 @@ def cut_runs(
 
     kept = [f for f in blocked.schema.fields if f.name != BLOCK]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", run long"
-    return carried.mapInPandas(number, schema)
+    runs = carried.mapInPandas(number, schema).select(key, *order, "run")
+    return df.join(runs, [key, *order]).select(*df.columns, "run")

@@ -35,6 +35,22 @@ def material(chapters: DataFrame, chunks: DataFrame, budget: int = C.QUIZ_MATERI
     return context.prefix_take(blocks, "video_id", "idx", F.length("block"), budget)
 
 
+def material_text(courses: DataFrame, chapters: DataFrame, chunks: DataFrame, budget: int = C.QUIZ_MATERIAL_CHARS) -> DataFrame:
+    """One text per course: title, length, summary, then the chapter blocks. NULL where there is too little to ask about.
+
+    ``courses``: video_id, title, duration_ms, video_summary."""
+    blocks = context.joined(material(chapters, chunks, budget), ["video_id"], ["idx"], "block", "\n", "_blocks")
+    summary = X.strip(F.coalesce("video_summary", F.lit("")))
+    text = X.strip(F.concat_ws(
+        "\n",
+        F.concat(F.lit("课程："), F.coalesce("title", F.lit(""))), F.concat(F.lit("总时长："), clock.clock_label(F.col("duration_ms"))),
+        F.when(summary != "", F.concat(F.lit("\n## 全课摘要\n"), F.substring(summary, 1, C.QUIZ_SUMMARY_CHARS))), "_blocks",
+    ))
+    return courses.join(blocks, "video_id", "left").select(
+        "video_id", F.when(F.length(text) >= C.QUIZ_MIN_CHARS, text).alias("material")
+    )
+
+
 def wanted_count(asked: Column) -> Column:
     return F.greatest(F.lit(C.QUIZ_MIN_COUNT), F.least(F.lit(C.QUIZ_MAX_COUNT), F.coalesce(asked, F.lit(C.QUIZ_DEFAULT_COUNT))))
 

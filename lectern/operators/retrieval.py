@@ -6,7 +6,7 @@ in; word statistics cover the whole index, as the scores of one index do.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -192,3 +192,51 @@ def fallback(
     lost = asked.select("qid", "video_id").join(found.select("qid").distinct(), "qid", "left_anti")
     opening = top(chunks.select("video_id", "chunk_id", "idx"), ["video_id"], [F.col("idx")], n)
     return lost.join(opening, "video_id").withColumn("score", F.lit(0.0)).withColumn("source", F.lit("fallback"))
+
+
+def search(
+    asked: DataFrame,
+    docs: DataFrame,
+    questions: DataFrame,
+    store: DataFrame,
+    vectors_asked: DataFrame,
+    *,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    k: int = C.TOP_K,
+    head: int = max(C.RERANK_TOP_N * 6, 20),
+) -> DataFrame:
+    """The whole in-course search of a batch of questions: qid, video_id, chunk_id, score, sources, rank.
+
+    ``asked``: qid, video_id, chapter_id (NULL = whole course), at_ms (NULL = no playing position); ``docs``: video_id,
+    chunk_id, idx, parent_id, start_ms, text; ``questions``, ``store`` and ``vectors_asked`` as in ``candidates``.
+    Keyword and vector hits are fused, restricted to the chapter, raised near the playing position and cut to the pool;
+    ``scorer`` (hits -> qid, chunk_id, new_score) re-orders the head of the pool before the cut to ``k``. Only a question
+    without any candidate in its course falls back to the opening of its chapter or course.
+    """
+    pool = max(k * 4, 20)
+    fused = settle(candidates(docs.select("video_id", "chunk_id", "text"), questions, store, vectors_asked, k=k))
+    wish = asked.select("qid", "chapter_id", "at_ms")
+    places = docs.select("video_id", "chunk_id", "parent_id", "start_ms")
+    rows = fused.join(wish, "qid").join(places, ["video_id", "chunk_id"])
+    rows = rows.filter(F.col("chapter_id").isNull() | (F.col("parent_id") == F.col("chapter_id")))
+    near = 1 + F.lit(C.TIME_BIAS_WEIGHT) / (1 + F.abs(F.col("start_ms") - F.col("at_ms")) / C.TIME_BIAS_SCALE_MS)
+    rows = rows.withColumn("score", F.col("score") * F.coalesce(near, F.lit(1.0)))
+    hits = top(rows, ["qid"], [F.round("score", 12).desc(), F.col("chunk_id")], pool, "rank").select(
+        "qid", "video_id", "chunk_id", "score", "sources", "rank"
+    )
+    if scorer is not None:
+        several = hits.groupBy("qid").agg(F.count("*").alias("n")).filter("n > 1").select("qid")
+        scores = scorer(hits.filter(F.col("rank") < head)).join(several, "qid", "left_semi").filter("new_score IS NOT NULL")
+        tags = scores.select("qid", "chunk_id", F.lit(True).alias("_new"))
+        hits = rerank(hits, scores, head=head).join(tags, ["qid", "chunk_id"], "left").withColumn(
+            "sources", F.when(F.col("_new"), F.array_append("sources", F.lit("rerank"))).otherwise(F.col("sources"))
+        )
+    best = hits.filter(F.col("rank") < k).select("qid", "video_id", "chunk_id", "score", "sources", "rank")
+    lost = asked.join(fused.select("qid").distinct(), "qid", "left_anti")
+    inside = lost.join(docs.select("video_id", "chunk_id", "idx", "parent_id"), "video_id").filter(
+        F.col("chapter_id").isNull() | (F.col("parent_id") == F.col("chapter_id"))
+    )
+    opening = top(inside, ["qid"], [F.col("idx")], max(3, min(k, 5)), "rank").select(
+        "qid", "video_id", "chunk_id", F.lit(0.0).alias("score"), F.array(F.lit("fallback")).alias("sources"), "rank"
+    )
+    return best.unionByName(opening)

@@ -102,13 +102,29 @@ def series_prefix(t):
     return summarised_courses(t).select("video_id", CX.series_line(F.col("title"), F.col("video_id"), F.col("video_summary"), 60).alias("line"))
 
 
-@query("quiz_material", "video_id string, idx long, block string", f"""
+_QUIZ_BLOCKS = f"""
 WITH b AS (SELECT video_id, idx, chr(10) || '## ' || CASE WHEN title = '' THEN '第 ' || (idx + 1) || ' 章' ELSE title END || ' [' || {label_sql('start_ms')} || '-' || {label_sql('end_ms')} || ']' || chr(10)
    || CASE WHEN trim(summary) <> '' THEN trim(summary)[1:800] || chr(10) ELSE coalesce(pts || chr(10), '') END AS block
   FROM v_doc_chapters c LEFT JOIN (SELECT parent_id, string_agg('- [' || {label_sql('start_ms')} || '] ' || trim(CASE WHEN summary <> '' THEN summary WHEN title <> '' THEN title ELSE text END)[1:220], chr(10) ORDER BY rn) AS pts
-     FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY idx) AS rn FROM v_docs) WHERE rn <= 4 GROUP BY parent_id) p ON p.parent_id = c.chapter_id)
+     FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY idx) AS rn FROM v_docs) WHERE rn <= 4 GROUP BY parent_id) p ON p.parent_id = c.chapter_id),
+taken AS (SELECT video_id, idx, block FROM (SELECT *, sum(length(block)) OVER (PARTITION BY video_id ORDER BY idx) AS s FROM b) WHERE s <= 1400)"""
+
+
+@query("quiz_prompt", "video_id string, material string", _QUIZ_BLOCKS + f""",
+summ AS (SELECT video_id, trim(arg_min(summary, idx)) AS s FROM v_docs GROUP BY video_id),
+x AS (SELECT c.video_id, trim('课程：' || c.title || chr(10) || '总时长：' || {label_sql('CAST(c.duration_ms AS BIGINT)')} || CASE WHEN s.s <> '' THEN chr(10) || chr(10) || '## 全课摘要' || chr(10) || s.s[1:3000] ELSE '' END
+  || coalesce(chr(10) || k.t, ''), ' ' || chr(10)) AS m FROM v_courses c JOIN summ s ON s.video_id = c.video_id LEFT JOIN (SELECT video_id, string_agg(block, chr(10) ORDER BY idx) AS t FROM taken GROUP BY video_id) k ON k.video_id = c.video_id)
+---
+SELECT video_id, CASE WHEN length(m) >= 80 THEN m END AS material FROM x""")
+def quiz_prompt(t):
+    from lectern.operators import quiz
+
+    return quiz.material_text(summarised_courses(t), A.doc_chapters(t), A.docs(t), budget=1400)
+
+
+@query("quiz_material", "video_id string, idx long, block string", _QUIZ_BLOCKS + """
 ---
-SELECT video_id, idx, block FROM (SELECT *, sum(length(block)) OVER (PARTITION BY video_id ORDER BY idx) AS s FROM b) WHERE s <= 1400""")
+SELECT video_id, idx, block FROM taken""")
 def quiz_material(t):
     from lectern.operators import quiz
 

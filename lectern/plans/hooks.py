@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lectern.functions.models import embedder, reranker  # noqa: F401  (re-exported)
+from lectern.functions.models import embedder, rerank_scores  # noqa: F401  (re-exported)
 
 
 def parity():

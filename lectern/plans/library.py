@@ -159,14 +159,15 @@ def label_merge(t):
     return L.merge_labels(old, new)
 
 
-@query("purge_course", "kind string, n long", """
+@query("purge_course", "kind string, id string", """
 WITH gone AS (SELECT video_id FROM v_courses WHERE CAST(video_id[4:] AS BIGINT) % 3 = 0)
 ---
-SELECT 'chunks' AS kind, count(*) AS n FROM v_docs WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
-SELECT 'sessions', count(*) FROM v_sessions WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
-SELECT 'messages', count(*) FROM v_messages WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
-SELECT 'videos', count(*) FROM v_courses WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
-SELECT 'usage', count(*) FROM v_calls UNION ALL SELECT 'labels', count(*) FROM gone""")
+SELECT 'chunks' AS kind, chunk_id AS id FROM v_docs WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
+SELECT 'sessions', CAST(session_id AS VARCHAR) FROM v_sessions WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
+SELECT 'messages', CAST(id AS VARCHAR) FROM v_messages WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
+SELECT 'videos', video_id FROM v_courses WHERE video_id NOT IN (SELECT video_id FROM gone) UNION ALL
+SELECT 'usage', CAST(event_id AS VARCHAR) FROM v_calls UNION ALL
+SELECT 'labels', video_id || ' Course ' || video_id || ' true' FROM gone""")
 def purge_course(t):
     videos = A.courses(t)
     gone = videos.filter(F.substring("video_id", 4, 10).cast("long") % 3 == 0)
@@ -174,10 +175,11 @@ def purge_course(t):
     left = L.purge(
         {"videos": videos, "chunks": A.docs(t), "sessions": A.sessions(t), "messages": A.messages(t), "usage": A.calls(t), "labels": labels}, gone
     )
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in left.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    ids = {"videos": "video_id", "chunks": "chunk_id", "sessions": "session_id", "messages": "id", "usage": "event_id"}
+    rows = [df.select(F.lit(k).alias("kind"), F.col(ids[k]).cast("string").alias("id")) for k, df in left.items() if k in ids]
+    out = left["labels"].select(F.lit("labels").alias("kind"), F.concat_ws(" ", "video_id", "title", F.col("deleted").cast("string")).alias("id"))
+    for r in rows:
+        out = out.unionByName(r)
     return out
 
 
@@ -193,12 +195,12 @@ def carry_over_summaries(t):
     return L.carry_over(new, old, "chunk_id", same=["text"])
 
 
-@query("replace_course", "video_id string, n long, n_new long", """
-SELECT video_id, CASE WHEN CAST(video_id[4:] AS BIGINT) % 4 = 0 THEN count(*) FILTER (idx % 2 = 0) ELSE count(*) END AS n, CASE WHEN CAST(video_id[4:] AS BIGINT) % 4 = 0 THEN count(*) FILTER (idx % 2 = 0) ELSE 0 END AS n_new FROM v_docs GROUP BY video_id""")
+@query("replace_course", "video_id string, chunk_id string, v long", """
+SELECT video_id, chunk_id, CASE WHEN CAST(video_id[4:] AS BIGINT) % 4 = 0 THEN 1 ELSE 0 END AS v FROM v_docs WHERE CAST(video_id[4:] AS BIGINT) % 4 <> 0 OR idx % 2 = 0""")
 def replace_course(t):
     old = A.docs(t).select("video_id", "chunk_id", F.lit(0).alias("v"))
     new = A.docs(t).filter((F.substring("video_id", 4, 10).cast("long") % 4 == 0) & (F.col("idx") % 2 == 0)).select("video_id", "chunk_id", F.lit(1).alias("v"))
-    return L.replace_courses(old, new).groupBy("video_id").agg(F.count("*").alias("n"), F.sum("v").alias("n_new"))
+    return L.replace_courses(old, new)
 
 
 @query("patch_columns", "chunk_id string, title string, summary string", """
@@ -209,22 +211,22 @@ def patch_columns(t):
     return L.patch(A.docs(t).select("chunk_id", "title", "summary"), changes, ["chunk_id"])
 
 
-@query("embedding_upsert", "video_id string, chunk_id string, first double, dim long", """
-SELECT video_id, chunk_id, CASE WHEN idx % 2 = 0 THEN -vec[1] ELSE vec[1] END AS first, len(vec) AS dim FROM v_vectors""")
+@query("embedding_upsert", "video_id string, chunk_id string, pos long, x double", """
+SELECT video_id, chunk_id, unnest(range(0, len(vec))) AS pos, unnest(list_transform(vec, lambda x: CASE WHEN idx % 2 = 0 THEN -x ELSE x END)) AS x FROM v_vectors""")
 def embedding_upsert(t):
     old = A.vectors(t).select("video_id", "chunk_id", "vec", F.col("idx").alias("v"))
     new = old.filter(F.col("v") % 2 == 0).withColumn("vec", F.transform("vec", lambda x: -x))
-    return L.upsert(old, new, ["video_id", "chunk_id"], "v").select("video_id", "chunk_id", F.get("vec", F.lit(0)).alias("first"), F.size("vec").alias("dim"))
+    return L.upsert(old, new, ["video_id", "chunk_id"], "v").select("video_id", "chunk_id", F.posexplode("vec").alias("pos", "x"))
 
 
-@query("append_usage", "kind string, calls long", """
-SELECT kind, count(*) AS calls FROM (SELECT kind FROM v_calls UNION ALL SELECT 'notes' FROM v_calls WHERE event_id % 10 = 0) GROUP BY kind""")
+@query("append_usage", "event_id long, kind string, model string, cost double:9", """
+SELECT event_id, kind, model, cost FROM v_usage UNION ALL SELECT event_id, 'notes', model, cost FROM v_usage WHERE event_id % 10 = 0""")
 def append_usage(t):
     log = A.usage(t).select("event_id", "kind", "model", "cost")
     folder = work_path(t.spark, "usage")
     log.write.mode("append").parquet(folder)
     log.filter(F.col("event_id") % 10 == 0).withColumn("kind", F.lit("notes")).write.mode("append").parquet(folder)
-    return t.spark.read.schema("event_id bigint, kind string, model string, cost double").parquet(folder).groupBy("kind").agg(F.count("*").alias("calls"))
+    return t.spark.read.schema("event_id bigint, kind string, model string, cost double").parquet(folder)
 
 
 @query("session_merge", "session_id long, title string, archived boolean, updated_s long, n_messages long", """
@@ -355,11 +357,9 @@ def course_search(t):
     return S.course_search(**_search_inputs(t))
 
 
-@query("bucket_dedupe", "qid long, source string, n long", """
-SELECT qid, source, count(*) AS n FROM s_once GROUP BY qid, source""")
+@query("bucket_dedupe", "qid long, source string, start_ms long, score double", "SELECT qid, source, start_ms, score FROM s_once")
 def bucket_dedupe(t):
-    every = S.course_search(**_search_inputs(t), k=20, cut=False)
-    return every.groupBy("qid", "source").agg(F.count("*").alias("n"))
+    return S.course_search(**_search_inputs(t), k=20, cut=False)
 
 
 @query("search_topk", "qid long, rank long, start_ms long, source string", """

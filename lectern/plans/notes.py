@@ -360,6 +360,5 @@ WITH h AS (SELECT * FROM (SELECT qid, chunk_id, idx, row_number() OVER (PARTITIO
 SELECT h.qid, h.chunk_id, row_number() OVER (PARTITION BY h.qid ORDER BY h.qid % 5 = 0, CASE WHEN h.qid % 5 <> 0 THEN length(d.text) % 89 END DESC, old) - 1 AS rank FROM h JOIN v_docs d ON d.chunk_id = h.chunk_id""")
 def rerank_hook(t):
     hits = R.vector_hits(A.vectors(t), A.question_vectors(t), 12, "rank")
-    pairs = hits.join(A.docs(t).select("chunk_id", "text"), "chunk_id").withColumn("q", F.col("qid").cast("string"))
-    scores = pairs.select("qid", "chunk_id", hooks.reranker(hooks.length_mod)(F.col("q"), F.col("text")).alias("new_score"))
-    return R.rerank(hits, scores)
+    heads = hits.join(A.docs(t).select("chunk_id", "text"), "chunk_id").withColumn("question", F.col("qid").cast("string"))
+    return R.rerank(hits, hooks.rerank_scores(heads, hooks.length_mod))

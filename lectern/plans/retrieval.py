@@ -110,6 +110,39 @@ def rerank_head(t):
     return R.rerank(hits, scores, head=10)
 
 
+@query("hybrid_search", "qid long, chunk_id string, score double, sources string, rank long", f"""
+WITH asked AS (SELECT item_id AS qid, 'src' || CAST(item_id % 20 AS VARCHAR) AS video_id, CASE WHEN item_id % 4 = 1 THEN item_id % 3 END AS ch, CASE WHEN item_id % 3 = 0 THEN item_id * 3600000 END AS at_ms FROM benchmark
+  UNION ALL SELECT 100000 + item_id, 'src' || CAST(item_id % 20 AS VARCHAR), CASE WHEN item_id % 2 = 1 THEN item_id % 3 END, NULL FROM benchmark),
+c AS (SELECT f.qid, f.chunk_id, f.sources, d.text, f.score * CASE WHEN a.at_ms IS NULL THEN 1.0 ELSE 1 + {C.TIME_BIAS_WEIGHT} / (1 + abs(d.start_ms - a.at_ms) / {C.TIME_BIAS_SCALE_MS}.0) END AS score
+  FROM v_fused f JOIN asked a ON a.qid = f.qid JOIN v_docs d ON d.chunk_id = f.chunk_id WHERE a.ch IS NULL OR a.ch = d.chapter_idx),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, chunk_id) - 1 AS old FROM c),
+q AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM p WHERE old < {max(C.TOP_K * 4, 20)}),
+r AS (SELECT *, CASE WHEN n > 1 AND old < {max(C.RERANK_TOP_N * 6, 20)} THEN length(text) % 97 END AS ns FROM q),
+ranked AS (SELECT qid, chunk_id, coalesce(ns, score) AS score, sources || CASE WHEN ns IS NULL THEN '' ELSE '+rerank' END AS sources, row_number() OVER (PARTITION BY qid ORDER BY ns IS NULL, ns DESC, old) - 1 AS rank FROM r),
+opening AS (SELECT a.qid, d.chunk_id, row_number() OVER (PARTITION BY a.qid ORDER BY d.idx) - 1 AS rank FROM asked a JOIN v_docs d ON d.video_id = a.video_id AND (a.ch IS NULL OR a.ch = d.chapter_idx) WHERE a.qid NOT IN (SELECT qid FROM v_fused))
+---
+SELECT qid, chunk_id, score, sources, rank FROM ranked WHERE rank < {C.TOP_K} UNION ALL SELECT qid, chunk_id, 0, 'fallback', rank FROM opening WHERE rank < 5""")
+def hybrid_search(t):
+    """every benchmark item, some in a chapter, some with a playing position; and as many questions that find nothing"""
+    n = F.col("item_id")
+    docs = A.docs(t)
+
+    def wish(qid, chapter, at):
+        name = F.concat(A.course_of(n), F.lit("-ch"), F.lpad((n % 3).cast("string"), 3, "0"))
+        return t.benchmark.select(
+            qid.cast("long").alias("qid"), A.course_of(n).alias("video_id"), F.when(chapter, name).alias("chapter_id"), at.cast("long").alias("at_ms")
+        )
+
+    asked = wish(n, n % 4 == 1, F.when(n % 3 == 0, n * 3_600_000)).unionByName(wish(n + 100_000, n % 2 == 1, F.lit(None)))
+    nothing = t.benchmark.select((n + 100_000).alias("qid"), A.course_of(n).alias("video_id"), F.lit("qqzzxq").alias("term"))
+
+    def scorer(hits):
+        return hits.join(docs.select("chunk_id", (F.length("text") % 97).cast("double").alias("new_score")), "chunk_id").select("qid", "chunk_id", "new_score")
+
+    found = R.search(asked, docs, A.questions(t).unionByName(nothing), A.vectors(t), A.question_vectors(t), scorer=scorer)
+    return found.withColumn("sources", F.array_join("sources", "+"))
+
+
 @query("search_fallback", "qid long, chunk_id string, source string", """
 WITH asked AS (SELECT conv_id * 100 + turn AS qid, 'src' || CAST(conv_id % 20 AS VARCHAR) AS video_id, CASE WHEN conv_id % 3 = 0 THEN 'qqzz' || conv_id || ' zzxq' ELSE text END AS text FROM conversations WHERE role = 'user'),
 terms AS (SELECT DISTINCT qid, video_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)) AS term FROM asked),

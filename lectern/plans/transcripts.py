@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern import constants as C
@@ -331,14 +330,14 @@ def anchor_check(t):
 # ------------------------------------------------------------------ frames
 
 _FRAMES = """
-SELECT 'label' || label || '-' || vec_id // 2000 AS video_id, vec_id * 2000 AS ms, embedding,
+SELECT 'label' || label AS video_id, vec_id * 2000 AS ms, embedding,
        list_transform(embedding, lambda x: 128.0 + 36.0 * CAST(x AS DOUBLE)) AS gray FROM embeddings"""
 
 
 def frames(t):
-    """vectors as sampled frames; a course takes at most 2 000 of them"""
+    """vectors as sampled frames, one course per label"""
     return t.embeddings.select(
-        F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("-"), F.floor(F.col("vec_id") / 2000).cast("string")).alias("video_id"),
+        F.concat(F.lit("label"), F.col("label").cast("string")).alias("video_id"),
         (F.col("vec_id") * 2000).alias("ms"),
         "embedding",
         F.transform("embedding", lambda x: F.lit(128.0) + F.lit(36.0) * x.cast("double")).alias("gray"),
@@ -356,7 +355,7 @@ walk AS (
   FROM (SELECT b.video_id, b.rn, b.ms, w.ref, w.grp, ({_DIFF}) > 0.02 OR b.ms - a.ms > 120000 AS cut
         FROM walk w JOIN fr b ON b.video_id = w.video_id AND b.rn = w.rn + 1 JOIN fr a ON a.video_id = w.video_id AND a.rn = w.ref) b),
 slides AS (SELECT video_id, grp, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY video_id ORDER BY grp), greatest(last_ms + 2000, start_ms + 1000)) AS end_ms
-  FROM (SELECT video_id, grp, min(ms) AS start_ms, max(max(ms)) OVER (PARTITION BY video_id) AS last_ms FROM walk WHERE grp < 400 GROUP BY video_id, grp))
+  FROM (SELECT video_id, grp, min(ms) AS start_ms, max(max(ms)) OVER (PARTITION BY video_id) AS last_ms FROM walk GROUP BY video_id, grp))
 ---
 """
 
@@ -383,10 +382,10 @@ def representative_frame(t):
 
 
 def _adjacent(t, *cols):
-    """each frame with the one before it in its (bounded) course"""
-    w = Window.partitionBy("video_id").orderBy("ms")
-    f = frames(t).select("video_id", "ms", *cols)
-    return f.select("*", *[F.lag(c).over(w).alias(f"{c}_before") for c in cols]).filter(F.col(f"{cols[0]}_before").isNotNull())
+    """each frame with the one before it in its course, which may be of any length"""
+    f = ordered.blocks(frames(t).select("video_id", "ms", *cols), ["video_id"], ["ms"])
+    specs = {f"{c}_before": ("last", F.col(c)) for c in cols}
+    return ordered.prefix(f, ["video_id"], ["ms"], specs).filter(F.col(f"{cols[0]}_before").isNotNull())
 
 
 @query("frame_diff", "video_id string, ms long, diff double", f"""
@@ -407,10 +406,10 @@ FROM (SELECT video_id, ms, list_transform(embedding, lambda x: CASE WHEN CAST(x
 SELECT video_id, ms, phash, list_sum(list_transform(list_zip(bits, before), lambda p: abs(p[1] - p[2]))) AS distance FROM (
   SELECT *, lag(bits) OVER (PARTITION BY video_id ORDER BY ms) AS before FROM ({_HASH.format(_FRAMES)})) WHERE before IS NOT NULL""")
 def average_hash_pairs(t):
-    w = Window.partitionBy("video_id").orderBy("ms")
     hashed = frames(t).select("video_id", "ms", vectors.average_hash(F.col("embedding")).alias("h"))
+    blocked = ordered.blocks(hashed, ["video_id"], ["ms"])
     return (
-        hashed.withColumn("before", F.lag("h").over(w)).filter("before IS NOT NULL")
+        ordered.prefix(blocked, ["video_id"], ["ms"], {"before": ("last", F.col("h"))}).filter("before IS NOT NULL")
         .select("video_id", "ms", F.lpad(F.lower(F.hex("h")), 16, "0").alias("phash"), vectors.hamming(F.col("h"), F.col("before")).alias("distance"))
     )
 

@@ -92,3 +92,55 @@ def test_live_chunks_go_on_after_an_idle_close(spark, tmp_path):
     job.awaitTermination()
     got = sorted(map(tuple, spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()))
     assert got == [("a", 0, 0, 15_000, 2), ("a", 1, 7_000_000, 7_015_000, 2), ("b", 0, 20_000, 25_000, 1), ("b", 1, 6_800_000, 6_805_000, 1)]
+
+
+def test_slides_of_a_long_course_match_a_loop(spark):
+    import random
+
+    import numpy as np
+
+    from lectern.operators import media
+
+    rng = random.Random(3)
+    rows = []
+    for course, n in (("long", 700), ("short", 9), ("still", 200)):
+        level = 100.0
+        for k in range(n):
+            if course != "still" and rng.random() < 0.15:
+                level = rng.choice([80.0, 90.0, 100.0, 104.0, 120.0])
+            rows.append((course, k * 2000 + rng.randrange(3), [level + rng.random() for _ in range(4)]))
+    want = {}
+    for course in ("long", "short", "still"):
+        mine = [r for r in rows if r[0] == course]
+        grp, first = 0, mine[0]
+        for r in mine:
+            if np.abs(np.array(r[2]) - np.array(first[2])).mean() / 255 > 0.02 or r[1] - first[1] > 120_000:
+                grp, first = grp + 1, r
+            want[course, r[1]] = grp
+    frames = spark.createDataFrame(rows, "video_id string, ms long, gray array<double>")
+    for merged in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+        spark.conf.set("spark.sql.shuffle.partitions", "4" if merged == "true" else "40")
+        got = {(r.video_id, r.ms): r.grp for r in media.frame_groups(frames, change_ratio=0.02, max_hold_ms=120_000).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.grp for r in media.frame_groups(frames, max_groups=2).collect()} == {0, 1}
+
+
+def test_budgets_with_one_large_course(spark):
+    from lectern.operators import context
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [("big", k, "x" * (k % 7 + 1)) for k in range(4000)] + [("small", k, "y" * 5) for k in range(3)]
+    blocks = spark.createDataFrame(rows, "video_id string, idx long, block string")
+    got = context.prefix_take(blocks, "video_id", "idx", F.length("block"), 1000).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, used = set(), 0
+    for v, k, b in rows:
+        if v == "big" and used + len(b) <= 1000:
+            used += len(b)
+            want.add((v, k))
+        elif v == "big":
+            break
+    assert {(r.video_id, r.idx) for r in got} == want | {("small", 0), ("small", 1), ("small", 2)}
