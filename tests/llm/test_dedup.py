@@ -127,7 +127,10 @@ def test_one_document_of_each_group_stays(spark):
 def test_lines_on_many_sites_go_but_once(spark):
     rows = [(k, f"own {k}\n shared line \nshared line\n\nend {k}", "en", f"s{k}", 1, *[None] * 5) for k in range(6)]
     rows += [(100 + k, "copied text\nsecond line", "en", f"s{k}", 1, *[None] * 5) for k in range(6)]  # equal texts: one site
-    out = {r.doc_id: r for r in lines.without_boilerplate(edge.docs(spark, rows), sites=6).collect()}
+    docs = edge.docs(spark, rows)
+    joined = lines.without_boilerplate(docs, sites=6, known_lines=0)
+    assert edge.as_rows(joined) == edge.as_rows(lines.without_boilerplate(docs, sites=6))
+    out = {r.doc_id: r for r in joined.collect()}
     assert out[0].text == "own 0\n shared line \n\nend 0" and out[0].n_removed == 1 and out[0].n_lines == 5
     assert all(out[k].text == f"own {k}\n\nend {k}" and out[k].n_removed == 2 for k in range(1, 6))
     assert all(out[100 + k].text == "copied text\nsecond line" for k in range(6))
@@ -138,6 +141,7 @@ def test_lines_on_many_sites_go_but_once(spark):
 def test_lines_edge_rows(spark):
     docs = edge.docs(spark)
     out = lines.without_boilerplate(docs, sites=1)
+    assert edge.as_rows(out) == edge.as_rows(lines.without_boilerplate(docs, sites=1, known_lines=0))
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     by_id = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
     assert by_id[4].text is None and by_id[4].n_lines == 0 and by_id[5].text == "" and by_id[5].n_lines == 1
