@@ -115,6 +115,32 @@ def repair_report(repaired: DataFrame, fields: Sequence[str]) -> DataFrame:
     return repaired.groupBy("video_id").agg(*[F.sum(n_fixes(F.col(f"fixes_{f}"))).alias(f) for f in fields])
 
 
+#: What of a course is corrected: table -> its text columns.
+REPAIRED = {
+    "segments": ("text",), "chunks": ("text", "title", "summary", "ocr_text"), "chapters": ("title", "summary"), "slides": ("ocr_text",),
+    "courses": ("video_summary",),
+}
+
+
+def repair_library(tables: dict[str, DataFrame], rules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Corrects every text of the courses: sentences, chunks, chapters, slides and course summaries.
+
+    Gives the corrected tables and a report (video_id, part, n) of parts in which something was replaced; their
+    chunks are the ones to embed and index anew.
+    """
+    fixed, report = {}, None
+    for part, df in tables.items():
+        fields = REPAIRED[part]
+        done = repair(df, rules, fields)
+        fixed[part] = done.select(*df.columns)
+        n = F.lit(0)
+        for f in fields:
+            n = n + n_fixes(F.col(f"fixes_{f}"))
+        rows = done.groupBy("video_id").agg(F.sum(n).alias("n")).filter("n > 0").select("video_id", F.lit(part).alias("part"), "n")
+        report = rows if report is None else report.unionByName(rows)
+    return fixed, report
+
+
 def merge_fixes(repaired: DataFrame, fields: Sequence[str]) -> DataFrame:
     every = repaired.select(F.explode(F.concat(*[F.col(f"fixes_{f}") for f in fields])).alias("f"))
     return every.groupBy("f.wrong", "f.right").agg(F.sum("f.n").alias("n"))

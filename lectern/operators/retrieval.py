@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import text, vectors
-from lectern.session import settle
+from lectern.session import settle, written
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -27,26 +27,26 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank:
 # ------------------------------------------------------------------ keyword index
 
 
-def index_stats(docs: DataFrame, body: str = "text") -> DataFrame:
-    """One row: number of documents and their mean length in words."""
-    n, words = F.count("*"), F.sum(text.token_count(F.col(body)))
-    return docs.agg(F.struct(n.alias("n_docs"), (words / n).alias("avg_len")).alias("stats"))
-
-
-def postings(docs: DataFrame, body: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, body: str = "text", wanted: DataFrame | None = None, marked: bool = False) -> DataFrame:
     """(document keys, len, term, tf). With ``wanted`` (a table of terms) only those terms, dropped
-    before anything is shuffled as long as Spark finds that table small enough to ship.
+    before anything is shuffled as long as Spark finds that table small enough to ship. ``marked`` adds an empty
+    term to every document, so that lengths can be summed over documents that hold no wanted term.
 
     ``explode_outer`` rather than ``explode``: the latter makes Spark test the array for emptiness
     below the projection, which would split every text a second time.
     """
     keys = [c for c in docs.columns if c != body]
-    words = docs.select(*keys, text.tokens(F.col(body)).alias("_words"))
+    none = F.array().cast("array<string>")
+    words = docs.select(*keys, F.coalesce(text.tokens(F.col(body)), none).alias("_words"))
     # the length is taken before the explode, so that no row carries the whole array
-    words = words.select(*keys, F.size("_words").alias("len"), "_words")
+    listed = F.array_append("_words", F.lit("")) if marked else F.col("_words")
+    words = words.select(*keys, F.size("_words").alias("len"), listed.alias("_words"))
     words = words.select(*keys, "len", F.explode_outer("_words").alias("term"))
     if wanted is not None:
-        words = words.join(wanted.select("term").distinct(), "term", "left_semi")
+        terms = wanted.select("term")
+        if marked:
+            terms = terms.unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+        words = words.join(terms.distinct(), "term", "left_semi")
     return words.groupBy(*keys, "len", "term").agg(F.count("term").alias("tf")).filter("tf > 0")
 
 
@@ -66,11 +66,11 @@ def bm25(
     are counted from the same postings.
     """
     keys = [c for c in docs.columns if c != body]
-    # Written once: the postings of the asked terms are small next to the texts, and both uses
-    # below (frequencies, scores) would otherwise split every text again.
-    found = settle(postings(docs, body, questions))
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = index_stats(docs, body).scalar()
+    # Written once: the postings of the asked terms are small next to the texts, and all uses
+    # below (lengths, frequencies, scores) would otherwise split every text again.
+    found = written(postings(docs, body, questions, marked=True), "postings")
+    frequency = found.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    stats = found.filter("term = ''").agg(F.struct(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len")).alias("s")).scalar()
     n_docs, avg_len = stats["n_docs"], stats["avg_len"]
     idf = F.greatest(F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(C.BM25_MIN_IDF))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + b * F.col("len") / avg_len))

@@ -91,7 +91,7 @@ def bucket_dedupe(hits: DataFrame, width: int = C.SEARCH_BUCKET_MS) -> DataFrame
 
 
 def search_top(hits: DataFrame, k: int = C.SEARCH_TOP_K) -> DataFrame:
-    order = [F.col("score").desc(), F.col("start_ms"), F.col("stage"), F.col("pos")]
+    order = [F.round("score", 9).desc(), F.col("start_ms"), F.col("stage"), F.col("pos")]
     return retrieval.top(hits, ["qid"], order, k, "rank")
 
 
@@ -107,8 +107,8 @@ def cross_course(
     Only the survivors (a few per question) are joined with their texts.
     """
     scores = retrieval.bm25(chunks.select("video_id", "chunk_id", "text"), terms, scoped=False)
-    each = retrieval.top(scores, ["qid", "video_id"], [F.col("score").desc(), F.col("chunk_id")], per_course)
-    best = retrieval.top(each, ["qid"], [F.col("score").desc(), F.col("chunk_id")], max(8, per_course * 2), "rank")
+    each = retrieval.top(scores, ["qid", "video_id"], [F.round("score", 9).desc(), F.col("chunk_id")], per_course)
+    best = retrieval.top(each, ["qid"], [F.round("score", 9).desc(), F.col("chunk_id")], max(8, per_course * 2), "rank")
     return (
         best.join(chunks.select("video_id", "chunk_id", "start_ms", "end_ms", "text"), ["video_id", "chunk_id"])
         .join(titles.select("video_id", F.col("title").alias("course")), "video_id", "left")

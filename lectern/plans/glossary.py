@@ -41,6 +41,19 @@ FROM v_fixed f JOIN v_steps s ON s.video_id = f.video_id AND s.step = f.step + 1
 
 FIELDS = ["text", "title", "summary", "ocr_text"]
 
+# every text of a course, not only its chunks
+VIEWS["v_parts"] = """
+SELECT video_id, 'chunks' AS part, body FROM v_fields UNION ALL SELECT video_id, 'segments', unnest(string_split(text, chr(10))) FROM v_docs
+UNION ALL SELECT video_id, 'chapters', title FROM v_doc_chapters UNION ALL SELECT video_id, 'chapters', summary FROM v_doc_chapters
+UNION ALL SELECT video_id, 'slides', string_split(text, chr(10))[4] FROM v_docs WHERE len(string_split(text, chr(10))) >= 4
+UNION ALL SELECT video_id, 'courses', arg_min(summary, idx) FROM v_docs GROUP BY video_id"""
+
+VIEWS["v_parts_fixed"] = """
+SELECT video_id, part, CAST(0 AS BIGINT) AS step, body, CAST(0 AS BIGINT) AS n FROM v_parts
+UNION ALL
+SELECT f.video_id, f.part, s.step, replace(f.body, s.w, s.rgt), CAST((length(f.body) - length(replace(f.body, s.w, ''))) / length(s.w) AS BIGINT)
+FROM v_parts_fixed f JOIN v_steps s ON s.video_id = f.video_id AND s.step = f.step + 1"""
+
 
 def rules(t):
     words = t.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("w"))
@@ -84,6 +97,18 @@ def repair_courses(t):
     return repaired(t).filter(total > 0)
 
 
+@query("repair_library", "video_id string, part string, n long", "SELECT video_id, part, sum(n) AS n FROM v_parts_fixed GROUP BY ALL HAVING sum(n) > 0")
+def repair_library(t):
+    d = A.docs(t)
+    rows_of = F.split("text", "\n")
+    tables = {
+        "chunks": d, "segments": d.select("video_id", F.explode(rows_of).alias("text")), "chapters": A.doc_chapters(t),
+        "slides": d.filter(F.size(rows_of) >= 4).select("video_id", F.get(rows_of, F.lit(3)).alias("ocr_text")),
+        "courses": d.groupBy("video_id").agg(F.min_by("summary", "idx").alias("video_summary")),
+    }
+    return G.repair_library(tables, rules(t))[1]
+
+
 @query("fix_merge", "wrong string, right_form string, n long", """
 SELECT w1 AS wrong, rgt AS right_form, sum(n) AS n FROM v_fixed WHERE n > 0 GROUP BY w1, rgt""")
 def fix_merge(t):

@@ -10,7 +10,7 @@ from lectern.operators import library as L, retrieval as R, search as S
 from lectern.plans import adapters as A
 from lectern.plans.context import label_sql
 from lectern.plans.registry import query
-from lectern.session import work_path
+from lectern.session import work_path, written
 
 # ------------------------------------------------------------------ reads and listings
 
@@ -347,6 +347,8 @@ def _search_inputs(t):
     chapters = s.groupBy("video_id", week.alias("idx")).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("text").alias("_first"), F.max("text").alias("summary")
     ).withColumn("title", F.when(F.col("idx") % 2 == 0, F.col("_first")).otherwise("")).drop("_first")
+    # a library has these as tables
+    chunks, chapters = written(chunks, "chunks"), written(chapters, "chapters")
     slides = A.slides(t).withColumnRenamed("slide_id", "idx")
     return dict(asked=asked, terms=terms, segments=segments, chunks=chunks, slides=slides, chapters=chapters)
 
