@@ -93,15 +93,22 @@ SELECT id AS reply_id, trim(content, chr(10) || ' ') AS text, CASE WHEN id % 4 =
 def reply_deltas(t):
     from lectern.streaming import jobs
 
+    return jobs.gather_deltas(deltas(A.messages(t)))
+
+
+def deltas(messages):
+    """messages word by word, as a model would stream them"""
     words = F.split("content", " ")
-    parts = A.messages(t).select(F.col("id").alias("reply_id"), "id", F.posexplode(words).alias("seq", "w"), F.size(words).alias("n"))
+    parts = messages.select(
+        F.col("id").alias("reply_id"), "id", F.timestamp_seconds("created_s").alias("at"),
+        F.posexplode(words).alias("seq", "w"), F.size(words).alias("n"),
+    )
     last = F.col("seq") == F.col("n") - 1
-    deltas = parts.select(
-        "reply_id", "seq", F.when(last, F.col("w")).otherwise(F.concat("w", F.lit(" "))).alias("delta"),
+    return parts.select(
+        "reply_id", "at", "seq", F.when(last, F.col("w")).otherwise(F.concat("w", F.lit(" "))).alias("delta"),
         F.when(last & (F.col("id") % 4 == 0), "length").alias("finish_reason"),
         F.when(F.col("seq") % 3 != 1, F.col("seq")).alias("_u"), "n",
     ).withColumn("total_tokens", F.when(last, F.col("seq")).otherwise(F.col("_u")).cast("long"))
-    return jobs.gather_deltas(deltas)
 
 
 @query("degrade_flag", "video_id string, degraded boolean", """

@@ -53,6 +53,15 @@ def stream_sessions(t):
     return out.select("session_id", F.unix_timestamp("began").alias("began_s"), F.unix_timestamp("ended").alias("ended_s"), "n_messages")
 
 
+@query("stream_replies", "reply_id long, text string, finish_reason string, total_tokens long", r"""
+SELECT id AS reply_id, trim(content, chr(10) || ' ') AS text, CASE WHEN id % 4 = 0 THEN 'length' ELSE 'stop' END AS finish_reason, len(string_split(content, ' ')) - 1 AS total_tokens
+FROM v_messages WHERE created_s + 30 <= (SELECT max(created_s) FROM v_messages) - 60""")
+def stream_replies(t):
+    from lectern.plans import notes
+
+    return run_to_end(jobs.live_replies(notes.deltas(A.messages(Streams(t.spark, t.folder)))))
+
+
 @query("stream_chunks", "video_id string, idx long, start_ms long, end_ms long, n_segments long", """
 WITH u AS (SELECT 'u' || user_id AS video_id, max(ts) AS last_ts FROM events GROUP BY user_id),
 o AS (SELECT video_id FROM u WHERE last_ts + INTERVAL 20 MINUTE > (SELECT max(ts) FROM events))

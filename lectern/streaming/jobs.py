@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -85,12 +85,23 @@ def live_chunks(
 def gather_deltas(deltas: DataFrame) -> DataFrame:
     """Pieces of streamed replies -> replies. Columns reply_id, seq, delta, finish_reason,
     total_tokens; the last stated reason and usage win. A reply is bounded by its token limit."""
+    return deltas.groupBy("reply_id").agg(*_reply())
+
+
+def live_replies(deltas: DataFrame, *, gap: str = "30 seconds", late: str = "1 minute") -> DataFrame:
+    """The same on a stream with an event time ``at``: a reply is given out once it has been silent for ``gap``."""
+    return (
+        deltas.withWatermark("at", late).groupBy("reply_id", F.session_window("at", gap).alias("w"))
+        .agg(*_reply()).select("reply_id", "text", "finish_reason", "total_tokens")
+    )
+
+
+def _reply() -> list[Column]:
     piece = F.struct("seq", "delta")
-    said = F.struct("seq", "finish_reason")
-    return deltas.groupBy("reply_id").agg(
+    return [
         F.regexp_replace(
             F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["delta"]), ""), r"^\s+|\s+$", ""
         ).alias("text"),
         F.coalesce(F.max_by("finish_reason", F.when(F.col("finish_reason").isNotNull(), F.col("seq"))), F.lit("stop")).alias("finish_reason"),
         F.max_by("total_tokens", F.when(F.col("total_tokens").isNotNull(), F.col("seq"))).alias("total_tokens"),
-    )
+    ]
