@@ -199,25 +199,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCH = 256
 #: Most bits in which candidates differ, in the first 64 and in all 256. Texts of similarity 0.8 differ in 9.7 and 38.8 bits on
 #: average (deviations 2.9 and 5.7), short ones in up to half as many more, as their votes often tie; unrelated ones in 32 and 128.
 WIDE_RADIUS = (22, 72)
 WIDE_TILE = 8192
+#: Most texts and shingles of a block whose sets are compared in memory; a single longer text is a block of its own.
+BLOCK = (512, 500_000)
+#: Shingles in more texts of a block than this are counted by a matrix product, others pair by pair.
+OFTEN = 32
 _WIDE = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
+    T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("whole", T.LongType()),
 ])
 
 
-def wide_print(raw: bytes) -> tuple[int, bytes, bytes]:
-    """Number of different five-word shingles, 256-bit SimHash over them, their smallest 32-bit hashes.
-
-    The sketch holds all hashes of a text of up to SKETCH shingles, so its similarity is exact there.
-    """
+def shingle_set(raw: bytes) -> np.ndarray:
+    """Different 64-bit hashes of the five-word shingles, ascending; a text of fewer words is one shingle."""
     words = raw.lower().split()
     n = len(words)
     if n == 0:
-        return 0, bytes(32), b""
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if n < WORDS:
         hashes = [xxhash.xxh64_digest(joined, 42)]
@@ -226,8 +226,15 @@ def wide_print(raw: bytes) -> tuple[int, bytes, bytes]:
         ends = np.cumsum(lengths + 1) - 1
         begins = (ends - lengths)[: n - WORDS + 1].tolist()
         hashes = [xxhash.xxh64_digest(joined[a:b], 42) for a, b in zip(begins, ends[WORDS - 1:].tolist())]
-    values = np.unique(np.frombuffer(b"".join(hashes), np.uint64))
+    return np.unique(np.frombuffer(b"".join(hashes), np.uint64))
+
+
+def wide_print(raw: bytes) -> tuple[int, bytes, int]:
+    """Number of different five-word shingles, 256-bit SimHash over them, one hash of the whole set."""
+    values = shingle_set(raw)
     m = len(values)
+    if m == 0:
+        return 0, bytes(32), 0
     counts = np.zeros((4, 64), np.int64)
     for at in range(0, m, 65_280):
         part = values[at:at + 65_280]
@@ -236,19 +243,24 @@ def wide_print(raw: bytes) -> tuple[int, bytes, bytes]:
             # the next 64 bits: a mixing step of multiply and shift
             part = (part ^ (part >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             part ^= part >> np.uint64(29)
-    small = np.unique((values >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-    return m, np.packbits(2 * counts > m, axis=1).tobytes(), small.tobytes()
+    whole = xxhash.xxh64_intdigest(values.tobytes(), 42)
+    return m, np.packbits(2 * counts > m, axis=1).tobytes(), whole - (1 << 64 if whole >= 1 << 63 else 0)
 
 
 @F.arrow_udf(_WIDE)
 def _wide_prints(texts: pa.Array) -> pa.Array:
     rows = [wide_print(v or b"") for v in texts.cast(pa.binary()).to_pylist()]
     return pa.StructArray.from_arrays(
-        [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))],
-        names=["n", "print", "sketch"],
+        [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64()))],
+        names=["n", "print", "whole"],
     )
 
 
+@F.arrow_udf(T.BinaryType())
+def _shingle_sets(texts: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(v or b"").tobytes() for v in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
 def _nearest(n: int, left: np.ndarray, right: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Indices of links that form a forest of the smallest differences: what is connected by links below any
     limit stays connected by chosen links below that limit."""
@@ -298,38 +310,110 @@ def _compare_wide(batches):
             yield pa.record_batch([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
 
 
-@F.arrow_udf(T.DoubleType())
-def _similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-    out = []
-    for a, b in zip(left.to_pylist(), right.to_pylist()):
-        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        both = np.union1d(a, b)
-        if max(len(a), len(b)) >= SKETCH:
-            both = both[:SKETCH]
-        common = np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)
-        out.append(len(common) / max(1, len(both)))
-    return pa.array(out, pa.float64())
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j), i < j, of sets of different values whose Jaccard similarity is ``similarity`` or more."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(n), sizes)[order]
+    begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    times = np.diff(np.r_[begins, len(values)])
+    number = np.repeat(np.arange(len(begins)), times)
+    rare = (times <= OFTEN)[number]
+    common = np.zeros(n * n, np.int64)
+    # owners of one value ascend, so a pair is counted at i < j
+    few, whose = number[rare], owner[rare]
+    for step in range(1, OFTEN):
+        both = few[step:] == few[:-step]
+        if not both.any():
+            break
+        common += np.bincount(whose[:-step][both] * n + whose[step:][both], minlength=n * n)
+    common = common.reshape(n, n)
+    often = np.flatnonzero(times > OFTEN)
+    for at in range(0, len(often), 4096):
+        part = often[at:at + 4096]
+        there = np.zeros((n, len(part)), np.float32)
+        for column, value in enumerate(part):
+            there[owner[begins[value]:begins[value] + times[value]], column] = 1
+        common += np.triu(np.rint(there @ there.T).astype(np.int64), 1)
+    either = sizes[:, None] + sizes[None, :] - common
+    return np.nonzero(np.triu(common / np.maximum(either, 1) >= similarity, 1))
+
+
+def _verify(similarity: float):
+    """Rows of (block, node, set), the rows of a block one after another: links that connect its similar sets."""
+
+    def linked(nodes: list[int], sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = similar([np.frombuffer(x, np.uint64) for x in sets], similarity)
+        root = forest(len(nodes), i, j)
+        ends = np.flatnonzero(root != np.arange(len(nodes)))
+        nodes = np.array(nodes, np.int64)
+        return nodes[root[ends]], nodes[ends]
+
+    def run(batches):
+        at, nodes, sets = None, [], []
+        for batch in batches:
+            out = []
+            for block, node, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if block != at:
+                    if len(nodes) > 1:
+                        out.append(linked(nodes, sets))
+                    at, nodes, sets = block, [], []
+                nodes.append(node)
+                sets.append(values)
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
+        if len(nodes) > 1:
+            yield pa.record_batch(list(map(pa.array, linked(nodes, sets))), names=["a", "b"])
+
+    return run
+
+
+def _blocks(nodes: DataFrame, found: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """(node, blocks) of every node that has a candidate: two nodes of one candidate component whose shingle counts allow
+    the similarity share a block. A component that fits is one block; others are cut by level and parts, which meet in pairs."""
+    roots = components(found)
+    groups = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = written(nodes.select("node", "n", "level").join(groups, "node"), "members")
+    parts = F.ceil(F.greatest(F.count("*") / block[0], F.sum("n") / block[1]))
+    whole = members.groupBy("root").agg(parts.alias("whole"))
+    placed = members.join(whole, "root").withColumn("level", F.when(F.col("whole") > 1, F.col("level")).otherwise(0))
+    sizes = written(placed.groupBy("root", "level").agg(parts.alias("parts")), "sizes")
+    tiles = sizes.select("root", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    other = tiles.select("root", F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level"), F.col("level").alias("level_b"),
+                         F.col("part").alias("part_b"))
+    pairs = written(
+        tiles.join(other, ["root", "level"]).filter("level <> level_b or part <= part_b")
+        .withColumn("block", F.monotonically_increasing_id()),
+        "blocks",
+    )
+    ends = pairs.select("root", "level", "part", "block").unionAll(pairs.select("root", "level_b", "part_b", "block")).distinct()
+    meets = ends.groupBy("root", "level", "part").agg(F.collect_list("block").alias("blocks"))
+    dealt = placed.join(sizes, ["root", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return dealt.join(meets, ["root", "level", "part"]).select("node", "blocks")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, tile: int = WIDE_TILE) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, tile: int = WIDE_TILE, block: tuple[int, int] = BLOCK) -> DataFrame:
     """Documents whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more: columns as
     in ``near_duplicates``, with ``node`` for fp.
 
-    Tiles of 256-bit fingerprints are compared as above. Texts that similar have shingle counts within
+    Tiles of 256-bit fingerprints are compared as above and give candidates. Texts that similar have shingle counts within
     a factor of 1 / ``similarity``, so the populations that decide which tile pairs are skipped are the shingle counts.
-    Links found are confirmed on the sketches: exactly up to 256 shingles, within about 0.025 beyond.
+    The candidates of a task are reduced to a forest, which keeps who may belong together; it is no list of links. Inside each
+    component of candidates all pairs are compared on their whole shingle sets, and only similar pairs become links.
     Case of A-Z is ignored. Texts without words are copies of each other; texts of fewer than five words are compared as a whole.
     """
     prints = written(
         docs.select("doc_id", "text").withColumn("w", _wide_prints("text"))
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), "w.n", "w.print", "w.sketch"),
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), "w.n", "w.print", "w.whole"),
         "prints",
     )
     level = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-float(np.log(similarity)))).cast("long")
     # ids are stable from here on: the table is written once
     nodes = written(
-        prints.groupBy("print", "n").agg(F.min("sketch").alias("sketch"))
-        .select("print", "n", "sketch", level.alias("level"), F.monotonically_increasing_id().alias("node")),
+        prints.groupBy("print", "n", "whole").agg(F.min(F.struct("text_hash", "doc_id")).alias("row"))
+        .select("print", "n", "whole", "row", level.alias("level"), F.monotonically_increasing_id().alias("node")),
         "nodes",
     )
     sizes = nodes.groupBy("level").agg(F.ceil(F.count("*") / tile).alias("parts"))
@@ -352,14 +436,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, tile: int = WID
     # tile pairs are few and heavy: deal them out evenly rather than by level
     spread = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = written(spread.mapInArrow(_compare_wide, "a long, b long").distinct(), "found")
-    ends = nodes.select("node", "sketch")
-    sure = (
-        found.join(ends.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(ends.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .filter(_similarity("sketch_a", "sketch_b") >= similarity)
+    wanted = nodes.join(_blocks(nodes, found, block), "node").select("node", "blocks", "row.text_hash", "row.doc_id")
+    keys = written(wanted.select("node", "blocks", "text_hash", F.col("doc_id").alias("_id")), "wanted")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    sets = (
+        texts.join(keys, (texts["text_hash"] == keys["text_hash"]) & texts["doc_id"].eqNullSafe(keys["_id"]))
+        .select("node", "blocks", _shingle_sets("text").alias("shingles"))
+        .select(F.explode("blocks").alias("block"), "node", "shingles")
     )
-    known = prints.join(nodes.select("print", "n", "node"), ["print", "n"]).select("doc_id", "text_hash", "node")
-    return _groups(known, "node", components(sure.select("a", "b")))
+    # rows that repeat id and text come once to a block
+    dealt = sets.repartition("block").dropDuplicates(["block", "node"]).sortWithinPartitions("block")
+    sure = dealt.select("block", "node", "shingles").mapInArrow(_verify(similarity), "a long, b long")
+    known = prints.join(nodes.select("print", "n", "whole", "node"), ["print", "n", "whole"]).select("doc_id", "text_hash", "node")
+    return _groups(known, "node", components(sure))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -113,6 +113,44 @@ def test_near_copies_by_similarity(spark):
     assert found == want
 
 
+def _variants(rng, size, copies, share):
+    """Texts of different words, each with a random ``share`` of the words of one text replaced."""
+    text = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+    for _ in range(copies):
+        words = list(text)
+        for at in rng.sample(range(size), max(1, round(share * size))):
+            words[at] = f"x{rng.randrange(10**9)}"
+        yield " ".join(words)
+
+
+def _components_of(texts):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)})
+    return loop_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def test_near_copies_keep_every_link_at_the_limit(spark):
+    rng = random.Random(11)
+    texts = [t for _ in range(30) for t in _variants(rng, 244, 12, 0.0115)]  # groups whose members lie near 0.8
+    docs = edge.docs(spark, [(k, t, *[None] * 8) for k, t in enumerate(texts)])
+    want = _components_of(texts)
+    assert 30 < len(set(want.values())) < len(texts)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, block=(5, 2000)).collect()} == want
+
+
+def test_similar_sets_match_loop():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 55, replace=False), rng.integers(0, 2**63, k % 4).astype(np.uint64)]) for k in range(50)]
+    sets += [np.empty(0, np.uint64), base[:1], base[:1], np.arange(5, dtype=np.uint64), np.arange(4, dtype=np.uint64)]
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+            if len(set(sets[a]) & set(sets[b])) / max(1, len(set(sets[a]) | set(sets[b]))) >= 0.8}
+    assert set(zip(*(x.tolist() for x in simhash.similar(sets, 0.8)))) == want and (53, 54) in want
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = edge.docs(spark)
     kept = simhash.keep_one(docs, simhash.near_copies(docs))
