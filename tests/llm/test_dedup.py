@@ -141,6 +141,15 @@ def test_near_copies_keep_every_link_at_the_limit(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, block=(5, 2000)).collect()} == want
 
 
+def test_near_copies_of_long_texts_are_exact(spark):
+    rng = random.Random(12)
+    texts = [t for _ in range(40) for t in _variants(rng, 1000, 2, 0.0115)]  # pairs near 0.8 of more than 256 shingles
+    docs = edge.docs(spark, [(k, t, *[None] * 8) for k, t in enumerate(texts)])
+    want = _components_of(texts)
+    assert 40 < len(set(want.values())) < 80
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+
+
 def test_similar_sets_match_loop():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
