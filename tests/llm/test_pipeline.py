@@ -68,6 +68,13 @@ def test_stages_in_turn(spark):
         docs = out
 
 
+def test_boilerplate_goes_from_short_pages_too(spark):
+    passage = "a passage that many sites repeat below a text of their own, longer than that text"
+    rows = [(k, f"own {k}\n{passage}", "en", f"s{k}", 1, *[None] * 5) for k in range(12)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, edge.docs(spark, rows), FOLDER).collect()}
+    assert out == {0: f"own 0\n{passage}", **{k: f"own {k}" for k in range(1, 12)}}
+
+
 def test_stages_on_edge_and_empty_tables(spark):
     for make in (edge.docs, edge.empty):
         docs = make(spark)
