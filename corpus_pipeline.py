@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that spread over many sites go, but for their first occurrence; n_chars follows the text."""
+    """Lines of two or more texts that spread over many sites go, but for their first occurrence; n_chars follows the text."""
     session(spark)
-    cleaned = lines.without_boilerplate(docs, counts=False, spare=False)
+    cleaned = lines.without_boilerplate(docs, counts=False, every_site=True, spare=False)
     lengths = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return cleaned if lengths is None else cleaned.withColumn("n_chars", F.coalesce(lengths, F.col("n_chars")))
 

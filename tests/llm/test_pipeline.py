@@ -75,6 +75,15 @@ def test_boilerplate_goes_from_short_pages_too(spark):
     assert out == {0: f"own 0\n{passage}", **{k: f"own {k}" for k in range(1, 12)}}
 
 
+def test_a_line_has_the_sites_of_all_its_rows(spark):
+    texts = [f"a shared line\nthe rest of this text is its own, number {k}" for k in range(2)]
+    rows = [(k, texts[k % 2], "en", f"s{k}", 1, *[None] * 5) for k in range(12)]  # two texts, each copied to six sites
+    rows += [(50 + k, "one text only\ncopied to many sites", "en", f"s{k}", 1, *[None] * 5) for k in range(12)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, edge.docs(spark, rows), FOLDER).collect()}
+    assert out[0] == texts[0] and all(out[k] == texts[k % 2].split("\n")[1] for k in range(1, 12))
+    assert all(out[50 + k] == "one text only\ncopied to many sites" for k in range(12))
+
+
 def test_stages_on_edge_and_empty_tables(spark):
     for make in (edge.docs, edge.empty):
         docs = make(spark)
