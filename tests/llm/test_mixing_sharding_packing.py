@@ -132,6 +132,18 @@ def test_packing_wastes_little_and_overlaps_nothing():
             assert (offsets[at] == np.cumsum(lengths[at]) - lengths[at]).all() and lengths[at].sum() <= 2048
 
 
+def test_added_tokens_inside_texts_are_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " two  <|endoftext|><|endoftext|>\n end", "<|endoftext", "<|endoftext |>"]
+    docs = edge.docs(spark, [(k, t, *[None] * 8) for k, t in enumerate(texts)])
+    got = {r.doc_id: r.ids for r in packing.pieces(docs, keep_ids=True).collect()}
+    assert got == {k: encoder.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+    assert got[0] == [64, 50256, 65, 0]
+
+
 def test_pieces_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
