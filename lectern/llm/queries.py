@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import divergence, lines, mixing, packing, pii, quality, rules, sharding, simhash, toxicity, vectors
+from lectern.llm import dialogue, divergence, lines, mixing, packing, pii, quality, rules, sharding, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_line_dedup": lines.query,
     "op9_packing": packing.query,
     "op10_quality_rules": rules.query,
+    "op12_dialogue": dialogue.query,
     "op13_divergence": divergence.query,
 }
 
 #: Only where SQL can express the operator.
 SQL: dict[str, str] = {
     "op8_line_dedup": lines.SQL,
+    "op12_dialogue": dialogue.SQL,
     "op13_divergence": divergence.SQL,
 }
