@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import dialogue, divergence, lines, mixing, packing, pii, quality, rules, sharding, simhash, toxicity, vectors
+from lectern.llm import dialogue, divergence, licenses, lines, mixing, packing, pii, quality, rules, sharding, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.query,
     "op9_packing": packing.query,
     "op10_quality_rules": rules.query,
+    "op11_licenses": licenses.query,
     "op12_dialogue": dialogue.query,
     "op13_divergence": divergence.query,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 #: Only where SQL can express the operator.
 SQL: dict[str, str] = {
     "op8_line_dedup": lines.SQL,
+    "op11_licenses": licenses.SQL,
     "op12_dialogue": dialogue.SQL,
     "op13_divergence": divergence.SQL,
 }
