@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words.
 
 1. Sources get targets: weights share a budget, no source more than ``limit`` times its size.
-2. The budget is a number of blocks of ``block`` words. Blocks go to sources by the highest quotients
+2. The budget is a number of equal blocks of words: ``block``, or a ``FINE``-th of the smallest target if that is less, so that a
+   source of a few words comes near its target too. Blocks go to sources by the highest quotients
    target / (2k + 1), then each source's blocks go to its shards the same way, so every shard has an integer quota.
 3. A shard's documents form a stream in the order of a seeded hash, cut into equal blocks. A quota of all blocks
    means every document once (twice at most); the rest is a run of blocks from a seeded start, around the end.
@@ -22,6 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
 BLOCK = 100
+FINE = 20
 SHARD_WORDS = 500_000
 SEED = 42
 
@@ -86,8 +88,11 @@ def apportion(units: DataFrame, group: list[str], unit: str, votes: str, seats:
 def _shards(sized: DataFrame, weights, share: float, limit: float, block: int, shard_words: int, seed: int):
     """Documents with their shard, and per shard its words, blocks and quota."""
     sources = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
-    seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")
-    sources = targets(sources, weights, share, limit).withColumn("_seats", seats)
+    everything = Window.partitionBy(F.lit(1))
+    smallest = F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything), F.lit(0.0))
+    words = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(smallest / FINE))).cast("long")
+    sources = targets(sources, weights, share, limit).withColumn("block", words)
+    sources = sources.withColumn("_seats", F.round(F.sum("target").over(everything) / F.col("block")).cast("long"))
     sources = written(
         apportion(sources, [], "src", "target", "_seats")
         .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
@@ -95,9 +100,9 @@ def _shards(sized: DataFrame, weights, share: float, limit: float, block: int, s
         "sources",
     )
     placed = sized.join(sources, "src").withColumn("shard", F.pmod("key", "shards"))
-    shards = placed.groupBy("src", "shard", "source_quota").agg(F.sum("size").alias("words"))
+    shards = placed.groupBy("src", "shard", "source_quota", "block").agg(F.sum("size").alias("words"))
     quotas = apportion(shards, ["src"], "shard", "words", "source_quota")
-    blocks = F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long")
+    blocks = F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long")
     quotas = (
         quotas.withColumn("blocks", blocks)
         .withColumn("quota", F.least(F.col("quota"), F.lit(int(limit)) * F.col("blocks")))

@@ -73,6 +73,23 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert max(r["count"] for r in whole.groupBy("doc_id").count().collect()) <= 2
 
 
+def test_small_sources_come_near_their_targets(spark):
+    sizes = {"a": 10_000, "b": 5, "c": 3, "d": 200, "e": 41, "f": 1, None: 17}
+    rows = []
+    for s, n in sizes.items():
+        while n:
+            k = min(n, len(rows) % 37 + 1)
+            rows.append((len(rows), " ".join(["w"] * k), "en", s, 1, *[None] * 5))
+            n -= k
+    taken = collections.Counter()
+    source = {r[0]: r[3] for r in rows}
+    for r in mixing.mix(edge.docs(spark, rows)).collect():
+        taken[source[r.doc_id]] += r.taken
+        assert r.taken <= 2 * r.size
+    want = loop_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= max(1, 0.05 * want[s]) for s in sizes), (taken, want)
+
+
 def test_mix_edge_rows(spark):
     docs = edge.docs(spark)
     rows = mixing.mix(docs).collect()
