@@ -121,6 +121,16 @@ def reindex_targets(chunks: DataFrame, embedded: DataFrame, body: Column) -> Dat
 # ------------------------------------------------------------------ listings
 
 
+def course_rows(asked: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """What the tables hold of the asked courses, each row named by its ``kind``. ``asked`` is a table with a video_id, so any
+    number of courses is read in one job; tables share their columns."""
+    out = None
+    for kind, rows in tables.items():
+        found = asked.join(rows, "video_id").withColumn("kind", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def course_list(courses: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """Courses with the number of their chapters, chunks, slides, ...: each child table is counted
     on its own before the join."""

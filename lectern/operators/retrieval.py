@@ -7,6 +7,7 @@ in; word statistics cover the whole index, as the scores of one index do.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,20 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank:
 # ------------------------------------------------------------------ keyword index
 
 
-def postings(docs: DataFrame, body: str = "text", wanted: DataFrame | None = None, marked: bool = False) -> DataFrame:
+class Stored(Protocol):
+    """An index that was written before (``stored.TermIndex``)."""
+
+    def postings(self, wanted: DataFrame) -> DataFrame: ...
+
+    def frequency(self, wanted: DataFrame) -> DataFrame: ...
+
+    def totals(self) -> DataFrame: ...
+
+
+def postings(
+    docs: DataFrame, body: str = "text", wanted: DataFrame | None = None, marked: bool = False,
+    split: Callable[[Column], Column] = text.tokens,
+) -> DataFrame:
     """(document keys, len, term, tf). With ``wanted`` (a table of terms) only those terms, dropped
     before anything is shuffled as long as Spark finds that table small enough to ship. ``marked`` adds an empty
     term to every document, so that lengths can be summed over documents that hold no wanted term.
@@ -37,7 +51,7 @@ def postings(docs: DataFrame, body: str = "text", wanted: DataFrame | None = Non
     """
     keys = [c for c in docs.columns if c != body]
     none = F.array().cast("array<string>")
-    words = docs.select(*keys, F.coalesce(text.tokens(F.col(body)), none).alias("_words"))
+    words = docs.select(*keys, F.coalesce(split(F.col(body)), none).alias("_words"))
     # the length is taken before the explode, so that no row carries the whole array
     listed = F.array_append("_words", F.lit("")) if marked else F.col("_words")
     words = words.select(*keys, F.size("_words").alias("len"), listed.alias("_words"))
@@ -51,7 +65,7 @@ def postings(docs: DataFrame, body: str = "text", wanted: DataFrame | None = Non
 
 
 def bm25(
-    docs: DataFrame,
+    docs: DataFrame | Stored,
     questions: DataFrame,
     *,
     body: str = "text",
@@ -63,14 +77,24 @@ def bm25(
 
     ``docs``: video_id, chunk_id, ``body``; ``questions``: qid, video_id, term (one row per
     distinct term). ``scoped`` keeps documents of the question's own course. Document frequencies
-    are counted from the same postings.
+    are counted from the same postings. ``docs`` may be a stored index: then no text is read.
     """
+    if not isinstance(docs, DataFrame):
+        totals = docs.totals().select(F.struct("n_docs", "avg_len").alias("s")).scalar()
+        found, keys = docs.postings(questions), ["video_id", "chunk_id"]
+        return _scores(found, keys, questions, docs.frequency(questions), totals, scoped, k1, b)
     keys = [c for c in docs.columns if c != body]
     # Written once: the postings of the asked terms are small next to the texts, and all uses
     # below (lengths, frequencies, scores) would otherwise split every text again.
     found = written(postings(docs, body, questions, marked=True), "postings")
     frequency = found.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     stats = found.filter("term = ''").agg(F.struct(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avg_len")).alias("s")).scalar()
+    return _scores(found, keys, questions, frequency, stats, scoped, k1, b)
+
+
+def _scores(
+    found: DataFrame, keys: list[str], questions: DataFrame, frequency: DataFrame, stats: Column, scoped: bool, k1: float, b: float
+) -> DataFrame:
     n_docs, avg_len = stats["n_docs"], stats["avg_len"]
     idf = F.greatest(F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(C.BM25_MIN_IDF))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + b * F.col("len") / avg_len))
@@ -83,7 +107,7 @@ def bm25(
 
 
 def keyword_hits(
-    docs: DataFrame, questions: DataFrame, k: int, rank: str | None = None, *, body: str = "text"
+    docs: DataFrame | Stored, questions: DataFrame, k: int, rank: str | None = None, *, body: str = "text"
 ) -> DataFrame:
     """Best ``k`` per question. Scores are ranked to nine digits: sums of many words differ in the last
     ones from run to run, and ties are to go by id."""
@@ -126,7 +150,7 @@ def fuse(ranked: Sequence[tuple[str, DataFrame]], rrf_k: int = C.RRF_K) -> DataF
 
 
 def candidates(
-    docs: DataFrame, questions: DataFrame, store: DataFrame, asked: DataFrame, *, k: int = C.TOP_K
+    docs: DataFrame | Stored, questions: DataFrame, store: DataFrame, asked: DataFrame, *, k: int = C.TOP_K
 ) -> DataFrame:
     """Keyword and vector hits of every question, max(4k, 20) of each, fused."""
     pool = max(k * 4, 20)
@@ -139,7 +163,7 @@ def candidates(
 
 
 def hybrid(
-    docs: DataFrame,
+    docs: DataFrame | Stored,
     questions: DataFrame,
     store: DataFrame,
     asked: DataFrame,
@@ -204,6 +228,7 @@ def search(
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     k: int = C.TOP_K,
     head: int = max(C.RERANK_TOP_N * 6, 20),
+    index: Stored | None = None,
 ) -> DataFrame:
     """The whole in-course search of a batch of questions: qid, video_id, chunk_id, score, sources, rank.
 
@@ -214,7 +239,8 @@ def search(
     without any candidate in its course falls back to the opening of its chapter or course.
     """
     pool = max(k * 4, 20)
-    fused = settle(candidates(docs.select("video_id", "chunk_id", "text"), questions, store, vectors_asked, k=k))
+    texts = docs.select("video_id", "chunk_id", "text") if index is None else index
+    fused = settle(candidates(texts, questions, store, vectors_asked, k=k))
     wish = asked.select("qid", "chapter_id", "at_ms")
     places = docs.select("video_id", "chunk_id", "parent_id", "start_ms")
     rows = fused.join(wish, "qid").join(places, ["video_id", "chunk_id"])

@@ -2,25 +2,74 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import clock, text
 from lectern.operators import retrieval
+from lectern.operators.retrieval import Stored
 
 HIT = ("qid", "stage", "pos", "idx", "start_ms", "end_ms", "text", "score", "source")
 
 
-def _like(rows: DataFrame, asked: DataFrame, fields: list[str], k: int) -> DataFrame:
-    """First ``k`` rows by time whose fields hold the question's text, ignoring case."""
-    needle = F.lower(F.col("q"))
+@dataclass
+class Indexes:
+    """Stored indexes of a library: words of sentences and chunks, three-character pieces of all that is searched by substring.
+    Documents of an index are named (video_id, key)."""
+
+    segment_words: Stored
+    chunk_words: Stored
+    segments: Stored
+    chunks: Stored
+    slides: Stored
+    chapters: Stored
+
+
+def _holds(fields: list[str]) -> Column:
     hit = None
     for f in fields:
-        one = F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), needle)
+        one = F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lower(F.col("q")))
         hit = one if hit is None else hit | one
-    pairs = rows.join(asked, "video_id").filter(hit)
-    return retrieval.top(pairs, ["qid"], [F.col("start_ms"), F.col("idx")], k, "pos")
+    return hit
+
+
+def like_pairs(rows: DataFrame, asked: DataFrame, fields: list[str], pieces: Stored | None = None) -> DataFrame:
+    """Rows (video_id, key, ...) whose fields hold the text ``q`` of a question of their course, ignoring case.
+
+    With an index a question meets only the rows that hold its rarest piece of three characters in its course; a question
+    without a whole piece, and every question without an index, meets all rows of its course.
+    """
+    if pieces is None:
+        return rows.join(asked, "video_id").filter(_holds(fields))
+    asked = asked.select("qid", "video_id", "q")
+    needles = asked.select("qid", "video_id", F.explode(piece_list(F.col("q"))).alias("term"))
+    # the postings of the asked pieces, of the asked courses
+    found = pieces.postings(needles).select("video_id", "chunk_id", "term").join(needles.select("video_id", "term").distinct(), ["video_id", "term"])
+    found = retrieval.written(found, "pieces")
+    common = found.groupBy("video_id", "term").agg(F.count("*").alias("n"))
+    rarest = needles.join(common, ["video_id", "term"], "left").groupBy("qid", "video_id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("term"))).alias("r")
+    )
+    places = (
+        rarest.filter("r.n > 0").select("qid", "video_id", F.col("r.term").alias("term")).join(found, ["video_id", "term"])
+        .select("qid", "video_id", F.col("chunk_id").alias("key"))
+    )
+    long = rows.join(places, ["video_id", "key"]).join(asked.select("qid", "q"), "qid")
+    short = rows.join(asked.filter(F.length(F.lower("q")) < 3), "video_id")
+    return long.unionByName(short).filter(_holds(fields))
+
+
+def piece_list(body: Column) -> Column:
+    """Distinct runs of three characters of the lower-cased text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"(?s)(?=(...))"), F.lit(1)))
+
+
+def _like(rows: DataFrame, asked: DataFrame, fields: list[str], k: int, pieces: Stored | None = None) -> DataFrame:
+    """First ``k`` rows by time whose fields hold the question's text, ignoring case."""
+    return retrieval.top(like_pairs(rows, asked, fields, pieces), ["qid"], [F.col("start_ms"), F.col("idx")], k, "pos")
 
 
 def _stage(rows: DataFrame, number: int, body: Column, score: Column, source: str) -> DataFrame:
@@ -40,23 +89,29 @@ def course_search(
     chapters: DataFrame,
     k: int = C.SEARCH_TOP_K,
     cut: bool = True,
+    indexes: Indexes | None = None,
 ) -> DataFrame:
     """``asked``: qid, video_id, q (blank questions find nothing); ``terms``: qid, video_id, term.
 
     Recognised speech often gets names wrong that slides and titles get right, so all are searched.
     Near-equal places (same ``start_ms`` bucket) show once; the earliest stage wins, then the rest
-    is ordered by score (``cut=False`` stops before that).
+    is ordered by score (``cut=False`` stops before that). ``indexes`` are the stored indexes of the four tables, whose rows
+    they name by ``seg_key``, ``chunk_id``, and the number of a slide or chapter.
     """
     asked = asked.filter(text.strip(F.col("q")) != "")
     q = F.col("q")
 
-    def indexed(rows, body):
-        keyed = rows.select("video_id", "chunk_id", body.alias("text"))
+    def indexed(rows, body, words):
+        keyed = rows.select("video_id", "chunk_id", body.alias("text")) if words is None else words
         hits = retrieval.keyword_hits(keyed, terms, k, "pos").withColumnRenamed("score", "bm")
         return hits.join(rows, ["video_id", "chunk_id"]).join(asked.select("qid", "q"), "qid")
 
-    seg_hits = indexed(segments.withColumnRenamed("seg_key", "chunk_id"), F.col("text"))
-    chunk_hits = indexed(chunks, text.fused_text(F.col("text"), F.col("ocr_text")))
+    def like(rows, key, fields, pieces):
+        return _like(rows.withColumn("key", F.col(key).cast("string")), asked, fields, k, pieces)
+
+    ix = indexes or Indexes(*[None] * 6)
+    seg_hits = indexed(segments.withColumnRenamed("seg_key", "chunk_id"), F.col("text"), ix.segment_words)
+    chunk_hits = indexed(chunks, text.fused_text(F.col("text"), F.col("ocr_text")), ix.chunk_words)
     chunk_snip = text.snippet(q, F.col("title"), F.col("ocr_text"), F.col("text"))
     like_snip = text.snippet(q, F.col("title"), F.col("summary"), F.col("ocr_text"), F.col("text"))
     slide_snip = F.concat(
@@ -66,11 +121,11 @@ def course_search(
     chapter_line = F.concat(F.lit("[章节] "), text.chapter_title(F.col("title"), F.col("idx")))
     stages = [
         _stage(seg_hits, 1, F.col("text"), F.col("bm") + C.STAGE_SEGMENT_INDEX, "segment"),
-        _stage(_like(segments, asked, ["text"], k), 2, F.col("text"), F.lit(C.STAGE_SEGMENT_LIKE), "segment"),
+        _stage(like(segments, "seg_key", ["text"], ix.segments), 2, F.col("text"), F.lit(C.STAGE_SEGMENT_LIKE), "segment"),
         _stage(chunk_hits, 3, chunk_snip, F.col("bm") + C.STAGE_CHUNK_INDEX, "chunk"),
-        _stage(_like(chunks, asked, ["title", "summary", "ocr_text", "text"], k), 4, like_snip, F.lit(C.STAGE_CHUNK_LIKE), "chunk"),
-        _stage(_like(slides, asked, ["ocr_text"], k), 5, slide_snip, F.lit(C.STAGE_SLIDE_LIKE), "slide"),
-        _stage(_like(chapters, asked, ["title", "summary"], k), 6, chapter_line, F.lit(C.STAGE_CHAPTER_LIKE), "chapter"),
+        _stage(like(chunks, "chunk_id", ["title", "summary", "ocr_text", "text"], ix.chunks), 4, like_snip, F.lit(C.STAGE_CHUNK_LIKE), "chunk"),
+        _stage(like(slides, "idx", ["ocr_text"], ix.slides), 5, slide_snip, F.lit(C.STAGE_SLIDE_LIKE), "slide"),
+        _stage(like(chapters, "idx", ["title", "summary"], ix.chapters), 6, chapter_line, F.lit(C.STAGE_CHAPTER_LIKE), "chapter"),
     ]
     union = stages[0]
     for s in stages[1:]:
@@ -101,12 +156,13 @@ def cross_course(
     titles: DataFrame,
     *,
     per_course: int = C.CROSS_PER_COURSE,
+    index: Stored | None = None,
 ) -> DataFrame:
     """Best chunks over all courses: top ``per_course`` of each course, then one cut over all.
 
     Only the survivors (a few per question) are joined with their texts.
     """
-    scores = retrieval.bm25(chunks.select("video_id", "chunk_id", "text"), terms, scoped=False)
+    scores = retrieval.bm25(chunks.select("video_id", "chunk_id", "text") if index is None else index, terms, scoped=False)
     each = retrieval.top(scores, ["qid", "video_id"], [F.round("score", 9).desc(), F.col("chunk_id")], per_course)
     best = retrieval.top(each, ["qid"], [F.round("score", 9).desc(), F.col("chunk_id")], max(8, per_course * 2), "rank")
     return (

@@ -7,18 +7,35 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import text as X
 from lectern.operators import library as L, retrieval as R, search as S
-from lectern.plans import adapters as A
+from lectern.plans import adapters as A, shelves
 from lectern.plans.context import label_sql
 from lectern.plans.registry import query
+from lectern.plans.views import VIEWS
 from lectern.session import work_path, written
 
 # ------------------------------------------------------------------ reads and listings
 
 
-@query("course_reads", "video_id string, idx long, chunk_id string, start_ms long", """
-SELECT video_id, idx, chunk_id, start_ms FROM v_docs WHERE video_id = 'src3'""")
+@query("course_reads", "asked string, kind string, video_id string, id string, start_ms long, body string", """
+WITH asked AS (SELECT DISTINCT 'c' || item_id AS asked, 'src' || CAST(item_id % 20 AS VARCHAR) AS video_id FROM benchmark)
+---
+SELECT asked, 'chunk' AS kind, a.video_id, chunk_id AS id, start_ms, text AS body FROM asked a JOIN v_docs d ON d.video_id = a.video_id
+UNION ALL SELECT asked, 'slide', a.video_id, chunk_id, start_ms, ocr_text FROM asked a JOIN v_docs d ON d.video_id = a.video_id AND d.ocr_text <> ''
+UNION ALL SELECT asked, 'chapter', a.video_id, chapter_id, start_ms, summary FROM asked a JOIN v_doc_chapters d ON d.video_id = a.video_id
+UNION ALL SELECT asked, 'vector', a.video_id, chunk_id, NULL, CAST(len(vec) AS VARCHAR) FROM asked a JOIN v_vectors d ON d.video_id = a.video_id
+UNION ALL SELECT asked, 'session', a.video_id, CAST(session_id AS VARCHAR), NULL, title FROM asked a JOIN v_sessions d ON d.video_id = a.video_id""")
 def course_reads(t):
-    return A.docs(t).filter("video_id = 'src3'").orderBy("idx")
+    """all that belongs to the courses somebody asks for"""
+    asked = t.benchmark.select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("asked"), A.course_of(F.col("item_id")).alias("video_id")).distinct()
+    docs, text = A.docs(t), lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("long")
+    return L.course_rows(asked, {
+        "chunk": docs.select("video_id", F.col("chunk_id").alias("id"), "start_ms", F.col("text").alias("body")),
+        "slide": docs.filter("ocr_text <> ''").select("video_id", F.col("chunk_id").alias("id"), "start_ms", F.col("ocr_text").alias("body")),
+        "chapter": A.doc_chapters(t).select("video_id", F.col("chapter_id").alias("id"), "start_ms", F.col("summary").alias("body")),
+        "vector": A.vectors(t).select("video_id", F.col("chunk_id").alias("id"), none.alias("start_ms"), F.size("vec").cast("string").alias("body")),
+        "session": A.sessions(t).select("video_id", text("session_id").alias("id"), none.alias("start_ms"), F.col("title").alias("body")),
+    })
 
 
 @query("resolve_course", "token string, video_id string, matches long", """
@@ -211,6 +228,54 @@ def patch_columns(t):
     return L.patch(A.docs(t).select("chunk_id", "title", "summary"), changes, ["chunk_id"])
 
 
+# Courses of every fourth number are replaced by their even chunks with a longer text; then every fifth chunk gets another text,
+# every seventh another title; courses of number 7 go.
+VIEWS["l_changed"] = """
+SELECT video_id, chunk_id, idx, CASE WHEN idx % 7 = 0 THEN 'renamed ' || idx ELSE title END AS title,
+  CASE WHEN idx % 5 = 0 THEN CASE WHEN CAST(video_id[4:] AS BIGINT) % 4 = 0 THEN text || ' zusatz ' || idx ELSE text END || ' patched again' WHEN CAST(video_id[4:] AS BIGINT) % 4 = 0 THEN text || ' zusatz ' || idx ELSE text END AS text
+FROM v_docs WHERE (CAST(video_id[4:] AS BIGINT) % 4 <> 0 OR idx % 2 = 0) AND CAST(video_id[4:] AS BIGINT) <> 7"""
+VIEWS["l_tokens"] = r"""
+SELECT video_id, chunk_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS toks FROM l_changed"""
+
+
+def _changed_library(t):
+    number = F.substring("video_id", 4, 10).cast("long")
+    n = F.col("idx")
+    chunks = A.docs(t).select("video_id", "chunk_id", "idx", "title", "text")
+    # a stand-in for an embedder: two numbers of a text
+    embed = lambda rows: rows.select("video_id", "chunk_id", F.array(F.length("text").cast("double"), F.size(X.tokens(F.col("text"))).cast("double")).alias("vec"))
+    library = shelves.temporary_library(t)
+    library.create(chunks, embed(chunks))
+    new = chunks.filter((number % 4 == 0) & (n % 2 == 0)).withColumn("text", F.concat("text", F.lit(" zusatz "), n.cast("string")))
+    library.replace(new, embed(new))
+    text = F.when(n % 5 == 0, F.concat("text", F.lit(" patched again")))
+    title = F.when(n % 7 == 0, F.concat(F.lit("renamed "), n.cast("string")))
+    changes = library.chunks.all().filter((n % 5 == 0) | (n % 7 == 0)).select("video_id", "chunk_id", text.alias("text"), title.alias("title"))
+    library.patch(written(changes, "changes"), embed)
+    library.purge(t.spark.range(1).select(F.lit("src7").alias("video_id")))
+    return library
+
+
+@query("index_refresh", "qid long, video_id string, chunk_id string, score double", f"""
+SELECT q.qid, h.video_id, h.chunk_id, sum(greatest(ln((s.n - d.df + 0.5) / (d.df + 0.5)), {C.BM25_MIN_IDF})
+  * h.tf * {C.BM25_K1 + 1} / (h.tf + {C.BM25_K1} * ({1 - C.BM25_B} + {C.BM25_B} * h.dl / s.avgdl))) AS score
+FROM v_questions q JOIN (SELECT video_id, chunk_id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(toks) AS term FROM l_tokens) GROUP BY ALL) h ON h.term = q.term
+JOIN (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(toks) AS term FROM l_tokens) GROUP BY term) d ON d.term = q.term
+CROSS JOIN (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM l_tokens) s GROUP BY ALL""")
+def index_refresh(t):
+    """keyword scores after replaced, patched and purged courses: signed differences against an index built anew"""
+    return R.bm25(_changed_library(t).words, A.questions(t), scoped=False)
+
+
+@query("library_refresh", "video_id string, chunk_id string, title string, text string, chars long, words long", """
+SELECT c.video_id, c.chunk_id, c.title, c.text, length(c.text) AS chars, len(k.toks) AS words FROM l_changed c JOIN l_tokens k ON k.chunk_id = c.chunk_id""")
+def library_refresh(t):
+    """chunks with their vectors after the same changes"""
+    library = _changed_library(t)
+    vectors = library.vectors.all().select("video_id", "chunk_id", F.col("vec")[0].alias("chars"), F.col("vec")[1].alias("words"))
+    return library.chunks.all().join(vectors, ["video_id", "chunk_id"])
+
+
 @query("embedding_upsert", "video_id string, chunk_id string, pos long, x double", """
 SELECT video_id, chunk_id, unnest(range(0, len(vec))) AS pos, unnest(list_transform(vec, lambda x: CASE WHEN idx % 2 = 0 THEN -x ELSE x END)) AS x FROM v_vectors""")
 def embedding_upsert(t):
@@ -282,8 +347,6 @@ def reindex_targets(t):
 # A course is a user: sentences from events; chunks are the user's events by day, titled by type;
 # slides are its views; one chapter per week. Questions are two words of the user's own log.
 
-from lectern.plans.views import VIEWS  # noqa: E402
-
 VIEWS["s_asked"] = """SELECT user_id AS qid, 'u' || user_id AS video_id, CASE user_id % 4 WHEN 0 THEN 'signup {"k": 5' WHEN 1 THEN 'k": 7' WHEN 2 THEN 'error' ELSE 'VIEW' END AS q FROM (SELECT DISTINCT user_id FROM events)"""
 VIEWS["s_terms"] = r"""SELECT DISTINCT qid, video_id, unnest(list_filter(regexp_split_to_array(lower(q), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 2)) AS term FROM s_asked"""
 VIEWS["s_chunks"] = """SELECT video_id, start_ms // 86400 AS idx, video_id || '-c' || printf('%04d', start_ms // 86400) AS chunk_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
@@ -325,14 +388,8 @@ UNION ALL SELECT a.qid, 6, row_number() OVER (PARTITION BY a.qid ORDER BY c.star
 VIEWS["s_once"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, start_ms // 2000 ORDER BY stage, pos) AS rn FROM s_stages) WHERE rn = 1"""
 
 
-def _search_inputs(t):
+def _course_tables(t):
     s = A.segments(t)
-    asked_q = F.col("user_id") % 4
-    asked = t.events.select("user_id").distinct().select(
-        F.col("user_id").alias("qid"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"),
-        F.when(asked_q == 0, 'signup {"k": 5').when(asked_q == 1, 'k": 7').when(asked_q == 2, "error").otherwise("VIEW").alias("q"),
-    )
-    terms = asked.select("qid", "video_id", F.explode(X.query_terms(F.col("q"))).alias("term"))
     segments = s.select(
         "video_id", F.col("seg_id").alias("idx"), F.concat("video_id", F.lit("-s"), F.format_string("%08d", "seg_id")).alias("seg_key"),
         "start_ms", "end_ms", "text",
@@ -347,10 +404,18 @@ def _search_inputs(t):
     chapters = s.groupBy("video_id", week.alias("idx")).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("text").alias("_first"), F.max("text").alias("summary")
     ).withColumn("title", F.when(F.col("idx") % 2 == 0, F.col("_first")).otherwise("")).drop("_first")
-    # a library has these as tables
-    chunks, chapters = written(chunks, "chunks"), written(chapters, "chapters")
     slides = A.slides(t).withColumnRenamed("slide_id", "idx")
-    return dict(asked=asked, terms=terms, segments=segments, chunks=chunks, slides=slides, chapters=chapters)
+    return dict(segments=segments, chunks=chunks, slides=slides, chapters=chapters)
+
+
+def _search_inputs(t):
+    asked_q = F.col("user_id") % 4
+    asked = t.events.select("user_id").distinct().select(
+        F.col("user_id").alias("qid"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"),
+        F.when(asked_q == 0, 'signup {"k": 5').when(asked_q == 1, 'k": 7').when(asked_q == 2, "error").otherwise("VIEW").alias("q"),
+    )
+    terms = asked.select("qid", "video_id", F.explode(X.query_terms(F.col("q"))).alias("term"))
+    return dict(asked=asked, terms=terms, **shelves.course_library(t, lambda: _course_tables(t)))
 
 
 @query("course_search", "qid long, rank long, idx long, start_ms long, end_ms long, text string, score double, source string", """

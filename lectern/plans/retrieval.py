@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import text, vectors
 from lectern.operators import retrieval as R, search as S
-from lectern.plans import adapters as A
+from lectern.plans import adapters as A, shelves
 from lectern.plans.registry import query
 
 
@@ -15,6 +15,11 @@ def bodies(t):
     return A.docs(t).select("video_id", "chunk_id", "text")
 
 
+def words(t):
+    """the stored keyword index of the documents"""
+    return shelves.chunk_words(t, lambda: bodies(t))
+
+
 @query("query_terms", "item_id long, terms string", r"""
 WITH w AS (SELECT item_id, word, pos FROM (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
   FROM (SELECT item_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2) AS ws FROM benchmark)))
@@ -33,14 +38,14 @@ def bm25_postings(t):
 @query("bm25_search", "qid long, video_id string, chunk_id string, score double",
        "SELECT qid, video_id, chunk_id, score FROM v_bm25 WHERE doc_video = video_id")
 def bm25_search(t):
-    return R.bm25(bodies(t), A.questions(t))
+    return R.bm25(words(t), A.questions(t))
 
 
 @query("keyword_topk", "qid long, chunk_id string, score double, rank long", """
 SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank
   FROM v_bm25 WHERE doc_video = video_id) WHERE rank < 8""")
 def keyword_topk(t):
-    return R.keyword_hits(bodies(t), A.questions(t), C.TOP_K, "rank")
+    return R.keyword_hits(words(t), A.questions(t), C.TOP_K, "rank")
 
 
 @query("l2_normalise", "vec_id long, pos long, x double", """
@@ -58,7 +63,7 @@ def vector_topk(t):
 
 
 def _candidates(t):
-    return R.candidates(bodies(t), A.questions(t), A.vectors(t), A.question_vectors(t))
+    return R.candidates(words(t), A.questions(t), A.vectors(t), A.question_vectors(t))
 
 
 @query("rrf_ranks", "qid long, chunk_id string, score double, sources string", "SELECT qid, chunk_id, score, sources FROM v_fused")
@@ -73,7 +78,7 @@ FROM ({inner})) WHERE rank < 8"""
 
 @query("hybrid_rrf", "qid long, chunk_id string, score double, sources string, rank long", _top8("SELECT * FROM v_fused"))
 def hybrid_rrf(t):
-    hits = R.hybrid(bodies(t), A.questions(t), A.vectors(t), A.question_vectors(t))
+    hits = R.hybrid(words(t), A.questions(t), A.vectors(t), A.question_vectors(t))
     return hits.withColumn("sources", F.array_join("sources", "+"))
 
 
@@ -95,7 +100,7 @@ def hybrid_in_chapter(t):
     parity = A.docs(t).select("chunk_id", "video_id", (F.col("chapter_idx") % 2).alias("p"))
     asked = A.question_vectors(t).select("qid", "video_id", (F.col("qid") % 2).alias("p"))
     within = asked.join(parity, ["video_id", "p"]).select("qid", "chunk_id")
-    hits = R.hybrid(bodies(t), A.questions(t), A.vectors(t), A.question_vectors(t), within=within)
+    hits = R.hybrid(words(t), A.questions(t), A.vectors(t), A.question_vectors(t), within=within)
     return hits.withColumn("sources", F.array_join("sources", "+"))
 
 
@@ -139,7 +144,7 @@ def hybrid_search(t):
     def scorer(hits):
         return hits.join(docs.select("chunk_id", (F.length("text") % 97).cast("double").alias("new_score")), "chunk_id").select("qid", "chunk_id", "new_score")
 
-    found = R.search(asked, docs, A.questions(t).unionByName(nothing), A.vectors(t), A.question_vectors(t), scorer=scorer)
+    found = R.search(asked, docs, A.questions(t).unionByName(nothing), A.vectors(t), A.question_vectors(t), scorer=scorer, index=words(t))
     return found.withColumn("sources", F.array_join("sources", "+"))
 
 
@@ -159,7 +164,7 @@ def search_fallback(t):
         F.col("id").alias("qid"), "video_id", F.when(sid % 3 == 0, nothing).otherwise(F.col("content")).alias("content")
     )
     terms = asked.select("qid", "video_id", F.explode(text.query_terms(F.col("content"))).alias("term"))
-    found = R.keyword_hits(bodies(t), terms, 32)
+    found = R.keyword_hits(words(t), terms, 32)
     return R.fallback(asked, found, A.docs(t))
 
 
@@ -177,7 +182,7 @@ SELECT b.qid, b.doc_video AS video_id, b.chunk_id, 'Course ' || b.doc_video AS t
   CASE WHEN d.start_ms // 3600000 > 0 THEN printf('%02d:%02d:%02d', d.start_ms // 3600000, d.start_ms // 60000 % 60, d.start_ms // 1000 % 60) ELSE printf('%02d:%02d', d.start_ms // 60000, d.start_ms // 1000 % 60) END AS label,
   d.text[1:240] AS text, b.score, b.rank FROM best b JOIN v_docs d ON d.chunk_id = b.chunk_id WHERE rank < 10""")
 def cross_course_search(t):
-    return S.cross_course(A.questions(t), A.docs(t), A.courses(t))
+    return S.cross_course(A.questions(t), A.docs(t), A.courses(t), index=words(t))
 
 
 @query("cross_topk", "qid long, chunk_id string, score double, rank long", """
@@ -185,9 +190,9 @@ WITH per AS (SELECT qid, doc_video, chunk_id, score, row_number() OVER (PARTITIO
 ---
 SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM per WHERE rn <= 2) WHERE rank < 8""")
 def cross_topk(t):
-    scores = R.bm25(bodies(t), A.questions(t), scoped=False)
-    each = R.top(scores, ["qid", "video_id"], [F.col("score").desc(), F.col("chunk_id")], 2)
-    return R.top(each, ["qid"], [F.col("score").desc(), F.col("chunk_id")], 8, "rank")
+    scores = R.bm25(words(t), A.questions(t), scoped=False)
+    order = [F.round("score", 9).desc(), F.col("chunk_id")]
+    return R.top(R.top(scores, ["qid", "video_id"], order, 2), ["qid"], order, 8, "rank")
 
 
 @query("series_evidence", "qid long, evidence string", """
