@@ -11,55 +11,19 @@ from lectern import constants as C
 from lectern.functions import clock, text
 from lectern.operators import retrieval
 from lectern.operators.retrieval import Stored
+from lectern.session import written
 
 HIT = ("qid", "stage", "pos", "idx", "start_ms", "end_ms", "text", "score", "source")
 
 
 @dataclass
 class Indexes:
-    """Stored indexes of a library: words of sentences and chunks, three-character pieces of all that is searched by substring.
-    Documents of an index are named (video_id, key)."""
+    """Stored indexes of a library: words of sentences, words of chunks, and three-character pieces of everything that is searched
+    by substring (documents (video_id, key) of ``searchable``)."""
 
     segment_words: Stored
     chunk_words: Stored
-    segments: Stored
-    chunks: Stored
-    slides: Stored
-    chapters: Stored
-
-
-def _holds(fields: list[str]) -> Column:
-    hit = None
-    for f in fields:
-        one = F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lower(F.col("q")))
-        hit = one if hit is None else hit | one
-    return hit
-
-
-def like_pairs(rows: DataFrame, asked: DataFrame, fields: list[str], pieces: Stored | None = None) -> DataFrame:
-    """Rows (video_id, key, ...) whose fields hold the text ``q`` of a question of their course, ignoring case.
-
-    With an index a question meets only the rows that hold its rarest piece of three characters in its course; a question
-    without a whole piece, and every question without an index, meets all rows of its course.
-    """
-    if pieces is None:
-        return rows.join(asked, "video_id").filter(_holds(fields))
-    asked = asked.select("qid", "video_id", "q")
-    needles = asked.select("qid", "video_id", F.explode(piece_list(F.col("q"))).alias("term"))
-    # the postings of the asked pieces, of the asked courses
-    found = pieces.postings(needles).select("video_id", "chunk_id", "term").join(needles.select("video_id", "term").distinct(), ["video_id", "term"])
-    found = retrieval.written(found, "pieces")
-    common = found.groupBy("video_id", "term").agg(F.count("*").alias("n"))
-    rarest = needles.join(common, ["video_id", "term"], "left").groupBy("qid", "video_id").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("term"))).alias("r")
-    )
-    places = (
-        rarest.filter("r.n > 0").select("qid", "video_id", F.col("r.term").alias("term")).join(found, ["video_id", "term"])
-        .select("qid", "video_id", F.col("chunk_id").alias("key"))
-    )
-    long = rows.join(places, ["video_id", "key"]).join(asked.select("qid", "q"), "qid")
-    short = rows.join(asked.filter(F.length(F.lower("q")) < 3), "video_id")
-    return long.unionByName(short).filter(_holds(fields))
+    pieces: Stored
 
 
 def piece_list(body: Column) -> Column:
@@ -67,15 +31,63 @@ def piece_list(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"(?s)(?=(...))"), F.lit(1)))
 
 
-def _like(rows: DataFrame, asked: DataFrame, fields: list[str], k: int, pieces: Stored | None = None) -> DataFrame:
-    """First ``k`` rows by time whose fields hold the question's text, ignoring case."""
-    return retrieval.top(like_pairs(rows, asked, fields, pieces), ["qid"], [F.col("start_ms"), F.col("idx")], k, "pos")
+FIELDS = ("title", "summary", "ocr_text", "text")
+#: kind -> (stage, score, the row's name within its course, fields that are searched)
+_KINDS = {
+    "segment": (2, C.STAGE_SEGMENT_LIKE, "seg_key", ("text",)),
+    "chunk": (4, C.STAGE_CHUNK_LIKE, "chunk_id", FIELDS),
+    "slide": (5, C.STAGE_SLIDE_LIKE, "idx", ("ocr_text",)),
+    "chapter": (6, C.STAGE_CHAPTER_LIKE, "idx", ("title", "summary")),
+}
 
 
-def _stage(rows: DataFrame, number: int, body: Column, score: Column, source: str) -> DataFrame:
+def searchable(segments: DataFrame, chunks: DataFrame, slides: DataFrame, chapters: DataFrame) -> DataFrame:
+    """All rows that substring search looks at: video_id, kind, key, idx, start_ms, end_ms and the fields it looks at."""
+    out = None
+    for (kind, (_, _, key, fields)), rows in zip(_KINDS.items(), (segments, chunks, slides, chapters)):
+        part = rows.select(
+            "video_id", F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), F.col(key).cast("string")).alias("key"),
+            F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms",
+            *[(F.col(f) if f in fields else F.lit(None).cast("string")).alias(f) for f in FIELDS],
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def like_pairs(rows: DataFrame, asked: DataFrame, pieces: Stored | None = None) -> DataFrame:
+    """Rows of ``searchable`` with a field that holds the text ``q`` of a question of their course, ignoring case.
+
+    With an index a question meets, of each kind, only the rows that hold its rarest piece of three characters in its course; one
+    without a whole piece asks for the empty term, which every row has. Without an index it meets all rows of its course.
+    """
+    held = [F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lower(F.col("q"))) for f in FIELDS]
+    if pieces is None:
+        pairs = rows.join(asked, "video_id")
+    else:
+        own = F.when(F.length(F.lower("q")) < 3, F.array(F.lit(""))).otherwise(piece_list(F.col("q")))
+        needles = asked.select("qid", "video_id", F.explode(own).alias("term"))
+        wanted = needles.select("video_id", "term").distinct()
+        found = pieces.postings(wanted).select("video_id", "term", F.col("chunk_id").alias("key")).join(wanted, ["video_id", "term"])
+        found = written(found.withColumn("kind", F.substring_index("key", ":", 1)), "pieces")
+        counts = found.groupBy("video_id", "term", "kind").agg(F.count("*").alias("n"))
+        kinds = F.explode(F.array(*map(F.lit, _KINDS))).alias("kind")
+        rarest = needles.select("*", kinds).join(counts, ["video_id", "term", "kind"], "left").groupBy("qid", "video_id", "kind").agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("term"))).alias("r")
+        )
+        chosen = rarest.filter("r.n > 0").select("qid", "video_id", "kind", F.col("r.term").alias("term"))
+        places = chosen.join(found, ["video_id", "term", "kind"]).select("qid", "video_id", "key").join(asked.select("qid", "q"), "qid")
+        pairs = rows.join(places, ["video_id", "key"])
+    hit = held[0]
+    for one in held[1:]:
+        hit = hit | one
+    return pairs.filter(hit)
+
+
+def _stage(rows: DataFrame, number: Column | int, body: Column, score: Column, source: Column) -> DataFrame:
+    number = F.lit(number) if isinstance(number, int) else number
     return rows.select(
-        "qid", F.lit(number).alias("stage"), "pos", "idx", "start_ms", "end_ms",
-        body.alias("text"), score.cast("double").alias("score"), F.lit(source).alias("source"),
+        "qid", number.alias("stage"), "pos", F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms",
+        body.alias("text"), score.cast("double").alias("score"), source.alias("source"),
     )
 
 
@@ -95,23 +107,21 @@ def course_search(
 
     Recognised speech often gets names wrong that slides and titles get right, so all are searched.
     Near-equal places (same ``start_ms`` bucket) show once; the earliest stage wins, then the rest
-    is ordered by score (``cut=False`` stops before that). ``indexes`` are the stored indexes of the four tables, whose rows
-    they name by ``seg_key``, ``chunk_id``, and the number of a slide or chapter.
+    is ordered by score (``cut=False`` stops before that). ``indexes`` are the stored indexes of the four tables; sentences
+    and chunks are named there by ``seg_key`` and ``chunk_id``.
     """
-    asked = asked.filter(text.strip(F.col("q")) != "")
+    asked = written(asked.filter(text.strip(F.col("q")) != "").select("qid", "video_id", "q"), "asked")
+    terms = terms.select("qid", "video_id", "term")
+    ix = indexes or Indexes(None, None, None)
     q = F.col("q")
 
-    def indexed(rows, body, words):
+    def ranked(rows, body, words):
         keyed = rows.select("video_id", "chunk_id", body.alias("text")) if words is None else words
         hits = retrieval.keyword_hits(keyed, terms, k, "pos").withColumnRenamed("score", "bm")
         return hits.join(rows, ["video_id", "chunk_id"]).join(asked.select("qid", "q"), "qid")
 
-    def like(rows, key, fields, pieces):
-        return _like(rows.withColumn("key", F.col(key).cast("string")), asked, fields, k, pieces)
-
-    ix = indexes or Indexes(*[None] * 6)
-    seg_hits = indexed(segments.withColumnRenamed("seg_key", "chunk_id"), F.col("text"), ix.segment_words)
-    chunk_hits = indexed(chunks, text.fused_text(F.col("text"), F.col("ocr_text")), ix.chunk_words)
+    seg_hits = ranked(segments.withColumnRenamed("seg_key", "chunk_id"), F.col("text"), ix.segment_words)
+    chunk_hits = ranked(chunks, text.fused_text(F.col("text"), F.col("ocr_text")), ix.chunk_words)
     chunk_snip = text.snippet(q, F.col("title"), F.col("ocr_text"), F.col("text"))
     like_snip = text.snippet(q, F.col("title"), F.col("summary"), F.col("ocr_text"), F.col("text"))
     slide_snip = F.concat(
@@ -119,17 +129,18 @@ def course_search(
         F.coalesce(F.nullif(text.clip_around(q, F.col("ocr_text"), 80), F.lit("")), F.substring("ocr_text", 1, 120)),
     )
     chapter_line = F.concat(F.lit("[章节] "), text.chapter_title(F.col("title"), F.col("idx")))
-    stages = [
-        _stage(seg_hits, 1, F.col("text"), F.col("bm") + C.STAGE_SEGMENT_INDEX, "segment"),
-        _stage(like(segments, "seg_key", ["text"], ix.segments), 2, F.col("text"), F.lit(C.STAGE_SEGMENT_LIKE), "segment"),
-        _stage(chunk_hits, 3, chunk_snip, F.col("bm") + C.STAGE_CHUNK_INDEX, "chunk"),
-        _stage(like(chunks, "chunk_id", ["title", "summary", "ocr_text", "text"], ix.chunks), 4, like_snip, F.lit(C.STAGE_CHUNK_LIKE), "chunk"),
-        _stage(like(slides, "idx", ["ocr_text"], ix.slides), 5, slide_snip, F.lit(C.STAGE_SLIDE_LIKE), "slide"),
-        _stage(like(chapters, "idx", ["title", "summary"], ix.chapters), 6, chapter_line, F.lit(C.STAGE_CHAPTER_LIKE), "chapter"),
-    ]
-    union = stages[0]
-    for s in stages[1:]:
-        union = union.unionByName(s)
+    pairs = like_pairs(searchable(segments, chunks, slides, chapters), asked, ix.pieces)
+    like_hits = retrieval.top(pairs, ["qid", "kind"], [F.col("start_ms"), F.col("idx")], k, "pos")
+    kind = F.col("kind")
+    per_kind = lambda n: F.create_map(*[F.lit(x) for name, row in _KINDS.items() for x in (name, row[n])])[kind]
+    like_body = (
+        F.when(kind == "segment", F.col("text")).when(kind == "chunk", like_snip).when(kind == "slide", slide_snip).otherwise(chapter_line)
+    )
+    union = (
+        _stage(seg_hits, 1, F.col("text"), F.col("bm") + C.STAGE_SEGMENT_INDEX, F.lit("segment"))
+        .unionByName(_stage(chunk_hits, 3, chunk_snip, F.col("bm") + C.STAGE_CHUNK_INDEX, F.lit("chunk")))
+        .unionByName(_stage(like_hits, per_kind(0), like_body, per_kind(1), kind))
+    )
     once = bucket_dedupe(union)
     return search_top(once, k) if cut else once
 

@@ -29,18 +29,30 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._known: list | None = None
+        self._schemas: dict = {}
 
     @classmethod
     def temporary(cls, spark: SparkSession, label: str) -> Store:
         return cls(spark, work_path(spark, label))
 
+    def refresh(self) -> None:
+        """Look for commits of another writer at the next read."""
+        self._known = None
+
     def _commits(self) -> list:
+        if self._known is None:
+            self._known = self._listed()
+        return self._known
+
+    def _listed(self) -> list:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return []
         return sorted(self.spark.read.schema(_COMMIT).parquet(f"{self.folder}/commits").collect(), key=lambda r: r.batch)
 
     def begin(self) -> Change:
+        self.refresh()
         return Change(self, max((r.batch for r in self._commits()), default=-1) + 1)
 
     def parts(self, table: str) -> list[int]:
@@ -53,7 +65,12 @@ class Store:
         paths = [f"{self.folder}/{table}/batch={n}" for n in self.parts(table)]
         if not paths:
             raise LookupError(f"{self.folder} has no table {table}")
-        return self.spark.read.option("basePath", f"{self.folder}/{table}").parquet(*paths)
+        reader = self.spark.read.option("basePath", f"{self.folder}/{table}")
+        if table in self._schemas:  # the columns of a table stay: looked up in its files once
+            return reader.schema(self._schemas[table]).parquet(*paths)
+        rows = reader.parquet(*paths)
+        self._schemas[table] = rows.schema
+        return rows
 
 
 class Change:
@@ -81,6 +98,7 @@ class Change:
                 F.lit(self.batch).cast("long").alias("batch"), F.lit(self.base).alias("base"), F.array(*map(F.lit, self.tables)).alias("tables")
             )
             row.coalesce(1).write.mode("append").parquet(f"{self.store.folder}/commits")
+            self.store.refresh()
 
 
 class Rows:

@@ -53,28 +53,25 @@ def course_library(t, tables: Callable[[], dict[str, DataFrame]]) -> dict:
 
     def build() -> dict:
         store = Store.temporary(t.spark, "library")
-        named = {"segments": "seg_key", "chunks": "chunk_id", "slides": "idx", "chapters": "idx"}
-        found = {name: Rows(store, name, ["video_id", key]) for name, key in named.items()}
+        keys = {"segments": "seg_key", "chunks": "chunk_id", "slides": "idx", "chapters": "idx"}
+        found = {name: Rows(store, name, ["video_id", key]) for name, key in keys.items()}
         with store.begin() as change:
             for name, rows in tables().items():
                 found[name].put(change, rows)
         read = {name: rows.all() for name, rows in found.items()}
 
-        def index(table: str, label: str, body, split=X.tokens) -> TermIndex:
+        def index(label: str, docs: DataFrame, split=X.tokens) -> TermIndex:
             made = TermIndex(store, label, split)
-            key = F.col(named[table]).cast("string").alias("chunk_id")
-            made.put(change, read[table].select("video_id", key, body.alias("text")))
+            made.put(change, docs)
             return made
 
-        fields = lambda *names: F.concat_ws("\n", *names)
+        named = lambda table, key, body: read[table].select("video_id", F.col(key).alias("chunk_id"), body.alias("text"))
+        rows = S.searchable(*[read[n] for n in ("segments", "chunks", "slides", "chapters")])
         with store.begin() as change:
             indexes = S.Indexes(
-                index("segments", "segment_words", F.col("text")),
-                index("chunks", "chunk_words", X.fused_text(F.col("text"), F.col("ocr_text"))),
-                index("segments", "segment_pieces", F.col("text"), S.piece_list),
-                index("chunks", "chunk_pieces", fields("title", "summary", "ocr_text", "text"), S.piece_list),
-                index("slides", "slide_pieces", F.col("ocr_text"), S.piece_list),
-                index("chapters", "chapter_pieces", fields("title", "summary"), S.piece_list),
+                index("segment_words", named("segments", "seg_key", F.col("text"))),
+                index("chunk_words", named("chunks", "chunk_id", X.fused_text(F.col("text"), F.col("ocr_text")))),
+                index("pieces", rows.select("video_id", F.col("key").alias("chunk_id"), F.concat_ws("\n", *S.FIELDS).alias("text")), S.piece_list),
             )
         return {**read, "indexes": indexes}
 
