@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import constants as C
-from lectern.functions import text, vectors
+from lectern.functions import text
+from lectern.operators import vector_blocks
+from lectern.operators.vector_blocks import VectorBlocks
 from lectern.session import settle, written
 
 
@@ -118,18 +120,12 @@ def keyword_hits(
 # ------------------------------------------------------------------ vectors
 
 
-def vector_scores(store: DataFrame, asked: DataFrame) -> DataFrame:
-    """Cosine of every vector of the question's course. ``store``: video_id, chunk_id, vec;
-    ``asked``: qid, video_id, qvec. Vectors of another length do not take part."""
-    normed = store.withColumn("_norm", vectors.norm(F.col("vec")))
-    queries = asked.withColumn("_qnorm", vectors.norm(F.col("qvec")))
-    pairs = normed.join(queries, "video_id").filter(F.size("vec") == F.size("qvec"))
-    score = vectors.cosine(vectors.dot(F.col("qvec"), F.col("vec")), F.col("_norm"), F.col("_qnorm"))
-    return pairs.withColumn("score", score).drop("vec", "qvec", "_norm", "_qnorm")
-
-
-def vector_hits(store: DataFrame, asked: DataFrame, k: int, rank: str | None = None) -> DataFrame:
-    return top(vector_scores(store, asked), ["qid"], [F.col("score").desc(), F.col("chunk_id")], k, rank)
+def vector_hits(store: DataFrame | VectorBlocks, asked: DataFrame, k: int, rank: str | None = None) -> DataFrame:
+    """Best ``k`` vectors of a question's course by cosine: qid, video_id, chunk_id, score. ``store``: video_id, chunk_id, vec, or its
+    packed form; ``asked``: qid, video_id, qvec. Vectors of another length do not take part."""
+    packed = VectorBlocks.pack(store) if isinstance(store, DataFrame) else store
+    order = [F.round("score", vector_blocks.DIGITS).desc(), F.col("chunk_id")]
+    return top(packed.search(asked, k), ["qid"], order, k, rank)
 
 
 # ------------------------------------------------------------------ fusion
@@ -150,7 +146,7 @@ def fuse(ranked: Sequence[tuple[str, DataFrame]], rrf_k: int = C.RRF_K) -> DataF
 
 
 def candidates(
-    docs: DataFrame | Stored, questions: DataFrame, store: DataFrame, asked: DataFrame, *, k: int = C.TOP_K
+    docs: DataFrame | Stored, questions: DataFrame, store: DataFrame | VectorBlocks, asked: DataFrame, *, k: int = C.TOP_K
 ) -> DataFrame:
     """Keyword and vector hits of every question, max(4k, 20) of each, fused."""
     pool = max(k * 4, 20)

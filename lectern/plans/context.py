@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.operators import context as CX, library, retrieval as R
-from lectern.plans import adapters as A
+from lectern.plans import adapters as A, shelves
 from lectern.plans.registry import query
 
 
@@ -92,7 +92,7 @@ SELECT h.qid, '# 检索到的课程片段' || chr(10) || string_agg(chr(10) || '
   || CASE WHEN ocr_text <> '' THEN chr(10) || '（课件）' || CASE WHEN length(trim(ocr_text)) > 400 THEN trim(ocr_text)[1:400] || '…' ELSE trim(ocr_text) END ELSE '' END, chr(10) ORDER BY rank) AS prefix
 FROM h JOIN v_docs d ON d.chunk_id = h.chunk_id GROUP BY h.qid""")
 def citation_prefix(t):
-    return CX.citation_prefix(R.vector_hits(A.vectors(t), A.question_vectors(t), 4, "rank"), A.docs(t))
+    return CX.citation_prefix(R.vector_hits(shelves.vector_packs(t, lambda: A.vectors(t)), A.question_vectors(t), 4, "rank"), A.docs(t))
 
 
 @query("series_prefix", "video_id string, line string", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies as RP, text as X
 from lectern.operators import context as CX, ledger, notes as N, quiz as Q, retrieval as R
-from lectern.plans import adapters as A, hooks
+from lectern.plans import adapters as A, hooks, shelves
 from lectern.plans.context import label_sql
 from lectern.plans.registry import query
 from lectern.plans.views import VIEWS
@@ -366,6 +366,6 @@ WITH h AS (SELECT * FROM (SELECT qid, chunk_id, idx, row_number() OVER (PARTITIO
 ---
 SELECT h.qid, h.chunk_id, row_number() OVER (PARTITION BY h.qid ORDER BY h.qid % 5 = 0, CASE WHEN h.qid % 5 <> 0 THEN length(d.text) % 89 END DESC, old) - 1 AS rank FROM h JOIN v_docs d ON d.chunk_id = h.chunk_id""")
 def rerank_hook(t):
-    hits = R.vector_hits(A.vectors(t), A.question_vectors(t), 12, "rank")
+    hits = R.vector_hits(shelves.vector_packs(t, lambda: A.vectors(t)), A.question_vectors(t), 12, "rank")
     heads = hits.join(A.docs(t).select("chunk_id", "text"), "chunk_id").withColumn("question", F.col("qid").cast("string"))
     return R.rerank(hits, hooks.rerank_scores(heads, hooks.length_mod))

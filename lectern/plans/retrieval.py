@@ -15,6 +15,11 @@ def bodies(t):
     return A.docs(t).select("video_id", "chunk_id", "text")
 
 
+def packs(t):
+    """the stored vectors of the documents"""
+    return shelves.vector_packs(t, lambda: A.vectors(t))
+
+
 def words(t):
     """the stored keyword index of the documents"""
     return shelves.chunk_words(t, lambda: bodies(t))
@@ -59,11 +64,11 @@ def l2_normalise(t):
 @query("vector_topk", "qid long, chunk_id string, score double, rank long", """
 SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM v_vector_hits) WHERE rank < 8""")
 def vector_topk(t):
-    return R.vector_hits(A.vectors(t), A.question_vectors(t), C.TOP_K, "rank")
+    return R.vector_hits(packs(t), A.question_vectors(t), C.TOP_K, "rank")
 
 
 def _candidates(t):
-    return R.candidates(words(t), A.questions(t), A.vectors(t), A.question_vectors(t))
+    return R.candidates(words(t), A.questions(t), packs(t), A.question_vectors(t))
 
 
 @query("rrf_ranks", "qid long, chunk_id string, score double, sources string", "SELECT qid, chunk_id, score, sources FROM v_fused")
@@ -78,7 +83,7 @@ FROM ({inner})) WHERE rank < 8"""
 
 @query("hybrid_rrf", "qid long, chunk_id string, score double, sources string, rank long", _top8("SELECT * FROM v_fused"))
 def hybrid_rrf(t):
-    hits = R.hybrid(words(t), A.questions(t), A.vectors(t), A.question_vectors(t))
+    hits = R.hybrid(words(t), A.questions(t), packs(t), A.question_vectors(t))
     return hits.withColumn("sources", F.array_join("sources", "+"))
 
 
@@ -100,7 +105,7 @@ def hybrid_in_chapter(t):
     parity = A.docs(t).select("chunk_id", "video_id", (F.col("chapter_idx") % 2).alias("p"))
     asked = A.question_vectors(t).select("qid", "video_id", (F.col("qid") % 2).alias("p"))
     within = asked.join(parity, ["video_id", "p"]).select("qid", "chunk_id")
-    hits = R.hybrid(words(t), A.questions(t), A.vectors(t), A.question_vectors(t), within=within)
+    hits = R.hybrid(words(t), A.questions(t), packs(t), A.question_vectors(t), within=within)
     return hits.withColumn("sources", F.array_join("sources", "+"))
 
 
@@ -144,7 +149,7 @@ def hybrid_search(t):
     def scorer(hits):
         return hits.join(docs.select("chunk_id", (F.length("text") % 97).cast("double").alias("new_score")), "chunk_id").select("qid", "chunk_id", "new_score")
 
-    found = R.search(asked, docs, A.questions(t).unionByName(nothing), A.vectors(t), A.question_vectors(t), scorer=scorer, index=words(t))
+    found = R.search(asked, docs, A.questions(t).unionByName(nothing), packs(t), A.question_vectors(t), scorer=scorer, index=words(t))
     return found.withColumn("sources", F.array_join("sources", "+"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import search as S
 from lectern.operators.stored import Library, Rows, Store, TermIndex
+from lectern.operators.vector_blocks import VectorBlocks
 
 _BUILT: dict[tuple, tuple] = {}
 
@@ -78,6 +79,11 @@ def course_library(t, tables: Callable[[], dict[str, DataFrame]]) -> dict:
     return _once(t, "course_library", ["events"], build)
 
 
+def vector_packs(t, vectors: Callable[[], DataFrame]) -> VectorBlocks:
+    """The vectors of the documents, packed."""
+    return _once(t, "vectors", ["documents", "embeddings"], lambda: VectorBlocks.pack(vectors()))
+
+
 def temporary_library(t) -> Library:
     """A library of its own, to be changed by one query."""
     return Library(Store.temporary(t.spark, "changing"))

@@ -132,9 +132,9 @@ FROM embeddings e JOIN v_docs d ON d.idx = e.vec_id"""
 
 VIEWS["v_vector_hits"] = """
 SELECT b.item_id AS qid, v.video_id, v.idx, v.chunk_id,
-       CAST(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.vec AS DOUBLE[])) AS DOUBLE)
+       round(CAST(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.vec AS DOUBLE[])) AS DOUBLE)
        / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
-          * sqrt(list_dot_product(CAST(v.vec AS DOUBLE[]), CAST(v.vec AS DOUBLE[])))) AS score
+          * sqrt(list_dot_product(CAST(v.vec AS DOUBLE[]), CAST(v.vec AS DOUBLE[])))), 9) AS score
 FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id
 JOIN v_vectors v ON v.video_id = 'src' || CAST(b.item_id % 20 AS VARCHAR)
 WHERE len(q.embedding) = len(v.vec)"""
