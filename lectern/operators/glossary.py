@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.functions.lists import let, unfold
-from lectern.operators import retrieval
+from lectern.operators import patterns, retrieval
 
 RULE = "struct<wrong:array<string>,right:string,reason:string>"
 
@@ -222,20 +222,12 @@ def quoted_phrases(text: Column, trusted: Sequence[str] = C.TRUSTED_TERMS) -> Co
     return F.filter(found, phrase)
 
 
-def flag(docs: DataFrame, key: str, body: str, suspects: Column) -> DataFrame:
-    """Findings per text: term, kind, n. ``suspects``: array of listed terms.
+def flag(docs: DataFrame, key: str, body: str, suspects: DataFrame | None = None) -> DataFrame:
+    """Findings per text: term, kind, n. ``suspects``: table of listed terms (term), of any number.
 
-    The three in-text signals are computed where the text is; only findings are shuffled.
+    The in-text signals are computed where the text is; only findings are shuffled. Listed terms are looked for by their rarest pieces.
     """
-    docs = docs.withColumn("_suspects", suspects)
     text = F.col(body)
-    listed = F.transform(
-        F.filter("_suspects", lambda s: F.contains(text, s)),
-        lambda s: F.struct(
-            s.alias("term"),
-            F.floor((F.length(text) - F.length(F.replace(text, s, F.lit("")))) / F.length(s)).alias("n"),
-        ),
-    )
 
     def tagged(terms: Column, kind: str) -> Column:
         return F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("n")))
@@ -243,11 +235,15 @@ def flag(docs: DataFrame, key: str, body: str, suspects: Column) -> DataFrame:
     local = F.concat(
         tagged(spaced_letters(text), "spaced_letters"),
         tagged(quoted_phrases(text), "quoted_phrase"),
-        F.transform(listed, lambda x: F.struct(x["term"].alias("term"), F.lit("listed").alias("kind"), x["n"].alias("n"))),
     )
     found = unfold(docs, [key], local, "f").select(key, "f.*")
     variants = spelling_variants(identifiers(docs, key, body), key).withColumn("kind", F.lit("inconsistent"))
-    return merge_findings(found.unionByName(variants.select(key, "term", "kind", "n")), key)
+    found = found.unionByName(variants.select(key, "term", "kind", "n"))
+    if suspects is not None:
+        times = (F.length(text) - F.length(F.replace(text, F.col("term"), F.lit("")))) / F.length("term")
+        listed = patterns.pairs(docs.select(key, body), suspects, body=body, scope=None)
+        found = found.unionByName(listed.select(key, "term", F.lit("listed").alias("kind"), F.floor(times).alias("n")))
+    return merge_findings(found, key)
 
 
 def merge_findings(found: DataFrame, key: str) -> DataFrame:
@@ -285,7 +281,7 @@ def contexts(sources: DataFrame, terms: DataFrame, window: int = C.TERM_WINDOW_C
     ``sources``: video_id, priority, grp, source_no, idx, label, ms (NULL = none), text, trusted. Sources of one
     ``grp`` are read side by side, index by index (a chunk's summary, then its text); ``terms``: video_id, term.
     """
-    pairs = sources.join(terms, "video_id").filter(F.contains("text", F.col("term")))
+    pairs = patterns.pairs(sources, terms)
 
     def around(at: Column) -> Column:
         first = F.greatest(F.lit(0), at - window)

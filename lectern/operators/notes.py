@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.functions.lists import unfold
-from lectern.operators import context, intervals, retrieval
+from lectern.operators import context, intervals, patterns, retrieval
 
 
 def guide_times(line: Column) -> Column:
@@ -75,7 +75,7 @@ def unverified_terms(guides: DataFrame, chunks: DataFrame) -> DataFrame:
 
     A term made of word characters can only occur inside a word, so it is looked for in the
     distinct words of the course, and only in those that share its first four characters
-    somewhere. Terms with other characters are looked for in the texts.
+    somewhere. Terms with other characters are looked for in the texts, by their rarest pieces.
     ``guides``: gid, video_id, text; ``chunks``: video_id, text.
     """
     terms = unfold(guides, ["gid", "video_id"], guide_terms(F.col("text")), "term").withColumn("_low", F.lower("term"))
@@ -92,8 +92,8 @@ def unverified_terms(guides: DataFrame, chunks: DataFrame) -> DataFrame:
         .filter(F.contains("word", F.col("_low"))).select("video_id", "_low")
     )
     in_texts = (
-        open_terms.filter(~plain).join(chunks.select("video_id", F.lower("text").alias("_body")), "video_id")
-        .filter(F.contains("_body", F.col("_low"))).select("video_id", "_low")
+        patterns.pairs(chunks.select("video_id", F.lower("text").alias("_body")), open_terms.filter(~plain), body="_body", string="_low")
+        .select("video_id", "_low")
     )
     absent = open_terms.join(in_words.unionByName(in_texts).distinct(), ["video_id", "_low"], "left_anti")
     return terms.join(absent, ["video_id", "_low"], "left_semi").drop("_low")

@@ -175,12 +175,13 @@ class VectorBlocks:
     def search(self, asked: DataFrame, k: int, per_pack: int = ASKED) -> DataFrame:
         """The ``k`` best of each question (and no fewer of any block that could hold one): qid, video_id, chunk_id, score.
         ``asked``: qid, video_id, qvec; a question meets vectors of its course and of its length."""
-        packs = self._packs(asked, per_pack)
+        packs = written(self._packs(asked, per_pack), "packs")
         heads = self.packed.select("video_id", "dim", "block", "mean", "width", "zeros")
-        bounds = packs.select("video_id", "dim", "pack", "asked").join(heads, ["video_id", "dim"]).select(
+        bounded = packs.select("video_id", "dim", "pack", "asked").join(heads, ["video_id", "dim"]).select(
             "video_id", "dim", "pack", "block", F.posexplode(_bounds("asked", "dim", "mean", "width", "zeros")).alias("n", "bound")
         )
         keys = ["video_id", "dim", "pack"]
+        bounds = written(bounded, "bounds")
         first = bounds.groupBy(*keys, "n").agg(F.max(F.struct("bound", "block")).alias("b")).select(*keys, "n", F.col("b.block").alias("block"))
         grouped = lambda rows: rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("n")).alias("ns"))
         opening = written(self._scored(grouped(first), packs, k), "opening")

@@ -55,6 +55,13 @@ SELECT f.video_id, f.part, s.step, replace(f.body, s.w, s.rgt), CAST((length(f.b
 FROM v_parts_fixed f JOIN v_steps s ON s.video_id = f.video_id AND s.step = f.step + 1"""
 
 
+VIEWS["v_item_words_all"] = """SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark"""
+
+
+def item_words(t):
+    return t.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("term"))
+
+
 def rules(t):
     words = t.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("w"))
     w = Window.partitionBy("item_id").orderBy(F.length("w").desc(), "w")
@@ -178,7 +185,7 @@ _QUOTED = r"""SELECT page_id, term, 'quoted_phrase' AS kind, 1 AS n FROM (
   SELECT page_id, trim(unnest(regexp_extract_all(body, '["“]([A-Za-z][A-Za-z0-9 _./\\+-]{2,})["”]', 1))) AS term FROM v_page_text)
 WHERE term LIKE '% %' AND len(list_filter(regexp_extract_all(term, '[A-Za-z]+'), lambda w: w = lower(w))) > 0 AND lower(term) <> 'buildprop enhancer'"""
 _LISTED = """SELECT p.page_id, r.w AS term, 'listed' AS kind, CAST((length(body) - length(replace(body, r.w, ''))) / length(r.w) AS BIGINT) AS n
-FROM v_page_text p JOIN (SELECT DISTINCT w1 AS w FROM v_rules) r ON contains(p.body, r.w)"""
+FROM v_page_text p JOIN (SELECT DISTINCT w FROM v_item_words_all) r ON contains(p.body, r.w)"""
 
 
 @query("suspicious_patterns", "page_id long, kind string, term string, n long", f"""
@@ -201,8 +208,8 @@ GROUP BY page_id, term, kind"""
 
 
 def suspects(t):
-    listed = rules(t).select(F.get("wrong", F.lit(0)).alias("w")).distinct()
-    return listed.agg(F.array_sort(F.collect_list("w")).alias("s")).scalar()
+    """every word of every benchmark item"""
+    return item_words(t).select("term").distinct()
 
 
 @query("glossary_flag", "page_id long, term string, kind string, n long", f"""
@@ -216,7 +223,7 @@ def glossary_flag(t):
 @query("finding_merge", "kind string, term string, n_pages long, n long", f"""
 SELECT kind, term, count(*) AS n_pages, sum(n) AS n FROM ({_FLAGS}) WHERE kind <> 'listed' GROUP BY kind, term""")
 def finding_merge(t):
-    found = G.flag(page_text(t), "page_id", "body", F.array().cast("array<string>"))
+    found = G.flag(page_text(t), "page_id", "body")
     return found.groupBy("kind", "term").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n"))
 
 
@@ -232,7 +239,7 @@ UNION ALL SELECT video_id, 1, 4, 5, 0, '全课摘要', NULL, arg_min(title, idx)
 UNION ALL SELECT video_id, 2, 5, 6, idx * 100000 + i, '转写', start_ms, line, true FROM (SELECT video_id, idx, start_ms, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT video_id, idx, start_ms, string_split(text, chr(10)) AS ls FROM v_docs))"""
 
 VIEWS["v_terms"] = """
-SELECT DISTINCT 'src' || CAST(c AS VARCHAR) AS video_id, unnest([w1, w2]) AS term FROM (SELECT *, unnest([ord % 20, (ord + 7) % 20]) AS c FROM v_rules)"""
+SELECT DISTINCT 'src' || CAST(c AS VARCHAR) AS video_id, w AS term FROM (SELECT *, unnest([item_id % 20, (item_id + 7) % 20]) AS c FROM v_item_words_all WHERE length(w) >= 7)"""
 
 # positions of the non-overlapping occurrences: pieces between them, summed up
 VIEWS["v_contexts"] = """
@@ -272,10 +279,9 @@ def sources(t):
 
 
 def open_terms(t):
-    """both wrong forms of every rule, whole, open in two courses"""
-    n = F.col("ord")
-    course = F.explode(F.array(A.course_of(n), A.course_of(n + 7)))
-    return rules(t).select(course.alias("video_id"), "wrong").select("video_id", F.explode("wrong").alias("term")).distinct()
+    """every word of seven letters or more of every benchmark item, open in two courses: an open term is a rare, long word"""
+    n = F.col("item_id")
+    return item_words(t).filter(F.length("term") >= 7).select(F.explode(F.array(A.course_of(n), A.course_of(n + 7))).alias("video_id"), "term").distinct()
 
 
 @query("term_contexts", "video_id string, term string, rank long, line string", f"""

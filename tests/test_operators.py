@@ -70,7 +70,7 @@ def test_spelling_variants(spark):
 
 def test_flags(spark):
     docs = spark.createDataFrame([(1, 'the D Y L two meter, "open the door" and "BuildProp Enhancer", meter')], "id long, body string")
-    got = {(r.kind, r.term): r.n for r in glossary.flag(docs, "id", "body", F.array(F.lit("meter"), F.lit("D Y"))).collect()}
+    got = {(r.kind, r.term): r.n for r in glossary.flag(docs, "id", "body", spark.createDataFrame([("meter",), ("D Y",)], "term string")).collect()}
     assert got == {("spaced_letters", "D Y L"): 1, ("quoted_phrase", "open the door"): 1, ("listed", "meter"): 2}
 
 
