@@ -144,9 +144,9 @@ def session_check(t):
 
 
 @query("first_seen", "conv_id long, word string, pos long", r"""
-SELECT conv_id, word, min(turn * 100000 + i) AS pos FROM (SELECT conv_id, turn, unnest(f) AS word, generate_subscripts(f, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]{6,}') AS f FROM conversations)) GROUP BY conv_id, word""")
+SELECT conv_id, word, min(turn * 100000 + i) AS pos FROM (SELECT conv_id, turn, unnest(f) AS word, generate_subscripts(f, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS f FROM conversations)) GROUP BY conv_id, word""")
 def first_seen(t):
-    words = t.conversations.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))).alias("i", "word"))
+    words = t.conversations.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("i", "word"))
     return words.groupBy("conv_id", "word").agg(F.min(F.col("turn") * 100000 + F.col("i") + 1).alias("pos"))
 
 
@@ -433,3 +433,19 @@ def bucket_dedupe(t):
 SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, start_ms, stage, pos) - 1 AS rank, start_ms, source FROM s_once) WHERE rank < 3""")
 def search_topk(t):
     return S.search_top(S.course_search(**_search_inputs(t), k=20, cut=False), 3)
+
+
+@query("quiz_list", "video_id string, quiz_id long, title string, created_s long, rank long", """
+SELECT * FROM (SELECT video_id, session_id AS quiz_id, title, created_s, row_number() OVER (PARTITION BY video_id ORDER BY created_s DESC, session_id) - 1 AS rank FROM v_sessions) WHERE rank < 10""")
+def quiz_list(t):
+    """the ten newest quizzes of every course, sessions standing for quizzes"""
+    quizzes = A.sessions(t).select("video_id", F.col("session_id").alias("quiz_id"), "title", "created_s")
+    return R.top(quizzes, ["video_id"], [F.col("created_s").desc(), F.col("quiz_id")], 10, "rank")
+
+
+@query("courses_by_update", "video_id string, title string, updated_s long", """
+SELECT c.video_id, 'Course ' || c.video_id AS title, max(s.updated_s) AS updated_s FROM (SELECT DISTINCT source AS video_id FROM documents) c LEFT JOIN v_sessions s ON s.video_id = c.video_id GROUP BY c.video_id""")
+def courses_by_update(t):
+    """courses, the latest change first; never changed ones last"""
+    changed = A.sessions(t).groupBy("video_id").agg(F.max("updated_s").alias("updated_s"))
+    return A.courses(t).join(changed, "video_id", "left").select("video_id", "title", "updated_s").orderBy(F.col("updated_s").desc_nulls_last(), "video_id")

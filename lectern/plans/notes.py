@@ -12,16 +12,23 @@ from lectern.plans.registry import query
 from lectern.plans.views import VIEWS
 
 # ------------------------------------------------------------------ replies
-# Every message becomes a model reply whose JSON is built from its first two long words.
+# Every message becomes a model reply: its words in odd places are the title and terms, those in even places the summary.
 
 VIEWS["r_json"] = r"""
 SELECT id, w1, w2, '{"title": " ' || w1 || ' ", "summary": "' || w2 || '", "key_points": ["' || w1 || '", " "], "concepts": [{"term": "' || w1 || '", "definition": "' || w2 || '"}, {"term": "' || w2 || '"}], "outline": [{"chapter": "' || w1 || '", "points": ["' || w2 || '", "z"]}, {"points": ["q"]}]}' AS j
-FROM (SELECT id, coalesce(f[1], 'one') AS w1, coalesce(f[2], 'two') AS w2 FROM (SELECT id, regexp_extract_all(content, '[a-z]{4,}') AS f FROM v_messages))"""
+FROM (SELECT id, coalesce(nullif(array_to_string(f[1:len(f):2], ' '), ''), 'one') AS w1, coalesce(nullif(array_to_string(f[2:len(f):2], ' '), ''), 'two') AS w2 FROM (SELECT id, regexp_extract_all(content, '[A-Za-z]+') AS f FROM v_messages))"""
+
+
+def halves(content, first, second):
+    """The words in odd and in even places of a text, or the given ones."""
+    words = F.regexp_extract_all(content, F.lit("[A-Za-z]+"), F.lit(0))
+    part = lambda odd, other: F.coalesce(F.nullif(F.array_join(F.filter(words, lambda _, i: i % 2 == odd), " "), F.lit("")), F.lit(other))
+    return part(0, first), part(1, second)
 
 
 def built(t):
-    words = F.regexp_extract_all("content", F.lit("[a-z]{4,}"), F.lit(0))
-    w = A.messages(t).select("id", F.coalesce(F.get(words, F.lit(0)), F.lit("one")).alias("w1"), F.coalesce(F.get(words, F.lit(1)), F.lit("two")).alias("w2"))
+    w1, w2 = halves("content", "one", "two")
+    w = A.messages(t).select("id", w1.alias("w1"), w2.alias("w2"))
     pieces = [
         F.lit('{"title": " '), "w1", F.lit(' ", "summary": "'), "w2", F.lit('", "key_points": ["'), "w1", F.lit('", " "], "concepts": [{"term": "'), "w1",
         F.lit('", "definition": "'), "w2", F.lit('"}, {"term": "'), "w2", F.lit('"}], "outline": [{"chapter": "'), "w1", F.lit('", "points": ["'), "w2",
@@ -44,7 +51,7 @@ def json_salvage(t):
 
 
 @query("summary_replies", "id long, title string, summary string, n_concepts long, chapter string, course string", """
-SELECT id, w1 AS title, w2 AS summary, 1 AS n_concepts, w2 || chr(10) || chr(10) || '要点：' || chr(10) || '- ' || w1 AS chapter, w2 || chr(10) || chr(10) || '大纲：' || chr(10) || '- ' || w1 || '：' || w2 || '；z' AS course FROM r_json""")
+SELECT id, w1[1:40] AS title, w2 AS summary, 1 AS n_concepts, w2 || chr(10) || chr(10) || '要点：' || chr(10) || '- ' || w1 AS chapter, w2 || chr(10) || chr(10) || '大纲：' || chr(10) || '- ' || w1 || '：' || w2 || '；z' AS course FROM r_json""")
 def summary_replies(t):
     n = F.col("id") % 4
     wrapped = (
@@ -183,8 +190,8 @@ def unverified_terms(t):
 # ------------------------------------------------------------------ terms and roll-ups
 
 _CONCEPTS = r"""
-SELECT video_id, CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS source, CASE WHEN i % 3 = 0 THEN 0 ELSE idx END AS idx, CASE WHEN i % 3 = 0 THEN idx * 1000 + i ELSE i END AS pos, regexp_extract(line, '[A-Za-z]{4,}') AS term, line AS definition, CASE WHEN i % 3 = 0 THEN NULL ELSE start_ms END AS start_ms
-FROM (SELECT video_id, idx, start_ms, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT video_id, idx, start_ms, string_split(text, chr(10)) AS ls FROM v_docs)) WHERE regexp_extract(line, '[A-Za-z]{4,}') <> ''"""
+SELECT video_id, CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS source, CASE WHEN i % 3 = 0 THEN 0 ELSE idx END AS idx, CASE WHEN i % 3 = 0 THEN idx * 1000 + i ELSE i END AS pos, w AS term, line AS definition, CASE WHEN i % 3 = 0 THEN NULL ELSE start_ms END AS start_ms
+FROM (SELECT *, unnest(regexp_extract_all(line, '[A-Za-z]{4,}')) AS w FROM (SELECT video_id, idx, start_ms, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT video_id, idx, start_ms, string_split(text, chr(10)) AS ls FROM v_docs)))"""
 
 
 def concepts(t):
@@ -193,9 +200,9 @@ def concepts(t):
     whole = k % 3 == 0
     return rows.select(
         "video_id", F.when(whole, 1).otherwise(0).alias("source"), F.when(whole, F.lit(0)).otherwise(F.col("idx")).cast("long").alias("idx"),
-        F.when(whole, F.col("idx") * 1000 + k).otherwise(k).cast("long").alias("pos"), F.regexp_extract("line", "[A-Za-z]{4,}", 0).alias("term"),
+        F.when(whole, F.col("idx") * 1000 + k).otherwise(k).cast("long").alias("pos"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z]{4,}"), F.lit(0)))).alias("term"),
         F.col("line").alias("definition"), F.when(~whole, F.col("start_ms")).alias("start_ms"),
-    ).filter("term <> ''")
+    )
 
 
 @query("concept_merge", "video_id string, term string, definition string, start_ms long", f"""
@@ -260,22 +267,21 @@ def notes_document(t):
 # A quiz per session; a question per message; some options are blank, some answers out of range.
 
 VIEWS["q_items"] = r"""
-SELECT session_id AS quiz_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n0, coalesce(f[1], '') AS stem, ['a', 'B ', 'c', 'd', 'e'][id % 5 + 1] AS answer, id % 4 AS odd, coalesce(f[2], 'x') AS w2
-FROM (SELECT session_id, id, regexp_extract_all(content, '[a-z]{5,}') AS f FROM v_messages)"""
+SELECT session_id AS quiz_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n0, array_to_string(f[1:len(f):2], ' ') AS stem, ['a', 'B ', 'c', 'd', 'e'][id % 5 + 1] AS answer, id % 4 AS odd, coalesce(nullif(array_to_string(f[2:len(f):2], ' '), ''), 'x') AS w2
+FROM (SELECT session_id, id, regexp_extract_all(content, '[A-Za-z]+') AS f FROM v_messages)"""
 VIEWS["q_good"] = """
 SELECT quiz_id, id, stem, upper(trim(answer)) AS answer, odd, w2, 'q' || row_number() OVER (PARTITION BY quiz_id ORDER BY n0) AS qid, row_number() OVER (PARTITION BY quiz_id ORDER BY n0) AS rn
 FROM q_items WHERE stem <> '' AND odd <> 3 AND answer <> 'e'"""
 
 
 def generated(t):
-    words = F.regexp_extract_all("content", F.lit("[a-z]{5,}"), F.lit(0))
-    m = A.messages(t).withColumn("f", words)
+    stem, w2 = halves("content", "", "x")
+    m = A.messages(t)
     n = F.col("id")
     choice = F.element_at(F.array(*[F.lit(x) for x in ("a", "B ", "c", "d", "e")]), (n % 5 + 1).cast("int"))
-    w2 = F.coalesce(F.get("f", F.lit(1)), F.lit("x"))
     options = F.create_map(F.lit("A"), F.concat(F.lit(" "), w2), F.lit("B"), F.lit("b"), F.lit("C"), F.lit("c"), F.lit("D"), F.when(n % 4 == 3, " ").otherwise("d"))
     q = F.struct(
-        F.lit("x").alias("id"), F.coalesce(F.get("f", F.lit(0)), F.lit("")).alias("stem"), options.alias("options"), choice.alias("answer"),
+        F.lit("x").alias("id"), stem.alias("stem"), options.alias("options"), choice.alias("answer"),
         F.lit(None).cast("string").alias("explanation"), F.when(n % 3 == 0, "-5").when(n % 3 == 1, "oops").otherwise(F.lit("7000")).alias("start_ms"),
     )
     # a session is one conversation; its questions are one model reply

@@ -162,10 +162,9 @@ def slide_overlap_join(t):
 
 @query("slide_at", "seg_id long, at_ms long, slide_id long, ocr_text string", """
 SELECT p.seg_id, p.start_ms AS at_ms, s.slide_id, s.ocr_text
-FROM v_segments p JOIN v_slides s ON s.video_id = p.video_id AND s.start_ms <= p.start_ms AND s.end_ms >= p.start_ms
-WHERE p.text LIKE 'error %'""")
+FROM v_segments p JOIN v_slides s ON s.video_id = p.video_id AND s.start_ms <= p.start_ms AND s.end_ms >= p.start_ms""")
 def slide_at(t):
-    points = A.segments(t).filter(F.col("text").startswith("error ")).select("video_id", "seg_id", F.col("start_ms").alias("at_ms"))
+    points = A.segments(t).select("video_id", "seg_id", F.col("start_ms").alias("at_ms"))
     return intervals.stab_join(points, A.slides(t), ["video_id"], at="at_ms", span=("start_ms", "end_ms"))
 
 
@@ -295,12 +294,12 @@ def webvtt_export(t):
 # ------------------------------------------------------------------ nearest and tolerance
 
 _POINTS = """
-SELECT seg_id AS pid, video_id, start_ms + 20000 * (seg_id % 7 - 3) AS at_ms FROM v_segments WHERE text LIKE 'click %'"""
+SELECT seg_id AS pid, video_id, start_ms + 20000 * (seg_id % 7 - 3) AS at_ms FROM v_segments"""
 
 
 def points(t):
     shift = 20000 * (F.col("seg_id") % 7 - 3)
-    return A.segments(t).filter(F.col("text").startswith("click ")).select(
+    return A.segments(t).select(
         F.col("seg_id").alias("pid"), "video_id", (F.col("start_ms") + shift).alias("at_ms")
     )
 
