@@ -1,7 +1,8 @@
 """Joins on time: overlap, stabbing, nearest, tolerance.
 
-All are equi-joins on (key, time bin) with an exact residual. Binning splits a large key over
-time; a pair that meets in several bins is kept only in the first bin both sides share.
+All are equi-joins on (key, level, time bin) with an exact residual. Level k has bins of ``width * BASE**k``. A span lives on the
+finest level where it covers at most BASE + 1 bins, so a span of a year makes as few rows as one of a minute; on coarser levels it
+covers two bins at most. A pair meets on the coarser of its two levels, in the first bin that both cover.
 """
 
 from __future__ import annotations
@@ -20,11 +21,30 @@ def bin_of(ms: Column, width: int) -> Column:
     return F.floor(ms / F.lit(width)).cast("long")
 
 
-def _spread(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
-    first, last = bin_of(F.col(start), width), bin_of(F.col(end), width)
-    return df.select(
-        "*", first.alias(f"{name}0"), F.explode(F.sequence(first, F.greatest(first, last))).alias(name)
-    )
+BASE, TOP = 16, 6
+
+
+def _level_width(level: Column, width: int) -> Column:
+    return F.element_at(F.array(*[F.lit(width * BASE**k) for k in range(TOP)]), (level + 1).cast("int"))
+
+
+def _on_levels(df: DataFrame, start: str, end: str, width: int, tag: str) -> DataFrame:
+    """A row per level from a span's own one upwards, and bin covered there: ``<tag>l``, ``<tag>b``, the first bin ``<tag>0``, and whether
+    it is the own level. An end before the start counts as the start."""
+    length = F.col(end) - F.col(start)
+    own = F.lit(0)
+    for k in range(TOP - 1):
+        own = own + F.when(length > width * BASE ** (k + 1), 1).otherwise(0)
+    rows = df.withColumn(f"{tag}own", own).select("*", F.explode(F.sequence(F.col(f"{tag}own"), F.lit(TOP - 1))).alias(f"{tag}l"))
+    wide = _level_width(F.col(f"{tag}l"), width)
+    first, last = F.floor(F.col(start) / wide).cast("long"), F.floor(F.col(end) / wide).cast("long")
+    rows = rows.withColumns({f"{tag}own": F.col(f"{tag}own") == F.col(f"{tag}l"), f"{tag}0": first})
+    return rows.select("*", F.explode(F.sequence(first, F.greatest(first, last))).alias(f"{tag}b"))
+
+
+def _levels_of(rows: DataFrame, tag: str, name: str) -> DataFrame:
+    """Levels in use: TOP rows at most, which bounds the broadcast."""
+    return F.broadcast(rows.select(F.col(f"{tag}l").alias(name)).distinct())
 
 
 def overlap_join(
@@ -35,20 +55,22 @@ def overlap_join(
     left_span: tuple[str, str],
     right_span: tuple[str, str],
     width: int = BIN_MS,
-    how: str = "inner",
 ) -> DataFrame:
     """Pairs with ``l.start < r.end and r.start < l.end`` (touching ends do not overlap)."""
-    a = _spread(left, *left_span, width, "_lb")
-    b = _spread(right, *right_span, width, "_rb")
-    b = b.select(
-        *[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns]
-    )
-    cond = F.col("_lb") == F.col("_rb")
+    a = _on_levels(left, *left_span, width, "_l")
+    b = _on_levels(right, *right_span, width, "_r")
+    b = b.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in b.columns])
+    cond = (F.col("_ll") == F.col("_rl")) & (F.col("_lb") == F.col("_rb"))
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_r_{k}"))
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
     cond = cond & (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(left_span[1]) > F.col(right_span[0]))
-    cond = cond & (F.col("_lb") == F.greatest("_lb0", "_rb0"))
-    return a.join(b, cond, how).drop("_lb", "_lb0", "_rb", "_rb0", *[f"_r_{k}" for k in keys])
+    cond = cond & (F.col("_lb") == F.greatest("_l0", "_r0"))
+    # of each pair the one with the longer span is on its own level; coarser rows of the other side go only where such spans are
+    a_own, b_own = a.filter("_lown"), b.filter("_rown")
+    b_near = b.join(_levels_of(a_own, "_l", "_rl"), "_rl", "left_semi")
+    a_above = a.filter("NOT _lown").join(_levels_of(b_own, "_r", "_ll"), "_ll", "left_semi")
+    pairs = a_own.join(b_near, cond).unionByName(a_above.join(b_own, cond))
+    return pairs.drop("_ll", "_lb", "_l0", "_lown", "_rl", "_rb", "_r0", "_rown", *[f"_k_{k}" for k in keys])
 
 
 def stab_join(
@@ -59,17 +81,17 @@ def stab_join(
     at: str,
     span: tuple[str, str],
     width: int = BIN_MS,
-    how: str = "inner",
 ) -> DataFrame:
     """Spans that hold the point, both ends included."""
-    p = points.withColumn("_pb", bin_of(F.col(at), width))
-    s = _spread(spans, *span, width, "_sb").drop("_sb0")
-    s = s.select(*[F.col(c).alias(f"_s_{c}") if c in keys else F.col(c) for c in s.columns])
-    cond = F.col("_pb") == F.col("_sb")
+    s = _on_levels(spans, *span, width, "_s").filter("_sown")
+    s = s.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in s.columns])
+    p = points.select("*", F.explode(F.array(*[F.lit(k) for k in range(TOP)])).alias("_pl"))
+    p = p.join(_levels_of(s, "_s", "_pl"), "_pl", "left_semi").withColumn("_pb", F.floor(F.col(at) / _level_width(F.col("_pl"), width)).cast("long"))
+    cond = (F.col("_pl") == F.col("_sl")) & (F.col("_pb") == F.col("_sb"))
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_s_{k}"))
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
     cond = cond & (F.col(span[0]) <= F.col(at)) & (F.col(span[1]) >= F.col(at))
-    return p.join(s, cond, how).drop("_pb", "_sb", *[f"_s_{k}" for k in keys])
+    return p.join(s, cond).drop("_pl", "_pb", "_sl", "_sb", "_s0", "_sown", *[f"_k_{k}" for k in keys])
 
 
 def nearest_span(
@@ -86,7 +108,7 @@ def nearest_span(
     """For every point the nearest span: distance 0 inside, else |start - point|; ties go to the
     lowest ``idx``. Returns point_id + key + at + ``idx`` + distance (NULL if the key has no span).
 
-    Spans that hold the point come from a binned join. For the rest only the last start before and
+    Spans that hold the point come from a join on levels. For the rest only the last start before and
     the first start after can win; those come from one ordered pass over points and starts.
     """
     inside = (
