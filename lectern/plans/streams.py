@@ -62,11 +62,14 @@ def stream_replies(t):
     return run_to_end(jobs.live_replies(notes.deltas(A.messages(Streams(t.spark, t.folder)))))
 
 
+# what lies within ten minutes of the newest event may still be overtaken: it waits, and so does the chunk before it
 @query("stream_chunks", "video_id string, idx long, start_ms long, end_ms long, n_segments long", """
-WITH u AS (SELECT 'u' || user_id AS video_id, max(ts) AS last_ts FROM events GROUP BY user_id),
-o AS (SELECT video_id FROM u WHERE last_ts + INTERVAL 20 MINUTE > (SELECT max(ts) FROM events))
+WITH m AS (SELECT max(ts) AS newest FROM events), u AS (SELECT 'u' || user_id AS video_id, max(ts) AS last_ts FROM events GROUP BY user_id),
+o AS (SELECT video_id FROM u, m WHERE last_ts + INTERVAL 20 MINUTE > newest),
+passed AS (SELECT video_id, max(idx) AS idx FROM v_chunks, m WHERE start_ms <= CAST(floor(epoch(newest - INTERVAL 10 MINUTE)) AS BIGINT) GROUP BY video_id)
 ---
-SELECT video_id, idx, start_ms, end_ms, n_segments FROM v_chunks c WHERE NOT (video_id IN (SELECT video_id FROM o) AND idx = (SELECT max(idx) FROM v_chunks x WHERE x.video_id = c.video_id))""")
+SELECT c.video_id, c.idx, c.start_ms, c.end_ms, c.n_segments FROM v_chunks c LEFT JOIN passed p ON p.video_id = c.video_id
+WHERE c.video_id NOT IN (SELECT video_id FROM o) OR c.idx < p.idx""")
 def stream_chunks(t):
     s = Streams(t.spark, t.folder)
     at = s.events.select(F.col("event_id").alias("seg_id"), F.col("ts").cast("timestamp").alias("at"), "user_id", "value")

@@ -40,46 +40,60 @@ def live_chunks(
     max_ms: int = C.CHUNK_MAX_MS,
     gap_ms: int = C.CHUNK_GAP_MS,
     idle_ms: int = 600_000,
+    forget_ms: int = 7 * 24 * 3_600_000,
     late: str = "10 minutes",
 ) -> DataFrame:
-    """Emit a chunk as soon as the next sentence closes it; an idle course closes its last one.
+    """Emit a chunk as soon as the sentence that closes it is behind the watermark; an idle course closes its last one.
 
-    ``segments``: video_id, at TIMESTAMP (event time), start_ms, end_ms, seg_id; sentences may be ``late`` by
-    as much. State is one open chunk per course, however long the course runs; after an idle close only
-    the next number is kept (``n`` = 0), so numbers go on when the course does.
+    ``segments``: video_id, at TIMESTAMP (event time, rising with start_ms within a course), start_ms, end_ms, seg_id.
+    Sentences may come in any order within ``late``: they wait in the state until the watermark has passed them and are then
+    folded by (start_ms, seg_id), so the chunks are those of ``segments.build_chunks``. What comes later still is dropped by Spark.
+    State is one open chunk per course and its waiting sentences. After an idle close only the next number is kept, so
+    numbers go on when the course does; a course that is silent for ``forget_ms`` more is over and its state goes.
     """
+    if idle_ms < max_ms:
+        raise ValueError("idle_ms below max_ms would close chunks that the next sentence belongs to")
     out = "video_id string, idx long, start_ms long, end_ms long, n_segments long"
-    state = "idx long, start_ms long, end_ms long, n long"
+    state = (
+        "idx long, start_ms long, end_ms long, n long, last_at long,"
+        " ats array<bigint>, starts array<bigint>, ids array<bigint>, ends array<bigint>"
+    )
 
     def step(key, batches, st):
-        if st.hasTimedOut:
-            idx, start, end, n = st.get
-            st.update((idx + 1, 0, 0, 0))
-            yield pd.DataFrame([(key[0], idx, start, end, n)], columns=["video_id", "idx", "start_ms", "end_ms", "n_segments"])
-            return
-        opened = st.get if st.exists else (0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["start_ms", "seg_id"])
+        idx, start, end, n, last_at, *columns = st.get if st.exists else (0, 0, 0, 0, 0, [], [], [], [])
+        waiting = list(zip(*columns))
+        if not st.hasTimedOut:
+            for pdf in batches:
+                waiting.extend(zip(*(pdf[c].tolist() for c in ("_at_ms", "start_ms", "seg_id", "end_ms"))))
+        mark = st.getCurrentWatermarkMs()
+        ready = sorted((r for r in waiting if r[0] <= mark), key=lambda r: r[1:3])
+        waiting = [r for r in waiting if r[0] > mark]
         closed = []
-        for s, e in zip(rows["start_ms"].tolist(), rows["end_ms"].tolist()):
-            idx, start, end, n = opened
-            if not n:
-                opened = (idx, s, e, 1)
-                continue
-            span, pause = e - start, s - end
-            if (span >= min_ms and pause >= gap_ms) or span >= max_ms:
+        for at, s, _seg, e in ready:
+            last_at = max(last_at, at)
+            if n and ((e - start >= min_ms and s - end >= gap_ms) or e - start >= max_ms):
                 closed.append((key[0], idx, start, end, n))
-                opened = (idx + 1, s, e, 1)
-            else:
-                opened = (idx, start, e, n + 1)
-        st.update(tuple(int(x) for x in opened))
-        mark = st.getCurrentWatermarkMs()
-        st.setTimeoutTimestamp(max(mark, int(rows["at"].max().timestamp() * 1000)) + idle_ms)
+                idx, n = idx + 1, 0
+            if not n:
+                start = s
+            end, n = e, n + 1
+        if n and not waiting and last_at + idle_ms <= mark:
+            closed.append((key[0], idx, start, end, n))
+            idx, n = idx + 1, 0
+        # the next time something can happen: a sentence is passed, the course falls idle, or is forgotten
+        wake = min(r[0] for r in waiting) if waiting else last_at + idle_ms + (0 if n else forget_ms)
+        if wake <= mark:
+            st.remove()
+        else:
+            st.update((idx, start, end, n, last_at, *([r[k] for r in waiting] for k in range(4))))
+            st.setTimeoutTimestamp(wake)
         if closed:
             yield pd.DataFrame(closed, columns=["video_id", "idx", "start_ms", "end_ms", "n_segments"])
 
-    return segments.withWatermark("at", late).groupBy("video_id").applyInPandasWithState(
-        step, out, state, "append", GroupStateTimeout.EventTimeTimeout
+    timed = segments.withWatermark("at", late).select(
+        "video_id", "at", F.unix_millis("at").alias("_at_ms"), *[F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms", "seg_id")]
     )
+    return timed.groupBy("video_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gather_deltas(deltas: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import replies
@@ -94,6 +95,45 @@ def test_live_chunks_go_on_after_an_idle_close(spark, tmp_path):
     assert got == [("a", 0, 0, 15_000, 2), ("a", 1, 7_000_000, 7_015_000, 2), ("b", 0, 20_000, 25_000, 1), ("b", 1, 6_800_000, 6_805_000, 1)]
 
 
+def test_live_chunks_of_files_in_any_order_are_those_of_the_batch(spark, tmp_path):
+    import random
+
+    from lectern.operators import segments
+
+    rng = random.Random(11)
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for course in "abc":
+        ms = 0
+        for n in range(60):
+            length = rng.randrange(500, 9000)
+            rows.append((course, ms, ms + length, n))
+            ms += length + rng.choice([0, 100, 1600, 4000])
+    # a sentence comes up to four minutes after its time, in files of two minutes: within the delay of seven minutes
+    files = {}
+    for course, s, e, n in rows:
+        files.setdefault((s + rng.randrange(240_000)) // 120_000, []).append((course, start + datetime.timedelta(milliseconds=s), s, e, n))
+    assert any([r[2] for r in f] != sorted(r[2] for r in f) for f in files.values())
+    files[99] = [("z", start + datetime.timedelta(hours=2), 7_200_000, 7_201_000, 1)]
+    files[100] = [("z", start + datetime.timedelta(hours=2, minutes=1), 7_260_000, 7_261_000, 2)]
+    schema = "video_id string, at timestamp, start_ms long, end_ms long, seg_id long"
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    for k in sorted(files):
+        rng.shuffle(files[k])
+        spark.createDataFrame(files[k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"f{k:03d}"))
+    out = jobs.live_chunks(source, late="7 minutes")
+    job = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(
+        availableNow=True
+    ).start(str(tmp_path / "out"))
+    job.awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()))
+    batch = spark.createDataFrame([(*r, "t", "") for r in rows], "video_id string, start_ms long, end_ms long, idx long, text string, speaker string")
+    want = segments.build_chunks(batch).select("video_id", "idx", "start_ms", "end_ms", "n_segments")
+    assert got == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        jobs.live_chunks(source, idle_ms=1000)
+
+
 def test_slides_of_a_long_course_match_a_loop(spark):
     import random
 
