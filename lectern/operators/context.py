@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.operators import ordered
+from lectern.session import settle
 
 
 def joined(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sep: str, name: str) -> DataFrame:
@@ -146,6 +147,11 @@ def full_prefix(
     whole = head.join(transcript, "video_id", "left").select(
         "video_id", F.concat_ws("\n", "head", F.lit("\n## 逐字稿"), "_transcript").alias("prefix")
     )
+    return _measured(whole, max_chars)
+
+
+def _measured(whole: DataFrame, max_chars: int) -> DataFrame:
+    """Prefixes cut at ``max_chars`` with a notice, and their estimated tokens."""
     return whole.withColumn(
         "prefix",
         F.when(F.length("prefix") > max_chars, F.concat(F.substring("prefix", 1, max_chars), F.lit(C.CUT_NOTICE)))
@@ -177,6 +183,89 @@ def outline_lines(chapters: DataFrame, chunks: DataFrame) -> DataFrame:
     return heads.unionByName(points)
 
 
+def outline_prefix(
+    courses: DataFrame, chapters: DataFrame, chunks: DataFrame, max_chars: int = C.PREFIX_MAX_CHARS
+) -> DataFrame:
+    """Title, length, summary and outline of a course as one text, cut at ``max_chars`` like the full prefix, so a course of
+    any size gathers no more than that."""
+    lines = outline_lines(chapters, chunks)
+    near = starts_within(lines, ["video_id"], ["ch", "idx"], F.length("line") + 1, max_chars).withColumn(
+        "line", F.substring("line", F.lit(1), (F.lit(max_chars + 1) - F.col("_at")).cast("int"))
+    )
+    listed = joined(near, ["video_id"], ["ch", "idx"], "line", "\n", "_lines")
+    whole = courses.join(listed, "video_id", "left").select(
+        "video_id",
+        F.concat_ws(
+            "\n",
+            F.concat(F.lit("# 课程大纲："), F.coalesce(F.nullif("title", F.lit("")), F.lit("未命名课程"))),
+            F.concat(F.lit("总时长："), clock.clock_label(F.col("duration_ms"))),
+            F.when(
+                F.coalesce("video_summary", F.lit("")) != "",
+                F.concat(F.lit("\n## 全课摘要\n"), X.strip(X.without_outline(F.col("video_summary")))),
+            ),
+            "_lines",
+        ).alias("prefix"),
+    )
+    return _measured(whole, max_chars)
+
+
+def prefix_inputs(courses: DataFrame, chapters: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One hash per course (video_id, inputs) of all that its prefix is made of, whatever the order of rows."""
+    def hashed(rows: DataFrame, kind: int, columns: Sequence[str]) -> DataFrame:
+        # a null is hashed as nothing, so its place is told by a flag
+        told = [part for c in columns for part in (F.col(c), F.col(c).isNull())]
+        return rows.select("video_id", F.xxhash64(F.lit(kind), *told).alias("h"))
+
+    rows = (
+        hashed(courses, 0, ["title", "duration_ms", "video_summary"])
+        .unionByName(hashed(chapters, 1, ["chapter_id", "idx", "title", "summary", "start_ms", "end_ms"]))
+        .unionByName(hashed(chunks, 2, ["chunk_id", "parent_id", "idx", "title", "summary", "start_ms", "text", "ocr_text"]))
+    )
+    sums = [F.sum(h.cast("decimal(20,0)")).cast("string").alias(n) for h, n in ((F.col("h"), "x"), (F.xxhash64("h"), "y"))]
+    return rows.groupBy("video_id").agg(*sums).select("video_id", F.xxhash64("x", "y").alias("inputs"))
+
+
+def stale_prefixes(
+    courses: DataFrame, chapters: DataFrame, chunks: DataFrame, stored: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(courses whose prefix must be built with their hash, stored prefixes that still hold)."""
+    now = prefix_inputs(courses, chapters, chunks).join(courses.select("video_id"), "video_id", "left_semi")
+    key = ["video_id", "inputs"]
+    return now.join(stored, key, "left_anti"), stored.join(now, key, "left_semi")
+
+
+def choose_prefixes(
+    courses: DataFrame,
+    chapters: DataFrame,
+    chunks: DataFrame,
+    stored: DataFrame | None = None,
+    *,
+    max_chars: int = C.PREFIX_MAX_CHARS,
+    max_tokens: int = C.PREFIX_TOKEN_BUDGET,
+) -> DataFrame:
+    """The prefix a question of the course is asked with: the full one, or the outline where the full one, measured as it
+    is, exceeds ``max_tokens``. Columns video_id, inputs, prefix, tokens, used_outline.
+
+    ``stored`` is an earlier result: only courses whose inputs have changed since are built, the others are taken from it,
+    courses that are gone are left out. It must have been made with the same limits.
+    """
+    kept = None
+    if stored is None:
+        todo = prefix_inputs(courses, chapters, chunks).join(courses.select("video_id"), "video_id", "left_semi")
+    else:
+        todo, kept = stale_prefixes(courses, chapters, chunks, stored)
+        todo = settle(todo)
+        courses, chapters, chunks = (d.join(todo.select("video_id"), "video_id", "left_semi") for d in (courses, chapters, chunks))
+    full = settle(full_prefix(courses, chapters, chunks, max_chars))
+    long = full.filter(F.col("tokens") > max_tokens).select("video_id")
+    outline = outline_prefix(*(d.join(long, "video_id", "left_semi") for d in (courses, chapters, chunks)), max_chars)
+    built = full.filter(F.col("tokens") <= max_tokens).withColumn("used_outline", F.lit(False)).unionByName(
+        outline.withColumn("used_outline", F.lit(True))
+    )
+    built = todo.join(built, "video_id").select("video_id", "inputs", "prefix", "tokens", "used_outline")
+    return built if kept is None else built.unionByName(kept.select(*built.columns))
+
+
 def citation_prefix(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Only the found chunks (a handful per question), for libraries of many courses."""
     span = F.concat(F.lit("\n【"), clock.clock_label(F.col("start_ms")), F.lit(" - "), clock.clock_label(F.col("end_ms")), F.lit("】"))

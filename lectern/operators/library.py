@@ -113,6 +113,19 @@ def carry_over(new: DataFrame, old: DataFrame, key: str, same: Sequence[str] = (
     return j.withColumn("title", pick("title")).withColumn("summary", pick("summary")).select(*new.columns)
 
 
+def changes(new: DataFrame, old: DataFrame, key: str, same: Sequence[str]) -> DataFrame:
+    """What a rebuild does to each row: video_id, ``key``, change = kept, changed (a column of ``same`` differs), added, gone."""
+    on = ["video_id", key]
+    # a null is hashed as nothing, so its place is told by a flag
+    told = [part for c in same for part in (F.col(c), F.col(c).isNull())]
+    sides = [d.select(*on, F.xxhash64(*told).alias(f"_{side}")) for side, d in (("n", new), ("o", old))]
+    kind = (
+        F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "gone")
+        .when(F.col("_n") == F.col("_o"), "kept").otherwise("changed")
+    )
+    return sides[0].join(sides[1], on, "full").select(*on, kind.alias("change"))
+
+
 def reindex_targets(chunks: DataFrame, embedded: DataFrame, body: Column) -> DataFrame:
     """Chunks whose text has no vector yet. ``embedded``: chunk_id, text_hash."""
     return chunks.withColumn("text_hash", F.xxhash64(body)).join(embedded, ["chunk_id", "text_hash"], "left_anti")

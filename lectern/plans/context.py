@@ -9,6 +9,7 @@ from lectern.functions import clock, text as X
 from lectern.operators import context as CX, library, retrieval as R
 from lectern.plans import adapters as A, shelves
 from lectern.plans.registry import query
+from lectern.session import settle
 
 
 def label_sql(ms: str) -> str:
@@ -148,11 +149,28 @@ def chapter_transcript(t):
     return CX.chapter_transcripts(A.docs(t), ["parent_id"], budget=6000)
 
 
-@query("prefix_choice", "video_id string, tokens long, used_outline boolean", """
-SELECT video_id, tokens, tokens > 40000 AS used_outline FROM (SELECT video_id, greatest(1, CAST(floor(sum(length(text)) / 1.6) AS BIGINT)) AS tokens FROM v_docs GROUP BY video_id)""")
+_FULL_CTES, _FULL_ROWS = _full_sql(130_000).split("---\n")
+
+
+@query("prefix_choice", "video_id string, prefix string, tokens long, used_outline boolean", _FULL_CTES.rstrip() + f""",
+full_p AS ({_FULL_ROWS}),
+ol AS (SELECT video_id, idx AS ch, -1 AS idx, chr(10) || '## ' || CASE WHEN title = '' THEN '第 ' || (idx + 1) || ' 章' ELSE title END || '　[' || {label_sql('start_ms')} || ' - ' || {label_sql('end_ms')} || ']'
+    || CASE WHEN trim(summary) <> '' THEN chr(10) || trim(summary) ELSE '' END AS line FROM v_doc_chapters
+  UNION ALL SELECT video_id, chapter_idx, idx, '- [' || {label_sql('start_ms')} || '] ' || CASE WHEN title <> '' THEN title ELSE {label_sql('start_ms')} END || CASE WHEN summary <> '' THEN '：' || trim(summary) ELSE '' END FROM v_docs),
+outl AS (SELECT c.video_id, '# 课程大纲：' || c.title || chr(10) || '总时长：' || {label_sql('CAST(c.duration_ms AS BIGINT)')} || CASE WHEN s.s <> '' THEN chr(10) || chr(10) || '## 全课摘要' || chr(10) || trim(s.s) ELSE '' END || chr(10) || l.t AS x
+  FROM v_courses c JOIN summ s ON s.video_id = c.video_id JOIN (SELECT video_id, string_agg(line, chr(10) ORDER BY ch, idx) AS t FROM ol GROUP BY video_id) l ON l.video_id = c.video_id),
+cut_o AS (SELECT video_id, CASE WHEN length(x) > 130000 THEN x[1:130000] || chr(10) || chr(10) || '（材料过长已截断）' ELSE x END AS o FROM outl)
+---
+SELECT f.video_id, CASE WHEN f.tokens > 40000 THEN o ELSE f.prefix END AS prefix,
+  CASE WHEN f.tokens > 40000 THEN greatest(1, CAST(floor(length(o) / 1.6) AS BIGINT)) ELSE f.tokens END AS tokens, f.tokens > 40000 AS used_outline
+FROM full_p f JOIN cut_o ON cut_o.video_id = f.video_id""")
 def prefix_choice(t):
-    sums = A.docs(t).groupBy("video_id").agg(F.sum(F.length("text")).alias("n"))
-    return sums.select("video_id", X.estimate_tokens(F.col("n")).alias("tokens")).withColumn("used_outline", F.col("tokens") > 40_000)
+    """Prefixes of yesterday, when every third course had another title, brought up to date."""
+    courses, chapters, chunks = summarised_courses(t), A.doc_chapters(t), A.docs(t)
+    limits = {"max_chars": 130_000, "max_tokens": 40_000}
+    renamed = F.when(F.substring("video_id", 4, 10).cast("long") % 3 == 0, F.concat(F.lit("old "), "title")).otherwise(F.col("title"))
+    stored = settle(CX.choose_prefixes(courses.withColumn("title", renamed), chapters, chunks, **limits))
+    return CX.choose_prefixes(courses, chapters, chunks, stored, **limits).drop("inputs")
 
 
 @query("question_text", "qid long, prompt string", f"""

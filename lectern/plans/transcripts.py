@@ -9,6 +9,7 @@ from lectern.functions import clock, text, vectors
 from lectern.operators import intervals, media, ordered, pipeline, segments as seg
 from lectern.plans import adapters as A
 from lectern.plans.registry import query
+from lectern.session import settle
 from lectern.sources import speech, subtitles
 
 # ------------------------------------------------------------------ chunks and chapters
@@ -478,6 +479,30 @@ def structure_transcripts(t):
     return s.chunks.withColumn("n_slides", F.size("slide_idxs"))
 
 
+@query("restructure_transcripts", "id string, change string, title string, summary string", _STRUCTURED + """
+SELECT video_id || '-c' || printf('%04d', idx) AS id, CASE WHEN fresh THEN 'changed' ELSE 'kept' END AS change,
+  CASE WHEN fresh THEN '' ELSE 'Teil ' || idx END AS title, CASE WHEN fresh THEN '' ELSE 'ab ' || start_ms END AS summary
+FROM (SELECT c.*, (SELECT bool_or(s.text LIKE 'PURCHASE%') FROM sg s JOIN rn r ON r.video_id = s.video_id AND r.idx = s.idx WHERE r.video_id = c.video_id AND r.run = c.idx) AS fresh FROM ck c)
+UNION ALL SELECT video_id || '-ch' || printf('%03d', run), 'chapter', 'Kapitel ' || run, 'ab ' || min(start_ms) FROM cr GROUP BY video_id, run""")
+def restructure_transcripts(t):
+    """Courses built before one rule was known are built again: titles stay where the text does."""
+    spans, slides, limits = utterances(t), A.slides(t), {"chapter_gap_ms": 60_000, "chapter_max_ms": 600_000}
+    label = F.concat(F.lit("ab "), F.col("start_ms").cast("string")).alias("summary")
+
+    def titled(rows, word, *columns):
+        return settle(rows.select("video_id", *columns, F.concat(F.lit(word), F.col("idx").cast("string")).alias("title"), label))
+
+    before = pipeline.structure(spans, type_rules(t).filter("wrong[0] <> 'purchase'"), slides, **limits)
+    now = pipeline.structure(
+        spans, type_rules(t), slides, **limits,
+        old_chunks=titled(before.chunks, "Teil ", "chunk_id", "text"), old_chapters=titled(before.chapters, "Kapitel ", "chapter_id"),
+    )
+    chunks = now.chunks.join(now.changes, ["video_id", "chunk_id"])
+    return chunks.select(F.col("chunk_id").alias("id"), "change", "title", "summary").unionByName(
+        now.chapters.select(F.col("chapter_id").alias("id"), F.lit("chapter").alias("change"), "title", "summary")
+    )
+
+
 @query("refresh_ocr", "chunk_id string, ocr_text string", """
 WITH linked AS (SELECT c.chunk_id, s.slide_id, s.ocr_text FROM v_chunks c JOIN v_slides s ON s.video_id = c.video_id AND s.start_ms < c.end_ms AND s.end_ms > c.start_ms)
 ---
