@@ -26,8 +26,6 @@ from lectern.llm.common import training_texts
 
 #: Labelled texts used at most: toxic ones, clean ones.
 PER_CLASS = (2500, 7500)
-#: Terms and exceptions kept at most.
-TERMS = 3000
 #: A term's log odds at least, and its log-likelihood ratio against chance.
 LEAST_ODDS = 2.0
 LEAST_EVIDENCE = 15.0
@@ -104,11 +102,15 @@ class Lexicon:
                         spared.append((start, end))
                     elif start not in best or weight > best[start][0]:
                         best[start] = (weight, term)  # a word counts once, by its best term
-            for a, b in spared:
-                for start in [s for s in best if a <= s < b]:
-                    del best[start]
+            kept, reach, at = [], -1, 0
+            spared.sort()
+            for start in sorted(best):
+                while at < len(spared) and spared[at][0] <= start:
+                    reach, at = max(reach, spared[at][1]), at + 1
+                if start >= reach:
+                    kept.append(best[start])
             # the same term again adds less each time
-            total = sum(weight * (1 + math.log(n)) for (weight, _), n in Counter(best.values()).items())
+            total = sum(weight * (1 + math.log(n)) for (weight, _), n in Counter(kept).items())
             return total, len(folded.split())
 
         return match
@@ -168,7 +170,8 @@ def _odds(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, column: str = "toxic") -> Lexicon:
     """Lexicon, exceptions and curve from at most ``per_class`` labelled texts outside the held-out fold.
 
-    Without toxic examples the lexicon is empty and every score is the same low value.
+    Every term with enough odds and evidence in the sample is kept, and every exception: their number is bounded by the sample
+    alone. Without toxic examples the lexicon is empty and every score is the same low value.
     """
     sample = training_texts(docs, labels, column, per_class)
     sample = sample.withColumn("_curve", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0).select("text", "label", "_curve").cache()
@@ -183,13 +186,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_C
         best = (
             _odds(counts.filter("toxic >= 2"), toxic, clean)
             .filter((F.col("odds") >= LEAST_ODDS) & (F.col("evidence") >= LEAST_EVIDENCE))
-            .orderBy(F.col("evidence").desc(), "term").limit(TERMS).select("term", "odds").collect()
+            .orderBy(F.col("evidence").desc(), "term").select("term", "odds").collect()
         )
         weights = {r["term"]: r["odds"] for r in best}
         phrases = seen.mapInArrow(_count_phrases(weights), schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         spared = (
             _odds(phrases.filter("clean >= 2"), toxic, clean).filter("odds <= 0")
-            .orderBy(F.col("clean").desc(), "term").limit(TERMS).select("term").collect()
+            .orderBy(F.col("clean").desc(), "term").select("term").collect()
         )
         lexicon = Lexicon(weights, [r["term"] for r in spared])
         curve = sample.filter("_curve").select("text", "label")

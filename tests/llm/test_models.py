@@ -94,6 +94,28 @@ def test_toxicity_learns_terms_disguises_and_exceptions(spark):
     assert edge.as_rows(kept) == edge.as_rows(edge.docs(spark))
 
 
+def test_matcher_equals_a_search_term_by_term():
+    import math
+
+    rng = random.Random(5)
+    words = ["bad", "badly", "ba", "dumb", "dum", "fine", "good", "goodbad", "so", "x"]
+    for _ in range(200):
+        weights = {t: rng.uniform(2, 5) for t in rng.sample([f" {w} " for w in words] + [f" {w[:k]}" for w in words for k in (2, 3)], 6)}
+        exceptions = [f" {a} {b} " for a, b in (rng.sample(words, 2) for _ in range(rng.randrange(4)))]
+        text = rng.choice([" ", "  ", "-"]).join(rng.choice(words) for _ in range(rng.randrange(0, 40)))
+        folded = toxicity.fold(text, toxicity.fold_table())
+        at = lambda t: [k for k in range(len(folded)) if folded.startswith(t, k)]
+        spared = [(k, k + len(e) - 1) for e in exceptions for k in at(e)]
+        best = {}
+        for term, weight in weights.items():
+            for k in at(term):
+                best[k] = max(best.get(k, (0, "")), (weight, term))
+        left = [v for k, v in best.items() if not any(a <= k < b for a, b in spared)]
+        want = sum(w * (1 + math.log(left.count((w, t)))) for w, t in set(left))
+        total, n = toxicity.Lexicon(weights, exceptions).matcher()(text)
+        assert abs(total - want) < 1e-9 and n == len(folded.split())
+
+
 def test_models_without_examples(spark):
     none = edge.labels(spark)
     docs = edge.docs(spark)
