@@ -256,11 +256,6 @@ def _wide_prints(texts: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf(T.BinaryType())
-def _shingle_sets(texts: pa.Array) -> pa.Array:
-    return pa.array([shingle_set(v or b"").tobytes() for v in texts.cast(pa.binary()).to_pylist()], pa.binary())
-
-
 def _nearest(n: int, left: np.ndarray, right: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Indices of links that form a forest of the smallest differences: what is connected by links below any
     limit stays connected by chosen links below that limit."""
@@ -342,10 +337,10 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
 
 
 def _verify(similarity: float):
-    """Rows of (block, node, set), the rows of a block one after another: links that connect its similar sets."""
+    """Rows of (block, node, text), the rows of a block one after another: links that connect its texts of similar sets."""
 
-    def linked(nodes: list[int], sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = similar([np.frombuffer(x, np.uint64) for x in sets], similarity)
+    def linked(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = similar(sets, similarity)
         root = forest(len(nodes), i, j)
         ends = np.flatnonzero(root != np.arange(len(nodes)))
         nodes = np.array(nodes, np.int64)
@@ -355,13 +350,13 @@ def _verify(similarity: float):
         at, nodes, sets = None, [], []
         for batch in batches:
             out = []
-            for block, node, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for block, node, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if block != at:
                     if len(nodes) > 1:
                         out.append(linked(nodes, sets))
                     at, nodes, sets = block, [], []
                 nodes.append(node)
-                sets.append(values)
+                sets.append(shingle_set(raw or b""))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
         if len(nodes) > 1:
@@ -439,14 +434,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, tile: int = WID
     wanted = nodes.join(_blocks(nodes, found, block), "node").select("node", "blocks", "row.text_hash", "row.doc_id")
     keys = written(wanted.select("node", "blocks", "text_hash", F.col("doc_id").alias("_id")), "wanted")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sets = (
+    # a text is shorter than the hashes of its shingles and shrinks when it is shuffled, so sets are made in the blocks
+    members = (
         texts.join(keys, (texts["text_hash"] == keys["text_hash"]) & texts["doc_id"].eqNullSafe(keys["_id"]))
-        .select("node", "blocks", _shingle_sets("text").alias("shingles"))
-        .select(F.explode("blocks").alias("block"), "node", "shingles")
+        .select(F.explode("blocks").alias("block"), "node", F.col("text").cast("binary").alias("raw"))
     )
     # rows that repeat id and text come once to a block
-    dealt = sets.repartition("block").dropDuplicates(["block", "node"]).sortWithinPartitions("block")
-    sure = dealt.select("block", "node", "shingles").mapInArrow(_verify(similarity), "a long, b long")
+    dealt = members.repartition("block").dropDuplicates(["block", "node"]).sortWithinPartitions("block")
+    sure = dealt.select("block", "node", "raw").mapInArrow(_verify(similarity), "a long, b long")
     known = prints.join(nodes.select("print", "n", "whole", "node"), ["print", "n", "whole"]).select("doc_id", "text_hash", "node")
     return _groups(known, "node", components(sure))
 
