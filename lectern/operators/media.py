@@ -46,10 +46,16 @@ def frame_groups(
     """
     key, halo = "video_id", "_halo"
     blocked = ordered.blocks(frames.select(key, "ms", "gray"), [key], ["ms"])
-    # one row per block and course; a block has at most two courses that go on in a neighbour
-    starts = blocked.groupBy(ordered.BLOCK, key).agg(F.min("ms").alias("_from"))
-    before = blocked.select(key, "ms", "gray").join(F.broadcast(starts), key).filter(
-        (F.col("ms") < F.col("_from")) & (F.col("ms") >= F.col("_from") - max_hold_ms)
+    # one row per block: only its first course can have begun in an earlier block
+    starts = blocked.groupBy(ordered.BLOCK).agg(F.min(F.struct(key, "ms")).alias("_s")).select(
+        ordered.BLOCK, F.col(f"_s.{key}").alias(key), F.col("_s.ms").alias("_from")
+    )
+    # a stretch of the longest hold touches two bins of that width
+    edge = intervals.bin_of(F.col("_from"), max_hold_ms)
+    before = (
+        blocked.select(key, "ms", "gray", intervals.bin_of(F.col("ms"), max_hold_ms).alias("_bin"))
+        .join(F.broadcast(starts.withColumn("_bin", F.explode(F.array(edge - 1, edge)))), [key, "_bin"])
+        .filter((F.col("ms") < F.col("_from")) & (F.col("ms") >= F.col("_from") - max_hold_ms))
     )
     rows = blocked.select(ordered.BLOCK, key, "ms", "gray", F.lit(False).alias(halo)).unionByName(
         before.select(ordered.BLOCK, key, "ms", "gray", F.lit(True).alias(halo))
@@ -164,13 +170,16 @@ def silence_pairs(starts: DataFrame, ends: DataFrame) -> DataFrame:
     )
 
 
+_NEVER = 1 << 60
+
+
 def split_points(
     courses: DataFrame, silences: DataFrame, *, chunk_ms: int, overlap_ms: int = C.SPLIT_OVERLAP_MS
 ) -> DataFrame:
     """Cut long audio near every multiple of ``chunk_ms``, in the middle of a near silence if any.
 
-    One row per span: video_id, span_no, start_ms, end_ms. The list of cut points of one recording
-    (its length / chunk_ms) is the only thing gathered.
+    One row per span: video_id, start_ms, end_ms. Which points stay is a resetting fold over blocks, so a recording of
+    any length is spread and nothing is gathered.
     """
     window = max(C.SPLIT_MIN_WINDOW_MS, chunk_ms // 6)
     long = courses.filter(F.col("duration_ms") > chunk_ms)
@@ -193,27 +202,19 @@ def split_points(
     points = targets.join(near, ["video_id", "target"], "left").select(
         "video_id", "target", F.coalesce(F.col("_n.c"), F.col("target").cast("long")).alias("point")
     )
-    listed = points.groupBy("video_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("target", "point"))), lambda x: x["point"]).alias("_p")
-    )
-    kept = F.aggregate(
-        "_p",
-        F.array().cast("array<bigint>"),
-        lambda acc, p: F.when(
-            (F.size(acc) == 0) | (p - F.element_at(acc, -1) >= C.SPLIT_MIN_GAP_MS),
-            F.concat(acc, F.array(p)),
-        ).otherwise(acc),
+    # points do not decrease from target to target; a run that may only be as long as the gap begins at every point that stays
+    runs = ordered.cut_runs(
+        points, "video_id", ["target"], start="point", end="point", gap_ms=_NEVER, max_span=C.SPLIT_MIN_GAP_MS
     )
-    bounds = F.concat(F.array(F.lit(0).cast("long")), kept, F.array(F.col("duration_ms").cast("long")))
+    kept = runs.groupBy("video_id", "run").agg(F.min("point").alias("end_ms"))
+    starts = kept.select("video_id", (F.col("run") + 1).alias("run"), F.greatest(F.lit(0), F.col("end_ms") - overlap_ms).alias("start_ms"))
     spans = (
-        long.select("video_id", "duration_ms")
-        .join(listed, "video_id")
-        .withColumn("_b", bounds)
-        .select("video_id", "duration_ms", "_b", F.posexplode(F.slice("_b", F.lit(1), F.size("_b") - 1)).alias("i", "b"))
+        starts.join(kept, ["video_id", "run"], "full")
+        .join(long.select("video_id", "duration_ms"), "video_id")
         .select(
             "video_id",
-            F.when(F.col("i") > 0, F.greatest(F.lit(0), F.col("b") - overlap_ms)).otherwise(F.lit(0)).alias("start_ms"),
-            F.least("duration_ms", F.element_at("_b", F.col("i") + 2)).alias("end_ms"),
+            F.coalesce("start_ms", F.lit(0).cast("long")).alias("start_ms"),
+            F.least("duration_ms", "end_ms").alias("end_ms"),
         )
         .filter(F.col("end_ms") - F.col("start_ms") > C.SPLIT_MIN_SPAN_MS)
     )

@@ -12,6 +12,7 @@ carried over in a table with at most one row per block.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -152,6 +153,27 @@ _META = (
 _FRESH, _STEP, _ORIGIN = 0, 1, 2
 
 
+def _leaves(starts: list, limits: list) -> list[tuple[int, int]]:
+    """Run start and number of cuts at the end of the block, for a run begun at each row.
+
+    From the last row backwards. ``stairs`` holds the rows that may be the next cut of an earlier run: their limits
+    fall towards the top, so the nearest one that reaches a run's start is found by bisection.
+    """
+    out: list[tuple[int, int]] = [(0, 0)] * len(starts)
+    stairs: list[int] = []
+    for i in range(len(starts) - 1, -1, -1):
+        at = bisect_right(stairs, -starts[i], key=lambda k: -limits[k])
+        if at:
+            final, cuts = out[stairs[at - 1]]
+            out[i] = (final, cuts + 1)
+        else:
+            out[i] = (starts[i], 0)
+        while stairs and limits[stairs[-1]] <= limits[i]:
+            stairs.pop()
+        stairs.append(i)
+    return out
+
+
 def _block_summary(key: str, start: str, end: str, gap_ms: int, min_span: int, max_span: int):
     """Per block: what becomes of a run that enters it, as a step function of the run's start.
 
@@ -160,28 +182,6 @@ def _block_summary(key: str, start: str, end: str, gap_ms: int, min_span: int, m
     that begins in this block and reaches its end.
     """
 
-    def walk(starts, limits, at, memo):
-        """Run start and number of cuts at the end of the block for a run begun at row ``at``."""
-        path = []
-        pos = at
-        n = len(starts)
-        while pos not in memo:
-            path.append(pos)
-            s = starts[pos]
-            k = pos + 1
-            while k < n and limits[k] < s:
-                k += 1
-            if k == n:
-                memo[pos] = (s, 0)
-                path.pop()
-                break
-            pos = k
-        final, cuts = memo[pos]
-        for back in reversed(path):
-            cuts += 1
-            memo[back] = (final, cuts)
-        return memo[at]
-
     def summarise(batches):
         first_key, starts, ends = None, [], []
         live_key, live_start, live_end = None, 0, 0
@@ -208,22 +208,23 @@ def _block_summary(key: str, start: str, end: str, gap_ms: int, min_span: int, m
             _threshold(ends[i], starts[i] - ends[i - 1], gap_ms, min_span, max_span)
             for i in range(1, len(starts))
         ]
-        memo: dict[int, tuple[int, int]] = {}
+        leaves = _leaves(starts, limits)
         rows = []
 
         def add(role, upto, exit_start, cuts, k=first_key, fs=starts[0], fe=ends[0], le=ends[-1]):
             rows.append((blk, k, role, fs, fe, le, upto, exit_start, cuts))
 
-        exit_start, cuts = walk(starts, limits, 0, memo)
-        add(_FRESH, None, exit_start, cuts)
-        high = float("-inf")
+        add(_FRESH, None, *leaves[0])
+        high, step = float("-inf"), None
         for i in range(1, len(starts)):
             if limits[i] > high:
-                high = limits[i]
-                exit_start, cuts = walk(starts, limits, i, memo)
-                add(_STEP, high, exit_start, cuts + 1)
+                if step not in (None, leaves[i]):
+                    add(_STEP, high, step[0], step[1] + 1)
+                high, step = limits[i], leaves[i]
                 if high >= starts[0]:
                     break
+        if step is not None:
+            add(_STEP, high, step[0], step[1] + 1)
         if live_key is not None:
             add(_ORIGIN, None, live_start, cuts_live, live_key, 0, 0, live_end)
         yield pd.DataFrame(
@@ -293,9 +294,8 @@ def cut_runs(
     blocks and Python; the run numbers are joined back to the rows.
     """
     blocked = blocks(df.select(*dict.fromkeys([key, *order, start, end])), [key], order)
-    summary = blocked.select(BLOCK, F.col(key).cast("string").alias(key), start, end).mapInPandas(
-        _block_summary(key, start, end, gap_ms, min_span, max_span), _META
-    )
+    times = blocked.select(BLOCK, F.col(key).cast("string").alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    summary = times.mapInPandas(_block_summary("_k", "_s", "_e", gap_ms, min_span, max_span), _META)
     entries = summary.groupBy("key").applyInPandas(
         _chain(gap_ms, min_span, max_span),
         "blk int, key string, in_start long, in_run long, in_end long",

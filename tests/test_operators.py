@@ -131,6 +131,32 @@ def test_split_points(spark):
     assert got == [("l", 0, 113_000), ("l", 112_000, 240_000), ("l", 239_000, 300_000), ("s", 0, 60_000)]
 
 
+@pytest.mark.parametrize("chunk", [7_000, 40_000, 300_000])
+def test_split_points_of_a_long_recording(spark, chunk):
+    rng = random.Random(chunk)
+    lengths = {"l": 6_000_000, "m": 2 * chunk + 1, "s": chunk}
+    quiet = [(v, s, s + rng.randrange(300, 3000)) for v, n in lengths.items() for s in rng.sample(range(n), min(n, 150))]
+    want = []
+    for v, n in lengths.items():
+        middles = sorted({(s + e) // 2 for w, s, e in quiet if w == v})
+        window, cuts = max(5_000, chunk // 6), []
+        for target in range(chunk, n, chunk):
+            near = [m for m in middles if abs(m - target) <= window]
+            point = min(near, key=lambda m: (abs(m - target), m)) if near else target
+            if not cuts or point - cuts[-1] >= 30_000:
+                cuts.append(point)
+        if n <= chunk:
+            want.append((v, 0, n))
+            continue
+        edges = [0, *cuts, n]
+        spans = [(v, max(0, a - 1000), min(n, b)) for a, b in zip(edges, edges[1:])]
+        want += [x for x in spans if x[2] - x[1] > 5_000]
+    courses = spark.createDataFrame(list(lengths.items()), "video_id string, duration_ms long")
+    silences = spark.createDataFrame(quiet, "video_id string, start_ms long, end_ms long")
+    got = [(r.video_id, r.start_ms, r.end_ms) for r in media.split_points(courses, silences, chunk_ms=chunk).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_speech_reader(spark):
     reply = '{"result": {"utterances": [{"text": " hi ", "start_time": 5, "end_time": 9, "additions": {"speaker": "2"}, "words": [{"text": " ", "start_time": -1, "end_time": -1}, {"text": "hi", "start_time": 5, "end_time": 9}]}, {"text": " "}]}, "audio_info": {"duration": 12}}'
     df = spark.createDataFrame([(1, reply)], "k long, json string")

@@ -54,6 +54,24 @@ def test_runs_of_a_hot_course(spark, dense):
             assert mine == loop_runs(rows, gap, low, high), c
 
 
+def test_leaves_of_a_dense_block():
+    n = 100_000
+    starts = list(range(n))
+    assert ordered._leaves(starts, [float("-inf")] + [s - 10 * n for s in starts[1:]]) == [(s, 0) for s in starts]
+    rng = random.Random(6)
+    starts = sorted(rng.randrange(5000) for _ in range(600))
+    limits = [float("-inf")] + [s - rng.randrange(-20, 400) for s in starts[1:]]
+
+    def leave(at):
+        cut = next((k for k in range(at + 1, len(starts)) if limits[k] >= starts[at]), None)
+        if cut is None:
+            return starts[at], 0
+        final, cuts = leave(cut)
+        return final, cuts + 1
+
+    assert ordered._leaves(starts, limits) == [leave(i) for i in range(600)]
+
+
 def test_hot_course_is_spread(spark):
     df = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("o"))
     sizes = ordered.blocks(df, ["k"], ["o"]).groupBy(ordered.BLOCK).count().toPandas()["count"]
