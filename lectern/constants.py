@@ -142,6 +142,13 @@ FAILURE_HINTS = (
     (("not found", "no such"), "missing_resource"),
 )
 
+# --- findings of the glossary in a notes document: kind -> label, hint (fixed values)
+FINDING_LABELS = {
+    "spaced_letters": ("转写噪音", "疑似转写噪音，请对照视频确认原词"),
+    "quoted_phrase": ("疑为听错", "被当成专有名词引用，请确认是否为听错的词"),
+    "inconsistent": ("拼写不一致", "同一实体两种拼写，必有一处是错的"),
+    "listed": ("已标记", "术语表标记为待确认"),
+}
 # --- glossary: terms never flagged when quoted
 TRUSTED_TERMS = (
     "uiautomator", "uiautomatorviewer", "DDMS", "ADB", "jadx-gui", "jeb", "Xposed", "EdXposed",

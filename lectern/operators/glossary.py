@@ -7,7 +7,7 @@ the texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.functions.lists import let, unfold
 from lectern.operators import patterns, retrieval
+from lectern.operators.stored import Library
+from lectern.session import written
 
 RULE = "struct<wrong:array<string>,right:string,reason:string>"
 
@@ -141,6 +143,22 @@ def repair_library(tables: dict[str, DataFrame], rules: DataFrame) -> tuple[dict
     return fixed, report
 
 
+def repair_stored(library: Library, rules: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Writes corrected chunks back to a stored library: video_id, n of courses in which something was replaced.
+
+    Only chunks with a replacement are rewritten, and of those only chunks whose indexed text became another are indexed and embedded
+    anew; all in one commit. A field without a replacement stays as it is, null too.
+    """
+    fields = REPAIRED["chunks"]
+    fixes = [F.col(f"fixes_{f}") for f in fields]
+    done = repair(library.chunks.all(), rules, fields).withColumn("_n", sum((n_fixes(f) for f in fixes), F.lit(0))).filter("_n > 0")
+    changed = written(
+        done.select("video_id", "chunk_id", "_n", *[F.when(F.size(x) > 0, F.col(f)).alias(f) for f, x in zip(fields, fixes)]), "repaired"
+    )
+    library.patch(changed.drop("_n"), embed)
+    return changed.groupBy("video_id").agg(F.sum("_n").alias("n"))
+
+
 def merge_fixes(repaired: DataFrame, fields: Sequence[str]) -> DataFrame:
     every = repaired.select(F.explode(F.concat(*[F.col(f"fixes_{f}") for f in fields])).alias("f"))
     return every.groupBy("f.wrong", "f.right").agg(F.sum("f.n").alias("n"))
@@ -165,12 +183,12 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ suspicious terms
 
 
-def identifiers(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Identifiers with a separator, how often and how early they occur in a text."""
+def identifiers(docs: DataFrame, key: str, body: str, at: Sequence[str] = ()) -> DataFrame:
+    """Identifiers with a separator, how often and how early they occur in a text. A text may be several rows, in order of ``at``."""
     found = F.regexp_extract_all(F.col(body), F.lit(C.RE_IDENTIFIER), F.lit(0))
     return (
-        unfold(docs, [key], found, "token", "pos")
-        .groupBy(key, "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+        unfold(docs, [key, *at], found, "token", "pos")
+        .groupBy(key, "token").agg(F.count("*").alias("n"), F.min(F.struct(*at, "pos") if at else "pos").alias("pos"))
     )
 
 
@@ -222,8 +240,9 @@ def quoted_phrases(text: Column, trusted: Sequence[str] = C.TRUSTED_TERMS) -> Co
     return F.filter(found, phrase)
 
 
-def flag(docs: DataFrame, key: str, body: str, suspects: DataFrame | None = None) -> DataFrame:
-    """Findings per text: term, kind, n. ``suspects``: table of listed terms (term), of any number.
+def flag(docs: DataFrame, key: str, body: str, suspects: DataFrame | None = None, at: Sequence[str] = ()) -> DataFrame:
+    """Findings per text: term, kind, n. ``suspects``: table of listed terms (term), of any number. A text
+    may be several rows, in order of ``at``; no term spans two rows.
 
     The in-text signals are computed where the text is; only findings are shuffled. Listed terms are looked for by their rarest pieces.
     """
@@ -237,7 +256,7 @@ def flag(docs: DataFrame, key: str, body: str, suspects: DataFrame | None = None
         tagged(quoted_phrases(text), "quoted_phrase"),
     )
     found = unfold(docs, [key], local, "f").select(key, "f.*")
-    variants = spelling_variants(identifiers(docs, key, body), key).withColumn("kind", F.lit("inconsistent"))
+    variants = spelling_variants(identifiers(docs, key, body, at), key).withColumn("kind", F.lit("inconsistent"))
     found = found.unionByName(variants.select(key, "term", "kind", "n"))
     if suspects is not None:
         times = (F.length(text) - F.length(F.replace(text, F.col("term"), F.lit("")))) / F.length("term")

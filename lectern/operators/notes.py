@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.functions.lists import unfold
-from lectern.operators import context, intervals, patterns, retrieval
+from lectern.operators import context, glossary, intervals, ordered, patterns, retrieval
 
 
 def guide_times(line: Column) -> Column:
@@ -169,9 +169,12 @@ def course_bodies(courses: DataFrame, chapters: DataFrame) -> DataFrame:
     )
 
 
-def document_rows(courses: DataFrame, chapters: DataFrame, notes: DataFrame, terms: DataFrame) -> DataFrame:
-    """The notes document as ordered rows (video_id, part, idx, text): heading, outline table,
-    one section per chapter with notes, term table. ``notes``: chapter_id, note."""
+def document_rows(
+    courses: DataFrame, chapters: DataFrame, notes: DataFrame, terms: DataFrame, guides: DataFrame | None = None
+) -> DataFrame:
+    """The notes document as ordered rows (video_id, part, idx, text): heading (part 0), reading guide, outline table,
+    one section per chapter with notes, term table. ``notes``: chapter_id, note. ``guides``: video_id, text, kept, one
+    checked guide per course (``verify_guides``); a course without chapters or whose guide kept no paragraph has none."""
     counts = chapters.groupBy("video_id").agg(F.count("*").alias("_n"))
     head = courses.join(counts, "video_id", "left").select(
         "video_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("idx"),
@@ -198,4 +201,35 @@ def document_rows(courses: DataFrame, chapters: DataFrame, notes: DataFrame, ter
         "video_id", F.lit(3).alias("part"), F.col("rank").cast("long").alias("idx"),
         F.concat(F.lit("| "), "term", F.lit(" | "), "definition", F.lit(" |")).alias("text"),
     )
-    return head.unionByName(outline).unionByName(sections).unionByName(table)
+    rows = head.unionByName(outline).unionByName(sections).unionByName(table)
+    if guides is None:
+        return rows
+    said = guides.filter("kept > 0").join(chapters.select("video_id").distinct(), "video_id", "left_semi")
+    return rows.unionByName(said.select(
+        "video_id", F.lit(0).alias("part"), F.lit(1).cast("long").alias("idx"), F.concat(F.lit("\n## 学习导读\n\n"), "text").alias("text")
+    ))
+
+
+def with_findings(document: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
+    """``document_rows`` and, as part 4, a table of the terms in it that a person should confirm, which stay unchanged in the text.
+
+    Rows are ordered by kind, then term; a course without findings has no such part. The rows of a course are numbered over
+    blocks, so no document is gathered.
+    """
+    found = glossary.flag(document, "video_id", "text", suspects, at=["part", "idx"])
+    kinds = list(C.FINDING_LABELS)
+    nth = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    label, hint = (F.element_at(F.array(*[F.lit(C.FINDING_LABELS[k][i]) for k in kinds]), F.col("_k").cast("int")) for i in (0, 1))
+    order = ["_k", "term"]
+    blocked = ordered.blocks(found.select("video_id", nth.alias("_k"), "term", "n"), ["video_id"], order)
+    numbered = ordered.prefix(blocked, ["video_id"], order, {"idx": ("count", F.lit(1))}, inclusive=True)
+    line = F.concat(
+        F.lit("| `"), F.replace("term", F.lit("|"), F.lit("\\|")), F.lit("` | "), label, F.lit(" | "), hint, F.lit(" | "),
+        F.col("n").cast("string"), F.lit(" |"),
+    )
+    head = F.lit(
+        "\n## 待人工确认的术语\n\n> 以下术语**未做自动替换**：它们可能是转写听错，也可能本来就是对的。\n\n| 术语 | 类型 | 说明 | 出现次数 |\n|---|---|---|---|"
+    )
+    part = F.lit(4).alias("part")
+    heads = found.select("video_id").distinct().select("video_id", part, F.lit(0).cast("long").alias("idx"), head.alias("text"))
+    return document.unionByName(heads).unionByName(numbered.select("video_id", part, F.col("idx").cast("long").alias("idx"), line.alias("text")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import glossary as G
-from lectern.plans import adapters as A
+from lectern.plans import adapters as A, shelves
 from lectern.plans.registry import query
 from lectern.plans.views import VIEWS
 
@@ -116,6 +116,20 @@ def repair_library(t):
     return G.repair_library(tables, rules(t))[1]
 
 
+@query("repair_stored", "chunk_id string, text string, title string, summary string, ocr_text string, length double", """
+WITH last AS (SELECT idx, field, arg_max(body, step) AS body FROM v_fixed GROUP BY idx, field)
+---
+SELECT d.chunk_id, max(body) FILTER (field = 'text') AS text, max(body) FILTER (field = 'title') AS title, max(body) FILTER (field = 'summary') AS summary,
+       max(body) FILTER (field = 'ocr_text') AS ocr_text, length(max(body) FILTER (field = 'text')) AS length FROM v_docs d JOIN last l ON l.idx = d.idx GROUP BY d.chunk_id""")
+def repair_stored(t):
+    """a stored library after its repair: all chunks, each with the vector of its present text"""
+    embed = lambda rows: rows.select("video_id", "chunk_id", F.array(F.length("text").cast("double")).alias("vec"))
+    library, chunks = shelves.temporary_library(t), A.docs(t).select("video_id", "chunk_id", *FIELDS)
+    library.create(chunks, embed(chunks))
+    G.repair_stored(library, rules(t), embed)
+    return library.chunks.all().join(library.vectors.all(), ["video_id", "chunk_id"]).withColumn("length", F.get("vec", F.lit(0)))
+
+
 @query("fix_merge", "wrong string, right_form string, n long", """
 SELECT w1 AS wrong, rgt AS right_form, sum(n) AS n FROM v_fixed WHERE n > 0 GROUP BY w1, rgt""")
 def fix_merge(t):

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies as RP, text as X
 from lectern.operators import context as CX, ledger, notes as N, quiz as Q, retrieval as R
-from lectern.plans import adapters as A, hooks, shelves
+from lectern.plans import adapters as A, glossary as GP, hooks, shelves
 from lectern.plans.context import label_sql
 from lectern.plans.registry import query
 from lectern.plans.views import VIEWS
+from lectern.session import written
 
 # ------------------------------------------------------------------ replies
 # Every message becomes a model reply: its words in odd places are the title and terms, those in even places the summary.
@@ -165,13 +166,16 @@ def _anchors(t):
     return d.unionByName(A.doc_chapters(t).select("video_id", "start_ms")).distinct()
 
 
-@query("guide_verify", "gid long, text string, kept long, dropped long", """
+_GUIDES = """
 WITH b AS (SELECT *, count(t1) OVER (PARTITION BY gid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM g_lines),
 tm AS (SELECT gid, video_id, block, 0 AS k, t1 AS m, 30 AS s FROM b WHERE t1 IS NOT NULL UNION ALL SELECT gid, video_id, block, 1, t2, 5 FROM b WHERE t1 IS NOT NULL),
 ok AS (SELECT gid, block, string_agg(printf('%02d:%02d', m, s), '、' ORDER BY k) AS valid FROM tm WHERE EXISTS (SELECT 1 FROM v_docs d WHERE d.video_id = tm.video_id AND abs(d.start_ms - (m * 60 + s) * 1000) <= 15000) GROUP BY gid, block),
 bl AS (SELECT b.gid, b.block, max(ok.valid) AS valid, string_agg(b.line, chr(10) ORDER BY pos) AS body FROM b LEFT JOIN ok ON ok.gid = b.gid AND ok.block = b.block GROUP BY b.gid, b.block HAVING count(b.t1) > 0)
 ---
-SELECT gid, coalesce(string_agg(trim(CASE WHEN body IS NULL THEN '' ELSE body || chr(10) END || '> 时间 ' || valid, chr(10) || ' '), chr(10) || chr(10) ORDER BY block) FILTER (valid IS NOT NULL), '') AS text, count(valid) AS kept, count(block) FILTER (valid IS NULL) AS dropped FROM (SELECT DISTINCT gid FROM g_lines) g LEFT JOIN bl USING (gid) GROUP BY gid""")
+SELECT gid, coalesce(string_agg(trim(CASE WHEN body IS NULL THEN '' ELSE body || chr(10) END || '> 时间 ' || valid, chr(10) || ' '), chr(10) || chr(10) ORDER BY block) FILTER (valid IS NOT NULL), '') AS text, count(valid) AS kept, count(block) FILTER (valid IS NULL) AS dropped FROM (SELECT DISTINCT gid FROM g_lines) g LEFT JOIN bl USING (gid) GROUP BY gid"""
+
+
+@query("guide_verify", "gid long, text string, kept long, dropped long", _GUIDES)
 def guide_verify(t):
     return N.verify_guides(guides(t), _anchors(t))
 
@@ -263,6 +267,35 @@ def notes_document(t):
     return N.document_rows(A.courses(t), A.doc_chapters(t), notes, N.term_table(termed(t)))
 
 
+# The document with its last guide and the terms to confirm; the note of a chapter is all its chunks.
+VIEWS["n_guides"] = _GUIDES.replace("\n---\n", "\n")
+VIEWS["n_rows"] = rf"""
+SELECT c.video_id, 0 AS part, 0 AS idx, '# ' || c.title || chr(10) || chr(10) || '> 总时长 ' || {label_sql('CAST(c.duration_ms AS BIGINT)')} || '　·　' || (SELECT count(*) FROM v_doc_chapters h WHERE h.video_id = c.video_id) || ' 章' AS text FROM v_courses c
+UNION ALL SELECT video_id, 0, 1, chr(10) || '## 学习导读' || chr(10) || chr(10) || text FROM (SELECT m.video_id, arg_max(g.text, g.gid) AS text, arg_max(g.kept, g.gid) AS kept FROM n_guides g JOIN v_messages m ON m.id = g.gid GROUP BY m.video_id)
+  WHERE kept > 0 AND video_id IN (SELECT video_id FROM v_doc_chapters)
+UNION ALL SELECT video_id, 1, idx, '| ' || CASE WHEN title = '' THEN '第 ' || (idx + 1) || ' 章' ELSE title END || ' | ' || {label_sql('start_ms')} || ' | ' || trim(summary) || ' |' FROM v_doc_chapters
+UNION ALL SELECT video_id, 2, idx, chr(10) || '---' || chr(10) || chr(10) || '## ' || (idx + 1) || '. ' || CASE WHEN title = '' THEN '第 ' || (idx + 1) || ' 章' ELSE title END || chr(10) || chr(10) || '`' || {label_sql('start_ms')} || ' - ' || {label_sql('end_ms')} || '`' || chr(10) || chr(10) || regexp_replace(note, '^\s+|\s+$', '', 'g')
+  FROM v_doc_chapters h JOIN (SELECT parent_id, string_agg(text, chr(10) ORDER BY idx) AS note FROM v_docs GROUP BY parent_id) n ON n.parent_id = h.chapter_id
+UNION ALL SELECT video_id, 3, rank, '| ' || term || ' | ' || definition || ' |' FROM ({_TERMS})"""
+# rows stand apart, so that no term spans two of them
+VIEWS["n_text"] = "SELECT video_id AS page_id, string_agg(text, chr(10) || '¦' || chr(10) ORDER BY part, idx) AS body FROM n_rows GROUP BY video_id"
+VIEWS["n_found"] = f"WITH f AS ({GP._FLAGS.replace('v_page_text', 'n_text')}) SELECT page_id AS video_id, term, kind, n FROM f WHERE kind <> 'listed' OR NOT EXISTS (SELECT 1 FROM f o WHERE o.page_id = f.page_id AND o.kind <> 'listed' AND contains(o.term, f.term))"
+
+
+@query("notes_complete", "video_id string, part long, idx long, text string", """
+SELECT * FROM n_rows
+UNION ALL SELECT DISTINCT video_id, 4, 0, chr(10) || '## 待人工确认的术语' || chr(10) || chr(10) || '> 以下术语**未做自动替换**：它们可能是转写听错，也可能本来就是对的。' || chr(10) || chr(10) || '| 术语 | 类型 | 说明 | 出现次数 |' || chr(10) || '|---|---|---|---|' FROM n_found
+UNION ALL SELECT video_id, 4, row_number() OVER (PARTITION BY video_id ORDER BY k, term), '| `' || replace(term, '|', '\\|') || '` | ' || ['转写噪音', '疑为听错', '拼写不一致', '已标记'][k] || ' | '
+  || ['疑似转写噪音，请对照视频确认原词', '被当成专有名词引用，请确认是否为听错的词', '同一实体两种拼写，必有一处是错的', '术语表标记为待确认'][k] || ' | ' || n || ' |'
+  FROM (SELECT *, list_position(['spaced_letters', 'quoted_phrase', 'inconsistent', 'listed'], kind) AS k FROM n_found)""")
+def notes_complete(t):
+    last = A.messages(t).select(F.col("id").alias("gid"), "video_id").join(N.verify_guides(guides(t), _anchors(t)), "gid")
+    last = last.groupBy("video_id").agg(F.max_by("text", "gid").alias("text"), F.max_by("kept", "gid").alias("kept"))
+    whole = CX.joined(A.docs(t), ["parent_id"], ["idx"], "text", "\n", "note").withColumnRenamed("parent_id", "chapter_id")
+    document = written(N.document_rows(A.courses(t), A.doc_chapters(t), whole, N.term_table(termed(t)), last), "notes")
+    return N.with_findings(document, GP.suspects(t))
+
+
 # ------------------------------------------------------------------ quizzes
 # A quiz per session; a question per message; some options are blank, some answers out of range.
 

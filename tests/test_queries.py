@@ -15,7 +15,7 @@ if not pathlib.Path(FOLDER).exists():
 import __spark_entry__ as entry
 
 SAMPLE = (
-    "usage_grouping_sets price_calls chunk_segments chapter_segments stitch_overlaps split_points slide_overlap_join nearest_chunk"
+    "usage_grouping_sets price_calls chunk_segments chapter_segments stitch_overlaps split_points notes_complete slide_overlap_join nearest_chunk"
     " frame_groups bm25_search hybrid_rrf course_search parse_documents glossary_flag term_contexts verdict_gate evaluation_run"
     " hybrid_search usage_summary repair_library quiz_prompt stream_replies purge_course append_usage rerank_hook"
     " answer_citations waterfill_budget full_prefix chapter_transcript session_list quiz_grade guide_verify stream_chunks"

@@ -184,3 +184,23 @@ def test_budgets_with_one_large_course(spark):
         elif v == "big":
             break
     assert {(r.video_id, r.idx) for r in got} == want | {("small", 0), ("small", 1), ("small", 2)}
+
+
+def test_document_with_guide_and_findings(spark):
+    from lectern.operators import notes
+
+    courses = spark.createDataFrame([("a", "T", 60_000), ("b", "", 1000)], "video_id string, title string, duration_ms long")
+    chapters = spark.createDataFrame([("a", "a-0", 0, "eins", "kurz", 0, 30_000), ("a", "a-1", 1, "", "", 30_000, 60_000)], "video_id string, chapter_id string, idx long, title string, summary string, start_ms long, end_ms long")
+    said = spark.createDataFrame([("a-0", 'D Y L and "some | word" or "some | word" x|y jeb_wincon_a'), ("a-1", "jeb_winco_a x|y, a thing")], "chapter_id string, note string")
+    terms = spark.createDataFrame([], "video_id string, rank long, term string, definition string")
+    guides = spark.createDataFrame([("a", "read this", 1), ("b", "no chapters", 1)], "video_id string, text string, kept long")
+    rows = notes.document_rows(courses, chapters, said, terms, guides)
+    listed = spark.createDataFrame([("x|y",), ("wincon",), ("absent",)], "term string")
+    got = {(r.video_id, r.part, r.idx): r.text for r in notes.with_findings(rows, listed).collect()}
+    assert got["a", 0, 1] == "\n## 学习导读\n\nread this" and ("b", 0, 1) not in got
+    found = [got[k] for k in sorted(got) if k[1] == 4 and k[2] > 0]
+    # a listed term inside another finding is no finding of its own; "some | word" is no quoted phrase (a bar is not part of one)
+    assert [f.split(" | ")[0::3] for f in found] == [["| `D Y L`", "1 |"], ["| `jeb_wincon_a / jeb_winco_a`", "2 |"], ["| `x\\|y`", "2 |"]]
+    assert [k for k in got if k[0] == "b"] == [("b", 0, 0)]
+    again = notes.document_rows(courses, chapters, said, terms, guides.withColumn("kept", F.lit(0).cast("long")))
+    assert again.filter("part = 0 AND idx = 1").isEmpty()

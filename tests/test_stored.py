@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import retrieval as R, search as S
+from lectern.operators import glossary, retrieval as R, search as S
 from lectern.operators.stored import Library, Store, TermIndex
 
 WORDS = "alpha beta gamma delta Épsilon zeta".split()
@@ -102,3 +102,27 @@ def test_substring_index_finds_what_a_scan_finds(spark):
     pick = lambda df: sorted((r.qid, r.key) for r in df.select("qid", "key").collect())
     found = pick(S.like_pairs(table, asked, index))
     assert found == pick(S.like_pairs(table, asked)) and len(found) > 300
+
+
+def test_repair_is_written_back(spark):
+    library = Library(Store.temporary(spark, "test"))
+    rows = [("a", "1", "fo bar", "fo", None, ""), ("a", "2", "bar", "fo fo", "s", "o"), ("b", "3", "clean", "t", "s", "o"), ("b", "4", None, None, None, None)]
+    start = spark.createDataFrame(rows, "video_id string, chunk_id string, text string, title string, summary string, ocr_text string")
+    library.create(start, embed(start))
+    rules = spark.createDataFrame([("", ["fo"], "foo!", "", 1), ("b", ["bar"], "never", "", 2)], "video_id string, wrong array<string>, right string, reason string, ord long")
+    met = []
+
+    def watched(moved):
+        met.extend(r.chunk_id for r in moved.collect())
+        return embed(moved)
+
+    assert {(r.video_id, r.n) for r in glossary.repair_stored(library, rules, watched).collect()} == {("a", 4)}
+    want = [("a", "1", "foo! bar", "foo!", None, ""), ("a", "2", "bar", "foo! foo!", "s", "o"), *rows[2:]]
+    assert sorted(map(tuple, library.chunks.all().select(*start.columns).collect()), key=lambda r: r[1]) == want
+    assert met == ["1"]  # only its indexed text is another
+    fresh = Library(Store.temporary(spark, "test"))
+    made = spark.createDataFrame(want, start.schema)
+    fresh.create(made, embed(made))
+    asked = spark.createDataFrame([("foo",), ("fo",), ("bar",)], "term string")
+    both = [sorted(map(tuple, x.words.postings(asked).collect())) for x in (library, fresh)]
+    assert both[0] == both[1] and len(both[0]) == 3
