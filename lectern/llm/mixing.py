@@ -140,6 +140,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT, block=BLOCK,
 
     At most two documents of a shard are taken in part. Null texts and texts without words have size 0
     and nothing is taken. Null sources are one source, after all others. Reruns and other partitions give the same.
+    Equal quotients go to the smaller source or shard, equal hashes are ordered by doc_id and size; rows that repeat id and
+    text are documents of their own, and which of them is taken does not show. A very long text is one document: it may be
+    taken in part, and a shard that consists of it alone has its blocks inside it. Other columns play no part, whatever
+    their names. An empty table gives an empty result.
     """
     rows, _ = _placed(docs, weights, share, limit, block, shard_words, seed)
     inside = lambda a, b: F.greatest(F.lit(0), F.least(F.col("to"), b) - F.greatest(F.col("from"), a))
@@ -154,7 +158,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT, block=BLOC
 
     A document belongs to a run of blocks if its middle does, so a shard misses its quota by half a document at most.
     Runs are intervals of the seeded hash, so documents meet one small row per shard and texts
-    need no sort. Documents without words follow their neighbours. Columns stay as they are.
+    need no sort. Documents without words follow their neighbours. Columns stay as they are. Nulls, ties and repeated rows
+    as in ``mix``; a very long text is taken whole or not, so its shard may miss the quota by half of it.
     """
     rows, quotas = _placed(docs, weights, share, limit, block, shard_words, seed)
     middle = (F.col("from") + F.col("to")) / 2

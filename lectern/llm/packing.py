@@ -81,7 +81,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A document is its ids and a closing END; a null text is an empty one. Only documents longer than ``capacity`` are
-    cut. The crc is over the ids as little-endian 32-bit numbers.
+    cut. The crc is over the ids as little-endian 32-bit numbers. A very long text is encoded whole, inside its row. Rows that
+    repeat id and text give their pieces as often as they occur. Other columns are not carried along, so no name can clash.
+    An empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -92,7 +94,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of every length. Lengths are from 1 to ``capacity``."""
+    """(bin, offset) of every length. Lengths are from 1 to ``capacity``. Pieces of equal length are interchangeable: the
+    last given is taken first."""
     order = np.argsort(lengths, kind="stable")
     cuts = np.searchsorted(lengths[order], np.arange(capacity + 2))
     stock = {n: order[cuts[n]:cuts[n + 1]].tolist() for n in range(1, capacity + 1) if cuts[n] < cuts[n + 1]}

@@ -167,7 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, column
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from ``threshold`` on). A null, empty or white text gets the bias alone."""
+    """Adds score (0 to 1) and predicted (1 from ``threshold`` on). A null, empty or white text gets the bias alone.
+
+    A very long text is scored whole, inside its row. Texts of the same words in the same number, and repeated rows, tie.
+    Columns score and predicted of ``docs`` are replaced, all others stay. An empty table gives an empty result.
+    """
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

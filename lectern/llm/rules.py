@@ -221,7 +221,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, column
 def judged(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """Adds the base statistics, base_failed, score and kept to ``docs`` (columns of these names are replaced).
 
-    A null or empty text has no words and fails the base rules. The score of a text that failed is still given.
+    A null or empty text has no words and fails the base rules. The score of a text that failed is still given. A very long
+    text is counted whole, inside its row. A statistic equal to a split goes to its left, a score equal to ``threshold`` is
+    kept. Repeated rows get equal results. The names stats and _score are reserved. An empty table gives an empty result.
     """
 
     @F.arrow_udf(T.DoubleType())

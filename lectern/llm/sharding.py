@@ -74,7 +74,10 @@ def shards(docs: DataFrame, n: int = SHARDS, bits: int = BITS, names: tuple[str,
 
     Counts of shards differ by one at most; slots are gapless from 0. Equal texts take the smallest index of their
     group and are neighbours on the curve, so a group is in one shard unless a cut falls into it. Dimensions are the columns
-    ``names`` by rank of their values (null last) and the size by its logarithm. A null text has size 1 and crc 0.
+    ``names`` by rank of their values (null last) and the size by its logarithm. A null text has size 1 and crc 0, an empty
+    one size 1. Rows of one cell are ordered by text hash, size and doc_id (null first); rows that repeat all of these are
+    alike. A very long text is one row like any other. Columns of ``docs`` are kept inside ``doc``, so their names cannot
+    clash. An empty table gives an empty result.
     """
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")

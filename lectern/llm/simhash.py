@@ -186,7 +186,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     count; a component of null ids only gets null). ``text_hash`` and doc_id tell rows apart.
     ``kept`` marks the first row of each component by (doc_id, text_hash), nulls last; rows equal in both are
     alike and all carry the mark, ``copies`` says how many there are. Texts that are null, empty or white have
-    fingerprint zero and form one group like any other. An empty table gives an empty result.
+    fingerprint zero and form one group like any other. A bit set in exactly half the shingles is 0. A very long text is
+    fingerprinted whole, inside its row. Columns other than doc_id and text play no part, whatever their names. An empty
+    table gives an empty result.
     """
     prints = written(
         with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"),
@@ -403,6 +405,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, tile: int = WID
     The candidates of a task are reduced to a forest, which keeps who may belong together; it is no list of links. Inside each
     component of candidates all pairs are compared on their whole shingle sets, and only similar pairs become links.
     Case of A-Z is ignored. Texts without words are copies of each other; texts of fewer than five words are compared as a whole.
+    Very long texts are compared on the sets of all their shingles. Nulls, ties, repeated rows and other columns as in
+    ``near_duplicates``.
     """
     prints = written(
         docs.select("doc_id", "text").withColumn("w", _wide_prints("text"))

@@ -176,7 +176,9 @@ def near_duplicates(
 
     Rows are compared if their labels are equal and not null. A vector that is null, empty, zero, or holds a null or a number
     that is not finite links with nothing, nor do vectors of different length. A null vec_id links like any other but names no
-    component; where it stands alone its component_id is null and kept is false. Repeated rows count as vectors.
+    component; where it stands alone its component_id is null and kept is false. Repeated rows count as vectors. Where axes
+    tie, the first is the hash. Vectors of any length are hashed whole, padded to a power of two. Columns other than the
+    three play no part, whatever their names. An empty table gives an empty result.
     More tables or probes raise recall, more hashes per table keep buckets small on larger collections.
     """
     rows = vectors.select("vec_id", "embedding", "label")

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lectern.llm import components, lines, simhash, vectors
@@ -207,6 +208,21 @@ def test_hadamard_is_orthogonal():
     assert np.allclose(y @ y.T, x) and np.allclose(np.abs(y), 0.25)
 
 
+@pytest.mark.parametrize("width", [16, 100, 768])
+def test_vectors_just_above_the_limit_are_found(spark, width):
+    """300 pairs of cosine 0.9805: the hardest that count."""
+    rng = np.random.default_rng(width)
+    a, turn = rng.normal(size=(2, 300, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    turn -= (turn * a).sum(axis=1, keepdims=True) * a
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    b = 0.9805 * a + math.sqrt(1 - 0.9805**2) * turn
+    rows = [(2 * k + j, [float(v) for v in x[k]], 1) for j, x in enumerate((a, b)) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    found = vectors.near_duplicates(df).filter("n_links > 0").count()
+    assert found / 600 >= 0.99
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(3)
     rows, n = [], 0

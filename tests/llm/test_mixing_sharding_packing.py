@@ -1,6 +1,7 @@
 """Mixing, sharding and packing: laws that must hold, and plain loops."""
 
 import collections
+import math
 import zlib
 
 import numpy as np
@@ -124,6 +125,23 @@ def test_shards_are_even_and_keep_groups_together(spark):
     assert by_id[9].size == len(edge.ROWS[8][1].encode()) + 1
 
 
+def test_shards_follow_the_curve(spark):
+    rows = [(k, f"text {k % 211} " + "x" * (k * k % 3001), ("en", "de", None)[k % 3], f"s{k % 9}" if k % 10 else None, 1, *[None] * 5) for k in range(700)]
+    out = {r.doc_id: r for r in sharding.shards(edge.docs(spark, rows)).collect()}
+    size = {r[0]: len(r[1].encode()) + 1 for r in rows}
+    rank = lambda values, v: sorted(values, key=lambda x: (x is None, x)).index(v)
+    step = lambda col, v: (lambda all_: math.floor(rank(all_, v) * min(1.0, 32 / len(all_))))({r[col] for r in rows})
+    cell = {r[0]: (step(2, r[2]), step(3, r[3]), min(31, math.floor(math.log2(size[r[0]]) * 1.5))) for r in rows}
+    cells = spark.createDataFrame(sorted(set(cell.values())), "a int, b int, c int")
+    index = {tuple(r)[:3]: r.h for r in cells.withColumn("h", sharding.hilbert_index([F.col(x) for x in "abc"], 5)).collect()}
+    group = collections.defaultdict(list)
+    for r in rows:
+        group[r[1]].append(index[cell[r[0]]])
+    assert {k: r["index"] for k, r in out.items()} == {r[0]: min(group[r[1]]) for r in rows}
+    along = [r["index"] for r in sorted(out.values(), key=lambda r: (r.shard, r.slot))]
+    assert along == sorted(along)
+
+
 def test_shard_files_hold_every_row(spark, tmp_path):
     docs = edge.docs(spark)
     sharding.write_shards(docs, str(tmp_path / "out"), n=4)
@@ -184,3 +202,17 @@ def test_pieces_round_trip(spark):
     assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:]))
     sequences = packing.sequences(docs.filter("doc_id in (1, 2, 9)")).collect()
     assert sum(len(s.ids) for s in sequences) == sum(r.length for r in placed if r.doc_id in (1, 2, 9))
+
+
+def test_pieces_of_a_whole_table(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: encoder.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
+    got = packing.pieces(docs).collect()
+    for r in got:
+        part = want[r.doc_id][r.start:r.start + r.length]
+        assert len(part) == r.length <= 2048 and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+    assert sum(r.length for r in got) == sum(map(len, want.values()))

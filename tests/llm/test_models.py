@@ -1,9 +1,11 @@
 """Personal data, toxicity, quality classifier and quality rules."""
 
+import collections
 import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lectern.llm import pii, quality, rules, toxicity
 
@@ -152,6 +154,56 @@ def test_classifier_on_held_out_documents(spark):
     assert edges[4] == edges[5] == edges[6] and 0 <= edges[8] <= 1
 
 
+def loop_train(bags, y, dim, epochs, rate, buckets, batch, seed):
+    """The same descent row by row: vectors, output layer and bias."""
+    rng = np.random.default_rng(seed)
+    vectors, past = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)), np.zeros((buckets, dim))
+    out, bias, done, steps = np.zeros((2, dim)), np.zeros(2), 0, epochs * -(-len(bags) // batch)
+    for _ in range(epochs):
+        order = rng.permutation(len(bags))
+        for at in range(0, len(order), batch):
+            now, picked = rate * (1 - done / steps), order[at:at + batch]
+            done += 1
+            slopes, d_out, d_bias = np.zeros((buckets, dim)), np.zeros((2, dim)), np.zeros(2)
+            for d in picked:
+                rows = [r for w, n in bags[d].items() for r in quality.rows_of(w, buckets) * n]
+                mean = np.mean(vectors[rows], axis=0) if rows else np.zeros(dim)
+                odds = np.exp(out @ mean + bias)
+                error = (np.eye(2)[int(y[d])] - odds / odds.sum()) / len(picked)
+                d_out += np.outer(error, mean)
+                d_bias += error
+                for r in rows:
+                    slopes[r] += error @ out / len(rows)
+            out, bias = out + now * d_out, bias + now * d_bias
+            past += slopes ** 2
+            vectors += now * slopes / np.sqrt(past + 1e-12)
+    return vectors, out, bias
+
+
+def test_classifier_equals_averaged_vectors_row_by_row():
+    rows, marks = good_and_bad(30)
+    texts = [" ".join(r[1].split()[:12]) for r in rows] + [""]
+    y = np.array([m[1] for m in marks] + [0.0])
+    bags = [collections.Counter(quality.words_of(t)) for t in texts]
+    vectors, out, bias = loop_train(bags, y, 3, 2, 0.5, 97, 4, 5)
+    score = quality.train_model([dict(b) for b in bags], y, 3, 2, 0.5, 97, 4, 5).scorer()
+    for text in [*texts, "one word", "never never never seen"]:
+        members = [r for w in quality.words_of(text) for r in quality.rows_of(w, 97)]
+        odds = np.exp(out @ (vectors[members].mean(axis=0) if members else np.zeros(3)) + bias)
+        assert abs(score(text) - odds[1] / odds.sum()) < 1e-9
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    docs = edge.docs(spark).withColumn("predicted", F.lit("x")).withColumn("n_words", F.lit("y"))
+    rows, marks = good_and_bad(60)
+    sample, known = edge.docs(spark, rows), edge.labels(spark, marks)
+    for out in (quality.scored(docs, quality.train(sample, known)), toxicity.scored(docs, toxicity.learn(sample, known))):
+        assert sorted(out.columns) == sorted(docs.columns) and dict(out.dtypes)["score"] == "double" and dict(out.dtypes)["predicted"] == "int"
+        assert out.count() == len(edge.ROWS) and out.filter("score IS NULL OR score < 0 OR score > 1").isEmpty()
+    out = rules.judged(docs, rules.train(sample, known))
+    assert len(set(out.columns)) == len(out.columns) and dict(out.dtypes)["n_words"] == "bigint" and out.count() == len(edge.ROWS)
+
+
 def loop_repeated(words):
     windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
     covered = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)}
