@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.functions.lists import unfold
 from lectern.operators import context, glossary, intervals, ordered, patterns, retrieval
+from lectern.session import written
 
 
 def guide_times(line: Column) -> Column:
@@ -210,6 +211,44 @@ def document_rows(
     ))
 
 
+def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("part int, idx long, text string, video_id string").parquet(folder)
+
+
+def _put(rows: DataFrame, folder: str) -> None:
+    by = ["video_id", "part", "idx"]
+    (
+        rows.select(*by, "text").repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("video_id")
+        .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
+    )
+
+
+def write_documents(document: DataFrame, folder: str, degraded: DataFrame | None = None, force: bool = False) -> None:
+    """Stores ``document_rows`` below ``folder``/now, a partition per course; other courses there stay untouched.
+
+    A course in ``degraded`` (video_id, degraded), most of whose chapters failed, does not replace a document that is already there,
+    unless ``force``; where there is none it is written. What gets replaced is copied to ``folder``/previous first.
+    """
+    spark = document.sparkSession
+    old = _stored(spark, f"{folder}/now")
+    if old is not None:
+        held = old.select("video_id").distinct()
+        if degraded is not None and not force:
+            document = document.join(degraded.filter("degraded").join(held, "video_id", "left_semi"), "video_id", "left_anti")
+        document = written(document, "documents")
+        _put(old.join(document.select("video_id").distinct(), "video_id", "left_semi"), f"{folder}/previous")
+    _put(document, f"{folder}/now")
+
+
+def read_documents(spark: SparkSession, folder: str, version: str = "now") -> DataFrame:
+    """video_id, part, idx, text of the stored documents; ``version``: now or previous."""
+    rows = _stored(spark, f"{folder}/{version}")
+    return spark.createDataFrame([], "video_id string, part int, idx long, text string") if rows is None else rows.select("video_id", "part", "idx", "text")
+
+
 def with_findings(document: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
     """``document_rows`` and, as part 4, a table of the terms in it that a person should confirm, which stay unchanged in the text.
 

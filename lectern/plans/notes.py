@@ -10,7 +10,7 @@ from lectern.plans import adapters as A, glossary as GP, hooks, shelves
 from lectern.plans.context import label_sql
 from lectern.plans.registry import query
 from lectern.plans.views import VIEWS
-from lectern.session import written
+from lectern.session import work_path, written
 
 # ------------------------------------------------------------------ replies
 # Every message becomes a model reply: its words in odd places are the title and terms, those in even places the summary.
@@ -119,9 +119,12 @@ def deltas(messages):
     ).withColumn("total_tokens", F.when(last, F.col("seq")).otherwise(F.col("_u")).cast("long"))
 
 
-@query("degrade_flag", "video_id string, degraded boolean", """
+_DEGRADED = """
 SELECT video_id, n > 0 AND (s = 0 OR f >= greatest(3, s // 2 + 1)) AS degraded FROM (
-  SELECT video_id, count(*) AS n, count(*) FILTER (idx % 2 = 0 OR CAST(video_id[4:] AS BIGINT) % 2 = 0) AS s, count(*) FILTER (idx % 4 = 0 OR (CAST(video_id[4:] AS BIGINT) % 4 = 0 AND idx % 5 <> 0)) AS f FROM v_doc_chapters GROUP BY video_id)""")
+  SELECT video_id, count(*) AS n, count(*) FILTER (idx % 2 = 0 OR CAST(video_id[4:] AS BIGINT) % 2 = 0) AS s, count(*) FILTER (idx % 4 = 0 OR (CAST(video_id[4:] AS BIGINT) % 4 = 0 AND idx % 5 <> 0)) AS f FROM v_doc_chapters GROUP BY video_id)"""
+
+
+@query("degrade_flag", "video_id string, degraded boolean", _DEGRADED)
 def degrade_flag(t):
     course, n = F.substring("video_id", 4, 10).cast("long"), F.col("idx")
     c = A.doc_chapters(t).groupBy("video_id").agg(
@@ -252,14 +255,17 @@ def course_rollup(t):
     return N.course_bodies(A.courses(t), A.doc_chapters(t)).orderBy("video_id", "idx")
 
 
-@query("notes_document", "video_id string, part long, idx long, text string", f"""
+_NOTES = f"""
 WITH nt AS (SELECT parent_id, arg_min(text, idx) AS note FROM v_docs GROUP BY parent_id),
 ch AS (SELECT *, CASE WHEN title = '' THEN '第 ' || (idx + 1) || ' 章' ELSE title END AS ttl FROM v_doc_chapters)
 ---
 SELECT c.video_id, 0 AS part, 0 AS idx, '# ' || c.title || chr(10) || chr(10) || '> 总时长 ' || {label_sql('CAST(c.duration_ms AS BIGINT)')} || '　·　' || (SELECT count(*) FROM ch WHERE ch.video_id = c.video_id) || ' 章' AS text FROM v_courses c
 UNION ALL SELECT video_id, 1, idx, '| ' || ttl || ' | ' || {label_sql('start_ms')} || ' | ' || trim(summary) || ' |' FROM ch
 UNION ALL SELECT video_id, 2, idx, chr(10) || '---' || chr(10) || chr(10) || '## ' || (idx + 1) || '. ' || ttl || chr(10) || chr(10) || '`' || {label_sql('start_ms')} || ' - ' || {label_sql('end_ms')} || '`' || chr(10) || chr(10) || trim(note, chr(10) || ' ') FROM ch JOIN nt ON nt.parent_id = ch.chapter_id
-UNION ALL SELECT video_id, 3, rank, '| ' || term || ' | ' || definition || ' |' FROM ({_TERMS})""")
+UNION ALL SELECT video_id, 3, rank, '| ' || term || ' | ' || definition || ' |' FROM ({_TERMS})"""
+
+
+@query("notes_document", "video_id string, part long, idx long, text string", _NOTES)
 def notes_document(t):
     notes = A.docs(t).groupBy(F.col("parent_id").alias("chapter_id")).agg(F.min_by("text", "idx").alias("_t"))
     titled = A.doc_chapters(t).select("chapter_id", X.chapter_title(F.col("title"), F.col("idx")).alias("_h")).join(notes, "chapter_id")
@@ -267,6 +273,22 @@ def notes_document(t):
     return N.document_rows(A.courses(t), A.doc_chapters(t), notes, N.term_table(termed(t)))
 
 
+# Every course is written twice; where most chapters of the second run failed, the first document stays.
+VIEWS["n_plain"] = _NOTES.replace("\n---\n", "\n")
+VIEWS["n_degraded"] = _DEGRADED
+
+
+@query("notes_stored", "version string, video_id string, part long, idx long, text string", """
+SELECT 'now' AS version, n.video_id, part, idx, CASE WHEN d.degraded THEN text ELSE text || ' (2)' END AS text FROM n_plain n LEFT JOIN n_degraded d ON d.video_id = n.video_id
+UNION ALL SELECT 'previous', n.video_id, part, idx, text FROM n_plain n LEFT JOIN n_degraded d ON d.video_id = n.video_id WHERE d.degraded IS NOT TRUE""")
+def notes_stored(t):
+    folder, first = work_path(t.spark, "notes"), written(notes_document(t), "first")
+    N.write_documents(first, folder, degrade_flag(t))
+    N.write_documents(first.withColumn("text", F.concat("text", F.lit(" (2)"))), folder, degrade_flag(t))
+    versions = [N.read_documents(t.spark, folder, v).withColumn("version", F.lit(v)) for v in ("now", "previous")]
+    return versions[0].unionByName(versions[1])
+
+
 # The document with its last guide and the terms to confirm; the note of a chapter is all its chunks.
 VIEWS["n_guides"] = _GUIDES.replace("\n---\n", "\n")
 VIEWS["n_rows"] = rf"""

@@ -204,3 +204,34 @@ def test_document_with_guide_and_findings(spark):
     assert [k for k in got if k[0] == "b"] == [("b", 0, 0)]
     again = notes.document_rows(courses, chapters, said, terms, guides.withColumn("kept", F.lit(0).cast("long")))
     assert again.filter("part = 0 AND idx = 1").isEmpty()
+
+
+def test_documents_are_not_replaced_by_failed_ones(spark, tmp_path):
+    folder = str(tmp_path / "notes")
+    rows = lambda *of: spark.createDataFrame([(v, 0, k, f"{text} {k}") for v, text in of for k in range(3)], "video_id string, part int, idx long, text string")
+    failed = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "video_id string, degraded boolean")
+    read = lambda version="now": {r.video_id: r.text for r in notes.read_documents(spark, folder, version).filter("idx = 2").collect()}
+    assert read() == {}
+    notes.write_documents(rows(("a", "one"), ("b", "one")), folder, failed)
+    assert read() == {"a": "one 2", "b": "one 2"} and read("previous") == {}  # a first document is written in any case
+    notes.write_documents(rows(("a", "two"), ("b", "two"), ("c", "two")), folder, failed)
+    assert read() == {"a": "one 2", "b": "two 2", "c": "two 2"} and read("previous") == {"b": "one 2"}
+    notes.write_documents(rows(("a", "three")), folder, failed, force=True)
+    assert read() == {"a": "three 2", "b": "two 2", "c": "two 2"} and read("previous") == {"a": "one 2", "b": "one 2"}
+
+
+def test_concepts_and_outcomes_are_written(spark, tmp_path):
+    from lectern.operators import evaluation
+
+    said = [("a", 0, k, 0, f"t{k % 40}", f"d{k}", 1000 * k) for k in range(100)] + [("b", 1, 0, 0, "only", "one", None)]
+    merged = notes.merge_concepts(spark.createDataFrame(said, "video_id string, source int, idx long, pos int, term string, definition string, start_ms long"))
+    notes.write_concepts(merged, str(tmp_path / "concepts"))
+    lines = spark.read.text(str(tmp_path / "concepts")).collect()
+    assert sorted(r.value for r in lines if r.video_id == "a") == sorted(f"- **t{k}**（00:{k:02d}）：d{k}" for k in range(40))
+    assert [r.value for r in lines if r.video_id == "b"] == ["- **only**（00:00）：one"]
+    outcomes = spark.createDataFrame([(k, "factual", k / 10, ("ok", "missing", "wrong")[k % 3], k == 5) for k in range(6)], "qid int, type string, score double, status string, failed boolean")
+    evaluation.write_outcomes(outcomes, str(tmp_path / "run"))
+    back = spark.read.json(str(tmp_path / "run" / "answers"))
+    assert sorted((r.qid, r.status, r.failed) for r in back.collect()) == [(k, ("ok", "missing", "wrong")[k % 3], k == 5) for k in range(6)]
+    totals = spark.read.json(str(tmp_path / "run" / "summary")).first()
+    assert (totals.n, totals["mean"], totals.failures) == (6, 0.25, 1)
