@@ -1,4 +1,4 @@
-"""What shows only on larger tables: tables of many files."""
+"""What shows only on larger tables: tables of many files, chapters whose names meet, letters beside accents."""
 
 import collections
 import pathlib
@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lectern.operators import glossary
 from lectern.schemas import TABLES
 
 duckdb = pytest.importorskip("duckdb")
@@ -31,3 +32,9 @@ def test_streams_read_tables_of_many_files(spark, tmp_path, name):
     # the newest conversations in the first files
     talk.repartitionByRange(70, F.desc("conv_id")).write.parquet(f"{tmp_path}/conversations.parquet")
     assert len(same_rows(spark, tmp_path, name)) > 60
+
+
+def test_letters_beside_accents_and_tabs(spark):
+    texts = spark.createDataFrame([("caña b c d", ), ("x y\x0bz w v", ), ("_a b c 1a b c", ), ("a b cé", )], "t string")
+    found = [r[0] for r in texts.select(glossary.spaced_letters(F.col("t"))).collect()]
+    assert found == [["a b c d"], ["z w v"], [], ["a b c"]]
