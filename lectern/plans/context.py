@@ -83,7 +83,7 @@ SELECT video_id, idx AS ch, -1 AS idx, chr(10) || '## ' || CASE WHEN title = ''
   || CASE WHEN trim(summary) <> '' THEN chr(10) || trim(summary) ELSE '' END AS line FROM v_doc_chapters
 UNION ALL SELECT video_id, chapter_idx, idx, '- [' || {label_sql('start_ms')} || '] ' || CASE WHEN title <> '' THEN title ELSE {label_sql('start_ms')} END || CASE WHEN summary <> '' THEN '：' || trim(summary) ELSE '' END FROM v_docs""")
 def outline_prefix(t):
-    return CX.outline_lines(A.doc_chapters(t), A.docs(t)).orderBy("video_id", "ch", "idx")
+    return CX.outline_lines(*A.numbered_chapters(t)).orderBy("video_id", "ch", "idx")
 
 
 @query("citation_prefix", "qid long, prefix string", f"""
@@ -166,7 +166,7 @@ SELECT f.video_id, CASE WHEN f.tokens > 40000 THEN o ELSE f.prefix END AS prefix
 FROM full_p f JOIN cut_o ON cut_o.video_id = f.video_id""")
 def prefix_choice(t):
     """Prefixes of yesterday, when every third course had another title, brought up to date."""
-    courses, chapters, chunks = summarised_courses(t), A.doc_chapters(t), A.docs(t)
+    courses, (chapters, chunks) = summarised_courses(t), A.numbered_chapters(t)
     limits = {"max_chars": 130_000, "max_tokens": 40_000}
     renamed = F.when(F.substring("video_id", 4, 10).cast("long") % 3 == 0, F.concat(F.lit("old "), "title")).otherwise(F.col("title"))
     stored = settle(CX.choose_prefixes(courses.withColumn("title", renamed), chapters, chunks, **limits))
