@@ -267,10 +267,12 @@ UNION ALL SELECT video_id, 3, rank, '| ' || term || ' | ' || definition || ' |'
 
 @query("notes_document", "video_id string, part long, idx long, text string", _NOTES)
 def notes_document(t):
-    notes = A.docs(t).groupBy(F.col("parent_id").alias("chapter_id")).agg(F.min_by("text", "idx").alias("_t"))
-    titled = A.doc_chapters(t).select("chapter_id", X.chapter_title(F.col("title"), F.col("idx")).alias("_h")).join(notes, "chapter_id")
+    # chapters are told apart by number; those that share a name have the first text under that name as their note
+    chapters = A.numbered_chapters(t)[0]
+    notes = A.docs(t).groupBy(F.col("parent_id").alias("name")).agg(F.min_by("text", "idx").alias("_t"))
+    titled = chapters.select("chapter_id", "name", X.chapter_title(F.col("title"), F.col("idx")).alias("_h")).join(notes, "name")
     notes = titled.select("chapter_id", F.concat(F.lit("## "), "_h", F.lit("\n\n"), "_t").alias("note"))
-    return N.document_rows(A.courses(t), A.doc_chapters(t), notes, N.term_table(termed(t)))
+    return N.document_rows(A.courses(t), chapters, notes, N.term_table(termed(t)))
 
 
 # Every course is written twice; where most chapters of the second run failed, the first document stays.

@@ -38,3 +38,14 @@ def test_letters_beside_accents_and_tabs(spark):
     texts = spark.createDataFrame([("caña b c d", ), ("x y\x0bz w v", ), ("_a b c 1a b c", ), ("a b cé", )], "t string")
     found = [r[0] for r in texts.select(glossary.spaced_letters(F.col("t"))).collect()]
     assert found == [["a b c d"], ["z w v"], [], ["a b c"]]
+
+
+@pytest.mark.parametrize("name", ["chapter_members", "outline_prefix", "notes_document", "notes_stored"])
+def test_chapters_that_share_a_name(spark, tmp_path, name):
+    n = F.col("id")
+    body = F.concat(F.lit("title "), n, F.lit("\nword and more\nrest"))
+    # chapters 100 and 1000 to 1003 have one name, and so have 0 and none other
+    ids = spark.range(3).union(spark.range(10_000, 10_003)).union(spark.range(100_000, 100_400, 50))
+    ids.select(n.alias("doc_id"), body.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.length(body).cast("long").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = same_rows(spark, tmp_path, name)
+    assert ("src1-ch100", 55, "src1-c10000") in rows or name != "chapter_members"
