@@ -49,3 +49,13 @@ def test_chapters_that_share_a_name(spark, tmp_path, name):
     ids.select(n.alias("doc_id"), body.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.length(body).cast("long").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     rows = same_rows(spark, tmp_path, name)
     assert ("src1-ch100", 55, "src1-c10000") in rows or name != "chapter_members"
+
+
+def test_answered_questions_need_no_scores(spark):
+    from lectern.operators import retrieval
+
+    docs = spark.createDataFrame([("a", f"a{k}", "common word") for k in range(50)] + [("b", "b0", "other")], "video_id string, chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "a", "common"), (1, "a", "word"), (2, "a", "other"), (3, "b", "other"), (4, "c", "common")], "qid long, video_id string, term string")
+    found = retrieval.answered(docs, asked)
+    assert sorted(r.qid for r in found.collect()) == [1, 3]
+    assert {r.qid for r in retrieval.keyword_hits(docs, asked, 32).collect()} == {1, 3}
