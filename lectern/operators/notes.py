@@ -106,11 +106,17 @@ def unverified_terms(guides: DataFrame, chunks: DataFrame) -> DataFrame:
 def merge_concepts(concepts: DataFrame) -> DataFrame:
     """First mention of every term of a course: chunk concepts by chunk, then course concepts.
 
-    Columns: video_id, source (0 chunk, 1 course), idx, pos, term, definition, start_ms."""
-    at = F.struct("source", "idx", "pos")
-    return concepts.groupBy("video_id", "term").agg(
-        F.min_by("definition", at).alias("definition"), F.min_by("start_ms", at).alias("start_ms"), F.min(at).alias("first")
-    )
+    Columns: video_id, source (0 chunk, 1 course), idx, pos (row numbers from 0 on, below 10^18), term, definition, start_ms; rows of one
+    (video_id, source, idx, pos) agree in definition and start_ms. A term's first place is found without its definition, as a number
+    that a hash aggregate can keep; only then is the definition of that place fetched, each once and not once per term."""
+    place = ["video_id", "source", "idx", "pos"]
+    high, low = (F.lit(f"1{'0' * n}").cast("decimal(37,0)") for n in (36, 18))
+    digits = lambda c: F.col(c).cast("decimal(18,0)")
+    at = (digits("source").cast("decimal(1,0)") * high + digits("idx") * low.cast("decimal(19,0)") + digits("pos")).cast("decimal(38,0)")
+    first = concepts.groupBy("video_id", "term").agg(F.min(at).alias("_at"))
+    said = concepts.select(at.alias("_at"), F.col("video_id").alias("_v"), *place[1:], "definition", "start_ms").distinct()
+    mine = first["video_id"].eqNullSafe(said["_v"]) & (first["_at"] == said["_at"])
+    return first.join(said, mine).select("video_id", "term", "definition", "start_ms", F.struct(*place[1:]).alias("first"))
 
 
 def concept_lines(merged: DataFrame) -> DataFrame:

@@ -59,3 +59,15 @@ def test_answered_questions_need_no_scores(spark):
     found = retrieval.answered(docs, asked)
     assert sorted(r.qid for r in found.collect()) == [1, 3]
     assert {r.qid for r in retrieval.keyword_hits(docs, asked, 32).collect()} == {1, 3}
+
+
+def test_first_places_are_found_without_their_lines(spark):
+    from lectern.operators import notes
+
+    rows = [("a", 1, 0, 5, "x", "course", None), ("a", 0, 10**9, 7, "x", "late", 9), ("a", 0, 3, 12, "x", "first", 3), ("a", 0, 3, 12, "y", "first", 3),
+            (None, 1, 0, 1, "x", None, None)]
+    table = spark.createDataFrame(rows, "video_id string, source int, idx long, pos long, term string, definition string, start_ms long")
+    merged = notes.merge_concepts(table)
+    assert {tuple(r) for r in merged.collect()} == {("a", "x", "first", 3, (0, 3, 12)), ("a", "y", "first", 3, (0, 3, 12)), (None, "x", None, None, (1, 0, 1))}
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
