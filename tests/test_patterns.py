@@ -27,3 +27,18 @@ def test_long_strings_only(spark):
     strings = spark.createDataFrame([("v", "needle"), ("w", "needl")], "video_id string, term string")
     assert [(r.id, r.term) for r in patterns.pairs(texts, strings).collect()] == [(1, "needle")]
     assert patterns.pairs(texts, strings.limit(0)).collect() == [] and patterns.pairs(texts.limit(0), strings).collect() == []
+
+
+def test_pieces_of_texts_are_not_written(spark, monkeypatch):
+    written, sizes = patterns.written, []
+
+    def counted(df, label):
+        out = written(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(patterns, "written", counted)
+    needle = "abcdefghijklmnopqrstuvwxyz"
+    texts = spark.createDataFrame([(k, "v", f"{k} {needle}") for k in range(10)], "id long, video_id string, text string")
+    assert patterns.pairs(texts, spark.createDataFrame([("v", needle)], "video_id string, term string")).count() == 10
+    assert sum(sizes) <= 11
