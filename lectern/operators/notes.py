@@ -75,8 +75,7 @@ def unverified_terms(guides: DataFrame, chunks: DataFrame) -> DataFrame:
     """Terms of a guide that occur nowhere in its course, case ignored: gid, video_id, term.
 
     A term made of word characters can only occur inside a word, so it is looked for in the
-    distinct words of the course, and only in those that share its first four characters
-    somewhere. Terms with other characters are looked for in the texts, by their rarest pieces.
+    distinct words of the course. Terms with other characters are looked for in the texts.
     ``guides``: gid, video_id, text; ``chunks``: video_id, text.
     """
     terms = unfold(guides, ["gid", "video_id"], guide_terms(F.col("text")), "term").withColumn("_low", F.lower("term"))
@@ -84,18 +83,9 @@ def unverified_terms(guides: DataFrame, chunks: DataFrame) -> DataFrame:
     plain = F.col("_low").rlike(r"^[a-z0-9_.$\[\]]{4,}$")
     split = F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9_.$\[\]]+"))
     words = unfold(chunks, ["video_id"], split, "word").filter(F.length("word") >= 4).distinct()
-    quads = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring(F.col("word"), i, F.lit(4)))
-    )
-    in_words = (
-        open_terms.filter(plain).withColumn("quad", F.substring("_low", 1, 4))
-        .join(unfold(words, ["video_id", "word"], quads, "quad"), ["video_id", "quad"])
-        .filter(F.contains("word", F.col("_low"))).select("video_id", "_low")
-    )
-    in_texts = (
-        patterns.pairs(chunks.select("video_id", F.lower("text").alias("_body")), open_terms.filter(~plain), body="_body", string="_low")
-        .select("video_id", "_low")
-    )
+    found = lambda texts, body, terms: patterns.matches(texts, terms, body=body, string="_low", keep=["video_id"]).select("video_id", "_low")
+    in_words = found(words, "word", open_terms.filter(plain))
+    in_texts = found(chunks.select("video_id", F.lower("text").alias("_body")), "_body", open_terms.filter(~plain))
     absent = open_terms.join(in_words.unionByName(in_texts).distinct(), ["video_id", "_low"], "left_anti")
     return terms.join(absent, ["video_id", "_low"], "left_semi").drop("_low")
 

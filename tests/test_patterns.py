@@ -42,3 +42,25 @@ def test_pieces_of_texts_are_not_written(spark, monkeypatch):
     texts = spark.createDataFrame([(k, "v", f"{k} {needle}") for k in range(10)], "id long, video_id string, text string")
     assert patterns.pairs(texts, spark.createDataFrame([("v", needle)], "video_id string, term string")).count() == 10
     assert sum(sizes) <= 11
+
+
+def test_places_and_surroundings_leave_the_task_without_their_text(spark):
+    texts = spark.createDataFrame([(1, "v", "aaaa b 漢𝒳漢𝒳"), (2, "v", "aa"), (3, "w", "aa"), (4, "v", None)], "id long, video_id string, text string")
+    strings = spark.createDataFrame([("v", "aa"), ("v", "a b"), ("v", "漢𝒳"), ("w", "b")], "video_id string, term string")
+    found = patterns.matches(texts, strings, keep=["id"], window=1)
+    assert found.columns == ["id", "term", "at", "near"]
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, "a b", [3], ["aa b "]), (1, "aa", [0, 2], ["aaa", "aaa "]), (1, "漢𝒳", [7, 9], [" 漢𝒳漢", "𝒳漢𝒳"]), (2, "aa", [0], ["aa"]),
+    ]
+
+
+def test_a_tree_finds_every_place(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abc\n漢", k=3000))
+    strings = sorted({"".join(rng.choices("abc漢", k=rng.randrange(1, 7))) for _ in range(300)})
+    want = sorted((k, i) for i, s in enumerate(strings) for k in range(len(text)) if text.startswith(s, k))
+    for cells in (patterns.CELLS, 0):  # steps in a table, and looked up
+        monkeypatch.setattr(patterns, "CELLS", cells)
+        monkeypatch.setattr(patterns, "STRIDE", 256)
+        got = patterns._Tree(strings).walk(patterns._codes(text))
+        assert sorted(zip(*(x.tolist() for x in got))) == want
