@@ -173,7 +173,7 @@ def cross_course(
 
     Only the survivors (a few per question) are joined with their texts.
     """
-    scores = retrieval.bm25(chunks.select("video_id", "chunk_id", "text") if index is None else index, terms, scoped=False)
+    scores = retrieval.bm25(chunks.select("video_id", "chunk_id", "text") if index is None else index, terms, scoped=False, k=per_course)
     each = retrieval.top(scores, ["qid", "video_id"], [F.round("score", 9).desc(), F.col("chunk_id")], per_course)
     best = retrieval.top(each, ["qid"], [F.round("score", 9).desc(), F.col("chunk_id")], max(8, per_course * 2), "rank")
     return (
