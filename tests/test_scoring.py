@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.operators import retrieval, scoring
 from lectern.operators.stored import Store, TermIndex
+from lectern.session import written
 
 
 @pytest.mark.parametrize("scoped", [True, False])
@@ -53,3 +54,25 @@ def test_a_change_splits_only_texts_that_differ(spark):
     index = TermIndex(Store.temporary(spark, "test"), "words")
     rows = {tuple(r) for r in index._difference(new, old).select("chunk_id", "term", "tf", "len", "df").collect()}
     assert rows == {("c1", "a", -1, 0, 0), ("c1", "c", 1, 2, 1), ("c2", "", -1, -1, -1), ("c2", "b", -1, -1, -1), ("c3", "", 1, 2, 1), ("c3", "b", 2, 2, 1)}
+
+
+def test_only_postings_of_asked_courses_are_written(spark, monkeypatch):
+    sizes = {}
+
+    def counted(df, label="table"):
+        out = written(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(scoring, "written", counted)
+    found = spark.createDataFrame([(f"v{n % 10}", f"c{n}", f"t{n % 3}", 1.0) for n in range(300)] + [(None, "c", "t0", 1.0)], "video_id string, chunk_id string, term string, weight double")
+    asked = spark.createDataFrame([(1, "v1", "t0", 2.0), (2, "v2", "t1", 2.0), (3, None, "t0", 2.0)], "qid long, video_id string, term string, idf double")
+    assert scoring.sums(found, asked, ["video_id", "chunk_id"], True).count() == 20 == sizes["weights"]
+    assert scoring.sums(found, asked, ["video_id", "chunk_id"], False).count() == 302 and sizes["weights"] == 301
+
+
+def test_time_bias_scores_once(spark):
+    from lectern.plans import catalogue
+
+    plan = catalogue.all_queries()["hybrid_time_bias"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan
