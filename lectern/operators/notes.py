@@ -82,7 +82,8 @@ def unverified_terms(guides: DataFrame, chunks: DataFrame) -> DataFrame:
     open_terms = terms.select("video_id", "_low").distinct()
     plain = F.col("_low").rlike(r"^[a-z0-9_.$\[\]]{4,}$")
     split = F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9_.$\[\]]+"))
-    words = unfold(chunks, ["video_id"], split, "word").filter(F.length("word") >= 4).distinct()
+    # written once: the search measures the words before it deals them out, and would split all texts twice
+    words = written(unfold(chunks, ["video_id"], split, "word").filter(F.length("word") >= 4).distinct(), "words")
     found = lambda texts, body, terms: patterns.matches(texts, terms, body=body, string="_low", keep=["video_id"]).select("video_id", "_low")
     in_words = found(words, "word", open_terms.filter(plain))
     in_texts = found(chunks.select("video_id", F.lower("text").alias("_body")), "_body", open_terms.filter(~plain))

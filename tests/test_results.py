@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies
 from lectern.operators import glossary, ledger, library, notes
+from lectern.session import written
 from lectern.streaming import jobs
 
 
@@ -235,3 +236,18 @@ def test_concepts_and_outcomes_are_written(spark, tmp_path):
     assert sorted((r.qid, r.status, r.failed) for r in back.collect()) == [(k, ("ok", "missing", "wrong")[k % 3], k == 5) for k in range(6)]
     totals = spark.read.json(str(tmp_path / "run" / "summary")).first()
     assert (totals.n, totals["mean"], totals.failures) == (6, 0.25, 1)
+
+
+def test_words_of_a_course_are_split_once(spark, monkeypatch):
+    labels = []
+
+    def watched(df, label="table"):
+        labels.append(label)
+        return written(df, label)
+
+    monkeypatch.setattr(notes, "written", watched)
+    guides = spark.createDataFrame([(1, "v", "needle Hay missing `a b` `c d`"), (2, "w", "needle")], "gid long, video_id string, text string")
+    chunks = spark.createDataFrame([("v", "Needles in hay"), ("v", "A B"), ("w", None)], "video_id string, text string")
+    got = notes.unverified_terms(guides, chunks)
+    assert sorted((r.gid, r.term) for r in got.collect()) == [(1, "c d"), (1, "missing"), (2, "needle")]
+    assert labels == ["words"] and "array_distinct(split" not in got._jdf.queryExecution().executedPlan().toString()
