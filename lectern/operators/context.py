@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern import constants as C
 from lectern.functions import clock, text as X
 from lectern.operators import ordered
-from lectern.session import settle
+from lectern.session import settle, written
 
 
 def joined(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sep: str, name: str) -> DataFrame:
@@ -54,7 +54,8 @@ def waterfill_levels(sizes: DataFrame, budgets: DataFrame, key: str) -> DataFram
 
 def waterfill(items: DataFrame, budgets: DataFrame, key: str) -> DataFrame:
     """Adds ``limit`` to every item (columns key, size, ...)."""
-    levels = waterfill_levels(items.select(key, "size"), budgets, key).select(key, "level")
+    # a row per key: its size is known once it is written, so that Spark need not deal the items out by key
+    levels = written(waterfill_levels(items.select(key, "size"), budgets, key).select(key, "level"), "levels")
     return items.join(levels, key, "left").withColumn(
         "limit", F.when(F.col("level").isNull(), F.col("size")).otherwise(F.least("size", "level"))
     ).drop("level")
@@ -68,7 +69,9 @@ def starts_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], si
     """
     narrow = rows.select(*keys, *order, size.cast("long").alias("_size"))
     at = ordered.prefix(ordered.blocks(narrow, keys, order), keys, order, {"_at": ("sum", F.col("_size"))})
-    return rows.join(at.filter(F.col("_at") <= budget).select(*keys, *order, "_at"), [*keys, *order])
+    # written, so that its size is known: where few rows are left the texts of the others need not be shuffled
+    near = written(at.filter(F.col("_at") <= budget).select(*keys, *order, "_at"), "near")
+    return rows.join(near, [*keys, *order])
 
 
 def prefix_take(blocks: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
@@ -115,34 +118,33 @@ def full_prefix(
     measured after they are compacted. Byte-stable for the same data.
     """
     head = course_head(courses, chapters, max_chars)
-    body = chunks.select(
-        "video_id", "idx",
-        F.concat(F.lit("\n【"), clock.clock_label(F.col("start_ms")), F.lit("】")).alias("mark"),
-        "text",
-        F.when(F.coalesce("ocr_text", F.lit("")) == "", "").otherwise(X.compact_lines(F.col("ocr_text"), None)).alias("ocr"),
-    ).withColumn("size", F.length("ocr"))
+    mark = F.concat(F.lit("\n【"), clock.clock_label(F.col("start_ms")), F.lit("】"))
+    ocr = F.when(F.coalesce("ocr_text", F.lit("")) == "", "").otherwise(X.compact_lines(F.col("ocr_text"), None))
+    # only lengths are measured, shared out and ordered; the texts of the rows that show meet them at the end. Written, as they are read twice
+    body = written(chunks.select(
+        "video_id", "idx", F.length(mark).alias("mark"), F.length("text").alias("text"), F.length(ocr).alias("size"),
+    ), "lengths")
     has_ocr = F.when(F.col("size") > 0, 1).otherwise(0)
     fixed = body.groupBy("video_id").agg(
         # label + text, their two line breaks, slide label and its line break
-        (F.sum(F.length("mark") + F.length("text") + 2 + has_ocr * (len(C.OCR_LABEL) + 1))).alias("fixed")
+        (F.sum(F.col("mark") + F.col("text") + 2 + has_ocr * (len(C.OCR_LABEL) + 1))).alias("fixed")
     )
     # the head counts its own line breaks; one more joins it to the transcript heading
     room = F.lit(max_chars) - F.col("head_len") - len("\n## 逐字稿") - 2 - F.coalesce("fixed", F.lit(0))
     budgets = head.join(fixed, "video_id", "left").select("video_id", F.greatest(F.lit(0), room).alias("budget"))
     limited = waterfill(body, budgets, "video_id")
-    shown = F.when(F.col("size") <= F.col("limit"), F.col("ocr")).otherwise(
-        F.concat(F.substring(F.col("ocr"), F.lit(1), F.greatest(F.lit(0), F.col("limit") - 1).cast("int")), F.lit(C.ELLIPSIS))
-    )
-    part = F.concat_ws(
-        "\n", "mark",
-        F.when((F.col("size") > 0) & (F.col("limit") > 0), F.concat(F.lit(C.OCR_LABEL), shown)),
-        "text",
+    slide = (F.col("size") > 0) & (F.col("limit") > 0)
+    # mark, slide label with as much of the slide text as its limit, text, each with its line break; what is null is no line
+    lines = [F.col("mark") + 1, F.when(slide, len(C.OCR_LABEL) + F.least("size", "limit") + 1), F.col("text") + 1]
+    taken = F.greatest(F.lit(1), sum((F.coalesce(n, F.lit(0)) for n in lines), F.lit(0)))
+    near = starts_within(limited, ["video_id"], ["idx"], taken, max_chars).select("video_id", "idx", "size", "limit", "_at")
+    rows = chunks.select("video_id", "idx", mark.alias("_mark"), "text", ocr.alias("_ocr")).join(written(near, "shown"), ["video_id", "idx"])
+    shown = F.when(F.col("size") <= F.col("limit"), F.col("_ocr")).otherwise(
+        F.concat(F.substring(F.col("_ocr"), F.lit(1), F.greatest(F.lit(0), F.col("limit") - 1).cast("int")), F.lit(C.ELLIPSIS))
     )
+    part = F.concat_ws("\n", "_mark", F.when(slide, F.concat(F.lit(C.OCR_LABEL), shown)), "text")
     # what starts beyond the cut is left out, and the part that crosses it is cut one character later
-    parts = limited.select("video_id", "idx", part.alias("_part"))
-    near = starts_within(parts, ["video_id"], ["idx"], F.length("_part") + 1, max_chars).withColumn(
-        "_part", F.substring("_part", F.lit(1), (F.lit(max_chars + 1) - F.col("_at")).cast("int"))
-    )
+    near = rows.select("video_id", "idx", F.substring(part, F.lit(1), (F.lit(max_chars + 1) - F.col("_at")).cast("int")).alias("_part"))
     transcript = joined(near, ["video_id"], ["idx"], "_part", "\n", "_transcript")
     whole = head.join(transcript, "video_id", "left").select(
         "video_id", F.concat_ws("\n", "head", F.lit("\n## 逐字稿"), "_transcript").alias("prefix")
@@ -251,13 +253,13 @@ def choose_prefixes(
     """
     kept = None
     if stored is None:
-        todo = prefix_inputs(courses, chapters, chunks).join(courses.select("video_id"), "video_id", "left_semi")
+        todo = written(prefix_inputs(courses, chapters, chunks).join(courses.select("video_id"), "video_id", "left_semi"), "todo")
     else:
         todo, kept = stale_prefixes(courses, chapters, chunks, stored)
-        todo = settle(todo)
+        todo = written(todo, "todo")  # a row per course, as ``long`` below: courses are picked without dealing out their texts by course
         courses, chapters, chunks = (d.join(todo.select("video_id"), "video_id", "left_semi") for d in (courses, chapters, chunks))
     full = settle(full_prefix(courses, chapters, chunks, max_chars))
-    long = full.filter(F.col("tokens") > max_tokens).select("video_id")
+    long = written(full.filter(F.col("tokens") > max_tokens).select("video_id"), "long")
     outline = outline_prefix(*(d.join(long, "video_id", "left_semi") for d in (courses, chapters, chunks)), max_chars)
     built = full.filter(F.col("tokens") <= max_tokens).withColumn("used_outline", F.lit(False)).unionByName(
         outline.withColumn("used_outline", F.lit(True))

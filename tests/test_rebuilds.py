@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.operators import context, library
-from lectern.session import settle
+from lectern.session import settle, written
 
 
 def _library(spark, title="Two"):
@@ -64,3 +64,23 @@ def test_changes_of_a_rebuild(spark):
     new = spark.createDataFrame([("v", "1", "same"), ("v", "2", "new"), ("v", "4", ""), ("v", "5", None)], "video_id string, chunk_id string, text string")
     got = {r.chunk_id: r.change for r in library.changes(new, old, "chunk_id", ["text"]).collect()}
     assert got == {"1": "kept", "2": "changed", "3": "gone", "4": "added", "5": "kept"}
+
+
+def test_texts_meet_only_the_rows_of_a_prefix_that_show(spark, monkeypatch):
+    made = {}
+
+    def watched(df, label="table"):
+        made[label] = written(df, label)
+        return made[label]
+
+    monkeypatch.setattr(context, "written", watched)
+    courses = spark.createDataFrame([("v", "T", 1000, "")], "video_id string, title string, duration_ms long, video_summary string")
+    chapters = spark.createDataFrame([("v", "x", 0, "one", "", 0)], "video_id string, chapter_id string, idx long, title string, summary string, start_ms long")
+    rows = [("v", n, None if n == 1 else n * 1000, None if n == 2 else f"text {n}", "slide\nshown" if n % 2 else "") for n in range(500)]
+    chunks = spark.createDataFrame(rows, "video_id string, idx long, start_ms long, text string, ocr_text string")
+    got = context.full_prefix(courses, chapters, chunks, 100_000).first()
+    assert "\n\n【00:00】\ntext 0\n\n【00:00】\n（课件）slide / shown\ntext 1\n\n【00:02】\n\n【00:03】\n（课件）slide / shown\ntext 3" in got.prefix
+    short = context.full_prefix(courses, chapters, chunks, 400).first()
+    assert len(short.prefix) > 400 and short.prefix[:50] == got.prefix[:50] and "slide" not in short.prefix
+    assert [f.name for f in made["lengths"].schema if f.dataType.simpleString() == "string"] == ["video_id"]
+    assert 0 < made["shown"].count() < 60
