@@ -251,3 +251,13 @@ def test_words_of_a_course_are_split_once(spark, monkeypatch):
     got = notes.unverified_terms(guides, chunks)
     assert sorted((r.gid, r.term) for r in got.collect()) == [(1, "c d"), (1, "missing"), (2, "needle")]
     assert labels == ["words"] and "array_distinct(split" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_corrected_once_when_only_corrected_ones_are_asked_for(spark):
+    rows = spark.createDataFrame([("v", 1, "fo bar", None), ("v", 2, "clean", "t"), ("w", 3, None, "fo fo")], "video_id string, idx long, text string, title string")
+    rules = spark.createDataFrame([("", ["fo"], "foo!", "", 1)], "video_id string, wrong array<string>, right string, reason string, ord long")
+    done = glossary.repair(rows, rules, ["text", "title"])
+    touched = done.filter(glossary.n_fixes(F.col("fixes_text")) + glossary.n_fixes(F.col("fixes_title")) > 0).select("idx", "text", "title")
+    assert sorted(map(tuple, touched.collect())) == [(1, "foo! bar", ""), (3, "", "foo! foo!")]
+    plan = touched._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "replace(" in line]
