@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,28 @@ def test_sums_equal_a_loop(spark, monkeypatch, scoped):
     assert {key for rows in best.values() for _, key in sorted(rows)[:2]} <= set(few) and few.items() <= got.items()
 
 
+def test_postings_meet_only_questions_of_their_courses(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK", 100)
+    monkeypatch.setattr(scoring, "PACK", 10)
+
+    def received(keys, scoped, k):
+        def run(block, pack):
+            return pa.table({"qid": [len(pack)], "video_id": [""], "chunk_id": [""], "score": [float(len(block))]})
+
+        return run
+
+    monkeypatch.setattr(scoring, "_summer", received)
+    # 200 courses with a question each, and one with half as many postings as all of them
+    found = [(f"v{c}", f"c{d}", "t", 1.0) for c in range(200) for d in range(5)] + [("w", f"d{d}", "t", 1.0) for d in range(500)]
+    asked = [(q, f"v{q}", "t", 1.0) for q in range(200)] + [(q, "w", "t", 1.0) for q in range(200, 205)]
+    tables = (spark.createDataFrame(found, "video_id string, chunk_id string, term string, weight double"),
+              spark.createDataFrame(asked, "qid long, video_id string, term string, idf double"))
+    rows = scoring.sums(*tables, ["video_id", "chunk_id"], True).collect()
+    assert 1_500 <= sum(r.score for r in rows) <= 3_000 and 205 <= sum(r.qid for r in rows) <= 1_000
+    assert max(r.score for r in rows) < 250  # the large course is spread
+    assert sum(r.score for r in scoring.sums(*tables, ["video_id", "chunk_id"], False).collect()) == 1_500 * 21
+
+
 def test_words_are_counted_without_a_shuffle(spark):
     words = spark.createDataFrame([(["b", "a", "b", "é", "b"],), ([],), (["x"],)], "w array<string>")
     got = [[tuple(x) for x in r[0]] for r in words.select(text.counted(F.col("w"))).collect()]
