@@ -19,7 +19,7 @@ HIT = ("qid", "stage", "pos", "idx", "start_ms", "end_ms", "text", "score", "sou
 @dataclass
 class Indexes:
     """Stored indexes of a library: words of sentences, words of chunks, and three-character pieces of everything that is searched
-    by substring (documents (video_id, key) of ``searchable``)."""
+    by substring (documents (video_id, block) of ``searchable``, see ``blocks``)."""
 
     segment_words: Stored
     chunk_words: Stored
@@ -31,7 +31,14 @@ def piece_list(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"(?s)(?=(...))"), F.lit(1)))
 
 
+def block_pieces(texts: Column) -> Column:
+    """``piece_list`` of several texts together."""
+    return F.array_distinct(F.flatten(F.transform(texts, piece_list)))
+
+
 FIELDS = ("title", "summary", "ocr_text", "text")
+#: 2 ** BLOCK_BITS neighbouring rows have one entry in the index of pieces: most of their pieces are the same.
+BLOCK_BITS = 6
 #: kind -> (stage, score, the row's name within its course, fields that are searched)
 _KINDS = {
     "segment": (2, C.STAGE_SEGMENT_LIKE, "seg_key", ("text",)),
@@ -42,11 +49,14 @@ _KINDS = {
 
 
 def searchable(segments: DataFrame, chunks: DataFrame, slides: DataFrame, chapters: DataFrame) -> DataFrame:
-    """All rows that substring search looks at: video_id, kind, key, idx, start_ms, end_ms and the fields it looks at."""
+    """All rows that substring search looks at: video_id, kind, key, block, idx, start_ms, end_ms and the fields it looks at. Rows that
+    are numbered by a column ``place`` share a block with their neighbours, others are a block each (``block`` is their key)."""
     out = None
     for (kind, (_, _, key, fields)), rows in zip(_KINDS.items(), (segments, chunks, slides, chapters)):
+        named = lambda c, kind=kind: F.concat_ws(":", F.lit(kind), c.cast("string"))
+        block = F.shiftright("place", BLOCK_BITS) if "place" in rows.columns else F.col(key)
         part = rows.select(
-            "video_id", F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), F.col(key).cast("string")).alias("key"),
+            "video_id", F.lit(kind).alias("kind"), named(F.col(key)).alias("key"), named(block).alias("block"),
             F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms",
             *[(F.col(f) if f in fields else F.lit(None).cast("string")).alias(f) for f in FIELDS],
         )
@@ -54,11 +64,19 @@ def searchable(segments: DataFrame, chunks: DataFrame, slides: DataFrame, chapte
     return out
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """What the index of pieces is made of (split by ``block_pieces``): rows of ``searchable`` by block, as (video_id, chunk_id, text), the
+    block's name and the array of its texts."""
+    body = F.concat_ws("\n", *FIELDS)
+    texts = rows.groupBy("video_id", F.col("block").alias("chunk_id")).agg(F.collect_list(body).alias("text"))
+    return texts.withColumn("text", F.array_sort("text"))
+
+
 def like_pairs(rows: DataFrame, asked: DataFrame, pieces: Stored | None = None) -> DataFrame:
     """Rows of ``searchable`` with a field that holds the text ``q`` of a question of their course, ignoring case.
 
-    With an index a question meets, of each kind, only the rows that hold its rarest piece of three characters in its course; one
-    without a whole piece asks for the empty term, which every row has. Without an index it meets all rows of its course.
+    With an index a question meets, of each kind, only the rows of blocks that hold its rarest piece of three characters in its course;
+    one without a whole piece asks for the empty term, which every block has. Without an index it meets all rows of its course.
     """
     held = [F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lower(F.col("q"))) for f in FIELDS]
     if pieces is None:
@@ -67,16 +85,16 @@ def like_pairs(rows: DataFrame, asked: DataFrame, pieces: Stored | None = None)
         own = F.when(F.length(F.lower("q")) < 3, F.array(F.lit(""))).otherwise(piece_list(F.col("q")))
         needles = asked.select("qid", "video_id", F.explode(own).alias("term"))
         wanted = needles.select("video_id", "term").distinct()
-        found = pieces.postings(wanted).select("video_id", "term", F.col("chunk_id").alias("key")).join(wanted, ["video_id", "term"])
-        found = written(found.withColumn("kind", F.substring_index("key", ":", 1)), "pieces")
+        found = pieces.postings(wanted).select("video_id", "term", F.col("chunk_id").alias("block")).join(wanted, ["video_id", "term"])
+        found = written(found.withColumn("kind", F.substring_index("block", ":", 1)), "pieces")
         counts = found.groupBy("video_id", "term", "kind").agg(F.count("*").alias("n"))
         kinds = F.explode(F.array(*map(F.lit, _KINDS))).alias("kind")
         rarest = needles.select("*", kinds).join(counts, ["video_id", "term", "kind"], "left").groupBy("qid", "video_id", "kind").agg(
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("term"))).alias("r")
         )
         chosen = rarest.filter("r.n > 0").select("qid", "video_id", "kind", F.col("r.term").alias("term"))
-        places = chosen.join(found, ["video_id", "term", "kind"]).select("qid", "video_id", "key").join(asked.select("qid", "q"), "qid")
-        pairs = rows.join(places, ["video_id", "key"])
+        places = chosen.join(found, ["video_id", "term", "kind"]).select("qid", "video_id", "block").join(asked.select("qid", "q"), "qid")
+        pairs = rows.join(places, ["video_id", "block"])
     hit = held[0]
     for one in held[1:]:
         hit = hit | one

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import glossary, retrieval as R, search as S
-from lectern.operators.stored import Library, Store, TermIndex
+from lectern.operators.stored import Library, Rows, Store, TermIndex
 
 WORDS = "alpha beta gamma delta Épsilon zeta".split()
 
@@ -104,6 +104,40 @@ def test_substring_index_finds_what_a_scan_finds(spark):
     assert found == pick(S.like_pairs(table, asked)) and len(found) > 300
 
 
+def test_neighbouring_rows_share_an_entry_of_the_substring_index(spark):
+    rng = random.Random(6)
+    n = F.col("id")
+    kinds = ["view", "click", "error", "signup"]
+    said = [(f"v{k % 7}", k, f"s{k:05}", k, k + 1, f'{rng.choice(kinds)} {{"k": {rng.randrange(100)}}}') for k in range(1400)] + [("v1", 5000, "s05000", 1, 2, None), (None, 5001, "s05001", 1, 2, "view")]
+    store = Store.temporary(spark, "test")
+    kept = Rows(store, "sentences", ["video_id", "seg_key"], place="place")
+    with store.begin() as change:
+        kept.put(change, spark.createDataFrame(said, "video_id string, idx long, seg_key string, start_ms long, end_ms long, text string"))
+    sentences = kept.all()
+    at = [r.place for r in sentences.orderBy("video_id", "seg_key").collect()]
+    assert at == sorted(set(at))
+    none = spark.range(0).select(F.lit("").alias("video_id"), n.alias("idx"), F.lit("").alias("chunk_id"), n.alias("start_ms"), n.alias("end_ms"), *[F.lit("").alias(f) for f in S.FIELDS])
+    table = S.searchable(sentences, none, none, none)
+    asked = spark.createDataFrame([(q, f"v{q % 8}", x) for q, x in enumerate(["VIEW", 'k": 7', 'signup {"k": 5', "nowhere", "k", "", "up", "error", "click {"] * 3)], "qid long, video_id string, q string")
+    index = TermIndex(store, "pieces", S.block_pieces)
+    with store.begin() as change:
+        index.put(change, S.blocks(table))
+    pick = lambda df: sorted((r.qid, r.key) for r in df.select("qid", "key").collect())
+    found = pick(S.like_pairs(table, asked, index))
+    assert found == pick(S.like_pairs(table, asked)) and len(found) > 1000
+    # a row for every piece of every sentence would be 20 times the sentences
+    assert store.read("pieces_postings").count() < 4 * len(said)
+
+
+def test_the_course_library_indexes_blocks(spark):
+    from lectern.plans import library as queries
+    from lectern.plans.registry import Tables
+
+    made = queries._search_inputs(Tables(spark, "/root/testdata/sf0.001"))
+    entries = made["indexes"].pieces.store.read("pieces_postings").filter("term = ''")
+    assert entries.count() < made["segments"].count()
+
+
 def test_repair_is_written_back(spark):
     library = Library(Store.temporary(spark, "test"))
     rows = [("a", "1", "fo bar", "fo", None, ""), ("a", "2", "bar", "fo fo", "s", "o"), ("b", "3", "clean", "t", "s", "o"), ("b", "4", None, None, None, None)]
