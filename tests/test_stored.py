@@ -138,6 +138,21 @@ def test_the_course_library_indexes_blocks(spark):
     assert entries.count() < made["segments"].count()
 
 
+def test_grouped_documents_of_distinct_terms_are_not_counted(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "1", ["view one", "view"]), ("a", "2", [None, "", "ab"]), (None, "3", ["über"])], "video_id string, chunk_id string, text array<string>")
+    rows = []
+    for once in (False, True):
+        if once:
+            monkeypatch.setattr(R, "repeated", lambda *_: pytest.fail("looked for rows of one document"))
+            monkeypatch.setattr(R.text, "counted", lambda *_: pytest.fail("counted"))
+        index = TermIndex(Store.temporary(spark, "test"), "pieces", S.block_pieces, distinct=once)
+        with index.store.begin() as change:
+            index.put(change, docs, grouped=once)
+        made = [index.store.read(f"pieces_{table}").drop("batch").collect() for table in ("postings", "frequency", "totals")]
+        rows.append([sorted(map(str, table)) for table in made])
+    assert rows[0] == rows[1] and len(rows[0][0]) == 11
+
+
 def test_repair_is_written_back(spark):
     library = Library(Store.temporary(spark, "test"))
     rows = [("a", "1", "fo bar", "fo", None, ""), ("a", "2", "bar", "fo fo", "s", "o"), ("b", "3", "clean", "t", "s", "o"), ("b", "4", None, None, None, None)]
