@@ -51,6 +51,19 @@ def test_chapters_that_share_a_name(spark, tmp_path, name):
     assert ("src1-ch100", 55, "src1-c10000") in rows or name != "chapter_members"
 
 
+def documents(spark, folder, texts):
+    """A documents table of these texts, each in an even and an odd row."""
+    rows = [(2 * k + odd, text, "en", "src1", len(text or "")) for k, text in enumerate(texts) for odd in (0, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+
+
+def test_texts_without_a_repeated_heading_stay_as_they_are(spark, tmp_path):
+    documents(spark, tmp_path, ["", None, "  ", "\n \n", "\t", "a b\t", "\ta\nb", "a\x0bb\r\nc\rd", "a\u2028b \u00a0", "# x\n\ny", "## 1. title x\n\nagain"])
+    rows = dict(same_rows(spark, tmp_path, "strip_heading"))
+    assert rows[0] == "" and rows[1] == "# other\n"
+
+
 def test_answered_questions_need_no_scores(spark):
     from lectern.operators import retrieval
 
