@@ -9,8 +9,10 @@ from lectern import constants as C
 from lectern.functions.lists import let
 from lectern.functions.text import strip
 
-_HEADING_START = r"(?m)^(?=#{1,3}\s+\S)"
-_HEADING = r"^#{1,3}\s+(\S[^\n]*)"
+# a heading is one line: marks alone have no text, whatever the next line says
+_MARKS = r"#{1,3}[^\S\n]+\S"
+_HEADING_START = rf"(?md)^(?={_MARKS})"
+_HEADING = r"^#{1,3}[^\S\n]+(\S[^\n]*)"
 
 
 def clean(text: Column) -> Column:
@@ -33,7 +35,7 @@ def sections(text: Column, fallback_title: Column) -> Column:
     def section(part: Column, i: Column) -> Column:
         headed = part.rlike(_HEADING)
         title = strip(F.regexp_extract(part, _HEADING, 1))
-        body = F.when(headed, strip(F.regexp_replace(part, r"^#{1,3}\s+\S[^\n]*", ""))).otherwise(strip(part))
+        body = F.when(headed, strip(F.regexp_replace(part, _HEADING, ""))).otherwise(strip(part))
         return F.struct(F.when(headed, title).otherwise(F.lit(C.PREFACE_TITLE)).alias("title"), body.alias("body"), headed.alias("headed"))
 
     found = F.filter(F.transform(parts, section), lambda s: s["headed"] | (s["body"] != ""))

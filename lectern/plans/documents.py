@@ -83,8 +83,10 @@ kept AS (SELECT s.doc_id, s.sec0, coalesce(s.title, g.title) AS title, n_body, r
 SELECT k.doc_id, k.sec, k.title, coalesce(string_agg(trim(m.line), chr(10) || chr(10) ORDER BY m.i) FILTER (NOT m.head AND trim(m.line) <> ''), '') AS body
 FROM kept k JOIN marked m ON m.doc_id = k.doc_id AND m.sec0 = k.sec0 GROUP BY k.doc_id, k.sec, k.title""")
 def doc_sections(t):
-    d = headed_docs(t).withColumn("text", D.clean(F.col("text")))
-    s = d.select("doc_id", F.posexplode(D.sections(F.col("text"), D.guess_title(F.col("text")))).alias("sec", "s"))
+    # blank documents are dropped, as in docs.parse; without a heading the first line is the title
+    d = headed_docs(t).withColumn("text", D.clean(F.col("text"))).filter(F.col("text") != "")
+    first = F.substring(X.strip(F.substring_index("text", "\n", 1)), 1, 80)
+    s = d.select("doc_id", F.posexplode(D.sections(F.col("text"), first)).alias("sec", "s"))
     return s.select("doc_id", "sec", "s.title", F.array_join(D.paragraphs(F.col("s.body")), "\n\n").alias("body"))
 
 

@@ -64,6 +64,13 @@ def test_texts_without_a_repeated_heading_stay_as_they_are(spark, tmp_path):
     assert rows[0] == "" and rows[1] == "# other\n"
 
 
+def test_blank_documents_have_no_sections(spark, tmp_path):
+    texts = ["", None, "  ", "\n \n", "a\nb", "#### deep", "#one\ntwo", "a\nb\nc\n\nd\n\n\n\ne", "a\nb\nc\n \ne", "#\n##\n# \n#x", "x\u2028y", "a\u2029# b\nc\nd\ne", "text\n# one\n\n### x"]
+    documents(spark, tmp_path, texts)
+    rows = same_rows(spark, tmp_path, "doc_sections")
+    assert min(r[0] for r in rows) == 8 and (14, 0, "导言", "a\n\nb\n\nc\n\n##") not in rows
+
+
 def test_answered_questions_need_no_scores(spark):
     from lectern.operators import retrieval
 
