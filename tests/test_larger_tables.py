@@ -34,6 +34,17 @@ def test_streams_read_tables_of_many_files(spark, tmp_path, name):
     assert len(same_rows(spark, tmp_path, name)) > 60
 
 
+def test_sentences_pass_with_the_second_they_start_in(spark, tmp_path):
+    # the newest event is at 12:00:00.300: user 1 starts a chunk in the second of the watermark, user 2 has been idle just long enough
+    at = lambda user, *times: [(user, f"2024-01-01 {t}") for t in times]
+    rows = at(1, "00:00:00.1", "11:50:00.9", "11:51:00.2") + at(2, "01:00:00.5", "11:40:00.3") + at(3, "02:00:00", "11:40:00.4")
+    rows += at(4, "03:00:00", "11:50:01.0") + at(9, "04:00:00", "12:00:00.3")
+    events = spark.createDataFrame([(k, u, ts) for k, (u, ts) in enumerate(rows)], "event_id long, user_id long, ts string")
+    events = events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit("{}").alias("props"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {(r[0], r[1]) for r in same_rows(spark, tmp_path, "stream_chunks")} >= {("u1", 0), ("u2", 0)}
+
+
 def test_letters_beside_accents_and_tabs(spark):
     texts = spark.createDataFrame([("caña b c d", ), ("x y\x0bz w v", ), ("_a b c 1a b c", ), ("a b cé", )], "t string")
     found = [r[0] for r in texts.select(glossary.spaced_letters(F.col("t"))).collect()]
