@@ -173,6 +173,11 @@ def document_rows(
     """The notes document as ordered rows (video_id, part, idx, text): heading (part 0), reading guide, outline table,
     one section per chapter with notes, term table. ``notes``: chapter_id, note. ``guides``: video_id, text, kept, one
     checked guide per course (``verify_guides``); a course without chapters or whose guide kept no paragraph has none."""
+    return around_sections(courses, chapters, terms, guides).unionByName(sections(chapters, notes))
+
+
+def around_sections(courses: DataFrame, chapters: DataFrame, terms: DataFrame, guides: DataFrame | None = None) -> DataFrame:
+    """``document_rows`` without the sections."""
     counts = chapters.groupBy("video_id").agg(F.count("*").alias("_n"))
     head = courses.join(counts, "video_id", "left").select(
         "video_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("idx"),
@@ -187,19 +192,11 @@ def document_rows(
         "video_id", F.lit(1).alias("part"), F.col("idx").cast("long").alias("idx"),
         F.concat(F.lit("| "), title, F.lit(" | "), clock.clock_label(F.col("start_ms")), F.lit(" | "), brief, F.lit(" |")).alias("text"),
     )
-    sections = chapters.join(notes, "chapter_id").select(
-        "video_id", F.lit(2).alias("part"), F.col("idx").cast("long").alias("idx"),
-        F.concat(
-            F.lit("\n---\n\n## "), (F.col("idx") + 1).cast("string"), F.lit(". "), title, F.lit("\n\n`"),
-            clock.clock_label(F.col("start_ms")), F.lit(" - "), clock.clock_label(F.col("end_ms")), F.lit("`\n\n"),
-            X.strip(X.without_heading(F.col("note"), title)),
-        ).alias("text"),
-    )
     table = terms.select(
         "video_id", F.lit(3).alias("part"), F.col("rank").cast("long").alias("idx"),
         F.concat(F.lit("| "), "term", F.lit(" | "), "definition", F.lit(" |")).alias("text"),
     )
-    rows = head.unionByName(outline).unionByName(sections).unionByName(table)
+    rows = head.unionByName(outline).unionByName(table)
     if guides is None:
         return rows
     said = guides.filter("kept > 0").join(chapters.select("video_id").distinct(), "video_id", "left_semi")
@@ -208,6 +205,39 @@ def document_rows(
     ))
 
 
+def _section_head() -> tuple[Column, Column]:
+    """Title of a chapter, heading of its section."""
+    title = X.chapter_title(F.col("title"), F.col("idx"))
+    return title, F.concat(
+        F.lit("\n---\n\n## "), (F.col("idx") + 1).cast("string"), F.lit(". "), title, F.lit("\n\n`"),
+        clock.clock_label(F.col("start_ms")), F.lit(" - "), clock.clock_label(F.col("end_ms")), F.lit("`\n\n"),
+    )
+
+
+def sections(chapters: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row of ``document_rows`` per chapter with notes."""
+    title, head = _section_head()
+    return chapters.join(notes, "chapter_id").select(
+        "video_id", F.lit(2).alias("part"), F.col("idx").cast("long").alias("idx"),
+        F.concat(head, X.strip(X.without_heading(F.col("note"), title))).alias("text"),
+    )
+
+
+def section_texts(chapters: DataFrame, notes: DataFrame) -> DataFrame:
+    """The texts of ``sections`` for ``with_findings`` (video_id, part, idx, piece, text, times): headings (piece 0) and, each once, the
+    notes (piece 1), at the first chapter they stand under. Chapters that share a chapter_id share its one note."""
+    title, head = _section_head()
+    part, times = F.lit(2).alias("part"), F.lit(1).cast("long").alias("times")
+    # which notes lose their first line under which chapter is known from that line
+    met = chapters.join(notes.select("chapter_id", X.first_heading(F.col("note")).alias("_first")), "chapter_id")
+    at = F.col("idx").cast("long")
+    heads = met.select("video_id", part, at.alias("idx"), F.lit(0).alias("piece"), head.alias("text"), times)
+    cut = F.coalesce(F.contains("_first", title), F.lit(False))
+    uses = met.groupBy("video_id", "chapter_id", cut.alias("_cut")).agg(F.count("*").alias("times"), F.min(at).alias("idx"))
+    note = F.when(F.col("_cut"), X.without_heading(F.col("note"), F.lit(""))).otherwise(F.col("note"))
+    return heads.unionByName(uses.join(notes, "chapter_id").select("video_id", part, "idx", F.lit(1).alias("piece"), note.alias("text"), "times"))
+
+
 def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
@@ -246,13 +276,19 @@ def read_documents(spark: SparkSession, folder: str, version: str = "now") -> Da
     return spark.createDataFrame([], "video_id string, part int, idx long, text string") if rows is None else rows.select("video_id", "part", "idx", "text")
 
 
-def with_findings(document: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
+def with_findings(document: DataFrame, suspects: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """``document_rows`` and, as part 4, a table of the terms in it that a person should confirm, which stay unchanged in the text.
 
+    ``texts`` (video_id, part, idx, piece, text, times): what is looked through in place of the rows, when many of them hold the same
+    (``section_texts``); no term spans two of them.
+
     Rows are ordered by kind, then term; a course without findings has no such part. The rows of a course are numbered over
     blocks, so no document is gathered.
     """
-    found = glossary.flag(document, "video_id", "text", suspects, at=["part", "idx"])
+    if texts is None:
+        found = glossary.flag(document, "video_id", "text", suspects, at=["part", "idx"])
+    else:
+        found = glossary.flag(texts, "video_id", "text", suspects, at=["part", "idx", "piece"], times="times")
     kinds = list(C.FINDING_LABELS)
     nth = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
     label, hint = (F.element_at(F.array(*[F.lit(C.FINDING_LABELS[k][i]) for k in kinds]), F.col("_k").cast("int")) for i in (0, 1))

@@ -316,8 +316,12 @@ def notes_complete(t):
     last = A.messages(t).select(F.col("id").alias("gid"), "video_id").join(N.verify_guides(guides(t), _anchors(t)), "gid")
     last = last.groupBy("video_id").agg(F.max_by("text", "gid").alias("text"), F.max_by("kept", "gid").alias("kept"))
     whole = CX.joined(A.docs(t), ["parent_id"], ["idx"], "text", "\n", "note").withColumnRenamed("parent_id", "chapter_id")
-    document = written(N.document_rows(A.courses(t), A.doc_chapters(t), whole, N.term_table(termed(t)), last), "notes")
-    return N.with_findings(document, GP.suspects(t))
+    # a note is read where it is gathered: under the chapters that share its name it stands only in the result
+    whole, chapters = written(whole, "notes", long_rows=True), written(A.doc_chapters(t), "chapters")
+    around = written(N.around_sections(A.courses(t), chapters, N.term_table(termed(t)), last), "around")
+    texts = around.withColumn("piece", F.lit(0)).withColumn("times", F.lit(1).cast("long")).unionByName(N.section_texts(chapters, whole))
+    document = around.unionByName(N.sections(chapters, whole))
+    return N.with_findings(document, GP.suspects(t), written(texts, "texts", long_rows=True))
 
 
 # ------------------------------------------------------------------ quizzes

@@ -69,6 +69,30 @@ def documents(spark, folder, texts):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
 
 
+def test_findings_read_a_note_once(spark, tmp_path, monkeypatch):
+    from lectern.plans import notes
+
+    n = F.col("id")
+    body = F.concat(F.lit("title "), n % 3, F.lit("\nword a b c d \"some quoted phrase\" here\nmy_name my_nane v1.2 end "), F.repeat(F.lit("long text "), F.lit(500)))
+    ids = spark.range(3).union(spark.range(10_000, 10_003)).union(spark.range(100_000, 101_000, 25))
+    ids.select(n.alias("doc_id"), body.alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), n % 2).alias("source"), F.length(body).cast("long").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    talk = [(k, turn, "user", f"said {k}\nand {turn}") for k in range(4) for turn in range(3)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "a long title word")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes, written = [], notes.written
+
+    def counted(df, *label, **how):
+        out = written(df, *label, **how)
+        sizes.append(out.agg(F.sum(F.length("text" if "text" in out.columns else out.columns[-1]))).first()[0])
+        return out
+
+    monkeypatch.setattr(notes, "written", counted)
+    rows = same_rows(spark, tmp_path, "notes_complete")
+    shown = sum(len(r[3]) for r in rows)
+    # chapters 100 and 1000 to 1009 of a course hold the same note: it is looked through once
+    assert max(sizes) < shown / 4
+
+
 def test_texts_without_a_repeated_heading_stay_as_they_are(spark, tmp_path):
     documents(spark, tmp_path, ["", None, "  ", "\n \n", "\t", "a b\t", "\ta\nb", "a\x0bb\r\nc\rd", "a\u2028b \u00a0", "# x\n\ny", "## 1. title x\n\nagain"])
     rows = dict(same_rows(spark, tmp_path, "strip_heading"))

@@ -64,3 +64,20 @@ def test_a_tree_finds_every_place(monkeypatch):
         monkeypatch.setattr(patterns, "STRIDE", 256)
         got = patterns._Tree(strings).walk(patterns._codes(text))
         assert sorted(zip(*(x.tolist() for x in got))) == want
+
+
+def test_a_task_holds_the_finds_of_a_slice(monkeypatch):
+    import pyarrow as pa
+
+    longest, walk = [], patterns._Tree.walk
+    monkeypatch.setattr(patterns, "SLICE", 100, raising=False)
+    monkeypatch.setattr(patterns._Tree, "walk", lambda tree, codes: longest.append(len(codes)) or walk(tree, codes))
+    texts = ["ab" * k for k in range(1, 40)] + ["b" * 500, "漢 ab"]
+    block = pa.table({"id": list(range(len(texts))), "text": texts})
+    run = patterns._finder("text", "term", ["id"], 1)
+    got = run(block, pa.table({"term": ["ab", "bb", "漢"]})).to_pydict()
+    want = [(k, w, t.count(w)) for k, t in enumerate(texts) for w in ("ab", "bb", "漢") if w in t]
+    assert [(k, w, len(at)) for k, w, at in zip(got["id"], got["term"], got["at"])] == want and [len(x) for x in got["near"]] == [n for *_, n in want]
+    assert len(longest) > 10 and max(longest) <= 700
+    none = run(block, pa.table({"term": pa.array([], pa.string())}))
+    assert none.num_rows == 0 and none.column_names == ["id", "term", "at", "near"]
